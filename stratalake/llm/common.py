@@ -105,6 +105,16 @@ def lower_words(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).lower().split()
 
 
+_BLANK = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+
+
+def normalised_words(text: str | bytes | None) -> list[bytes]:
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased."""
+    if text is None:
+        return []
+    return (text.encode() if isinstance(text, str) else text).lower().translate(_BLANK).split()
+
+
 class WordHashes(dict):
     """word -> 64-bit hash; bounded, for it starts anew when full."""
 

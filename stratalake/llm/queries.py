@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratalake.llm import bit_planes, byte_bpe, exact_dedup, warc
+from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, licenses, quality, warc
 from stratalake.llm.common import prepare
 
 
@@ -18,6 +19,10 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_planes.encode_to_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2).drop("path")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
@@ -26,9 +31,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.fit(docs, labels), "doc_id")
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("n_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_planes, op3_warc_bundles, op4_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (
+    op1_bit_planes, op2_decontaminate, op3_warc_bundles, op4_exact_dedup, op7_quality, op9_licenses, op10_byte_bpe,
+)}
