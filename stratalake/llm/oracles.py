@@ -16,4 +16,28 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-SQL = {"op3_warc_bundles": OP3, "op4_exact_dedup": OP4}
+OP6 = """
+WITH RECURSIVE
+  d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+  n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+  e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+  r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT node, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(seen) FROM r WHERE r.node = d.doc_id), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+OP8 = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS p FROM d),
+     k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(w[p : p + 19], ' ') ORDER BY doc_id, p) AS n FROM s),
+     r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM k WHERE n > 1),
+     t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+     g AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM t ANTI JOIN r ON r.doc_id = t.doc_id AND r.i = t.i GROUP BY t.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(g.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+SQL = {"op6_jaccard": OP6, "op8_repeats": OP8, "op3_warc_bundles": OP3, "op4_exact_dedup": OP4}

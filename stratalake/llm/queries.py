@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, licenses, quality, warc
+from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, jaccard, licenses, quality, repeats, warc
 from stratalake.llm.common import prepare
 
 
@@ -31,6 +31,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = quality.score(docs, quality.fit(docs, labels), "doc_id")
@@ -39,6 +43,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -49,5 +57,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bit_planes, op2_decontaminate, op3_warc_bundles, op4_exact_dedup, op7_quality, op9_licenses, op10_byte_bpe,
+    op1_bit_planes, op2_decontaminate, op3_warc_bundles, op4_exact_dedup, op6_jaccard, op7_quality, op8_repeats, op9_licenses, op10_byte_bpe,
 )}
