@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, jaccard, licenses, quality, repeats, warc
+from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, jaccard, licenses, lm_score, quality, repeats, warc
 from stratalake.llm.common import prepare
 
 
@@ -31,6 +31,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm_score.score(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -57,5 +62,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bit_planes, op2_decontaminate, op3_warc_bundles, op4_exact_dedup, op6_jaccard, op7_quality, op8_repeats, op9_licenses, op10_byte_bpe,
+    op1_bit_planes, op2_decontaminate, op3_warc_bundles, op4_exact_dedup, op5_lm_score, op6_jaccard, op7_quality, op8_repeats, op9_licenses, op10_byte_bpe,
 )}
