@@ -167,23 +167,22 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string, utf8 binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes): encodes, decodes the ids, keeps digests."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): encodes, decodes the ids, keeps digests."""
     model = _model(docs.sparkSession, ranks_path, pattern)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
 
     def run(batches):
         codec = Codec.of(model.value)
         for b in batches:
             rows = []
             for ids in codec.encode([t or "" for t in b.column(1).to_pylist()]):
-                back = codec.decode_bytes(ids)
                 listed = str(ids)[1:-1].replace(" ", "")
-                rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), len(back)))
-            n, a, d, size = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(size, pa.int64())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
-            )
+                digests = (hashlib.sha256(x).hexdigest() for x in (listed.encode(), codec.decode_bytes(ids)))
+                rows.append((len(ids), *digests, *([ids] if keep_ids else ())))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
