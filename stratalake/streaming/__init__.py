@@ -1,0 +1 @@
+"""Warehouse loads are batch; there is no streaming operator here."""
