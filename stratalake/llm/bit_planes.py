@@ -26,6 +26,7 @@ and empty texts have the end id alone.
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -179,17 +180,22 @@ class PlaneFile:
 class WordEncoder:
     """Ids of texts by a tokenizers file, for one whose tokens never span white space.
 
-    Each distinct word is encoded once and remembered (bounded); a text's ids are
-    those of its words, put together.
+    Each distinct word is encoded once a worker and remembered (bounded); a text's
+    ids are those of its words, put together.  New words are encoded many at a
+    time, joined by spaces, and told apart by offsets.
     """
 
-    REMEMBERED = 400_000
+    REMEMBERED = 1_200_000
+    JOINED = 256
     _of: dict[str, "WordEncoder"] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # A-Z can be lower-cased beforehand where the file does it anyway; but not in what could be read as a special token.
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str()).get("normalizer"))
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -197,16 +203,29 @@ class WordEncoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
+    def words(self, text: bytes) -> list[bytes]:
+        if self.lowers:
+            low = text.lower()
+            if not any(s in low for s in self.special):
+                return low.split()
+        return text.split()
+
+    def learn(self, new: list[bytes]) -> None:
+        plain = [w.decode("utf-8", "replace") for w in new]
+        groups = [range(k, min(k + self.JOINED, len(new))) for k in range(0, len(new), self.JOINED)]
+        got = self.tokenizer.encode_batch([" ".join(plain[g.start : g.stop]) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, got, strict=True):
+            ids, starts = np.array(e.ids, "<u4"), np.array([o[0] for o in e.offsets], np.int64)
+            at = 0
+            for k, end in zip(g, np.searchsorted(starts, np.cumsum([len(plain[k]) + 1 for k in g])).tolist(), strict=True):
+                self.known[new[k]] = ids[at:end].tobytes()
+                at = end
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words, known = [t.split() for t in texts], self.known
+        words, known = [self.words(t) for t in texts], self.known
         if len(known) > self.REMEMBERED:
             known.clear()
-        new = list({w for x in words for w in x}.difference(known))
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, got, strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(list({w for x in words for w in x}.difference(known)))
         return [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in words]
 
 
