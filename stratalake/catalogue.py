@@ -147,7 +147,7 @@ def sales(spark, sf):
     lines = items.join(orders.select("order_id", "order_key", "customer_key", "order_date"), "order_id")
     lines = elt.look_up(lines.withColumnRenamed("part_id", "product_id"), dim_product(spark, sf), "product_id", "product_key")
     lines = elt.look_up_date(lines, dates(spark, sf), "order_date", "order_date_key")
-    off = F.bround(F.col("extended_price") * F.col("discount"), 2).cast("decimal(14,2)")
+    off = F.round(F.col("extended_price") * F.col("discount"), 2).cast("decimal(14,2)")
     return lines.select(
         "order_id", "line_number", "order_key", "customer_key", "product_key", "order_date_key", "quantity", F.col("extended_price").alias("gross_amount"),
         off.alias("discount_amount"), (F.col("extended_price") - off).cast("decimal(14,2)").alias("net_amount"), "return_flag", "line_status", "order_date", "ship_date",
