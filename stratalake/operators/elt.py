@@ -23,33 +23,32 @@ def to_staging(raw: DataFrame, schema: T.StructType | str, payload: str = "sourc
     return raw.select(F.from_json(payload, schema).alias("p")).select("p.*")
 
 
-def number_rows(rows: DataFrame, name: str, *keys: str, buckets: int = 64) -> DataFrame:
-    """``rows`` with numbers 1, 2, ... in order of ``keys``, without all rows in one task.
+#: Rows that one task numbers.
+NUMBERED_AT_ONCE = 500_000
 
-    Rows are cut into at most ``buckets`` ranges of the first key (bounds from
-    its approximate quantiles); a range is numbered in one task and begins after
-    the rows of the ranges before it.  ``keys`` should be unique in ``rows``.
+
+def number_rows(rows: DataFrame, name: str, *keys: str, at_once: int = NUMBERED_AT_ONCE) -> DataFrame:
+    """``rows`` with numbers 1, 2, ... in order of ``keys``, about ``at_once`` rows a task.
+
+    Rows are counted first.  More than ``at_once`` are cut into ranges of the
+    first key (bounds from its approximate quantiles, which must be numeric); a
+    range is numbered by one task and begins after the rows of the ranges before
+    it.  ``keys`` should be unique in ``rows``.
     """
-    first = keys[0]
-    numeric = isinstance(rows.schema[first].dataType, T.NumericType)
-    order = [F.asc_nulls_last(k) for k in keys]
-    if not numeric:
+    first, order = keys[0], [F.asc_nulls_last(k) for k in keys]
+    ranges = -(-rows.count() // at_once)
+    if ranges <= 1 or not isinstance(rows.schema[first].dataType, T.NumericType):
         return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    cuts = rows.agg(F.percentile_approx(first, [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
-    bounds = sorted(set(cuts))
-    part = F.when(F.col(first).isNull(), len(bounds))
-    for k, b in enumerate(bounds):
-        part = part.when(F.col(first) <= F.lit(b), k)
-    part = part.otherwise(len(bounds))
-    held = rows.withColumn("_part", part)
-    counts = {r["_part"]: r["n"] for r in held.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, offsets = 0, []
-    for k in range(len(bounds) + 1):
-        offsets.append(before)
-        before += counts.get(k, 0)
-    start = F.element_at(F.array(*(F.lit(x).cast("long") for x in offsets)), F.col("_part") + 1)
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + start
-    return held.withColumn(name, number.cast("long")).drop("_part")
+    cuts = rows.agg(F.percentile_approx(first, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
+    bounds = F.array(*(F.lit(b) for b in sorted(set(cuts))))
+    # The number of bounds below the key; nulls are in the last range.
+    part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(first))), F.size(bounds))
+    held = rows.withColumn("_part", F.when(F.col(first).isNull(), F.size(bounds)).otherwise(part))
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_start"))  # one row a range
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_start")
+    return held.join(starts, "_part").withColumn(name, number.cast("long")).drop("_part", "_start")
 
 
 def dimension(source: DataFrame, key: str, business_key: str, *attributes: str) -> DataFrame:
