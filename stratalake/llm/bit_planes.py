@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import filesystem, prepare, shared_dir, written
+from stratalake.llm.common import filesystem, portions, prepare, shared_dir, written
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -222,6 +222,9 @@ class WordEncoder:
                 at = end
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [ids for some in portions(texts) for ids in self._encode(some)]
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words, known = [self.words(t) for t in texts], self.known
         if len(known) > self.REMEMBERED:
             known.clear()

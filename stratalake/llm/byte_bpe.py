@@ -26,7 +26,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratalake.llm.common import prepare
+from stratalake.llm.common import portions, prepare
 
 #: Chunks a worker remembers; the memory starts anew when full.
 REMEMBERED = 400_000
@@ -86,6 +86,9 @@ class Codec:
         return cls._of[key]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids for some in portions(texts) for ids in self._encode(some)]
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         cut = [[t] if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
         known = self.chunks
         if len(known) > REMEMBERED:

@@ -91,6 +91,16 @@ def block_count(docs: DataFrame, column: str = "text") -> int:
     return max(1, -(-text_bytes(docs, column) // BLOCK_BYTES))
 
 
+def portions(texts: list, most: int = 4 << 20):
+    """Runs of texts of about ``most`` bytes together, so that words of few texts are in memory at once."""
+    start = held = 0
+    for k, t in enumerate(texts, 1):
+        held += len(t or b"")
+        if held >= most or k == len(texts):
+            yield texts[start:k]
+            start, held = k, 0
+
+
 def words_of(text: str | bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, as UTF-8."""
     if text is None:
@@ -118,7 +128,7 @@ def normalised_words(text: str | bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash; bounded, for it starts anew when full."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.llm.common import ngrams, normalised_words, own_column, prepare
+from stratalake.llm.common import ngrams, normalised_words, own_column, portions, prepare
 
 MIN_TILE = 5
 COVERAGE = 0.5
@@ -141,6 +141,9 @@ class Index:
 
     def batch(self, texts: list[bytes | None], threshold: float) -> list[list[dict]]:
         """For each text the items that contaminate it."""
+        return [x for some in portions(texts) for x in self._batch(some, threshold)]
+
+    def _batch(self, texts: list[bytes | None], threshold: float) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in texts]
         if not len(self.seeds):
             return out

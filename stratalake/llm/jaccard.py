@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.llm import exchange
-from stratalake.llm.common import HASHES, lower_words, ngrams, prepare, scramble, written
+from stratalake.llm.common import HASHES, lower_words, ngrams, portions, prepare, scramble, written
 from stratalake.llm.components import components
 
 SHINGLE = 5
@@ -43,12 +43,16 @@ SAMPLE, FREQUENT = 32, 1 << 17
 #: Lists of more classes than this pair up by components.
 SHORT = 16
 #: Prefix shingles in one owner's range.
-OWNED = 1 << 20
+OWNED = 1 << 19
 SALT = 32
 
 
 def shingles(texts: list[bytes | None], n: int = SHINGLE) -> list[np.ndarray]:
     """The sorted set of each text."""
+    return [s for some in portions(texts) for s in _shingles(some, n)]
+
+
+def _shingles(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     words = [lower_words(t) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(lengths)
@@ -156,7 +160,7 @@ def _postings(owners: int):
             for i, n, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held.append((np.frombuffer(p, np.uint64), i, n))
                 size += len(p)
-            if size >= 16 << 20:
+            if size >= 8 << 20:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -179,7 +183,10 @@ def _lists(percent: int):
         tokens, ids, ns = (np.concatenate([x[k] for x in got]) for k in range(3))
         order = np.lexsort((ids, ns, tokens))
         tokens, ids, ns = tokens[order], ids[order], ns[order].astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        same = tokens[1:] == tokens[:-1]
+        several = np.r_[False, same] | np.r_[same, False]  # most shingles are in one class alone
+        tokens, ids, ns = tokens[several], ids[several], ns[several]
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
         size = np.diff(np.r_[starts, len(tokens)])
         first, second, members = [], [], []
         for d in range(1, SHORT):  # all pairs at distance d of short lists, neighbours alone of long ones

@@ -36,7 +36,7 @@ _UPPER, _LOWER, _DIGIT = re.compile(rb"(?:[A-Z]|\xc3[\x80-\x9e])+"), re.compile(
 class Shapes(dict):
     """word -> 64-bit hash of its shape; bounded."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
