@@ -58,6 +58,8 @@ def type_violation(c: Column, spec: ColumnSpec) -> Column:
         bad = ~c.cast("string").rlike(r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?$")
     elif isinstance(spec.spark_type, T.StringType):
         bad = F.lit(False)
+    elif spec.is_numeric:
+        bad = c.try_cast("double").isNull()  # too many digits are another check's matter
     else:
         bad = c.try_cast(spec.spark_type).isNull()
     return ~missing(c) & F.coalesce(bad, F.lit(False))
@@ -106,7 +108,7 @@ def row_checks(table: TableSpec, df: DataFrame, meanings: dict[tuple[str, str],
 def duplicate_keys(df: DataFrame, *columns: str, nulls_distinct: bool = False) -> DataFrame:
     """(columns..., n) of keys that occur more than once; nulls are equal unless ``nulls_distinct``."""
     if nulls_distinct:
-        df = df.dropna("any", list(columns))
+        df = df.dropna(how="any", subset=list(columns))
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 

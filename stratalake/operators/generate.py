@@ -225,7 +225,7 @@ def _distinct_text(cells: _Cells, c: ColumnSpec) -> Column:
     """The usual text with the row number behind it, within the column's length."""
     if c.name.lower().endswith("_id"):
         return fn.business_id(c.name, cells.i)
-    tail = F.format_string(" %03d", cells.i)
+    tail = F.format_string("-%03d", cells.i)  # with a blank before it, it would read as a placeholder
     head = cells.value(c)
     if c.max_length:
         head = F.substring(head, F.lit(1), F.greatest(F.lit(0), F.lit(c.max_length) - F.length(tail)))
