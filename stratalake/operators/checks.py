@@ -71,16 +71,16 @@ def digits_violation(c: Column, precision: int, scale: int) -> Column:
     return n.isNotNull() & ((F.abs(n) >= F.lit(10 ** (precision - scale))) | (n != F.round(n, scale)))
 
 
-def row_checks(table: TableSpec, df: DataFrame, meanings: dict[tuple[str, str], Meaning] | None = None, expected: int | None = None, at_least: bool = False) -> DataFrame:
-    """Counts of V1 to V6, V9 and V12 in one pass."""
+def row_checks(table: TableSpec, df: DataFrame, meanings: dict[tuple[str, str], Meaning] | None = None, expected: int | None = None, at_least: bool = False, kinds: set[str] | None = None) -> DataFrame:
+    """Counts of V1 to V6, V9 and V12, or of some ``kinds`` of them, in one pass."""
     found: list[tuple[str, str, str, Column]] = []  # check, columns, severity, predicate
     present = {c.lower(): c for c in df.columns}
-    kinds = {f.name: f.dataType for f in df.schema}
+    types = {f.name: f.dataType for f in df.schema}
     for spec in table.columns:
         if spec.name.lower() not in present:
             continue
         name = present[spec.name.lower()]
-        c, text = F.col(name), isinstance(kinds[name], T.StringType)
+        c, text = F.col(name), isinstance(types[name], T.StringType)
         if not spec.nullable:
             found.append(("required", name, ERROR, missing(c)))
         if spec.max_length and text:
@@ -97,6 +97,7 @@ def row_checks(table: TableSpec, df: DataFrame, meanings: dict[tuple[str, str],
     for check in table.checks:
         if check.supported and check.column and check.column.lower() in present:
             found.append(("check", check.column, ERROR, ~check_holds(F.col(present[check.column.lower()]), check.op, check.values)))
+    found = [x for x in found if kinds is None or x[0] in kinds]
     total = df.agg(F.count(F.lit(1)).alias("_rows"), *(F.count_if(p).alias(f"v{k}") for k, (*_, p) in enumerate(found)))
     rows = [row(check, table.name, columns, severity, F.col(f"v{k}")) for k, (check, columns, severity, _) in enumerate(found)]
     if expected is not None:
