@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalake.llm import exchange
@@ -45,6 +45,8 @@ SHORT = 16
 #: Prefix shingles in one owner's range.
 OWNED = 1 << 19
 SALT = 32
+#: Classes in one block of a long list.
+TILE = 2048
 
 
 def shingles(texts: list[bytes | None], n: int = SHINGLE) -> list[np.ndarray]:
@@ -169,11 +171,6 @@ def _postings(owners: int):
     return run
 
 
-def _within(ns: np.ndarray, percent: int) -> np.ndarray:
-    """For sizes in ascending order: where those end that the size at each place can link with."""
-    return np.searchsorted(ns, ns * 100 // percent, "right")
-
-
 def _lists(percent: int):
     """An owner's lists: pairs of short ones and of neighbours in long ones, and the members of long ones."""
     names = ["token", "a", "b", "n"]
@@ -217,19 +214,48 @@ def _lists(percent: int):
     return run
 
 
+def _matrix(bits: list[bytes], width: int) -> np.ndarray:
+    """Signatures as rows of u8 words of 64 bits, folded to ``width`` bytes."""
+    out = np.empty((len(bits), width // 8), np.uint64)
+    for k, b in enumerate(bits):
+        row = np.frombuffer(b, np.uint64)
+        while len(row) > width // 8:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        out[k] = row
+    return out
+
+
 def _across(percent: int):
-    """Pairs of a long list whose classes are in different components so far."""
+    """Pairs of a tile whose classes are in different components so far and whose signatures allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, ns, comps = (table.column(c).to_numpy() for c in ("a", "n", "component"))
+        order = np.lexsort(tuple(table.column(c).to_numpy() for c in ("a", "n")))
+        ids, ns, comps, block = (table.column(c).to_numpy()[order] for c in ("a", "n", "component", "block"))
+        bits = table.column("bits").to_pylist()
+        bits = [bits[k] for k in order]
+        apart = len(np.unique(block)) > 1  # two blocks of a list: pairs inside one are another tile's
+        widths = np.array([len(b) for b in bits])
         out = []
-        if len(np.unique(comps)) > 1:
-            order = np.lexsort((ids, ns))
-            ids, ns, comps = ids[order], ns[order], comps[order]
-            for k, end in enumerate(_within(ns, percent).tolist()):
-                other = k + 1 + np.flatnonzero(comps[k + 1 : end] != comps[k])
-                if len(other):
-                    out.append(np.stack([np.full(len(other), ids[k]), ids[other]], axis=1))
+        for width in np.unique(widths).tolist() if len(np.unique(comps)) > 1 else ():
+            # Sizes that can link have signatures of one width or of the next.
+            near = np.flatnonzero((widths == width) | (widths == 2 * width))
+            m = _matrix([bits[k] for k in near], width)
+            count = np.bitwise_count(m).sum(1, dtype=np.int64)
+            i, n, c, of, narrow = ids[near], ns[near].astype(np.int64), comps[near], block[near], widths[near] == width
+            ends = np.searchsorted(n, n * 100 // percent, "right")
+            step = max(1, (1 << 21) // max(1, len(near) * m.shape[1]))
+            rows = np.flatnonzero(narrow)
+            for k in range(0, len(rows), step):
+                x = rows[k : k + step]
+                y = np.arange(x[0], ends[x].max())
+                both = np.bitwise_count(m[x][:, None, :] & m[y][None, :, :]).sum(2, dtype=np.int64)
+                most = np.minimum((n[x] - count[x])[:, None], (n[y] - count[y])[None, :]) + both
+                good = 100 * most >= percent * (n[x][:, None] + n[y][None, :] - most)
+                good &= (c[x][:, None] != c[y][None, :]) & (y[None, :] > x[:, None])
+                if apart:
+                    good &= of[x][:, None] != of[y][None, :]
+                p, q = np.nonzero(good)
+                out.append(np.stack([i[x[p]], i[y[q]]], axis=1))
         pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         pairs = np.sort(pairs, axis=1)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -294,8 +320,15 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     # Long lists: only pairs across components can still change the result.
     labelled = tiles.filter("b is null").select("token", "a", "n").join(found.select(F.col("node").alias("a"), "component"), "a", "left")
     labelled = written(labelled.withColumn("component", F.coalesce("component", "a")), "labelled")
-    open_lists = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    rest = labelled.join(open_lists, "token", "left_semi").groupBy("token").applyInArrow(_across(percent), "a long, b long").distinct()
+    lists = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
+    lists = lists.select("token", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
+    place = F.row_number().over(Window.partitionBy("token").orderBy("n", "a")) - 1
+    open_rows = labelled.join(lists, "token").withColumn("block", F.floor(place / TILE).cast("int"))
+    # A list of more than TILE classes is cut into blocks; each pair of blocks is a tile of its own.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiled = open_rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    tiled = tiled.join(bits.select(F.col("doc_id").alias("a"), "bits"), "a").select("token", "i", "j", "block", "a", "n", "component", "bits")
+    rest = tiled.groupBy("token", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct()
     second = written(_verified(written(_bounded(rest, bits, percent), "pairs"), docs, n, percent), "links")
     if not second.isEmpty():
         found = components(first.union(second))

@@ -125,8 +125,10 @@ def test_jaccard_matches_brute_force(spark, seed):
     assert got == brute_components(rows)
 
 
-def test_jaccard_of_a_long_list(spark):
+@pytest.mark.parametrize("tile", [2048, 16])
+def test_jaccard_of_a_long_list(spark, tile, monkeypatch):
     """More near copies than a short list holds, which link in a chain alone."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
     r = random.Random(8)
     base = [r.choice(VOCABULARY) for _ in range(120)]
     rows = [(k, " ".join(base[:60] + base[60 + k :] + base[60 : 60 + k // 4])) for k in range(50)] + [(100 + k, " ".join(base[::-1][k : k + 70])) for k in range(30)]
