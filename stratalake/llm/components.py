@@ -41,21 +41,39 @@ def _contract(batches):
     yield out()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of ``links`` (columns a, b) that isn't its component's smallest."""
+#: Links that one task contracts at once.
+AT_ONCE = 200_000
+
+
+def components(links: DataFrame, rounds: int = 60, at_once: int = AT_ONCE) -> DataFrame:
+    """(node, component) of every node of ``links`` (columns a, b) that isn't its component's smallest.
+
+    ``links`` should be a written table.  Links are contracted by tasks of about
+    ``at_once`` links; where one task holds them all, that settles them.
+    """
     both = links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).filter("u <> v")
-    edges, last = written(both.mapInArrow(_contract, "u long, v long").distinct(), "links"), None
+    parts = max(1, -(-both.count() // at_once))
+
+    def contracted(df: DataFrame) -> DataFrame:
+        return df.coalesce(parts).mapInArrow(_contract, "u long, v long")
+
+    def out(df: DataFrame) -> DataFrame:
+        return df.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+    edges = written(contracted(both).distinct().coalesce(parts), "links")
+    if parts == 1:
+        return out(edges)
     for _ in range(rounds):
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0)).alias("s")).first()
-        if state == last or not state["n"]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        last = state
+        several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        chained = edges.select(F.col("v").alias("at")).join(edges, F.col("at") == F.col("u"), "left_semi")
+        if several.isEmpty() and chained.isEmpty():  # each node points at one that points nowhere
+            return out(edges)
         every = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = every.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = written(every.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        after = written(small.distinct(), "links")
+        after = written(contracted(small).distinct(), "links")
         discard(edges, large)
         edges = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")

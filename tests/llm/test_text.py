@@ -155,9 +155,10 @@ def test_signatures_bound_overlap():
         assert jaccard.bound(len(x), len(y), jaccard.signature(x), jaccard.signature(y)) >= len(np.intersect1d(x, y))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("at_once", [200_000, 40])
+def test_components_of_chains_and_stars(spark, at_once):
     edges = [(k, k + 1) for k in range(0, 200)] + [(1000, k) for k in range(1001, 1100)] + [(5, 5)]
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(4), at_once=at_once).collect()}
     assert got == {k: 0 for k in range(1, 201)} | {k: 1000 for k in range(1001, 1100)}
 
 
