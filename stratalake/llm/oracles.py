@@ -31,13 +31,13 @@ FROM d LEFT JOIN n USING (doc_id)
 
 OP8 = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-     s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS p FROM d),
-     k AS (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(w[p : p + 19], ' ') ORDER BY doc_id, p) AS n FROM s),
-     r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM k WHERE n > 1),
-     t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
-     g AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM t ANTI JOIN r ON r.doc_id = t.doc_id AND r.i = t.i GROUP BY t.doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(g.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+     t AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+     s AS MATERIALIZED (SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS g, count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n FROM t),
+     f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM s WHERE n = 20),
+     r AS MATERIALIZED (SELECT t.doc_id, t.i, word, coalesce(max(again::INT) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM t LEFT JOIN f ON f.doc_id = t.doc_id AND f.i = t.i),
+     g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN g USING (doc_id)
 """
 
 SQL = {"op6_jaccard": OP6, "op8_repeats": OP8, "op3_warc_bundles": OP3, "op4_exact_dedup": OP4}
