@@ -13,9 +13,10 @@ of both, in any one order of all shingles, share one (prefix filter).
 2. Owners of shingle hashes gather lists of the classes that share a prefix
    shingle.  A list, sorted by size, is a tile row by row banded by size: only
    classes within the ratio pair up.  A short list yields all its pairs.  A
-   long one yields neighbours first; after these are settled only pairs of
-   classes in different components are left to look at, so a group of m near
-   copies costs about m pairs, and no pair that could join two components is lost.
+   long one yields neighbours first, then each class's most promising pair, and
+   at last all pairs of classes that are still in different components, so a
+   group of m near copies costs about m pairs, and no pair that could join two
+   components is lost.
 3. Bit counts of two signatures bound the overlap from above; only pairs whose
    bound reaches the threshold fetch their sorted arrays, which are intersected.
 4. Links make components; every document gets its component's smallest doc_id.
@@ -225,8 +226,11 @@ def _matrix(bits: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def _across(percent: int):
-    """Pairs of a tile whose classes are in different components so far and whose signatures allow a link."""
+def _across(percent: int, every: bool):
+    """Pairs of a tile whose classes are in different components so far and whose signatures allow a link.
+
+    ``every``: all of them; else for each class the one that may share most.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         order = np.lexsort(tuple(table.column(c).to_numpy() for c in ("a", "n")))
@@ -254,7 +258,11 @@ def _across(percent: int):
                 good &= (c[x][:, None] != c[y][None, :]) & (y[None, :] > x[:, None])
                 if apart:
                     good &= of[x][:, None] != of[y][None, :]
-                p, q = np.nonzero(good)
+                if every:
+                    p, q = np.nonzero(good)
+                else:
+                    p = np.flatnonzero(good.any(1))
+                    q = np.where(good, most, -1).argmax(1)[p]
                 out.append(np.stack([i[x[p]], i[y[q]]], axis=1))
         pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         pairs = np.sort(pairs, axis=1)
@@ -317,21 +325,27 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     first = written(_verified(written(_bounded(tiles.filter("b is not null").select("a", "b").distinct(), bits, percent), "pairs"), docs, n, percent), "links")
     found = components(first)
 
-    # Long lists: only pairs across components can still change the result.
-    labelled = tiles.filter("b is null").select("token", "a", "n").join(found.select(F.col("node").alias("a"), "component"), "a", "left")
-    labelled = written(labelled.withColumn("component", F.coalesce("component", "a")), "labelled")
-    lists = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
-    lists = lists.select("token", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    place = F.row_number().over(Window.partitionBy("token").orderBy("n", "a")) - 1
-    open_rows = labelled.join(lists, "token").withColumn("block", F.floor(place / TILE).cast("int"))
-    # A list of more than TILE classes is cut into blocks; each pair of blocks is a tile of its own.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiled = open_rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    tiled = tiled.join(bits.select(F.col("doc_id").alias("a"), "bits"), "a").select("token", "i", "j", "block", "a", "n", "component", "bits")
-    rest = tiled.groupBy("token", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct()
-    second = written(_verified(written(_bounded(rest, bits, percent), "pairs"), docs, n, percent), "links")
-    if not second.isEmpty():
-        found = components(first.union(second))
+    # Long lists: only pairs across components can still change the result.  The most
+    # promising pair of each class comes first, which leaves few for the whole rest.
+    known_links = first
+    for rest in (False, True):
+        labelled = tiles.filter("b is null").select("token", "a", "n").join(found.select(F.col("node").alias("a"), "component"), "a", "left")
+        labelled = written(labelled.withColumn("component", F.coalesce("component", "a")), "labelled")
+        lists = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
+        if lists.isEmpty():
+            break
+        lists = lists.select("token", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
+        place = F.row_number().over(Window.partitionBy("token").orderBy("n", "a")) - 1
+        open_rows = labelled.join(lists, "token").withColumn("block", F.floor(place / TILE).cast("int"))
+        # A list of more than TILE classes is cut into blocks; each pair of blocks is a tile of its own.
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        tiled = open_rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        tiled = tiled.join(bits.select(F.col("doc_id").alias("a"), "bits"), "a").select("token", "i", "j", "block", "a", "n", "component", "bits")
+        pairs = tiled.groupBy("token", "i", "j").applyInArrow(_across(percent, rest), "a long, b long").distinct()
+        more = written(_verified(written(_bounded(pairs, bits, percent), "pairs"), docs, n, percent), "links")
+        if not more.isEmpty():
+            known_links = known_links.union(more)
+            found = components(known_links)
 
     # A class of many copies is no hot key: its name is dealt to SALT keys.
     names = groups.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
