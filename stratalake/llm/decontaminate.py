@@ -1,6 +1,7 @@
 """Operator 2: benchmark decontamination by greedy string tiling.
 
-Words are lower-cased, without punctuation.  A tile is a run of ``MIN_TILE`` or
+Words are case-folded for all letters of Unicode, in composed form, without
+ASCII punctuation.  A tile is a run of ``MIN_TILE`` or
 more equal words of a benchmark item and a document; tiles never overlap, and
 longer ones are marked first, so passages that were put in another order still
 cover the item.  A document is contaminated by an item of whose words tiles
@@ -24,6 +25,7 @@ no tile and match nothing; rows that repeat an item_id are one item each.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,17 @@ MATCHES = T.ArrayType(
 )
 
 
+def folded_words(text: str | bytes | None) -> list[bytes]:
+    """Words of ``normalised_words`` of the text in composed form, case-folded (``É`` as ``é``, ``ẞ`` as ``ss``)."""
+    if text is None or text.isascii():
+        return normalised_words(text)
+    if isinstance(text, bytes):
+        text = text.decode("utf-8", "surrogateescape")
+    # Folding may take a letter apart, so it is composed again.
+    text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    return normalised_words(text.encode("utf-8", "surrogateescape"))
+
+
 def tiles(pattern: list[int], text: list[int], least: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in pattern, place in text, length), longest first.
 
@@ -122,7 +135,7 @@ class Index:
         self.least, self.vocabulary = least, {}
         self.ids, self.words, seeds, owners = [], [], [], []
         for item_id, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in normalised_words(text)]
+            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in folded_words(text)]
             if len(words) < least:
                 continue
             h = np.unique(ngrams(np.array(words, np.uint64), least))
@@ -148,7 +161,7 @@ class Index:
         if not len(self.seeds):
             return out
         get = self.vocabulary.get
-        known = [np.fromiter((get(w, 0) for w in normalised_words(t)), np.uint64) for t in texts]
+        known = [np.fromiter((get(w, 0) for w in folded_words(t)), np.uint64) for t in texts]
         ends = np.cumsum([len(x) + 1 for x in known])
         ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
         for x, end in zip(known, ends, strict=True):

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -95,6 +96,16 @@ def test_decontaminate_catches_reordered_items_and_keeps_clean_rows(spark):
     assert decontaminate.contaminated(d.limit(0), bench).count() == 0 and decontaminate.contaminated(d, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_folds_case_of_all_letters(spark):
+    item = "Élève à l'école où naît la forêt d'été; señor Núñez así öffnet große Straßen über ǰ"
+    texts = [item.upper(), item.lower(), unicodedata.normalize("NFD", item.upper()), unicodedata.normalize("NFD", item), "été où forêt " * 20]
+    bench = spark.createDataFrame([(1, item), (2, item.upper())], "item_id long, text string")
+    d = table(spark, [(k, f"avant {t} après") for k, t in enumerate(texts)])
+    hits = {(x["doc_id"], x["item_id"]): x["coverage"] for x in decontaminate.contaminated(d, bench).collect()}
+    assert hits == {(k, i): 1 for k in range(4) for i in (1, 2)}
+    assert decontaminate.folded_words(b"\xff\xc3\x89 A-b") == [b"\xff\xc3\xa9", b"a", b"b"]
+
+
 # Jaccard join
 
 
