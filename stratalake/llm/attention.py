@@ -14,6 +14,9 @@ ids before it where the text has them.  Keys before a text's start are masked.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 
 WIDTH, STRIDE = 48, 36
@@ -169,24 +172,59 @@ class Attention:
         return float(loss) / n, g
 
 
-def train(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, epochs: int = 3, at_once: int = 48, rate: float = 4e-3, seed: int = 5) -> Attention:
-    """Adam over shuffled windows, with a falling rate."""
-    model = Attention.start(np.bincount(ids, minlength=CLASSES * MEMBERS).astype(np.float64), seed)
+class Adam:
+    """The state of Adam for a model; ``step`` changes the model's weights in place."""
+
+    def __init__(self, model: Attention):
+        self.p, self.n = model.p, 0
+        self.m = {k: np.zeros_like(x) for k, x in model.p.items()}
+        self.v = {k: np.zeros_like(x) for k, x in model.p.items()}
+
+    def step(self, g: dict[str, np.ndarray], lr: float) -> None:
+        self.n += 1
+        m, v = self.m, self.v
+        for x, w in self.p.items():
+            m[x] += _F(0.1) * (g[x] - m[x])
+            v[x] += _F(0.01) * (g[x] * g[x] - v[x])
+            w -= _F(lr / (1 - 0.9**self.n)) * m[x] / (np.sqrt(v[x] / _F(1 - 0.99**self.n)) + _F(1e-8))
+
+
+def train(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, epochs: int = 3, at_once: int = 48, rate: float = 4e-3, seed: int = 5, counts: np.ndarray | None = None) -> Attention:
+    """Adam over shuffled windows, with a falling rate; output biases from ``counts``, or from those of ``ids``."""
+    model = Attention.start(np.bincount(ids, minlength=CLASSES * MEMBERS).astype(np.float64) if counts is None else counts, seed)
     seq, first = windows(lengths)
-    r = np.random.default_rng(seed)
-    m = {k: np.zeros_like(x) for k, x in model.p.items()}
-    v = {k: np.zeros_like(x) for k, x in model.p.items()}
-    steps, step = max(1, epochs * -(-len(seq) // at_once)), 0
+    r, adam = np.random.default_rng(seed), Adam(model)
+    steps = max(1, epochs * -(-len(seq) // at_once))
     for _ in range(epochs):
         order = r.permutation(len(seq))
         for k in range(0, len(seq), at_once):
             mine = order[k : k + at_once]
             keys, inside, target, scored = model.batch(ids, starts, lengths, seq[mine], first[mine])
             _, g = model.gradient(keys, inside, ids[target], scored)
-            step += 1
-            lr = rate * min(1, step / 40) * (1 - 0.95 * step / steps)
-            for x, w in model.p.items():
-                m[x] += _F(0.1) * (g[x] - m[x])
-                v[x] += _F(0.01) * (g[x] * g[x] - v[x])
-                w -= _F(lr / (1 - 0.9**step)) * m[x] / (np.sqrt(v[x] / _F(1 - 0.99**step)) + _F(1e-8))
+            step = adam.n + 1
+            adam.step(g, rate * min(1, step / 40) * (1 - 0.95 * step / steps))
     return model
+
+
+def keep_memory(most: int = 32 << 20) -> None:
+    """Have glibc keep up to ``most`` freed bytes: giving arrays of each step back and faulting them in again took half of a step's time."""
+    with contextlib.suppress(AttributeError, OSError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, most)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, most)  # M_TRIM_THRESHOLD
+
+
+def learn(model: Attention, adam: Adam, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rate: float, at_once: int = 192, seed: int = 5) -> None:
+    """One more pass of Adam over all windows of some sequences, shuffled; each id is a target once.
+
+    Of few windows, fewer make a step.
+    """
+    keep_memory()
+    seq, first = windows(lengths)
+    at_once = max(16, min(at_once, len(seq) // 50))
+    order = np.random.default_rng(seed).permutation(len(seq))
+    for k in range(0, len(seq), at_once):
+        mine = order[k : k + at_once]
+        keys, inside, target, scored = model.batch(ids, starts, lengths, seq[mine], first[mine])
+        _, g = model.gradient(keys, inside, ids[target], scored)
+        adam.step(g, rate * min(1, (adam.n + 1) / 20))

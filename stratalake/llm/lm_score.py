@@ -7,11 +7,14 @@ end.  Training documents are those that ``held_out`` doesn't name.
   hashes (``exchange``), and each block of documents gets the counts of its own
   words, so the vocabulary, which grows with the input, is in no one place.
   They give the base score and the second part of the model.
-* The attention model (``attention``) is trained in numpy, on the driver, on
-  the subword ids of a bounded sample of training documents (``TRAIN_DOCS``,
-  those with the smallest hash of doc_id, and ``TRAIN_IDS``).  Subwords are
-  ids of a public byte-level vocabulary that are frequent in the sample; other
-  ids fall back to their bytes, so every text has ids.
+* The attention model (``attention``) works on subword ids: those of a public
+  byte-level vocabulary that are most frequent in all training documents
+  (``subword_counts``); other ids fall back to their bytes, so every text has ids.
+* Its weights start from a bounded sample on the driver (``TRAIN_DOCS``, those
+  with the smallest hash of doc_id, and ``TRAIN_IDS``) and then learn from every
+  training document once, on the executors: in each of ``ROUNDS`` rounds every
+  task trains a copy on its share of the round's documents, and the mean of the
+  copies, weighted by their ids, begins the next round.
 * The model's probability of a word is ``MIX`` times the product over its ids
   plus, for words of the training documents, 1 - ``MIX`` times their share of
   all training tokens.
@@ -22,21 +25,25 @@ Null and empty texts have the end alone.  A row without doc_id is training text.
 from __future__ import annotations
 
 import base64
+import collections
 import itertools
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.llm import exchange
-from stratalake.llm.attention import CLASSES, MEMBERS, Attention, train
+from stratalake.llm.attention import CLASSES, MEMBERS, Adam, Attention, learn, train
 from stratalake.llm.common import block_count, lower_words, prepare
 
 TRAIN_DOCS = 1500
 TRAIN_IDS = 1_500_000
+ROUNDS, RATE = 4, 2e-3
+#: Weights in one row of what tasks send to be averaged.
+_SLICE = 2048
 MIX = 0.8
 FOLDS = 10
 _END = b"\x00end"
@@ -72,18 +79,16 @@ class Subwords:
     def of(cls, ranks: bytes, pattern: str, chosen: list[int]) -> "Subwords":
         key = (zlib.crc32(ranks), pattern, zlib.crc32(repr(chosen).encode()))
         if key not in cls._of:
+            cls._of.clear()  # one at a time, for memory
             cls._of[key] = cls(ranks, pattern, chosen)
         return cls._of[key]
 
     def public(self, word: bytes) -> list[int]:
         return self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))
 
-    def choose(self, words: dict[bytes, int]) -> "Subwords":
-        """The own ids for a sample's word counts: all bytes and the most frequent ids, most frequent first."""
-        counts = dict.fromkeys(self.byte.values(), 0)
-        for w, n in words.items():
-            for r in self.public(w):
-                counts[r] = counts.get(r, 0) + n
+    def choose(self, found: dict[int, int]) -> "Subwords":
+        """The own ids for counts of public ids: all bytes and the most frequent ids, most frequent first."""
+        counts = dict.fromkeys(self.byte.values(), 0) | found
         single = set(self.byte.values())
         best = sorted((r for r in counts if r not in single), key=lambda r: (-counts[r], r))[: _OWN - 1 - len(single)]
         self.chosen = sorted([*single, *best], key=lambda r: (-counts[r], r))
@@ -91,6 +96,18 @@ class Subwords:
         self.expand = {r: ((own[r],) if r in own else tuple(own[self.byte[b]] for b in t)) for r, t in self.token.items()}
         return self
 
+    def own_counts(self, found: dict[int, int]) -> np.ndarray:
+        """How often each own id occurs, from counts of public ids."""
+        out = np.zeros(_OWN)
+        for r, n in found.items():
+            for k in self.expand[r]:
+                out[k] += n
+        return out
+
+    def stream(self, words: list[bytes]) -> np.ndarray:
+        """0 (start), own ids of the words, 0 (end)."""
+        return np.concatenate([[0], np.frombuffer(b"".join(map(self.ids, words)), np.uint16), [0]]).astype(np.uint16)
+
     def ids(self, word: bytes) -> bytes:
         """Own ids of a word as u2, from memory if known."""
         got = self.known.get(word)
@@ -101,29 +118,96 @@ class Subwords:
         return got
 
 
-def fit(docs: DataFrame, ranks: bytes, pattern: str, most_docs: int = TRAIN_DOCS, most_ids: int = TRAIN_IDS) -> tuple[list[int], dict[str, np.ndarray]]:
-    """(chosen ids, weights) from a bounded sample of the training documents."""
-    training = ~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
-    chosen = docs.filter(training & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
+def _training() -> Column:
+    return ~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+
+
+def subword_counts(docs: DataFrame, ranks: bytes, pattern: str) -> dict[int, int]:
+    """How often each public id occurs in all training documents; bounded by the public vocabulary."""
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches):
+        subwords, counts = Subwords.of(held.value, pattern, None), collections.Counter()
+        for block in exchange.blocks(batches):
+            words = collections.Counter()
+            for t in block.texts:
+                words.update(lower_words(t))
+            for w, n in words.items():
+                for r in subwords.public(w):
+                    counts[r] += n
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int32()), pa.array(counts.values(), pa.int64())], ["id", "n"])
+
+    rows = exchange.scan(docs.filter(_training())).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    return {r["id"]: r["n"] for r in rows}
+
+
+def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([x.reshape(-1) for x in weights.values()])
+
+
+def learned(docs: DataFrame, ranks: bytes, pattern: str, chosen: list[int], weights: dict[str, np.ndarray], number: int, rounds: int) -> dict[str, np.ndarray]:
+    """The weights after one round: the mean of the copies that tasks train on their training documents of the round."""
+    held = docs.sparkSession.sparkContext.broadcast((ranks, chosen, weights))
+    rate = RATE * (1 - number / rounds)
+
+    def run(batches):
+        ranks, chosen, weights = held.value
+        subwords, model, n, part = Subwords.of(ranks, pattern, chosen), Attention({k: x.copy() for k, x in weights.items()}), 0, 0
+        adam = Adam(model)
+        for block in exchange.blocks(batches):
+            streams = [subwords.stream(lower_words(t)) for t in block.texts]
+            sizes = np.array([len(x) for x in streams], np.int64)
+            learn(model, adam, np.concatenate(streams), np.cumsum(sizes) - sizes, sizes - 1, rate, seed=block.number)
+            n, part = n + int((sizes - 1).sum()), block.part
+        if n:
+            w = _flat(model.p)
+            rows = [w[k : k + _SLICE].tobytes() for k in range(0, len(w), _SLICE)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(rows)), pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([n] * len(rows), pa.int64()), pa.array(rows, pa.binary())],
+                ["slice", "part", "n", "w"],
+            )
+
+    def mean(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("part", "n", "w")), strict=True))
+        total, out = sum(n for _, n, _ in rows), 0.0
+        for _, n, w in rows:
+            out = out + np.frombuffer(w, np.float32).astype(np.float64) * (n / total)
+        return pa.table({"slice": table.column("slice")[:1], "w": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+
+    mine = _training() & (F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)), F.lit(0)) == number)
+    sent = exchange.scan(docs.filter(mine)).mapInArrow(run, "slice int, part int, n long, w binary")
+    rows = sorted(sent.groupBy("slice").applyInArrow(mean, "slice int, w binary").collect())
+    held.destroy()
+    if not rows:
+        return weights
+    w, at, out = np.frombuffer(b"".join(bytes(r["w"]) for r in rows), np.float32), 0, {}
+    for k, x in weights.items():
+        out[k] = w[at : at + x.size].reshape(x.shape)
+        at += x.size
+    return out
+
+
+def fit(docs: DataFrame, ranks: bytes, pattern: str, most_docs: int = TRAIN_DOCS, most_ids: int = TRAIN_IDS, rounds: int = ROUNDS) -> tuple[list[int], dict[str, np.ndarray]]:
+    """(chosen ids, weights): a start from a bounded sample, then one pass over all training documents."""
+    found = subword_counts(docs, ranks, pattern)
+    subwords = Subwords(ranks, pattern).choose(found)
+    chosen = docs.filter(_training() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("binary")).collect()
-    texts = [lower_words(bytes(r[1] or b"")) for r in sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1] or b""))]
-    counts: dict[bytes, int] = {}
-    for words in texts:
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-    subwords = Subwords(ranks, pattern).choose(counts)
     streams, total = [], 0
-    for words in texts:
-        ids = np.frombuffer(b"".join(map(subwords.ids, words)), np.uint16)[: most_ids - total]
-        streams.append(np.concatenate([[0], ids, [0]]).astype(np.uint16))
-        total += len(ids)
+    for r in sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1] or b"")):
         if total >= most_ids:
             break
+        streams.append(subwords.stream(lower_words(bytes(r[1] or b"")))[: most_ids - total + 2])
+        total += len(streams[-1]) - 2
     if not streams:
         streams = [np.zeros(2, np.uint16)]
     sizes = np.array([len(s) for s in streams], np.int64)
-    model = train(np.concatenate(streams), np.cumsum(sizes) - sizes, sizes - 1)
-    return subwords.chosen, model.p
+    counts = subwords.own_counts(found)
+    counts[0] = 2 * len(streams)
+    weights = train(np.concatenate(streams), np.cumsum(sizes) - sizes, sizes - 1, counts=counts).p
+    for number in range(rounds):
+        weights = learned(docs, ranks, pattern, subwords.chosen, weights, number, rounds)
+    return subwords.chosen, weights
 
 
 def _hash(word: bytes) -> int:

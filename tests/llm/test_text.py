@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalake.llm import attention, components, decontaminate, jaccard, licenses, lm_score, quality, repeats
 from stratalake.llm.common import lower_words, normalised_words, words_of, written
@@ -332,3 +333,20 @@ def test_lm_scores(spark):
         assert x["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 10 == 0) and np.isfinite(x["score"]) and x["score"] < 0
     held = [x for x in got.values() if x["held_out"] and x["n_tokens"] > 5 and x["doc_id"] < 900]
     assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held) * 1.2
+
+
+def test_lm_learns_from_all_training_documents(spark):
+    """The sample is one document of other words: ids and weights must come from the rest too."""
+    cycle = ["river", "stone", "cloud", "winter", "light", "mountain", "garden", "letter", "window", "market"]
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 10]
+    d = table(spark, [(k, " ".join(cycle * 300)) for k in ids])
+    first = d.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").first()[0]
+    d = written(d.withColumn("text", F.when(F.col("doc_id") == first, "alpha beta").otherwise(F.col("text"))), "docs")
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    chosen, weights = lm_score.fit(d, ranks, P.PATTERN, most_docs=1)
+    subwords = lm_score.Subwords(ranks, P.PATTERN, chosen)
+    assert {r for w in cycle for r in subwords.public(w.encode())} <= set(chosen)
+    text = np.frombuffer(b"\0\0" + b"".join(subwords.ids(w.encode()) for w in cycle * 3), np.uint16)
+    after = attention.Attention(weights).score(text, np.array([0]), np.array([len(text) - 1]))[1:].mean()
+    assert after > np.log(1 / len(set(text.tolist()))) + 0.3  # order is learned, beyond shares of ids
