@@ -56,6 +56,18 @@ def pieces(notice: str, k: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def places(pattern: regex.Pattern, text: str, a: int, b: int, least: int):
+    """Matches of a best-match pattern in text[a:b] that don't overlap: the best first, then what lies before and after it.
+
+    Best match goes on after the best place, so the parts that it has passed over are searched again; ``least``: characters of the shortest match.
+    """
+    for m in pattern.finditer(text, a, b):
+        if m.start() - a > least:
+            yield from places(pattern, text, a, m.start(), least)
+        yield m
+        a = m.end()
+
+
 class Scanner:
     _one: "Scanner | None" = None
 
@@ -116,9 +128,9 @@ class Scanner:
         text = " " + b" ".join(words).decode(_CODEC) + " "
         out = []
         for i, spans in self.windows(text).items():
-            _, label, k = self.notices[i]
+            notice, label, k = self.notices[i]
             for a, b in spans:
-                for m in self.patterns[i].finditer(text, a, b):
+                for m in places(self.patterns[i], text, a, b, len(notice) - k):
                     out.append((m.start() - 1, m.end() - 1, sum(m.fuzzy_counts), label, k))
         return sorted(out)
 

@@ -247,6 +247,19 @@ def test_fuzzy_search_finds_all_notices_within_their_edits():
                 assert label in {x[3] for x in found}, (notice, text)
 
 
+def test_fuzzy_search_finds_adjacent_notices():
+    scanner = licenses.Scanner()
+    for notice, label, k in licenses.NOTICES:
+        one, two = notice[:-2] + "q" + notice[-1], notice[:-3] + "qq" + notice[-1]
+        copies = [two, one, notice, one, two, notice] if k > 2 else [one, notice, one, notice]
+        words = ["before", *" ".join(copies).split(), "after"]
+        at, expected = len("before "), []
+        for c in copies:
+            expected.append((at, at + len(c), edits(notice, c)))
+            at += len(c) + 1
+        assert [x[:3] for x in scanner.fuzzy([w.encode() for w in words]) if x[3:] == (label, k) and x[:3] in expected] == expected, notice
+
+
 # Quality
 
 
