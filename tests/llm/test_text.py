@@ -309,6 +309,17 @@ def test_model_is_causal_and_a_distribution():
     assert abs(total - 1) < 1e-3
 
 
+def test_each_id_is_scored_with_sixteen_ids_before_it():
+    model, n = attention.Attention.start(np.ones(2048)), 200
+    ids = np.random.default_rng(3).integers(0, 2048, n + 1).astype(np.uint16)
+    score = lambda x: model.score(x, np.array([0]), np.array([n]))
+    before = score(ids)
+    for at in range(17, n + 1):
+        changed = ids.copy()
+        changed[at - 16] = (int(ids[at - 16]) + 1000) % 2048
+        assert score(changed)[at] != before[at], at
+
+
 def test_gradient_against_differences(monkeypatch):
     monkeypatch.setattr(attention, "_F", np.float64)
     ids, starts, lengths = np.random.default_rng(0).integers(0, 2048, 120).astype(np.uint16), np.array([0, 50]), np.array([49, 69])
