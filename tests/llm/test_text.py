@@ -137,10 +137,13 @@ def test_jaccard_matches_brute_force(spark, seed):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("tile", [2048, 16])
-def test_jaccard_of_a_long_list(spark, tile, monkeypatch):
-    """More near copies than a short list holds, which link in a chain alone."""
+@pytest.mark.parametrize("tile,owned", [(4096, 1 << 19), (16, 1 << 19), (8, 40)])
+def test_jaccard_of_a_long_list(spark, tile, owned, monkeypatch):
+    """Near copies that link in a chain alone, in one tile, in several blocks, and with frequent shingles dealt to several groups."""
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "OWNED", owned)
+    if owned < 1000:
+        monkeypatch.setattr(jaccard, "SAMPLE", 1)
     r = random.Random(8)
     base = [r.choice(VOCABULARY) for _ in range(120)]
     rows = [(k, " ".join(base[:60] + base[60 + k :] + base[60 : 60 + k // 4])) for k in range(50)] + [(100 + k, " ".join(base[::-1][k : k + 70])) for k in range(30)]
