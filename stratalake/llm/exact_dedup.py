@@ -10,15 +10,20 @@ Native: DataFrame and SQL functions only.
 3. Of these at most ``limit`` digests the exact winners and sizes are
    aggregated with map-side combining, then broadcast: their rows never
    meet in one task.
-4. All other digests go through one ordinary shuffle of the narrow table.
+4. All other digests go through ordinary shuffles of the narrow table: one
+   aggregate with map-side combining finds those that occur again, and a left
+   join tells their rows.  No group is ever gathered in one task.
 
 Null text counts as empty.  Of equal texts the row with the smallest doc_id
-stays; a null doc_id comes last, and of repeated rows exactly one stays.
+stays; a null doc_id comes last, and of repeated rows (ties in doc_id too)
+exactly one stays.  Texts are taken whole at any length.  Columns other than
+doc_id and text may have any names; they are not read and stay as they are.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.llm.common import SPACE, own_column, written
@@ -56,9 +61,11 @@ def decide(table: DataFrame, share: float = SHARE, limit: int = LIMIT) -> DataFr
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     is_hot = F.xxhash64("digest").isin(hot) if hot else F.lit(False)
 
-    window = Window.partitionBy("digest")
-    light = table.filter(~is_hot).select(
-        "*", first.over(window).alias("best"), F.count(F.lit(1)).over(window).alias("group_size")
+    rest = table.filter(~is_hot)
+    again = rest.groupBy("digest").agg(first.alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    alone = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    light = rest.join(again, "digest", "left").select(
+        "row", "doc_id", "digest", F.coalesce("best", alone).alias("best"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size")
     )
     parts = light
     if hot:
@@ -86,16 +93,16 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "do
     decided = written(decide(written(digests(docs, text, doc_id), "digests")), "decided")
     ids = decided.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     if ids["n"] == ids["ids"]:  # ids are unique and never null: they name the rows
-        gone = decided.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+        mark = own_column(docs, "gone")
+        # Written, so that its size is known to the join.
+        gone = written(decided.filter(~F.col("kept")).select(F.col("doc_id").alias(mark)), "gone")
+        return docs.join(gone, docs[doc_id] == gone[mark], "left_anti")
     # Repeated or null ids: rows are named by id and digest, and of rows that are
     # equal in both, one stays if any of them was kept.
-    mark = own_column(docs, "_digest")
-    state = decided.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_of")).agg(
-        F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_copies")
-    )
+    mark, named, of = (own_column(docs, c) for c in ("digest_of_text", "id_of_row", "digest_of_row"))
+    state = decided.groupBy(F.col("doc_id").alias(named), F.col("digest").alias(of)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")).filter("kept")
     marked = docs.withColumn(mark, F.unhex(F.sha2(normalised(F.col(text)), 256)))
-    on = marked[doc_id].eqNullSafe(F.col("_id")) & (marked[mark] == F.col("_of"))
-    single = marked.join(state.filter("_kept and _copies = 1"), on, "left_semi")
-    several = marked.join(state.filter("_kept and _copies > 1"), on, "left_semi").dropDuplicates([doc_id, mark])
+    on = marked[doc_id].eqNullSafe(F.col(named)) & (marked[mark] == F.col(of))
+    single = marked.join(state.filter("copies = 1").select(named, of), on, "left_semi")
+    several = marked.join(state.filter("copies > 1").select(named, of), on, "left_semi").dropDuplicates([doc_id, mark])
     return single.unionByName(several).drop(mark)

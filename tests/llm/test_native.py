@@ -40,6 +40,17 @@ def test_drop_exact_duplicates_keeps_one_row_a_text_and_all_columns(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(unique).collect()) == [1, 2, 4]
 
 
+def test_drop_exact_duplicates_with_clashing_names_and_repeated_ids(spark):
+    names = ["_id", "_of", "_kept", "_copies", "_gone", "gone", "digest_of_text", "ID_of_row", "digest_of_row", "best"]
+    for rows in (TEXTS, [(1, "a"), (2, "a "), (3, None), (4, "")]):
+        d = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+        got = exact_dedup.drop_exact_duplicates(d)
+        assert got.columns == d.columns and got.count() == len({re.sub(r"\s+", " ", t or "") for _, t in rows})
+    again = [(7, "same"), (7, "same"), (7, "same"), (8, "same"), (None, "same"), (9, "other")]
+    d = spark.createDataFrame([(i, t, "x") for i, t in again], "doc_id long, text string, _id string")
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(d).collect()) == [7, 9]
+
+
 def test_a_hot_digest_is_found_and_settled(spark):
     d = docs(spark, [(i, "same") for i in range(3000)] + [(5000 + i, f"t{i}") for i in range(3000)], extra=False)
     from stratalake.llm.common import written
@@ -108,6 +119,14 @@ def test_warc_bundles(spark):
         assert (r["record_type"], r["refers_to"]) == (("revisit", 5) if revisit else ("response", None))
 
 
+def test_a_page_longer_than_a_frame_and_a_hot_payload(spark):
+    rows = [(k, "u", "h" * 3000) for k in range(200)] + [(500, "u", "ä" * 3_000_000), (501, "u", "short"), (502, "u", "short"), (503, "u", "ä" * 500), (504, "u", "ä" * 499)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.archive_pages(pages).collect()}
+    assert len(got) == len(rows) and got[500]["payload_bytes"] == 6_000_000 and got[500]["payload_digest"] == hashlib.sha1(("ä" * 3_000_000).encode()).hexdigest()
+    assert all((r["record_type"], r["refers_to"]) == (("revisit", 199) if i < 199 else ("response", None)) for i, r in got.items())
+
+
 def test_one_record_is_found_by_the_index(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 50) for i in range(300)], "page_id long, url string, html string")
     from stratalake.llm.common import filesystem, shared_dir
