@@ -32,8 +32,6 @@ from stratalake.llm.common import filesystem, prepare, shared_dir, written
 
 FRAME_BYTES = 1 << 20
 MIN_REVISIT = 1000
-#: A digest's pages are dealt to this many keys, so a hot payload is no hot key.
-SALT = 32
 DATE = "2024-01-01T00:00:00Z"
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,17 +42,15 @@ def assign(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     """(page_id, url, payload, digest, refers_to) of every page."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    large = rows.filter(F.octet_length("payload") >= MIN_REVISIT)
-    # Aggregated before the shuffle; only payloads that occur again remain.
-    stored = (
-        large.groupBy("digest").agg(F.max("page_id").alias("stored"), F.count(F.lit(1)).alias("n")).filter("n > 1 and stored is not null")
-        .select("digest", "stored", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    can_match = F.octet_length("payload") >= MIN_REVISIT
+    # Aggregated before the shuffle; only payloads that occur again remain.  Written, so that
+    # its size is known: small, it is broadcast; large, the join splits the pages of a hot payload.
+    stored = rows.filter(can_match).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count(F.lit(1)).alias("n"))
+    stored = written(stored.filter("n > 1 and stored is not null").select("digest", "stored"), "stored")
     same = F.col("page_id").eqNullSafe(F.col("stored"))
-    return salted.join(stored, ["digest", "salt"], "left").select(
-        "page_id", "url", "payload", "digest", F.when(~same, F.col("stored")).alias("refers_to")
-    )
+    shape = ("page_id", "url", "payload", "digest")
+    large = rows.filter(can_match).join(stored, "digest", "left").select(*shape, F.when(~same, F.col("stored")).alias("refers_to"))
+    return large.unionByName(rows.filter(~can_match).select(*shape, F.lit(None).cast("long").alias("refers_to")))
 
 
 def record(record_id: str, page_url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
