@@ -23,11 +23,12 @@ from stratalake.plans.semantics import Meaning
 ERROR, WARNING, INFO = "error", "warning", "info"
 RESULT = "check_id string, table_name string, columns string, severity string, violations long, sample string"
 #: Meanings and name parts of columns whose text should say something.
-DESCRIPTIVE = set(
-    "person_name company_name organization_name product_name service_name product_or_service date birth_date timestamp country nationality city "
-    "region status category type method role position amount price quantity count score rank percentage boolean description".split()
-)
-DESCRIPTIVE_NAMES = "name date status category type method country city role position amount price quantity count description".split()
+DESCRIPTIVE = {
+    "person_name", "company_name", "organization_name", "product_name", "service_name", "product_or_service", "date", "birth_date", "timestamp", "country",
+    "nationality", "city", "region", "status", "category", "type", "method", "role", "position", "amount", "price", "quantity", "count", "score", "rank",
+    "percentage", "boolean", "description",
+}
+DESCRIPTIVE_NAMES = ["name", "date", "status", "category", "type", "method", "country", "city", "role", "position", "amount", "price", "quantity", "count", "description"]
 IDENTIFIERS = {"identifier", "business_key", "surrogate_key", "foreign_key", "date_key"}
 
 Data = dict[str, DataFrame]
