@@ -37,6 +37,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))  # some texts are very long
     # Else how a scan is split follows the cores there are just now, which change as executors come and go.
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(max(16, spark.sparkContext.defaultParallelism)))

@@ -119,7 +119,7 @@ def send(docs: DataFrame, owners: int, make: Callable[[Block], Iterator[tuple]])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["owner", "part", "block", "mark", "payload"])
 
     # Few large rows: dealt by owner, each owner's range is one group of bounded size.
-    return scan(docs).mapInArrow(run, MESSAGE).repartition(owners, "owner")
+    return scan(docs).mapInArrow(run, MESSAGE).repartitionById(owners, "owner")
 
 
 def answer(sent: DataFrame, own: Callable[[list[tuple[int, int, int, list[np.ndarray]]]], Iterator[tuple]]) -> DataFrame:
@@ -139,7 +139,7 @@ class Answers:
 
     def __init__(self, answers: DataFrame, label: str, owners: int):
         self.path = shared_dir(answers.sparkSession, label)
-        (answers.repartition(owners, "part").sortWithinPartitions("part", "block").write.option("compression", "none").partitionBy("part").parquet(self.path))
+        (answers.repartitionById(owners, "part").sortWithinPartitions("part", "block").write.option("compression", "none").partitionBy("part").parquet(self.path))
         self._frame = answers.sparkSession.range(0)
         self._frame._scratch_path = self.path
 

@@ -156,7 +156,7 @@ def sets(docs: DataFrame, n: int, percent: int, ranked: np.ndarray) -> DataFrame
 
 
 def _postings(owners: int, frequent: np.ndarray, about: np.ndarray):
-    """Messages (owner, salt, payload of tokens, ids and sizes); only frequent tokens have other salts than 0."""
+    """Messages (owner, payload of tokens, ids and sizes); frequent tokens go to several owners, others to the one of their range."""
     frequent = frequent[about > OWNED]
     order = np.argsort(frequent)
     frequent, salts = frequent[order], (about[about > OWNED] // OWNED + 1).astype(np.uint64)[order]
@@ -179,9 +179,8 @@ def _postings(owners: int, frequent: np.ndarray, about: np.ndarray):
                 mine = np.flatnonzero(salt == one)
                 mine = mine[np.argsort(tokens[mine], kind="stable")]
                 cuts = exchange.owners_of(tokens[mine], owners)
-                rows += [(k, int(one), exchange.pack(*(x[mine[a:z]] for x in (tokens, ids, ns)))) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
-            kinds = (pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["owner", "salt", "payload"])
+                rows += [(k + owners * int(one), exchange.pack(*(x[mine[a:z]] for x in (tokens, ids, ns)))) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["owner", "payload"])
 
         for b in batches:
             for i, n, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -381,8 +380,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     total = classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     owners = max(1, -(-int(total) // OWNED))
 
-    sent = classes.select("doc_id", "n", "prefix").mapInArrow(_postings(owners, ranked, about), "owner int, salt int, payload binary").repartition(owners, "owner", "salt")
-    rows = sent.groupBy("owner", "salt").applyInArrow(_lists(percent, ranked, about), "tile long, a long, n long").distinct()
+    sent = classes.select("doc_id", "n", "prefix").mapInArrow(_postings(owners, ranked, about), "owner int, payload binary")
+    rows = sent.repartitionById(owners, "owner").groupBy("owner").applyInArrow(_lists(percent, ranked, about), "tile long, a long, n long")
+    rows = written(rows.distinct(), "members")
     found = components(tile_links(rows, classes, docs, n, percent))
 
     # Only classes of several documents, or with a smaller document in their component, have another name than their own doc_id.
