@@ -1,10 +1,12 @@
 """Admission of stored ELT statements by their parsed plan, and their execution.
 
 Statements are parsed by Spark's own parser and judged by the tree: the root
-must insert from a query, the target must belong to the statement's layer, and
-every table that the tree reads must be one of the model or a CTE in scope.
-Words in strings or comments mean nothing, and nothing can hide from it in a
-comma join or a second statement.
+must insert from a query without overwriting, the target must belong to the
+statement's layer, every table that the tree reads must be one of the model or
+a CTE in scope, and it may call functions of some groups of built-in ones
+alone.  Words in strings or comments mean nothing, and nothing can hide from it
+in a comma join or a second statement.  What runs is the query of the tree that
+was judged, never the text.
 """
 
 from __future__ import annotations
@@ -26,6 +28,13 @@ LAYERS = {"staging_sql": STAGING, "dimension_sql": DIMENSION, "fact_sql": FACT}
 SYSTEM = {"information_schema", "pg_catalog", "sys", "system"}
 
 
+#: Groups of built-in functions that statements may call; others (reflection, session facts, errors, user-defined ones) are refused.
+FUNCTION_GROUPS = {
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "date_funcs", "datetime_funcs", "generator_funcs",
+    "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "window_funcs",
+}
+
+
 @dataclass
 class Statement:
     """What a parsed statement does."""
@@ -35,69 +44,85 @@ class Statement:
     target: str | None = None
     target_columns: list[str] = field(default_factory=list)
     reads: list[str] = field(default_factory=list)
-
-
-def _children(node) -> list:
-    """Child plans, plans inside CTE definitions and inside subquery expressions."""
-    out = [node.children().apply(k) for k in range(node.children().size())]
-    inner = node.innerChildren()
-    for k in range(inner.size()):
-        x = inner.apply(k)
-        if hasattr(x, "children") and "LogicalPlan" in str(x.getClass().getSuperclass()) or x.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical"):
-            out.append(x)
-    return out
-
-
-def _relations(node, in_scope: frozenset[str], out: list[str]) -> None:
-    name = node.nodeName()
-    if name == "UnresolvedRelation":
-        parts = [node.multipartIdentifier().apply(k) for k in range(node.multipartIdentifier().size())]
-        said = ".".join(parts).lower()
-        if said not in in_scope:
-            out.append(said)
-        return
-    if name == "UnresolvedWith":
-        known, relations = in_scope, node.cteRelations()
-        for k in range(relations.size()):
-            pair = relations.apply(k)
+    calls: list[str] = field(default_factory=list)
+    table_calls: list[str] = field(default_factory=list)
+    overwrite: bool = False
+    query: object = None
+
+
+def _each(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+class _Reader:
+    """Collects what a parsed plan reads and calls."""
+
+    def __init__(self):
+        self.reads: list[str] = []
+        self.calls: list[str] = []
+        self.table_calls: list[str] = []
+
+    def plan(self, node, in_scope: frozenset[str] = frozenset()) -> None:
+        name = node.nodeName()
+        if name == "UnresolvedRelation":
+            said = ".".join(_each(node.multipartIdentifier())).lower()
+            if said not in in_scope:
+                self.reads.append(said)
+        elif name == "UnresolvedWith":
+            self.plan(node.child(), self.ctes(node, in_scope))
+        else:
+            if name == "UnresolvedTableValuedFunction":
+                self.table_calls.append(".".join(_each(node.name())).lower())
+            for e in _each(node.expressions()):
+                self.expression(e, in_scope)
+            for child in _each(node.children()):
+                self.plan(child, in_scope)
+
+    def ctes(self, node, in_scope: frozenset[str]) -> frozenset[str]:
+        """Read the definitions of a WITH; returns the names in scope after it."""
+        for pair in _each(node.cteRelations()):
             alias = pair._1().lower()
-            _relations(pair._2(), known | {alias} if node.allowRecursion() else known, out)
-            known = known | {alias}
-        _relations(node.child(), known, out)
-        return
-    expressions = node.expressions()
-    for k in range(expressions.size()):
-        _subqueries(expressions.apply(k), in_scope, out)
-    for k in range(node.children().size()):
-        _relations(node.children().apply(k), in_scope, out)
-
-
-def _subqueries(expression, in_scope: frozenset[str], out: list[str]) -> None:
-    if hasattr(expression, "plan") and "Subquery" in expression.getClass().getSimpleName() or expression.getClass().getSimpleName() in ("Exists", "ListQuery"):
-        _relations(expression.plan(), in_scope, out)
-    for k in range(expression.children().size()):
-        _subqueries(expression.children().apply(k), in_scope, out)
+            self.plan(pair._2(), in_scope | {alias} if node.allowRecursion() else in_scope)
+            in_scope = in_scope | {alias}
+        return in_scope
+
+    def expression(self, e, in_scope: frozenset[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            self.calls.append(".".join(_each(e.nameParts())).lower())
+        elif kind == "UnresolvedGenerator":
+            self.calls.append(e.name().unquotedString().lower())
+        elif "Subquery" in kind or kind in ("Exists", "ListQuery"):
+            self.plan(e.plan(), in_scope)
+        for child in _each(e.children()):
+            self.expression(child, in_scope)
 
 
 def parse(spark: SparkSession, sql: str) -> Statement:
-    """Target and tables read; ``kind`` is insert, or the root's name for anything else."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    ctes = frozenset()
-    outer: list[str] = []
-    while plan.nodeName() == "UnresolvedWith":
-        relations = plan.cteRelations()
-        for k in range(relations.size()):
-            pair = relations.apply(k)
-            _relations(pair._2(), ctes | {pair._1().lower()} if plan.allowRecursion() else ctes, outer)
-            ctes = ctes | {pair._1().lower()}
-        plan = plan.child()
-    if plan.nodeName() != "InsertIntoStatement":
-        return Statement(sql, plan.nodeName(), reads=outer)
-    parts = plan.table().multipartIdentifier()
-    target = ".".join(parts.apply(k) for k in range(parts.size())).lower()
-    columns = [plan.userSpecifiedCols().apply(k) for k in range(plan.userSpecifiedCols().size())]
-    _relations(plan.query(), ctes, outer)
-    return Statement(sql, "insert", target, columns, outer)
+    """Target, tables and functions of a statement; ``kind`` is insert, or the root's name for anything else."""
+    root = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    reader, scope, withs = _Reader(), frozenset(), []
+    while root.nodeName() == "UnresolvedWith":
+        scope = reader.ctes(root, scope)
+        withs.append(root)
+        root = root.child()
+    if root.nodeName() != "InsertIntoStatement":
+        return Statement(sql, root.nodeName())
+    query = root.query()
+    if query.nodeName() in ("UnresolvedInlineTable", "LocalRelation"):
+        return Statement(sql, "INSERT ... VALUES")
+    reader.plan(query, scope)
+    for outer in reversed(withs):  # the query alone, under the definitions of the statement
+        query = outer.withNewChildren(spark.sparkContext._jvm.PythonUtils.toSeq([query]))
+    target = ".".join(_each(root.table().multipartIdentifier())).lower()
+    return Statement(sql, "insert", target, _each(root.userSpecifiedCols()), reader.reads, reader.calls, reader.table_calls, root.overwrite(), query)
+
+
+def function_group(spark: SparkSession, name: str) -> str | None:
+    """The group of a built-in function; none for any other name."""
+    catalyst = spark.sparkContext._jvm.org.apache.spark.sql.catalyst
+    found = catalyst.analysis.FunctionRegistry.builtin().lookupFunction(catalyst.FunctionIdentifier(name))
+    return found.get().getGroup() if found.isDefined() else None
 
 
 def judge(spark: SparkSession, sql: str, role: str, model: WarehouseModel, plan: Plan) -> list[str]:
@@ -108,7 +133,7 @@ def judge(spark: SparkSession, sql: str, role: str, model: WarehouseModel, plan:
         return [f"can't be parsed: {str(e).splitlines()[0]}"]
     if s.kind != "insert":
         return [f"{s.kind} isn't an INSERT ... SELECT"]
-    out = []
+    out = ["overwrites its target"] if s.overwrite else []
     target = model.find(s.target or "")
     if target is None or plan.roles.get(target.name) != role:
         out.append(f"target {s.target} isn't a {role} table of the model")
@@ -117,6 +142,8 @@ def judge(spark: SparkSession, sql: str, role: str, model: WarehouseModel, plan:
             out.append(f"reads system schema {name}")
         elif model.find(name) is None:
             out.append(f"reads {name}, which isn't in the model")
+    out += [f"calls {name}, which isn't admitted" for name in dict.fromkeys(s.calls) if function_group(spark, name) not in FUNCTION_GROUPS]
+    out += [f"reads the table function {name}" for name in dict.fromkeys(s.table_calls) if function_group(spark, name) != "generator_funcs"]
     return out
 
 
@@ -190,18 +217,10 @@ def execute(spark: SparkSession, spec: dict, model: WarehouseModel, plan: Plan,
                 raise ValueError(f"{part}: {reasons[0]}")
             s = parse(spark, plain)
             t = model.table(s.target)
-            query = spark.sql(_query_of(plain))
+            query = DataFrame(spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, s.query), spark)
             columns = s.target_columns or t.column_names[: len(query.columns)]
             df = query.toDF(*columns)
             collected[t.name] = (t, collected[t.name][1].unionByName(df, allowMissingColumns=True) if t.name in collected else df)
             made[t.name] = fit_to_table(collected[t.name][1], t)
             made[t.name].createOrReplaceTempView(t.name)
     return made
-
-
-_INSERT = re.compile(r"INSERT\s+INTO\s+(?:TABLE\s+)?[\w.\"`]+\s*(?:\([^)]*\)\s*)?", re.IGNORECASE)
-
-
-def _query_of(sql: str) -> str:
-    """The statement without INSERT INTO t (columns)."""
-    return _INSERT.sub("", sql, count=1).rstrip().rstrip(";")

@@ -129,7 +129,10 @@ def test_spec_is_admitted_and_executed(spark):
     ("INSERT INTO dim_customer SELECT 1, 'a', 'b' FROM stg_customer", "target"), ("DROP TABLE stg_order", "isn't an INSERT"), ("TRUNCATE TABLE stg_order", "isn't an INSERT"), ("SELECT 1", "isn't an INSERT"),
     ("INSERT INTO stg_order SELECT * FROM load_order_raw, secrets", "secrets"), ("INSERT INTO stg_order SELECT * FROM information_schema.tables", "system schema"), ("INSERT INTO", "parsed"),
     ("WITH c AS (SELECT * FROM hidden) INSERT INTO stg_order SELECT * FROM c", "hidden"), ("INSERT INTO stg_order SELECT * FROM load_order_raw WHERE EXISTS (SELECT 1 FROM elsewhere)", "elsewhere"),
-    ("INSERT INTO stg_order SELECT order_id FROM load_order_raw; INSERT INTO stg_order SELECT 1", "parsed"),
+    ("INSERT INTO stg_order SELECT order_id FROM load_order_raw; INSERT INTO stg_order SELECT 1", "parsed"), ("INSERT OVERWRITE TABLE stg_order SELECT * FROM load_order_raw", "overwrites"),
+    ("INSERT INTO stg_order SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "reflect"), ("INSERT INTO stg_order SELECT id FROM range(10)", "range"),
+    ("INSERT INTO stg_order SELECT own_function(load_id) FROM load_order_raw", "own_function"), ("INSERT INTO stg_order VALUES ('a')", "INSERT ... VALUES isn't"),
+    ("INSERT INTO stg_order SELECT * FROM load_order_raw, LATERAL (SELECT current_user())", "current_user"),
 ])
 def test_statements_that_are_refused(spark, sql, why):
     m = parse_ddl(LAYERS)
@@ -137,6 +140,20 @@ def test_statements_that_are_refused(spark, sql, why):
     assert reasons and why in reasons[0]
 
 
+def test_what_runs_is_the_judged_query(spark):
+    """Comments, common table expressions at the root and generators; no table of the catalog is touched."""
+    m = parse_ddl(LAYERS)
+    plan = plan_layers(m)
+    parts = {"staging_sql": [
+        "-- INSERT INTO old (a) SELECT 1\nINSERT INTO stg_customer SELECT 'C1', 'INSERT INTO x'", "WITH a AS (SELECT 'C' AS c), b AS (SELECT concat(c, x) AS id FROM a LATERAL VIEW explode(array(2, 3)) t AS x) INSERT INTO stg_customer (customer_name, customer_id) SELECT 'n', id FROM b",
+    ], "dimension_sql": [], "fact_sql": []}
+    data = gate.execute(spark, parts, m, plan, {})
+    assert sorted(map(tuple, data["stg_customer"].collect())) == [("C1", "INSERT INTO x"), ("C2", "n"), ("C3", "n")]
+    spark.sql("DROP TABLE IF EXISTS stg_order")
+    with pytest.raises(ValueError, match="overwrites"):
+        gate.execute(spark, {"staging_sql": ["INSERT OVERWRITE TABLE stg_order SELECT customer_id, 'a', 1 FROM stg_customer"], "dimension_sql": [], "fact_sql": []}, m, plan, {})
+
+
 def test_spec_shape(spark):
     m = parse_ddl(LAYERS)
     plan = plan_layers(m)
