@@ -72,9 +72,9 @@ def project_customer(spark, sf):
 ITEM_SCHEMA = "order_id long, part_id long, supplier_id long, line_number int, quantity decimal(14,2), extended_price decimal(14,2), discount decimal(14,2), tax decimal(14,2), return_flag string, line_status string, ship_date date"
 
 
-def raw_items(spark, sf):
-    l = read(spark, sf, "lineitem")
-    rows = l.select(
+def raw_items(spark, sf, keep=None):
+    l = elt.spread(read(spark, sf, "lineitem"))
+    rows = (l.filter(keep) if keep is not None else l).select(
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("supplier_id"), F.col("l_linenumber").alias("line_number"),
         F.col("l_quantity").cast("decimal(14,2)").alias("quantity"), F.col("l_extendedprice").cast("decimal(14,2)").alias("extended_price"),
         F.col("l_discount").cast("decimal(14,2)").alias("discount"), F.col("l_tax").cast("decimal(14,2)").alias("tax"), F.col("l_returnflag").alias("return_flag"),
@@ -83,8 +83,9 @@ def raw_items(spark, sf):
     return elt.to_raw(rows, "lineitem")
 
 
-def staged_items(spark, sf):
-    return elt.to_staging(raw_items(spark, sf), ITEM_SCHEMA)
+def staged_items(spark, sf, keep=None):
+    """Lines from their raw records; ``keep``, a condition on the lines, is asked before records are made of them."""
+    return elt.to_staging(raw_items(spark, sf, keep), ITEM_SCHEMA)
 
 
 def stg_order_item_from_raw(spark, sf):
@@ -127,13 +128,13 @@ def dim_product(spark, sf):
     return elt.dimension(rows, "product_key", "product_id", "product_name", "brand", "category", "size")
 
 
-def dim_order(spark, sf):
+def dim_order(spark, sf, customers=None):
     o = read(spark, sf, "orders")
     rows = o.select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.to_date("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").cast("decimal(14,2)").alias("total_price"),
     )
-    joined = elt.look_up(rows, dim_customer(spark, sf), "customer_id", "customer_key")
+    joined = elt.look_up(rows, customers if customers is not None else dim_customer(spark, sf), "customer_id", "customer_key")
     return elt.dimension(joined, "order_key", "order_id", "customer_key", "order_date", "status", "priority", "total_price")
 
 
@@ -141,22 +142,32 @@ def dim_order_surrogate(spark, sf):
     return dim_order(spark, sf).select("order_key", "order_id", "customer_key", "order_date", "status", "priority")
 
 
-def sales(spark, sf):
-    """The fact at line grain, with keys of order, customer, product and date; net = price less discount."""
-    items, orders = staged_items(spark, sf), dim_order(spark, sf)
-    lines = items.join(orders.select("order_id", "order_key", "customer_key", "order_date"), "order_id")
-    lines = elt.look_up(lines.withColumnRenamed("part_id", "product_id"), dim_product(spark, sf), "product_id", "product_key")
+def sales(spark, sf, orders=None, products=None, keep=None):
+    """The fact at line grain; net = price less discount.
+
+    ``orders``, ``products``: the dimensions whose keys (of order and customer, of product) are looked up.
+    """
+    items = staged_items(spark, sf, keep).withColumnRenamed("part_id", "product_id")
+    if orders is not None:
+        dim = orders.select("order_id", "order_key", "customer_key", "order_date")
+    else:
+        dim = read(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.to_date("o_orderdate").alias("order_date"))
+    lines = items.join(dim, "order_id")
+    if products is not None:
+        lines = elt.look_up(lines, products, "product_id", "product_key")
     lines = elt.look_up_date(lines, dates(spark, sf), "order_date", "order_date_key")
     off = F.round(F.col("extended_price") * F.col("discount"), 2).cast("decimal(14,2)")
     return lines.select(
-        "order_id", "line_number", "order_key", "customer_key", "product_key", "order_date_key", "quantity", F.col("extended_price").alias("gross_amount"),
-        off.alias("discount_amount"), (F.col("extended_price") - off).cast("decimal(14,2)").alias("net_amount"), "return_flag", "line_status", "order_date", "ship_date",
+        "order_id", "line_number", *(["order_key", "customer_key"] if orders is not None else []), *(["product_key"] if products is not None else []), "order_date_key", "quantity",
+        F.col("extended_price").alias("gross_amount"), off.alias("discount_amount"), (F.col("extended_price") - off).cast("decimal(14,2)").alias("net_amount"), "return_flag",
+        "line_status", "order_date", "ship_date",
     )
 
 
 def fact_sales(spark, sf):
     money = ("quantity", "gross_amount", "discount_amount", "net_amount")
-    return sales(spark, sf).select("order_id", "line_number", "order_key", "customer_key", "product_key", "order_date_key", *(F.col(c).cast("double").alias(c) for c in money))
+    lines = sales(spark, sf, dim_order(spark, sf), dim_product(spark, sf))
+    return lines.select("order_id", "line_number", "order_key", "customer_key", "product_key", "order_date_key", *(F.col(c).cast("double").alias(c) for c in money))
 
 
 def deliveries(spark, sf):
@@ -180,13 +191,13 @@ def fact_delivery_roles(spark, sf):
     return deliveries(spark, sf)
 
 
-def returns(spark, sf):
-    s = sales(spark, sf).filter(F.col("return_flag").isin("R"))
+def returns(spark, sf, products):
+    s = sales(spark, sf, products=products, keep=F.col("l_returnflag").isin("R"))
     return s.select("order_id", "line_number", "product_key", "order_date_key", F.col("quantity").alias("return_quantity"), F.col("net_amount").alias("refund_amount"))
 
 
 def fact_return(spark, sf):
-    return returns(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("return_quantity", "refund_amount")})
+    return returns(spark, sf, dim_product(spark, sf)).withColumns({c: F.col(c).cast("double") for c in ("return_quantity", "refund_amount")})
 
 
 # Views
@@ -197,11 +208,13 @@ def vw_daily_sales(spark, sf):
 
 
 def vw_product_performance(spark, sf):
-    return views.product_performance(sales(spark, sf), dim_product(spark, sf), returns(spark, sf))
+    products = dim_product(spark, sf)
+    return views.product_performance(sales(spark, sf, products=products), products, returned=F.col("return_flag") == "R")
 
 
 def vw_customer_segment(spark, sf):
-    return views.segment_sales(dim_order(spark, sf), dim_customer(spark, sf).select("customer_key", "segment", "region"))
+    customers = dim_customer(spark, sf)
+    return views.segment_sales(dim_order(spark, sf, customers), customers.select("customer_key", "segment", "region"))
 
 
 def vw_order_status(spark, sf):
@@ -213,7 +226,8 @@ def vw_shipment_performance(spark, sf):
 
 
 def vw_return_analysis(spark, sf):
-    return views.return_analysis(returns(spark, sf), dim_product(spark, sf))
+    products = dim_product(spark, sf)
+    return views.return_analysis(returns(spark, sf, products), products)
 
 
 def vw_stock_risk(spark, sf):
@@ -223,7 +237,8 @@ def vw_stock_risk(spark, sf):
 
 
 def top_products(spark, sf):
-    return views.top_products(sales(spark, sf), dim_product(spark, sf), 20)
+    products = dim_product(spark, sf)
+    return views.top_products(sales(spark, sf, products=products), products, 20)
 
 
 # Checks
@@ -326,11 +341,14 @@ def lineage_staging_dim(spark, sf):
 
 
 def lineage_fact_dim(spark, sf):
-    f, p = fact_sales(spark, sf), dim_product(spark, sf)
-    n = F.count(F.lit(1)).alias("unresolved")
-    whole = checks.orphans(f, ("product_key",), p, ("product_key",)).agg(n)
-    part = checks.orphans(f, ("product_key",), p.filter("product_key <= 100"), ("product_key",)).agg(n)
-    return whole.select(F.lit("whole").alias("dimension"), "unresolved").unionAll(part.select(F.lit("first 100").alias("dimension"), "unresolved"))
+    """Fact rows without a product, in the whole dimension and in its first 100 rows; the fact is read once."""
+    p = dim_product(spark, sf)
+    f = elt.look_up(staged_items(spark, sf).select(F.col("part_id").alias("product_id")), p, "product_id", "product_key")
+    keys = p.select(F.col("product_key").alias("known"), (F.col("product_key") <= 100).alias("early"))
+    joined = f.groupBy("product_key").agg(F.count(F.lit(1)).alias("n")).join(keys, F.col("product_key") == F.col("known"), "left")
+    lost = lambda c: F.coalesce(F.sum(F.when(~F.coalesce(c, F.lit(False)), F.col("n"))), F.lit(0))
+    both = joined.agg(F.array(F.struct(F.lit("whole").alias("dimension"), lost(F.col("known").isNotNull()).alias("unresolved")), F.struct(F.lit("first 100").alias("dimension"), lost(F.col("early")).alias("unresolved"))).alias("x"))
+    return both.select(F.inline("x"))
 
 
 def temporal_span(spark, sf):
@@ -346,8 +364,8 @@ def uniform_row_counts(spark, sf):
 
 
 def layer_reconciliation(spark, sf):
-    raw, fact = raw_items(spark, sf), sales(spark, sf)
-    return checks.row_counts({"raw": raw, "staging": staged_items(spark, sf), "dimension": dim_order(spark, sf), "fact": fact})
+    orders = dim_order(spark, sf)
+    return checks.row_counts({"raw": raw_items(spark, sf), "staging": staged_items(spark, sf), "dimension": orders, "fact": sales(spark, sf, orders, dim_product(spark, sf))})
 
 
 # Plans

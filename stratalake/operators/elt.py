@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalake.functions.columns import date_key
 from stratalake.model import TableSpec
+from stratalake.scratch import written
 
 
 def to_raw(rows: DataFrame, source: str, *order: str, payload: str = "source_payload") -> DataFrame:
@@ -23,56 +26,52 @@ def to_staging(raw: DataFrame, schema: T.StructType | str, payload: str = "sourc
     return raw.select(F.from_json(payload, schema).alias("p")).select("p.*")
 
 
-#: Rows that one task numbers.
-NUMBERED_AT_ONCE = 500_000
-_counted: dict[tuple[str, int], int] = {}
+def number_rows(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``rows`` with numbers 1, 2, ... in order of ``keys`` (nulls last), which should be unique in ``rows``.
 
+    Written once in ranges of the keys, a sorted file a range.  A row's number is
+    its place in the file after the rows of the files before it, so no task sees
+    more than a range and reading needs neither a shuffle nor a sort.
+    """
+    order = [F.asc_nulls_last(k) for k in keys]
+    held = written(rows.repartitionByRange(*order).sortWithinPartitions(*order), "numbered")
+    file, place = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    # One row a file: as many as ranges, whatever the number of rows.
+    sizes = sorted((r["file"], r["n"]) for r in held.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if len(sizes) <= 1:
+        return held.withColumn(name, place + 1)
+    starts = [(f, sum(n for _, n in sizes[:k])) for k, (f, _) in enumerate(sizes)]
+    of, start = own_column(rows, "file_of_row"), own_column(rows, "rows_before")
+    before = F.broadcast(rows.sparkSession.createDataFrame(starts, f"{of} string, {start} long"))
+    return held.select("*", place.alias(name), file.alias(of)).join(before, of).withColumn(name, F.col(name) + F.col(start) + 1).drop(of, start)
 
-def _about_how_many(rows: DataFrame, key: str) -> int:
-    """Rows of a plan, counted once a session: a count that is out of date costs balance, not correctness."""
-    at = (rows.sparkSession.sparkContext.applicationId, rows.semanticHash())
-    if at not in _counted:
-        if len(_counted) > 1000:
-            _counted.clear()
-        _counted[at] = rows.select(key).count()
-    return _counted[at]
 
+def own_column(df: DataFrame, name: str) -> str:
+    """``name``, or a longer form that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
-def number_rows(rows: DataFrame, name: str, *keys: str, at_once: int = NUMBERED_AT_ONCE) -> DataFrame:
-    """``rows`` with numbers 1, 2, ... in order of ``keys``, about ``at_once`` rows a task.
 
-    Rows are counted first.  More than ``at_once`` are cut into ranges of the
-    first key (bounds from its approximate quantiles, which must be numeric); a
-    range is numbered by one task and begins after the rows of the ranges before
-    it.  ``keys`` should be unique in ``rows``.
-    """
-    first, order = keys[0], [F.asc_nulls_last(k) for k in keys]
-    ranges = -(-_about_how_many(rows, first) // at_once)
-    if ranges <= 1 or not isinstance(rows.schema[first].dataType, T.NumericType):
-        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    cuts = rows.agg(F.percentile_approx(first, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
-    bounds = F.array(*(F.lit(b) for b in sorted(set(cuts))))
-    # The number of bounds below the key; nulls are in the last range.
-    part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(first))), F.size(bounds))
-    held = rows.withColumn("_part", F.when(F.col(first).isNull(), F.size(bounds)).otherwise(part))
-    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_start"))  # one row a range
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_start")
-    return held.join(starts, "_part").withColumn(name, number.cast("long")).drop("_part", "_start")
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where their scan has fewer tasks than that; large tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def dimension(source: DataFrame, key: str, business_key: str, *attributes: str) -> DataFrame:
-    """One row a business key with a surrogate key in its order."""
-    rows = source.select(business_key, *attributes).dropDuplicates([business_key])
-    return number_rows(rows, key, business_key).select(key, business_key, *attributes)
+    """One row a business key with a surrogate key in its order; of rows that repeat a key the smallest by attributes counts."""
+    least = source.groupBy(business_key).agg(F.min(F.struct(*attributes)).alias("row"))
+    return number_rows(least.select(business_key, "row.*"), key, business_key).select(key, business_key, *attributes)
 
 
 def calendar(*dates: DataFrame) -> DataFrame:
-    """Every day from the first to the last date of some one-column tables, with its attributes."""
+    """Every day from the first to the last date of some one-column tables, with its attributes; the two bounds are read at once."""
     spans = [d.select(F.min(d.columns[0]).cast("date").alias("a"), F.max(d.columns[0]).cast("date").alias("b")) for d in dates]
-    span = reduce(DataFrame.unionAll, spans).select(F.min("a").alias("a"), F.max("b").alias("b"))
-    return calendar_columns(span.select(F.explode(F.sequence("a", "b")).alias("full_date")))
+    a, b = reduce(DataFrame.unionAll, spans).agg(F.min("a"), F.max("b")).first()
+    days = dates[0].sparkSession.range((b - a).days + 1 if a else 0).coalesce(1)
+    return calendar_columns(days.select(F.date_add(F.lit(a).cast("date"), F.col("id").cast("int")).alias("full_date")))
 
 
 def calendar_columns(days: DataFrame, day: str = "full_date") -> DataFrame:
@@ -146,15 +145,40 @@ def default_value(text: str) -> Column | None:
 
 
 def from_rows(spark: SparkSession, table: TableSpec, rows: list[dict]) -> DataFrame:
-    """A small list of rows, of which each may give other columns, as the table's frame."""
+    """A small list of rows, of which each may give other columns, as the table's frame.
+
+    A column that a row leaves out gets its default there, an integer key the next
+    number; a null that is given stays.  A required column that a row leaves out
+    without a default is an error.
+    """
     if strange := [k for r in rows for k in r if not table.has(k)]:
         raise ValueError(f"{table.full_name} has no column {strange[0]}")
-    used = [c for c in table.columns if any(c.name in r for r in rows)]
-    schema = T.StructType([T.StructField(c.name, T.StringType()) for c in used] + [T.StructField("_at", T.LongType())])
-    frame = spark.createDataFrame([[None if r.get(c.name) is None else str(r[c.name]) for c in used] + [k] for k, r in enumerate(rows)], schema)
-    wide = frame.select(*(F.coalesce(F.col(c.name), default_value(c.default)).alias(c.name) if c.default and default_value(c.default) is not None else F.col(c.name) for c in used), "_at")
-    order = used[0].name if used else "_at"
-    return fit_to_table(wide.drop("_at"), table, order)
+    kept = []
+    for c in table.columns:
+        given = [c.name in r for r in rows]
+        default = default_value(c.default) if c.default is not None else None
+        numbered = default is None and c.is_integer and c.name in table.primary_key
+        if rows and not all(given) and default is None and not numbered and not c.nullable:
+            raise ValueError(f"{table.full_name}.{c.name} is required and not given")
+        numbers = itertools.count(1)
+        values = [_text(r[c.name]) if g else str(next(numbers)) if numbered else None for r, g in zip(rows, given, strict=True)]
+        kept.append((c, default, [g or numbered for g in given], values))
+    schema = T.StructType([T.StructField(f"{x}{k}", t) for k in range(len(kept)) for x, t in (("v", T.StringType()), ("g", T.BooleanType()))])
+    flat = [[x for _, _, g, v in kept for x in (v[k], g[k])] for k in range(len(rows))]
+    frame = spark.createDataFrame(flat, schema)
+    cells = []
+    for k, (c, default, _, _) in enumerate(kept):
+        value = F.col(f"v{k}").cast(c.spark_type)
+        left_out = default.cast(c.spark_type) if default is not None else F.lit(None).cast(c.spark_type)
+        cells.append(F.when(F.col(f"g{k}"), value).otherwise(left_out).alias(c.name))
+    return frame.select(*cells)
+
+
+def _text(value) -> str | None:
+    """A cell as text that a cast can read."""
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, (dict, list)) else str(value)
 
 
 def positional_parent(children: DataFrame, parents: DataFrame, parent_rows: int, index: str = "idx", parent_index: str = "idx", columns: dict[str, str] | None = None) -> DataFrame:

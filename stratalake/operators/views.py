@@ -31,11 +31,17 @@ def daily_sales(sales: DataFrame, dates: DataFrame) -> DataFrame:
     )
 
 
-def product_performance(sales: DataFrame, products: DataFrame, returns: DataFrame) -> DataFrame:
-    """Units, revenue, average price and return rate of each product; returns are summed a product before the join."""
-    sold = sales.groupBy("product_key").agg(money("quantity").alias("u"), money("net_amount").alias("r"))
-    back = returns.groupBy("product_key").agg(money("return_quantity").alias("b"))
-    joined = products.join(sold, "product_key").join(back, "product_key", "left")
+def product_performance(sales: DataFrame, products: DataFrame, returns: DataFrame | None = None, returned: Column | None = None) -> DataFrame:
+    """Units, revenue, average price and return rate of each product.
+
+    Returns are rows of their own, summed a product before they meet sales, or
+    the sales lines for which ``returned`` holds, summed in the same pass.
+    """
+    back = F.sum(F.when(returned, F.col("quantity").cast("decimal(14,2)"))) if returned is not None else F.lit(None).cast("decimal(24,2)")
+    sold = sales.groupBy("product_key").agg(money("quantity").alias("u"), money("net_amount").alias("r"), back.alias("b"))
+    if returns is not None:
+        sold = sold.drop("b").join(returns.groupBy("product_key").agg(money("return_quantity").alias("b")), "product_key", "left")
+    joined = products.join(sold, "product_key")
     return joined.select(
         "product_id", "product_name", "brand", "category", "size", F.col("u").cast("double").alias("units_sold"), F.col("r").cast("double").alias("revenue"),
         ratio(F.col("r"), F.col("u")).alias("average_selling_price"), ratio(F.coalesce(F.col("b"), F.lit(0).cast("decimal(24,2)")), F.col("u")).alias("return_rate"),
