@@ -217,10 +217,36 @@ def execute(spark: SparkSession, spec: dict, model: WarehouseModel, plan: Plan,
                 raise ValueError(f"{part}: {reasons[0]}")
             s = parse(spark, plain)
             t = model.table(s.target)
-            query = DataFrame(spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, s.query), spark)
+            query = _frame(spark, s.query)
             columns = s.target_columns or t.column_names[: len(query.columns)]
             df = query.toDF(*columns)
             collected[t.name] = (t, collected[t.name][1].unionByName(df, allowMissingColumns=True) if t.name in collected else df)
             made[t.name] = fit_to_table(collected[t.name][1], t)
             made[t.name].createOrReplaceTempView(t.name)
     return made
+
+
+def _frame(spark: SparkSession, plan) -> DataFrame:
+    """A parsed plan as a frame."""
+    return DataFrame(spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+
+
+def make_views(spark: SparkSession, queries: dict[str, str], model: WarehouseModel, data: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Frames of view queries over the tables of a model and over earlier views.
+
+    A query that reads anything else, or calls what statements may not call, is an error.
+    """
+    made: dict[str, DataFrame] = {}
+    for name, df in data.items():
+        df.createOrReplaceTempView(name)
+    for name, sql in queries.items():
+        root, reader = spark._jsparkSession.sessionState().sqlParser().parsePlan(unqualify(sql, model)), _Reader()
+        reader.plan(root)
+        strange = [f"reads {r}" for r in reader.reads if r not in {v.lower() for v in made} and ((t := model.find(r)) is None or t.name not in data)]
+        strange += [f"calls {c}" for c in reader.calls if function_group(spark, c) not in FUNCTION_GROUPS]
+        strange += [f"reads {c}()" for c in reader.table_calls if function_group(spark, c) != "generator_funcs"]
+        if strange or root.nodeName() in ("InsertIntoStatement", "UnresolvedInlineTable") or not root.getClass().getName().startswith("org.apache.spark.sql.catalyst"):
+            raise ValueError(f"view {name}: {', '.join(strange) or 'not a query'}")
+        made[name] = _frame(spark, root)
+        made[name].createOrReplaceTempView(name)
+    return made

@@ -1,11 +1,13 @@
-"""Whole runs: schema text to a loaded, checked and reported warehouse.
+"""Whole runs: business input to an accepted design, schema text to a loaded, checked and reported warehouse.
 
-Frames stay lazy until the checks are collected and the tables are written.
+Run as ``python -m stratalake.runs``; see ``main``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import argparse
+import json
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,9 @@ from stratalake.plans import gate
 from stratalake.plans.layers import RAW, STAGING, Plan, plan_layers
 from stratalake.plans.profile import Profile, build_profile
 from stratalake.plans.semantics import meanings
-from stratalake.sources import sinks
-from stratalake.sources.ddl import extract_ddl, parse_ddl
+from stratalake.scratch import written
+from stratalake.sources import intake, sinks
+from stratalake.sources.ddl import extract_ddl, extract_views, parse_ddl
 
 
 class Refused(ValueError):
@@ -38,23 +41,42 @@ class Run:
     paths: dict[str, str]
 
 
+def read_views(spark: SparkSession, text: str, model: WarehouseModel, data: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The views that a markdown or schema text declares, over the tables of a run."""
+    return gate.make_views(spark, extract_views(text), model, data)
+
+
 def read_model(text: str) -> tuple[WarehouseModel, Plan]:
     """Model and plan of a markdown or schema text."""
     model = parse_ddl(extract_ddl(text))
     return model, plan_layers(model)
 
 
-def _finish(spark: SparkSession, model: WarehouseModel, plan: Plan, profile: Profile | None, data: dict[str, DataFrame], expected: dict[str, int] | None, root: str | None, mode: str, reports: str | None) -> Run:
+def _finish(spark: SparkSession, model: WarehouseModel, plan: Plan, profile: Profile | None, data: dict[str, DataFrame], expected: dict[str, int] | None, root: str | None, mode: str, reports: str | None, assumptions: list | None = None, business: dict | None = None) -> Run:
+    """Every table is written once, beside its target or as scratch; that is what is checked, exported and, if it passes, moved."""
     data = {t: repair_metrics(df) for t, df in data.items()}
-    found = checks.validate(model, data, expected, meanings(model)).unionAll(checks.validate_lineage(model, data, plan)).unionAll(checks.validate_realism(model, data, profile))
-    found = spark.createDataFrame(found.collect(), checks.RESULT)  # one row a check: bounded by the model
-    status = checks.status(found).first()["status"]
-    paths = sinks.save(spark, data, model, root, mode) if root and status != "failed" else {}
+    stage = sinks.Stage(spark, data, model, root, mode) if root else None
+    data = stage.tables() if stage else {t: written(df, t) for t, df in data.items()}
+    parts = [checks.validate(model, data, expected, meanings(model)), checks.validate_lineage(model, data, plan), checks.validate_realism(model, data, profile)]
+    if profile:
+        parts += [checks.payload_checks(t, data[t], r.required) for t, r in profile.raw.items() if r.has_payload and t in data]
+        parts.append(checks.payload_references(profile, data))
+    found = spark.createDataFrame(checks.union(parts, spark).collect(), checks.RESULT)  # one row a check: bounded by the model
+    status, paths = checks.status(found).first()["status"], {}
     if reports:
         Path(reports).mkdir(parents=True, exist_ok=True)
         sinks.report("Validation", found, f"{reports}/validation_report.md")
+        sinks.generation_report(f"{reports}/generation_report.md", model, plan, profile, data, assumptions, business)
         if status != "failed":
             sinks.write_xlsx(data, model, f"{reports}/tables.xlsx")
+    if stage and status != "failed":
+        paths = stage.swap()
+        data = stage.tables(moved=True)
+    elif stage:
+        stage.drop()
+    if reports:
+        counts = {r["table_name"]: r["row_count"] for r in checks.row_counts(data).collect()} if paths or not stage else {}
+        sinks.load_report(f"{reports}/load_report.md", mode, counts, paths, None if paths else "no target was named" if not root else "validation failed")
     return Run(model, plan, profile, data, found, status, paths)
 
 
@@ -70,7 +92,7 @@ def run_elt(spark: SparkSession, text: str, spec: dict, rows: int | None = None,
         raise Refused("; ".join(reasons))
     raw = {model.table(t).name: from_rows(spark, model.table(t), given) for t, given in spec["load_table_rows"].items()}
     data = gate.execute(spark, spec, model, plan, raw)
-    return _finish(spark, model, plan, profile, data, profile.rows if profile else None, root, mode, reports)
+    return _finish(spark, model, plan, profile, data, profile.rows if profile else None, root, mode, reports, spec["assumptions"])
 
 
 def run_generation(spark: SparkSession, text: str, rows: int = 100, seed: int = 12345, business: dict | None = None, root: str | None = None, mode: str = sinks.FAIL, reports: str | None = None) -> Run:
@@ -78,10 +100,113 @@ def run_generation(spark: SparkSession, text: str, rows: int = 100, seed: int =
     model, plan = read_model(text)
     profile = build_profile(model, plan, rows) if plan.of(RAW) and plan.of(STAGING) else None
     data = generate(spark, model, rows, seed, business, plan)
-    return _finish(spark, model, plan, profile, data, profile.rows if profile else dict.fromkeys(data, rows), root, mode, reports)
+    return _finish(spark, model, plan, profile, data, profile.rows if profile else dict.fromkeys(data, rows), root, mode, reports, business=business)
 
 
 def run_export(spark: SparkSession, text: str, root: str, reports: str) -> Run:
     """Read a saved warehouse back, repair, check and export it; nothing is written to it."""
     model, plan = read_model(text)
     return _finish(spark, model, plan, None, sinks.load(spark, model, root), None, None, sinks.FAIL, reports)
+
+
+@dataclass
+class Intake:
+    """How far a business input came: rejected, needs_improvement, quality_failed or accepted."""
+
+    status: str
+    artefacts: dict[str, object] = field(default_factory=dict)
+
+
+def run_intake(path: str, review: str | None = None, generation: str | None = None, out: str | None = None) -> Intake:
+    """A business input through required fields, scores, intent, blueprint and the quality gate.
+
+    ``review`` and ``generation`` are stored responses as JSON texts; without one
+    the run ends before the step that needs it.  What each step found is kept as
+    artefacts and, with ``out``, as files; files of an earlier run are removed.
+    """
+    made: dict[str, object] = {}
+
+    def end(status: str) -> Intake:
+        if out:
+            _write_artefacts(Path(out), made)
+        return Intake(status, made)
+
+    data = intake.read_yaml(path)
+    if missing := intake.missing_fields(data):
+        made["validation_errors.json"] = {"missing_fields": missing}
+        return end("rejected")
+    made["input.json"] = intake.redact(data)
+    points, unscored = intake.rule_score(data)
+    made["rule_based_score.json"] = {"score": points, "without_points": unscored}
+    if review is None:
+        return end("needs_review")
+    said = made["semantic_review.json"] = intake.check_review(intake.read_json(review))
+    score, decision = intake.final_score(points, said["ai_review_score"])
+    made["final_readiness_score.json"] = {"score": score, "decision": decision}
+    if decision != "ready_for_generation":
+        made["improvement_suggestions.json"] = {"missing": [*unscored, *said["missing_items"]], "suggestions": said["suggestions"], "assumptions_needed": said["assumptions_needed"]}
+        return end(decision)
+    wanted = made["model_intent.json"] = intake.intent(data)
+    plan = made["model_blueprint.json"] = intake.blueprint(data, wanted)
+    if generation is None:
+        return end(decision)
+    answer = intake.check_generation(intake.read_json(generation))
+    quality, errors, warnings = intake.output_quality(answer["final_output_markdown"], wanted, plan)
+    made["generation_quality.json"] = {"status": quality, "errors": errors, "warnings": warnings}
+    if quality == "failed":
+        return end("quality_failed")
+    made["final_output.md"] = answer["final_output_markdown"]
+    return end("accepted")
+
+
+#: Files that a run of the intake may leave.
+ARTEFACTS = [
+    "validation_errors.json", "input.json", "rule_based_score.json", "semantic_review.json", "final_readiness_score.json", "improvement_suggestions.json", "model_intent.json",
+    "model_blueprint.json", "generation_quality.json", "final_output.md",
+]
+
+
+def _write_artefacts(out: Path, made: dict[str, object]) -> None:
+    out.mkdir(parents=True, exist_ok=True)
+    for name in ARTEFACTS:
+        (out / name).unlink(missing_ok=True)
+    for name, content in made.items():
+        (out / name).write_text(content if isinstance(content, str) else json.dumps(content, ensure_ascii=False, indent=2), encoding="utf-8")
+
+
+def main(args: list[str] | None = None) -> int:
+    """``intake``, ``generate``, ``elt`` and ``export`` from a shell; 0 if all went well."""
+    p = argparse.ArgumentParser(prog="stratalake.runs")
+    kinds = p.add_subparsers(dest="kind", required=True)
+    one = kinds.add_parser("intake")
+    for name in ("input", "--review", "--generation", "--out"):
+        one.add_argument(name)
+    for kind in ("generate", "elt", "export"):
+        one = kinds.add_parser(kind)
+        one.add_argument("schema")
+        one.add_argument("--rows", type=int)
+        one.add_argument("--seed", type=int, default=12345)
+        one.add_argument("--spec")
+        one.add_argument("--business")
+        one.add_argument("--root")
+        one.add_argument("--reports")
+        one.add_argument("--mode", default=sinks.FAIL, choices=[sinks.RECREATE, sinks.REUSE, sinks.APPEND, sinks.FAIL])
+    a = p.parse_args(args)
+    text = lambda x: Path(x).read_text(encoding="utf-8") if x else None
+    if a.kind == "intake":
+        got = run_intake(a.input, text(a.review), text(a.generation), a.out)
+        print(got.status)
+        return int(got.status in ("rejected", "quality_failed"))
+    spark = SparkSession.builder.getOrCreate()
+    if a.kind == "generate":
+        done = run_generation(spark, text(a.schema), a.rows or 100, a.seed, intake.read_yaml(a.business) if a.business else None, a.root, a.mode, a.reports)
+    elif a.kind == "elt":
+        done = run_elt(spark, text(a.schema), intake.read_json(text(a.spec)), a.rows, a.root, a.mode, a.reports)
+    else:
+        done = run_export(spark, text(a.schema), a.root, a.reports)
+    print(done.status)
+    return int(done.status == "failed")
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -1,8 +1,9 @@
 """Saving all tables of a warehouse at once, and exporting them for people.
 
 Spark has no transaction over several tables.  A save writes every table under
-``_staging/<run>`` first and swaps directories only after all are written, so a
-failure while writing leaves the target as it was.
+``_staging/<run>`` first, where it can be checked, and moves folders or files
+only after that, so a failure before leaves the target as it was; one while
+moving takes back what was moved.
 """
 
 from __future__ import annotations
@@ -59,6 +60,9 @@ class _Files:
         if not self.fs.rename(self._path(a), self._path(b)):
             raise OSError(f"can't move {a} to {b}")
 
+    def names(self, p: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(p)))
+
     def mkdirs(self, p: str) -> None:
         self.fs.mkdirs(self._path(p))
 
@@ -72,49 +76,69 @@ def preflight(spark: SparkSession, root: str, model: WarehouseModel) -> dict[str
     return {t.name: files.exists(f"{root}/{t.name}") for t in model.tables}
 
 
-def save(spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, root: str, mode: str = FAIL) -> dict[str, str]:
-    """Write the model's tables, parents first; all of them or none.  Returns the paths.
+class Stage:
+    """Tables written beside their target, not yet part of it."""
+
+    def __init__(self, spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, root: str, mode: str = FAIL):
+        """Write the model's tables, parents first.
+
+        recreate: the tables replace what is there.  reuse: they replace the rows of
+        tables that exist and must have the same columns.  append: rows are added.
+        fail: none of the tables may have rows yet.
+        """
+        if mode not in (RECREATE, REUSE, APPEND, FAIL):
+            raise ValueError(f"unknown mode {mode}")
+        self.spark, self.root, self.mode, self.run = spark, root, mode, f"{root}/_staging/{uuid.uuid4().hex}"
+        self.files, self.order = _Files(spark, root), [t.name for t in model.load_order() if t.name in data]
+        self.there = {t: self.files.exists(f"{root}/{t}") for t in self.order}
+        for t in self.order:
+            if self.there[t] and mode == FAIL and not spark.read.parquet(f"{root}/{t}").isEmpty():
+                raise FileExistsError(f"{t} has rows already")
+            if self.there[t] and mode in (REUSE, APPEND) and spark.read.parquet(f"{root}/{t}").columns != data[t].columns:
+                raise ValueError(f"{t}: the columns there are others")
+        try:
+            for t in self.order:
+                data[t].write.parquet(f"{self.run}/{t}")
+        except Exception:
+            self.drop()
+            raise
+        self.schemas = {t: data[t].schema for t in self.order}
 
-    recreate: the tables replace what is there.  reuse: they replace the rows of
-    tables that exist and must have the same columns.  append: rows are added.
-    fail: none of the tables may have rows yet.
-    """
-    if mode not in (RECREATE, REUSE, APPEND, FAIL):
-        raise ValueError(f"unknown mode {mode}")
-    files, run = _Files(spark, root), f"{root}/_staging/{uuid.uuid4().hex}"
-    order = [t for t in model.load_order() if t.name in data]
-    there = {t.name: files.exists(f"{root}/{t.name}") for t in order}
-    for t in order:
-        if there[t.name] and mode == FAIL and not spark.read.parquet(f"{root}/{t.name}").isEmpty():
-            raise FileExistsError(f"{t.name} has rows already")
-        if there[t.name] and mode in (REUSE, APPEND) and spark.read.parquet(f"{root}/{t.name}").columns != data[t.name].columns:
-            raise ValueError(f"{t.name}: the columns there are others")
-    try:
-        for t in order:
-            data[t.name].write.parquet(f"{run}/{t.name}")
-        moved: list[tuple[str, str]] = []
+    def tables(self, moved: bool = False) -> dict[str, DataFrame]:
+        """What was written, where it is now."""
+        return {t: self.spark.read.schema(s).parquet(f"{self.root if moved else self.run}/{t}") for t, s in self.schemas.items()}
+
+    def drop(self) -> None:
+        self.files.delete(self.run)
+
+    def _moves(self, t: str) -> list[tuple[str, str]]:
+        """(from, to) of one table: its new files one by one into a table that stays, else whole folders."""
+        home, fresh = f"{self.root}/{t}", f"{self.run}/{t}"
+        if self.there[t] and self.mode == APPEND:  # Spark names files with an id of their own
+            return [(f"{fresh}/{name}", f"{home}/{name}") for name in self.files.names(fresh) if not name.startswith(("_", "."))]
+        return [(home, f"{self.run}/_old/{t}")] * self.there[t] + [(fresh, home)]
+
+    def swap(self) -> dict[str, str]:
+        """Make the tables part of the target, all of them or none.  Returns their paths."""
+        done: list[tuple[str, str]] = []
         try:
-            for t in order:
-                home, fresh = f"{root}/{t.name}", f"{run}/{t.name}"
-                if mode == APPEND and there[t.name]:
-                    spark.read.schema(data[t.name].schema).parquet(home, fresh).write.parquet(f"{run}/_both/{t.name}")
-                    fresh = f"{run}/_both/{t.name}"
-                if there[t.name]:
-                    files.mkdirs(f"{run}/_old")
-                    files.rename(home, f"{run}/_old/{t.name}")
-                    moved.append((f"{run}/_old/{t.name}", home))
-                files.rename(fresh, home)
-                if not there[t.name]:
-                    moved.append(("", home))
+            self.files.mkdirs(f"{self.run}/_old")
+            for t in self.order:
+                for a, b in self._moves(t):
+                    self.files.rename(a, b)
+                    done.append((a, b))
         except Exception:
-            for old, home in reversed(moved):
-                files.delete(home)
-                if old:
-                    files.rename(old, home)
+            for a, b in reversed(done):
+                self.files.rename(b, a)
             raise
-    finally:
-        files.delete(run)
-    return {t.name: f"{root}/{t.name}" for t in order}
+        finally:
+            self.drop()
+        return {t: f"{self.root}/{t}" for t in self.order}
+
+
+def save(spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, root: str, mode: str = FAIL) -> dict[str, str]:
+    """Write the model's tables under ``root``; all of them or none.  Modes as in ``Stage``."""
+    return Stage(spark, data, model, root, mode).swap()
 
 
 def load(spark: SparkSession, model: WarehouseModel, root: str) -> dict[str, DataFrame]:
@@ -129,79 +153,168 @@ def safe_cells(df: DataFrame) -> DataFrame:
     return df.select(*(safe_cell(F.col(f.name), f.dataType).alias(f.name) for f in df.schema))
 
 
-def summary(data: dict[str, DataFrame], model: WarehouseModel) -> list[tuple[str, str, int, int]]:
-    """(table, role, columns, rows) of each table, counted in one job."""
+#: What the tables of a layer are for.
+PURPOSES = {
+    "raw_load": "records as their source gave them, with the payload", "staging": "typed and cleaned records", "dimension": "descriptive entities with surrogate keys",
+    "fact": "measures of events", "other": "supporting tables",
+}
+SUMMARY = ["layer", "table", "rows", "columns", "purpose", "keys"]
+
+
+def summary(data: dict[str, DataFrame], model: WarehouseModel) -> list[tuple[str, str, int, int, str, str]]:
+    """Layer, table, rows, columns, purpose and keys of each table, counted in one job."""
     from stratalake.operators.checks import row_counts
     from stratalake.plans.layers import role_of
 
     counts = {r["table_name"]: r["row_count"] for r in row_counts(data).collect()}
-    return [(t.name, role_of(t.name), len(t.columns), counts[t.name]) for t in model.tables if t.name in data]
-
-
-def write_xlsx(data: dict[str, DataFrame], model: WarehouseModel, path: str, most_rows: int = 1_000_000) -> None:
-    """A workbook with a summary sheet and one sheet a table, for people to look at.
-
-    A sheet can't hold more than 1,048,576 rows, so a larger table is an error;
-    rows stream from Spark one partition at a time.
+    return [(role_of(t.name), t.name, counts[t.name], len(t.columns), PURPOSES[role_of(t.name)], ", ".join(t.primary_key)) for t in model.tables if t.name in data]
+
+
+#: Rows below the heading that a sheet can hold.
+SHEET_ROWS = 1_048_575
+_MAIN, _REL = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/package/2006/relationships"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_KINDS, _SHEET = "http://schemas.openxmlformats.org/package/2006/content-types", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
+#: Style 1: headings, bold on a filled ground.
+_STYLES = (
+    f'{_HEAD}<styleSheet xmlns="{_MAIN}"><fonts count="2"><font/><font><b/><color rgb="FFFFFFFF"/></font></fonts><fills count="3"><fill><patternFill patternType="none"/></fill>'
+    '<fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FF2F5D62"/></patternFill></fill></fills><borders count="1"><border/></borders>'
+    '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/></cellXfs></styleSheet>'
+)
+
+
+class _Workbook:
+    """Writes sheets one after another into a zip file, a row at a time."""
+
+    def __init__(self, z: zipfile.ZipFile, sheet_rows: int):
+        self.z, self.sheet_rows, self.names, self.used = z, sheet_rows, [], set()
+
+    def name(self, wanted: str) -> str:
+        """A sheet name of 31 characters at most that is not in use."""
+        out, k = wanted[:31], 1
+        while out.lower() in self.used:
+            k += 1
+            out = f"{wanted[: 31 - len(str(k)) - 1]}_{k}"
+        self.used.add(out.lower())
+        self.names.append(out)
+        return out
+
+    def sheets(self, wanted: str, columns: list[str], rows, widths: list[int]) -> None:
+        """One sheet, or as many as the rows need."""
+        left = iter(rows)
+        row = next(left, None)
+        while True:
+            self.name(wanted)
+            with self.z.open(f"xl/worksheets/sheet{len(self.names)}.xml", "w") as raw, io.TextIOWrapper(raw, "utf-8") as out:
+                sized = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(widths, 1))
+                pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
+                out.write(f'{_HEAD}<worksheet xmlns="{_MAIN}">{pane}{f"<cols>{sized}</cols>" if sized else ""}<sheetData>')
+                out.write(_xml_row(columns, style=1))
+                n = 0
+                while row is not None and n < self.sheet_rows:
+                    out.write(_xml_row(row))
+                    row, n = next(left, None), n + 1
+                out.write("</sheetData></worksheet>")
+            if row is None:
+                return
+
+    def close(self) -> None:
+        z, ids = self.z, range(1, len(self.names) + 1)
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{_SHEET}.worksheet+xml"/>' for k in ids)
+        more = f'<Override PartName="/xl/workbook.xml" ContentType="{_SHEET}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{_SHEET}.styles+xml"/>'
+        kinds = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+        z.writestr("[Content_Types].xml", f'{_HEAD}<Types xmlns="{_KINDS}">{kinds}{more}{parts}</Types>')
+        z.writestr("_rels/.rels", f'{_HEAD}<Relationships xmlns="{_REL}"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        listed = "".join(f'<sheet name="{escape(n)}" sheetId="{k}" r:id="rId{k}"/>' for k, n in zip(ids, self.names, strict=True))
+        z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>{listed}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{k}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in ids)
+        z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{_REL}">{links}<Relationship Id="rId0" Type="{_OFFICE}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", _STYLES)
+
+
+def write_xlsx(data: dict[str, DataFrame], model: WarehouseModel, path: str, sheet_rows: int = SHEET_ROWS) -> None:
+    """A workbook with a summary sheet and the rows of every table, for people to look at.
+
+    A table of more rows than a sheet can hold goes on in further sheets; rows
+    stream from Spark one partition at a time.
     """
-    facts = summary(data, model)
-    if big := [t for t, _, _, n in facts if n > most_rows]:
-        raise ValueError(f"too large for a sheet: {', '.join(big)}")
-    sheets: list[tuple[str, list[str], object]] = [("Summary", ["table", "role", "columns", "rows"], iter(facts))]
-    used = {"summary"}
-    for t in model.tables:
-        if t.name in data:
-            name, k = t.name[:31], 1
-            while name.lower() in used:
-                k += 1
-                name = f"{t.name[: 31 - len(str(k)) - 1]}_{k}"
-            used.add(name.lower())
-            df = safe_cells(data[t.name])
-            sheets.append((name, df.columns, df.toLocalIterator()))
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        rel, kind, office = "http://schemas.openxmlformats.org/package/2006/relationships", "http://schemas.openxmlformats.org/package/2006/content-types", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{kind}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{rel}"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        listed = "".join(f'<sheet name="{escape(name)}" sheetId="{k}" r:id="rId{k}"/>' for k, (name, _, _) in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{main}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{k}" Type="{office}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{rel}">{links}</Relationships>')
-        for k, (_, columns, rows) in enumerate(sheets, 1):
-            with z.open(f"xl/worksheets/sheet{k}.xml", "w") as raw, io.TextIOWrapper(raw, "utf-8") as out:
-                out.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{main}"><sheetData>')
-                out.write(_xml_row(columns))
-                for r in rows:
-                    out.write(_xml_row(r))
-                out.write("</sheetData></worksheet>")
+        book = _Workbook(z, sheet_rows)
+        book.sheets("Summary", SUMMARY, summary(data, model), [14, 32, 12, 12, 56, 32])
+        for t in model.tables:
+            if t.name in data:
+                df = safe_cells(data[t.name])
+                book.sheets(t.name, df.columns, df.toLocalIterator(), [max(12, min(36, len(c) + 4)) if not t.has(c) or not t.column(c).is_json else 56 for c in df.columns])
+        book.close()
 
 
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
-def _xml_row(values) -> str:
-    cells = []
+def _xml_row(values, style: int = 0) -> str:
+    cells, s = [], f' s="{style}"' if style else ""
     for v in values:
         if v is None:
             cells.append("<c/>")
         elif isinstance(v, bool):
-            cells.append(f'<c t="b"><v>{int(v)}</v></c>')
+            cells.append(f'<c t="b"{s}><v>{int(v)}</v></c>')
         elif isinstance(v, (int, float)):
-            cells.append(f"<c><v>{v}</v></c>")
+            cells.append(f"<c{s}><v>{v}</v></c>")
         else:
-            cells.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_BAD.sub("", str(v)))}</t></is></c>')
+            cells.append(f'<c t="inlineStr"{s}><is><t xml:space="preserve">{escape(_BAD.sub("", str(v)))}</t></is></c>')
     return f"<row>{''.join(cells)}</row>"
 
 
+def _markdown(columns: list[str], rows) -> list[str]:
+    cell = lambda x: str("" if x is None else x).replace("|", "\\|").replace("\n", " ")
+    return ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""]
+
+
+def _write(path: str, lines: list[str]) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(lines).rstrip("\n") + "\n")
+
+
 def report(title: str, checks: DataFrame, path: str) -> str:
-    """A markdown report of check results (one row a check, so bounded by the model); returns the status."""
+    """A markdown report of check results (one row a check, so bounded by the model) by kind of check; returns the status."""
     from stratalake.operators.checks import status
 
     said = status(checks).first()["status"]
-    lines = [f"# {title}", "", f"Status: {said}", "", "| check | table | columns | severity | violations | sample |", "| --- | --- | --- | --- | --- | --- |"]
-    for r in checks.orderBy("check_id", "table_name", "columns").collect():
-        lines.append("| " + " | ".join(str("" if x is None else x).replace("|", "\\|") for x in r) + " |")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
+    rows = checks.orderBy("check_id", "table_name", "columns").collect()
+    lines = [f"# {title}", "", f"Status: {said}", "", *_markdown(["kind of check", "checks", "violations"], _by_kind(rows)), "## Checks", "", *_markdown(checks.columns, rows)]
+    _write(path, lines)
     return said
+
+
+def _by_kind(rows) -> list[tuple[str, int, int]]:
+    kinds: dict[str, list[int]] = {}
+    for r in rows:
+        kinds.setdefault(r["check_id"], []).append(r["violations"])
+    return [(k, len(v), sum(v)) for k, v in kinds.items()]
+
+
+def generation_report(path: str, model: WarehouseModel, plan, profile, data: dict[str, DataFrame], assumptions: list | None = None, business: dict | None = None) -> None:
+    """What was made: rows by table, lineage, the profile's sizes and relationships, meanings, lists used, limits, what was left out of the schema."""
+    from stratalake.plans.semantics import meaning_histogram, meanings, reference_list
+
+    known = meanings(model)
+    lists = [(t.name, c.name, got[1]) for t in model.tables for c in t.columns if (got := reference_list(business, t.name, c.name, known[t.name, c.name].kind))]
+    limits = [(t.name, c.name, f"{c.base}({c.max_length or f'{c.precision},{c.scale}'})") for t in model.tables for c in t.columns if c.max_length or c.precision]
+    lines = ["# Generation", "", *_markdown(SUMMARY, summary(data, model)), "## Lineage", "", *_markdown(["table", "sources", "primary source"], [(t, ", ".join(s), plan.primary.get(t)) for t, s in plan.lineage.items()])]
+    if profile:
+        sized = [(t, r.category, r.rows, ", ".join(r.staging)) for t, r in profile.raw.items()]
+        reused = [(r.child_raw, r.parent_raw, ", ".join(r.child_columns), r.require_reuse) for r in profile.relationships]
+        lines += ["## Sizes", "", *_markdown(["raw table", "category", "rows", "feeds"], sized), "## Relationships", "", *_markdown(["child", "parent", "columns", "parents are reused"], reused)]
+    keys = [(t.name, ", ".join(f.columns), f"{f.parent}({', '.join(f.parent_columns)})") for t in model.tables for f in t.foreign_keys]
+    lines += ["## Foreign keys", "", *_markdown(["table", "columns", "parent"], keys), "## Meanings", "", *_markdown(["meaning", "columns"], meaning_histogram(model).items())]
+    lines += ["## Reference lists", "", *_markdown(["table", "column", "list"], lists), "## Lengths and precisions", "", *_markdown(["table", "column", "type"], limits)]
+    odd = [(t.name, x) for t in model.tables for x in (*t.ignored, *t.warnings)]
+    _write(path, [*lines, "## Left out of the schema", "", *_markdown(["table", "what"], odd), *(["## Assumptions", "", *(f"- {a}" for a in assumptions)] if assumptions else [])])
+
+
+def load_report(path: str, mode: str, counts: dict[str, int], paths: dict[str, str], reason: str | None = None) -> None:
+    """What was saved where, or why nothing was."""
+    said = "saved" if paths else "nothing was saved"
+    lines = ["# Load", "", f"Status: {said}", f"Mode: {mode}", *([f"Reason: {reason}"] if reason else []), ""]
+    _write(path, lines + _markdown(["table", "rows", "path"], [(t, counts.get(t), p) for t, p in paths.items()]))

@@ -233,10 +233,38 @@ def test_functions(spark):
 
 def test_row_numbers_in_many_ranges(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k")).union(spark.createDataFrame([(None,)], "k long"))
-    got = elt.number_rows(df, "n", "k", at_once=64).orderBy("n").collect()
+    got = elt.number_rows(df, "n", "k").orderBy("n").collect()
     assert [r["n"] for r in got] == list(range(1, 1002)) and [r["k"] for r in got] == [*range(1000), None]
 
 
+def test_text_keys_are_numbered_by_ranges_in_files(spark):
+    """Numbers follow the order of text keys over many files, without one task for all."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = frame(spark, "k string, file_of_row string", *((f"k{k * 7919 % 1000:04d}", "x") for k in range(1000)), (None, "x")).repartition(5)
+        got = elt.number_rows(df, "n", "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got.inputFiles()) > 1 and got.columns == ["k", "file_of_row", "n"] and "SinglePartition" not in got._jdf.queryExecution().toString()
+    assert [(r["k"], r["n"]) for r in got.orderBy("n").collect()] == [*((f"k{k:04d}", k + 1) for k in range(1000)), (None, 1001)]
+    assert elt.number_rows(df.limit(0), "n", "k").count() == 0
+
+
+def test_dimension_takes_one_whole_row_a_key(spark):
+    df = frame(spark, "id int, a string, b string", (2, "y", "1"), (2, "x", "2"), (1, None, "q"), (1, "z", "p"), (3, "w", None)).repartition(4)
+    assert [tuple(r) for r in elt.dimension(df, "key", "id", "a", "b").orderBy("key").collect()] == [(1, 1, None, "q"), (2, 2, "x", "2"), (3, 3, "w", None)]
+
+
+def test_rows_with_their_own_columns(spark):
+    t = parse_ddl("create table load_x (id int primary key, body jsonb not null, n int default 7, at date)").tables[0]
+    got = elt.from_rows(spark, t, [{"body": {"a": 1}}, {"id": 9, "body": "{}", "n": None}, {"body": "[]", "n": 3, "at": "2024-01-02"}]).collect()
+    assert [tuple(r) for r in got] == [(1, '{"a": 1}', 7, None), (9, "{}", None, None), (2, "[]", 3, dt.date(2024, 1, 2))]
+    for bad in ([{"id": 1}], [{"body": "{}", "z": 1}]):
+        with pytest.raises(ValueError):
+            elt.from_rows(spark, t, bad)
+    assert elt.from_rows(spark, t, []).count() == 0
+
+
 # Sinks
 
 
@@ -248,7 +276,9 @@ def test_save_modes_and_read_back(spark, tmp_path):
     sinks.save(spark, data, m, root)
     with pytest.raises(FileExistsError):
         sinks.save(spark, data, m, root)
+    before = {f.name for f in (tmp_path / "w" / "c").iterdir()}
     sinks.save(spark, data, m, root, sinks.APPEND)
+    assert before < {f.name for f in (tmp_path / "w" / "c").iterdir()}  # nothing that was there is written again
     assert sinks.load(spark, m, root)["c"].count() == 4
     sinks.save(spark, data, m, root, sinks.RECREATE)
     broken = data | {"c": data["c"].withColumn("id", F.raise_error("no"))}
@@ -275,8 +305,9 @@ def test_workbook_and_report(spark, tmp_path):
     with zipfile.ZipFile(path) as z:
         book, sheet = z.read("xl/workbook.xml").decode(), z.read("xl/worksheets/sheet2.xml").decode()
     assert f'name="{name[:31]}"' in book and f'name="{name[:29]}_2"' in book and "'=1+1" in sheet and "&lt;&amp;&gt;" in sheet and "<v>1.5</v>" in sheet
-    with pytest.raises(ValueError):
-        sinks.write_xlsx(data, m, str(path), most_rows=1)
+    sinks.write_xlsx(data, m, str(path), sheet_rows=1)
+    with zipfile.ZipFile(path) as z:  # two rows, two sheets; two summary rows, two sheets
+        assert z.read("xl/workbook.xml").decode().count("<sheet ") == 5 and "xl/styles.xml" in z.namelist() and 's="1"' in z.read("xl/worksheets/sheet1.xml").decode()
     assert sinks.report("Checks", checks.validate(m, data), str(tmp_path / "r.md")) == "passed" and "| primary_key |" in (tmp_path / "r.md").read_text()
 
 
