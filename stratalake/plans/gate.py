@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import ParseException
 
@@ -57,13 +58,17 @@ def _each(seq) -> list:
 class _Reader:
     """Collects what a parsed plan reads and calls."""
 
-    def __init__(self):
+    def __init__(self, spark: SparkSession):
+        self.gateway = spark.sparkContext._gateway
         self.reads: list[str] = []
         self.calls: list[str] = []
         self.table_calls: list[str] = []
+        self.actions: list[str] = []  # commands and statements, which are no queries
 
     def plan(self, node, in_scope: frozenset[str] = frozenset()) -> None:
         name = node.nodeName()
+        if any(is_instance_of(self.gateway, node, f"org.apache.spark.sql.catalyst.plans.logical.{c}") for c in ("Command", "ParsedStatement")):
+            self.actions.append(name)
         if name == "UnresolvedRelation":
             said = ".".join(_each(node.multipartIdentifier())).lower()
             if said not in in_scope:
@@ -101,7 +106,7 @@ class _Reader:
 def parse(spark: SparkSession, sql: str) -> Statement:
     """Target, tables and functions of a statement; ``kind`` is insert, or the root's name for anything else."""
     root = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    reader, scope, withs = _Reader(), frozenset(), []
+    reader, scope, withs = _Reader(spark), frozenset(), []
     while root.nodeName() == "UnresolvedWith":
         scope = reader.ctes(root, scope)
         withs.append(root)
@@ -240,13 +245,14 @@ def make_views(spark: SparkSession, queries: dict[str, str], model: WarehouseMod
     for name, df in data.items():
         df.createOrReplaceTempView(name)
     for name, sql in queries.items():
-        root, reader = spark._jsparkSession.sessionState().sqlParser().parsePlan(unqualify(sql, model)), _Reader()
+        root, reader = spark._jsparkSession.sessionState().sqlParser().parsePlan(unqualify(sql, model)), _Reader(spark)
         reader.plan(root)
         strange = [f"reads {r}" for r in reader.reads if r not in {v.lower() for v in made} and ((t := model.find(r)) is None or t.name not in data)]
         strange += [f"calls {c}" for c in reader.calls if function_group(spark, c) not in FUNCTION_GROUPS]
         strange += [f"reads {c}()" for c in reader.table_calls if function_group(spark, c) != "generator_funcs"]
-        if strange or root.nodeName() in ("InsertIntoStatement", "UnresolvedInlineTable") or not root.getClass().getName().startswith("org.apache.spark.sql.catalyst"):
-            raise ValueError(f"view {name}: {', '.join(strange) or 'not a query'}")
+        strange += [f"{a} is no query" for a in reader.actions]
+        if strange:
+            raise ValueError(f"view {name}: {', '.join(strange)}")
         made[name] = _frame(spark, root)
         made[name].createOrReplaceTempView(name)
     return made
