@@ -6,13 +6,18 @@ character, and every split of a token into two tokens is a merge at that
 token's rank.  Text is cut at ASCII white space into chunks; no match of the
 split pattern crosses a chunk's end, so each distinct chunk is encoded once
 per worker and the ids are put together.  Texts with other white space are
-encoded whole, for there such a cut could change a match.
+encoded whole, for there such a cut could change a match.  Chunks of up to
+``LONG_CHUNK`` characters are remembered, ``REMEMBERED`` of them and those of
+one portion of texts at most.
 
 Decoding reverses the byte table.  A character whose bytes lie in several
 tokens is put together across them; bytes that are no UTF-8 become U+FFFD in
 ``decode_text`` and stay as they are in ``decode_bytes``.
 
-Null text counts as empty; empty text has no ids.
+Null text counts as empty; empty text has no ids.  Rows are taken one by one,
+so repeated rows and ids give repeated results and texts of any length are
+encoded whole; columns other than the id and the text aren't read, whatever
+their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from stratalake.llm.common import portions, prepare
 
-#: Chunks a worker remembers; the memory starts anew when full.
-REMEMBERED = 400_000
+#: Chunks a worker remembers, and characters of the longest; the memory starts anew when full.
+REMEMBERED, LONG_CHUNK = 400_000, 64
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
@@ -93,16 +98,17 @@ class Codec:
         known = self.chunks
         if len(known) > REMEMBERED:
             known.clear()
+        passing: dict[str, tuple[int, ...]] = {}  # long chunks are kept for these texts alone
         new = list({c for chunks in cut for c in chunks}.difference(known))
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
             for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[c] = tuple(e.ids)
+                (known if len(c) <= LONG_CHUNK else passing)[c] = tuple(e.ids)
         out = []
         for chunks in cut:
             ids: list[int] = []
             for c in chunks:
-                ids += known[c]
+                ids += known[c] if c in known else passing[c]
             out.append(ids)
         return out
 
