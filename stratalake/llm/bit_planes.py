@@ -19,8 +19,11 @@ order; each task streams one file into the shared folder under a name of its
 own and reports it in a manifest table, which is what makes a file count: a
 task that is run again leaves a file that no manifest names.
 
-Rows with equal doc_id are ordered by text; a null doc_id comes last.  Null
-and empty texts have the end id alone.
+Rows with equal doc_id are ordered by a hash of the text, then the text; a null
+doc_id comes last, and repeated rows are stored as often as they occur.  Null
+and empty texts have the end id alone; texts of any length are encoded whole.
+Columns other than the id and the text aren't read, whatever their names.  An
+empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import filesystem, portions, prepare, shared_dir, written
+from stratalake.llm.common import LONG_WORD, block_count, filesystem, portions, prepare, shared_dir, written
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -72,7 +75,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 
 
 class PlaneWriter:
-    """Streams documents into one file; holds at most one block of ids."""
+    """Streams documents into one file; holds at most one block of ids and a compressed index (some bytes a document)."""
 
     def __init__(self, out, block: int = BLOCK, planes: int = 4, level: int = 3):
         if planes not in (4, 32):
@@ -82,6 +85,8 @@ class PlaneWriter:
         self.waiting: list[np.ndarray] = []
         self.held = self.n_ids = 0
         self.docs: list[tuple[int, int, int]] = []
+        self.n_docs, self.index = 0, io.BytesIO()  # entries of the document index, compressed as they come
+        self.indexing = zstandard.ZstdCompressor(level=level).stream_writer(self.index, closefd=False)
         self.chunks: list[tuple] = []
         self.at = 0
         self._put(MAGIC)
@@ -92,6 +97,9 @@ class PlaneWriter:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id or 0, len(ids), doc_id is not None))
+        self.n_docs += 1
+        if len(self.docs) == 4096:
+            self._index()
         self.waiting.append(ids)
         self.held += len(ids)
         self.n_ids += len(ids)
@@ -102,6 +110,10 @@ class PlaneWriter:
                 self._chunk(ids[k : k + self.block])
             self.waiting, self.held = [ids[full:]], len(ids) - full
 
+    def _index(self) -> None:
+        self.indexing.write(np.array(self.docs, _DOC).tobytes())
+        self.docs = []
+
     def _chunk(self, ids: np.ndarray) -> None:
         packed = [self.zstd.compress(p) if any(p) else b"" for p in to_planes(ids, self.planes)]
         self.chunks.append((self.at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *map(len, packed)))
@@ -111,10 +123,12 @@ class PlaneWriter:
         if self.held:
             self._chunk(np.concatenate(self.waiting))
         docs_at = self.at
-        self._put(self.zstd.compress(np.array(self.docs, _DOC).tobytes()))
+        self._index()
+        self.indexing.close()
+        self._put(self.index.getvalue())
         chunks_at = self.at
         self._put(self.zstd.compress(np.array(self.chunks, _chunk_type(self.planes)).tobytes()))
-        self._put(_FOOTER.pack(docs_at, chunks_at, len(self.docs), len(self.chunks), self.n_ids, self.block, self.planes, MAGIC))
+        self._put(_FOOTER.pack(docs_at, chunks_at, self.n_docs, len(self.chunks), self.n_ids, self.block, self.planes, MAGIC))
 
 
 def _chunk_type(planes: int) -> np.dtype:
@@ -185,7 +199,7 @@ class WordEncoder:
     time, joined by spaces, and told apart by offsets.
     """
 
-    REMEMBERED = 1_200_000
+    REMEMBERED = 1_200_000  # of LONG_WORD bytes at most
     JOINED = 256
     _of: dict[str, "WordEncoder"] = {}
 
@@ -210,7 +224,7 @@ class WordEncoder:
                 return low.split()
         return text.split()
 
-    def learn(self, new: list[bytes]) -> None:
+    def learn(self, new: list[bytes], known: dict[bytes, bytes]) -> None:
         plain = [w.decode("utf-8", "replace") for w in new]
         groups = [range(k, min(k + self.JOINED, len(new))) for k in range(0, len(new), self.JOINED)]
         got = self.tokenizer.encode_batch([" ".join(plain[g.start : g.stop]) for g in groups], add_special_tokens=False)
@@ -218,7 +232,7 @@ class WordEncoder:
             ids, starts = np.array(e.ids, "<u4"), np.array([o[0] for o in e.offsets], np.int64)
             at = 0
             for k, end in zip(g, np.searchsorted(starts, np.cumsum([len(plain[k]) + 1 for k in g])).tolist(), strict=True):
-                self.known[new[k]] = ids[at:end].tobytes()
+                known[new[k]] = ids[at:end].tobytes()
                 at = end
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -228,7 +242,12 @@ class WordEncoder:
         words, known = [self.words(t) for t in texts], self.known
         if len(known) > self.REMEMBERED:
             known.clear()
-        self.learn(list({w for x in words for w in x}.difference(known)))
+        new = {w for x in words for w in x}.difference(known)
+        self.learn([w for w in new if len(w) <= LONG_WORD], known)
+        if long := [w for w in new if len(w) > LONG_WORD]:  # kept for these texts alone
+            passing: dict[bytes, bytes] = {}
+            self.learn(long, passing)
+            return [np.frombuffer(b"".join(known[w] if w in known else passing[w] for w in x), "<u4") for x in words]
         return [np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4") for x in words]
 
 
@@ -239,8 +258,9 @@ def write(docs: DataFrame, tokenizer: str, out: str, end_id: int, block: int = B
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    # By range of doc_id: the text moves once, and the files are in order.
-    ordered = rows.repartitionByRange(F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"), F.asc_nulls_first("text"))
+    # By range of doc_id: the text moves once, and the files are in order.  Ranges, and so files, follow the bytes of
+    # text; repeated and null ids are told apart by text, so no id fills a range by itself.
+    ordered = rows.repartitionByRange(max(1, block_count(rows)), F.asc_nulls_last("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_last("doc_id"), F.xxhash64("text"), F.asc_nulls_first("text"))
 
     def run(batches):
         encoder, writer, end = WordEncoder.of(tokenizer), None, np.array([end_id], "<u4")
@@ -259,7 +279,7 @@ def write(docs: DataFrame, tokenizer: str, out: str, end_id: int, block: int = B
             writer.close()
             sink.close()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([f"{out.rstrip('/')}/{name}"]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.n_ids], pa.int64())],
+                [pa.array([part], pa.int64()), pa.array([f"{out.rstrip('/')}/{name}"]), pa.array([writer.n_docs], pa.int64()), pa.array([writer.n_ids], pa.int64())],
                 ["part", "path", "n_docs", "n_ids"],
             )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -15,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake.scratch import discard, shared_dir, written  # noqa: F401  part of what the operators share
+
 PACKAGE = Path(__file__).resolve().parents[1]
 #: ASCII white space; ``bytes.split()`` splits on exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,41 +45,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path under the folder that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a folder of our own is chosen.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(spark.sparkContext, "_stratalake_scratch", None)
-        if not base:
-            base = spark.sparkContext._stratalake_scratch = "file://" + tempfile.mkdtemp(prefix="stratalake-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts lineage in a form that survives the loss of executors.
-    """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing will read again."""
-    for df in tables:
-        spark, path = df.sparkSession, df._scratch_path
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI in a store that workers can open."""
     from pyarrow import fs
@@ -129,15 +95,21 @@ def normalised_words(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).lower().translate(_BLANK).split()
 
 
+#: Longer words are hashed or encoded each time, so that what is remembered is bounded in bytes too.
+LONG_WORD = 64
+
+
 class WordHashes(dict):
-    """word -> 64-bit hash; bounded, for it starts anew when full."""
+    """word -> 64-bit hash; bounded, for long words aren't kept and it starts anew when full."""
 
     LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = h
         return h
 
     def array(self, words: list[bytes]) -> np.ndarray:
