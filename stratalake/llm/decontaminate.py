@@ -14,12 +14,18 @@ cover ``COVERAGE`` or more.
    cover are tiled by running Karp-Rabin: hash all unmarked windows of length
    s, extend equal ones, mark the longest first, then shorten s.
 
-The index of a slice of the benchmark is broadcast; a slice holds about
-``SLICE_BYTES`` of text, and a larger benchmark is taken slice by slice within
-one pass over the documents, so nothing that is broadcast grows with the data.
+The index of a benchmark of up to ``BROADCAST_BYTES`` of text is broadcast, and
+no document moves.  A larger benchmark is joined: a bit field of fixed size
+tells documents apart that can share no seed, the others' seeds meet those of
+the items by hash, and each pair of a text and an item that share one is tiled
+where the two meet.  Nothing that is collected or broadcast grows with the data.
 
 Null and empty texts match nothing; items of fewer than ``MIN_TILE`` words hold
-no tile and match nothing; rows that repeat an item_id are one item each.
+no tile and match nothing; rows that repeat an item_id are one item each, and
+repeated documents get the same matches.  Of equally long tiles the one that is
+first in the item, then in the text, is marked first.  Texts of any length are
+searched whole; other columns of the documents, whatever their names, stay as
+they are.  Without documents or items there are no matches.
 """
 
 from __future__ import annotations
@@ -33,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.llm.common import ngrams, normalised_words, own_column, portions, prepare
+from stratalake.llm.common import HASHES, ngrams, normalised_words, own_column, portions, prepare, written
 
 MIN_TILE = 5
 COVERAGE = 0.5
-SLICE_BYTES = 8 << 20
+BROADCAST_BYTES = 8 << 20
+#: Bits of the field that tells which seeds may be of an item (4 MB).
+FIELD = 1 << 25
 MATCHES = T.ArrayType(
     T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.LongType())])
 )
@@ -129,7 +137,7 @@ def _rolling(words: list[int], used: bytearray, s: int):
 
 
 class Index:
-    """Seeds of a slice of the benchmark."""
+    """Seeds of a benchmark that one task can hold."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], least: int = MIN_TILE):
         self.least, self.vocabulary = least, {}
@@ -187,50 +195,131 @@ class Index:
                 for o in self.owners[self.first[s] : self.first[s + 1]].tolist():
                     by_item.setdefault(o, []).append(p)
             for o, places in by_item.items():
-                got = tiles(self.words[o], self._islands(ids, places), self.least)
+                got = tiles(self.words[o], islands(ids, places, self.least), self.least)
                 coverage = sum(n for _, _, n in got) / len(self.words[o])
                 if coverage >= threshold:
                     out[d].append({"item_id": self.ids[o], "coverage": coverage, "tiles": len(got)})
         return out
 
-    def _islands(self, ids: np.ndarray, places: list[int]) -> list[int]:
-        """The words that seeds cover, with a -1 between parts; every tile lies in one part."""
-        out: list[int] = []
-        end = -1
-        for p in places:
-            if p > end and out:
-                out.append(-1)
-            out += ids[max(p, end) : p + self.least].tolist()
-            end = max(end, p + self.least)
-        return out
+
+def islands(ids: np.ndarray, places: list[int], least: int) -> list[int]:
+    """The words that seeds cover, with a -1 between parts; every tile lies in one part."""
+    out: list[int] = []
+    end = -1
+    for p in places:
+        if p > end and out:
+            out.append(-1)
+        out += ids[max(p, end) : p + least].tolist()
+        end = max(end, p + least)
+    return out
 
 
-def slices(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", slice_bytes: int = SLICE_BYTES):
-    """Indexes of the benchmark, one of about ``slice_bytes`` of text at a time."""
-    n = max(1, -(-(benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0) // slice_bytes))
-    part = F.pmod(F.xxhash64(item_id, text), F.lit(n))
-    for k in range(n):
-        rows = benchmark.filter(part == k).select(item_id, text).collect()
-        yield Index(sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0], x[1] or "")))
+def _field(seeds: np.ndarray) -> np.ndarray:
+    """The bit field with these seeds."""
+    bits = np.zeros(FIELD // 8, np.uint8)
+    at = seeds % np.uint64(FIELD)
+    np.bitwise_or.at(bits, (at // np.uint64(8)).astype(np.int64), (1 << (at % np.uint64(8))).astype(np.uint8))
+    return bits
+
+
+def _in_field(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    at = seeds % np.uint64(FIELD)
+    return (bits[(at // np.uint64(8)).astype(np.int64)] >> (at % np.uint64(8)).astype(np.uint8)) & 1 > 0
+
+
+_WORDS = pa.list_(pa.int64())
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float, text: str, least: int = MIN_TILE) -> DataFrame:
+    """(digest, matches) of the texts of ``docs`` that items of a benchmark of any size contaminate; digest: SHA-256 of the text."""
+    spark = docs.sparkSession
+
+    def hashes(t: bytes | None) -> np.ndarray:
+        return HASHES.array(folded_words(t)) >> np.uint64(1)  # fits a signed number
+
+    def of_items(batches):
+        for b in batches:
+            words = [hashes(t) for t in b.column(2).to_pylist()]
+            seeds = [np.unique(ngrams(w, least)).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w.view(np.int64) for w in words], _WORDS), pa.array(seeds, _WORDS)], ["item", "item_id", "words", "seeds"])
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    items = written(rows.mapInArrow(of_items, "item long, item_id long, words array<long>, seeds array<long>"), "items")
+
+    def fields(batches):
+        bits = np.zeros(FIELD // 8, np.uint8)
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                bits |= _field(np.array(s or [], np.int64).view(np.uint64))
+        step = 1 << 16
+        yield pa.RecordBatch.from_arrays([pa.array(range(0, len(bits), step), pa.int64()), pa.array([bits[k : k + step].tobytes() for k in range(0, len(bits), step)], pa.binary())], ["at", "bits"])
+
+    # Some tasks' fields, each of fixed size, are united a slice at a time.
+    parts = items.select("seeds").coalesce(16).mapInArrow(fields, "at long, bits binary")
+
+    def united(table: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
+        return pa.table({"at": table.column("at")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    slices = sorted(parts.groupBy("at").applyInArrow(united, "at long, bits binary").collect())
+    held = spark.sparkContext.broadcast(np.frombuffer(b"".join(bytes(r["bits"]) for r in slices) or bytes(FIELD // 8), np.uint8))
+
+    def of_docs(batches):
+        bits = held.value
+        for b in batches:
+            out = []
+            for digest, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = hashes(t)
+                grams = ngrams(words, least)
+                places = np.flatnonzero(_in_field(bits, grams)) if len(grams) else grams
+                if len(places):
+                    out.append((digest, islands(words, places.tolist(), least), np.unique(grams[places]).view(np.int64)))
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), _WORDS, _WORDS), strict=True)], ["digest", "words", "seeds"])
+
+    texts = docs.select(F.sha2(F.col(text), 256).alias("digest"), F.col(text).cast("binary").alias("t")).filter("digest is not null")
+    found = written(texts.mapInArrow(of_docs, "digest string, words array<long>, seeds array<long>"), "probes")
+    # Each text once; the pairs that share a seed, before any words move.
+    seeds = found.select("digest", F.explode("seeds").alias("seed")).distinct()
+    pairs = written(seeds.join(items.select("item", F.explode("seeds").alias("seed")), "seed").select("digest", "item").distinct(), "pairs")
+
+    def tile(batches):
+        for b in batches:
+            out = []
+            for digest, item_id, words, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got = tiles(own, words, least)
+                coverage = sum(n for _, _, n in got) / len(own)
+                if coverage >= threshold:
+                    out.append((digest, item_id, coverage, len(got)))
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["digest", "item_id", "coverage", "tiles"])
+
+    both = pairs.join(found.select("digest", "words").dropDuplicates(["digest"]), "digest").join(items.select("item", "item_id", F.col("words").alias("own")), "item")
+    matches = both.select("digest", "item_id", "words", "own").mapInArrow(tile, "digest string, item_id long, coverage double, tiles long")
+    return matches.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("item_id", "coverage", "tiles"))).alias("matches"))
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, name: str = "matches", text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """``docs`` with a column of the items that contaminate each row; no row is moved."""
+def annotate(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, name: str = "matches", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` with a column of the items that contaminate each row."""
     spark = prepare(docs.sparkSession)
-    out = docs.withColumn(name, F.array().cast(MATCHES))
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > broadcast_bytes:
+        digest = own_column(docs, "digest_of_text")
+        found = _joined(docs, benchmark, threshold, text).select(F.col("digest").alias(digest), F.col("matches").alias(own_column(docs, "found_matches")))
+        marked = docs.withColumn(digest, F.sha2(F.col(text), 256)).join(found, digest, "left")
+        return marked.select(*docs.columns, F.coalesce(found.columns[1], F.array().cast(MATCHES)).cast(MATCHES).alias(name))
+    rows = benchmark.select("item_id", "text").collect()
+    held = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0], x[1] or ""))))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64())]))
     at = docs.columns.index(text)
-    for index in slices(benchmark, text=text, slice_bytes=slice_bytes):
-        held = spark.sparkContext.broadcast(index)
 
-        def run(batches, held=held):
-            for b in batches:
-                got = held.value.batch(b.column(at).cast(pa.binary()).to_pylist(), threshold)
-                before = b.column(b.num_columns - 1).to_pylist()
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x + y for x, y in zip(before, got, strict=True)], kind)], b.schema.names)
+    def run(batches):
+        for b in batches:
+            got = held.value.batch(b.column(at).cast(pa.binary()).to_pylist(), threshold)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], [*b.schema.names, name])
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, MATCHES)]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:

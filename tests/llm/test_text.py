@@ -92,8 +92,9 @@ def test_decontaminate_catches_reordered_items_and_keeps_clean_rows(spark):
     assert set(hits) == {(1, 10), (2, 10), (None, 10), (7, 10)} and hits[2, 10]["tiles"] == 2 and hits[1, 10]["coverage"] == 1
     left = decontaminate.decontaminate(d, bench)
     assert left.columns == d.columns and {x["doc_id"] for x in left.collect()} == {3, 4, 5, 6}
-    many = decontaminate.annotate(d, bench, slice_bytes=10)  # a benchmark in several slices
-    assert {x["doc_id"] for x in many.filter("size(matches) > 0").collect()} == {1, 2, None, 7}
+    for rows_ in (d, d.limit(0)):  # a benchmark that is joined, not broadcast
+        few, many = (decontaminate.annotate(rows_, bench, broadcast_bytes=n) for n in (1 << 20, 10))
+        assert few.columns == many.columns and sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
     assert decontaminate.contaminated(d.limit(0), bench).count() == 0 and decontaminate.contaminated(d, bench.limit(0)).count() == 0
 
 
@@ -107,6 +108,40 @@ def test_decontaminate_folds_case_of_all_letters(spark):
     assert decontaminate.folded_words(b"\xff\xc3\x89 A-b") == [b"\xff\xc3\xa9", b"a", b"b"]
 
 
+def brute_contaminated(docs, items, least=5, threshold=0.5):
+    out = set()
+    for i, t in docs:
+        for k, x in items:
+            p, w = decontaminate.folded_words(x), decontaminate.folded_words(t)
+            if len(p) >= least:
+                got = brute_tiles(p, w, least)
+                if sum(n for *_, n in got) / len(p) >= threshold:
+                    out.add((i, k, sum(n for *_, n in got)))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 10])
+def test_contaminated_matches_brute_force(spark, broadcast_bytes):
+    """Items of few different words, cut and put in another order, in short and in very long texts; repeated rows and clashing names."""
+    r = random.Random(12)
+    words = lambda n, of=60: [r.choice(VOCABULARY[:of]) for _ in range(n)]
+    items = [(k, " ".join(words(r.randrange(3, 40)))) for k in range(12)] + [(3, " ".join(words(20))), (None, " ".join(words(15)))]
+    docs = []
+    for k in range(60):
+        own = r.choice(items)[1].split()
+        cuts = sorted(r.sample(range(len(own) + 1), min(len(own), r.randrange(1, 4))))
+        parts = [own[a:b] for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True)]
+        r.shuffle(parts)
+        docs.append((k, " ".join(w for part in parts if r.random() < 0.8 for w in [*words(r.randrange(6)), *part])))
+    docs += [(900, " ".join(words(4000, 400) + items[5][1].split() + words(4000, 400))), docs[0], (901, docs[1][1]), (902, None), (903, "")]
+    d = spark.createDataFrame([(i, t, "a", 1) for i, t in docs], "doc_id long, text string, matches string, digest_of_text long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    marked = decontaminate.annotate(d, bench, name="hits", broadcast_bytes=broadcast_bytes)
+    got = {(x["doc_id"], m["item_id"]) for x in marked.collect() for m in x["hits"]}
+    assert marked.columns == [*d.columns, "hits"] and marked.count() == len(docs)
+    assert got == {x[:2] for x in brute_contaminated(docs, items)} and len(got) > 20
+
+
 # Jaccard join
 
 
