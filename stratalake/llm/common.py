@@ -19,8 +19,8 @@ from stratalake.scratch import discard, shared_dir, written  # noqa: F401  part
 PACKAGE = Path(__file__).resolve().parents[1]
 #: ASCII white space; ``bytes.split()`` splits on exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Text bytes in one block of documents that a Python task holds at a time.
-BLOCK_BYTES = 16 << 20
+#: Least and most text bytes in one block of documents that a Python task holds at a time; see ``block_bytes``.
+BLOCK_BYTES = 8 << 20, 256 << 20
 _shipped: set[str] = set()
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
 
@@ -56,9 +56,23 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def _bytes(said: str) -> int:
+    """A size as Spark's settings give it: 4g, 512m, bytes."""
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}
+    said = said.strip().lower().removesuffix("b")
+    return int(said[:-1]) << unit[said[-1]] if said[-1:] in unit else int(said)
+
+
+def block_bytes(spark: SparkSession) -> int:
+    """Text bytes of a block: what an executor's cores can hold, so larger executors have fewer blocks."""
+    conf, (least, most) = spark.sparkContext.getConf(), BLOCK_BYTES
+    share = _bytes(conf.get("spark.executor.memory", "1g")) // max(1, int(conf.get("spark.executor.cores", "1")))
+    return max(least, min(most, share // 128))
+
+
 def block_count(docs: DataFrame, column: str = "text") -> int:
-    """Blocks of about ``BLOCK_BYTES`` of text; grows with the input."""
-    return max(1, -(-text_bytes(docs, column) // BLOCK_BYTES))
+    """Blocks of about ``block_bytes`` of text; grows with the input."""
+    return max(1, -(-text_bytes(docs, column) // block_bytes(docs.sparkSession)))
 
 
 def portions(texts: list, most: int = 4 << 20):

@@ -4,7 +4,7 @@ Several operators ask something about a hash that needs all documents: how
 often a word occurs, which window came first.  Moving one row a word or window
 would shuffle many times the input.  Instead
 
-1. each task of a scan cuts its rows into blocks of about ``BLOCK_BYTES`` of
+1. each task of a scan cuts its rows into blocks of about ``block_bytes`` of
    text and sends, for each block, one message to each owner: the block's
    distinct hashes in the owner's range, sorted, as compressed binary;
 2. an owner merges the messages of its range and answers each block;
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import BLOCK_BYTES, discard, filesystem, shared_dir
+from stratalake.llm.common import block_bytes, discard, filesystem, shared_dir
 
 MESSAGE = "owner int, part int, block int, mark long, payload binary"
 ANSWER = "part int, block int, mark long, payload binary"
@@ -46,15 +46,15 @@ class Block:
         self.mark = hash(tuple(-1 if i is None else i for i in ids)) & (2**63 - 1)
 
 
-def blocks(batches, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a task's rows (doc_id, text as binary) into blocks."""
+def blocks(batches, size: int) -> Iterator[Block]:
+    """Cut a task's rows (doc_id, text as binary) into blocks of about ``size`` bytes of text."""
     part, number, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ids.append(i)
             texts.append(t)
             held += len(t or b"") + 64
-            if held >= block_bytes:
+            if held >= size:
                 yield Block(part, number, ids, texts)
                 number, ids, texts, held = number + 1, [], [], 0
     if ids:
@@ -110,8 +110,10 @@ def messages(block: Block, owners: int, hashes: np.ndarray, *more: np.ndarray, b
 def send(docs: DataFrame, owners: int, make: Callable[[Block], Iterator[tuple]]) -> DataFrame:
     """The messages that ``make`` yields for each block of ``scan(docs)``."""
 
+    size = block_bytes(docs.sparkSession)
+
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, size):
             rows = list(make(block))
             if rows:
                 cols = list(zip(*rows, strict=True))

@@ -9,13 +9,17 @@ the same document.
    words holds one of the other place's blocks whole, so probing the index with
    every rolling window of ``ANCHOR`` words misses nothing.  Index and probes
    meet at the owners of hashes as short hash prefixes, a few bits a word.
-2. Hits are extended: every window that holds a hit is looked up by its full
-   hash, and owners name the block of documents where it starts first.  Runs of
-   windows that start earlier elsewhere are the maximal repeats.
+2. Hits are extended to whole repeats: every window that holds a hit is looked
+   up by its full hashes, and owners name the block of documents where it starts
+   first.  Runs of windows that start earlier elsewhere are the maximal repeats;
+   texts never meet, so they are compared by hashes and not word by word.
 3. Words covered by such windows are removed.
 
-A window's identity is a 64-bit hash of its words.  Null text has no words.
-Rows with equal doc_id are ordered by their place in the table; null ids last.
+A window's identity is two 64-bit hashes of its words' 64-bit hashes.  Null and
+empty texts have no words; texts of any length are taken whole.  Rows with equal
+doc_id, repeated rows too, are ordered by their place in the table; null ids
+come last.  Columns other than doc_id and text aren't read, whatever their
+names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stratalake.llm import exchange
-from stratalake.llm.common import BLOCK_BYTES, HASHES, block_count, ngrams, prepare, scramble, words_of
+from stratalake.llm.common import HASHES, block_bytes, block_count, ngrams, prepare, scramble, words_of
 
 WINDOW = 20
 ANCHOR = 10
@@ -60,14 +64,21 @@ def _anchors(w: Words, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     return at, ngrams(w.hashes, anchor)[at] if len(at) else np.empty(0, np.uint64)
 
 
-def _long(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of windows, from those of their two halves (which overlap if ``window`` is odd)."""
+def _long(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of windows and two 64-bit hashes of each, from those of their two halves (which overlap if ``window`` is odd)."""
     at = w.windows(window)
     if not len(at):
-        return at, np.empty(0, np.uint64)
-    half = -(-window // 2)
-    h = ngrams(w.hashes, half)
-    return at, scramble(scramble(h[at]) + np.uint64(0x9E3779B97F4A7C15) * h[at + window - half])
+        return at, np.empty(0, np.uint64), np.empty(0, np.uint64)
+    half, out = -(-window // 2), []
+    for words in (w.hashes, scramble(w.hashes + np.uint64(0xD1B54A32D192ED03))):
+        h = ngrams(words, half)
+        out.append(scramble(scramble(h[at]) + np.uint64(0x9E3779B97F4A7C15) * h[at + window - half]))
+    return at, *out
+
+
+def _firsts(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The first of each run of equal windows in arrays that are sorted by both hashes."""
+    return np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])] if len(h) else np.empty(0, bool)
 
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, owners: int | None = None):
@@ -76,7 +87,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ow
         raise ValueError("a window must hold a whole anchor at any place")
     owners = owners or block_count(docs)
     # Prefixes long enough that of 2**8 windows that occur once about one is taken for a hit.
-    bits = min(64, (max(1, owners * BLOCK_BYTES // 4)).bit_length() + 8)
+    bits = min(64, (max(1, owners * block_bytes(docs.sparkSession) // 4)).bit_length() + 8)
     cut = np.uint64(64 - bits)
 
     def probes(block):
@@ -119,43 +130,44 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ow
         hit = np.zeros(w.total + 1, np.int64)
         hit[at[keys[near] == h] + 1] = 1
         before = np.cumsum(hit)  # hits that start before a place
-        at, h = _long(w, window)
+        at, h, g = _long(w, window)
         holds = before[at + window - anchor + 1] > before[at]
-        h, first = np.unique(h[holds], return_index=True)  # places are in order, so this is each window's first
-        at = at[holds][first]
+        at, h, g = at[holds], h[holds], g[holds]
+        order = np.lexsort((g, h))  # stable, and places are in order, so the first of equals is each window's first
+        order = order[_firsts(h[order], g[order])]
+        at = at[order]
         doc = w.doc[at]
-        yield from exchange.messages(block, owners, h, w.ids[doc], (at - w.starts[doc]).astype(np.int64))
+        yield from exchange.messages(block, owners, h[order], g[order], w.ids[doc], (at - w.starts[doc]).astype(np.int64))
 
     def later(got):
-        h = np.concatenate([x[3][0] for x in got])
-        ids, place = np.concatenate([x[3][1] for x in got]), np.concatenate([x[3][2] for x in got])
+        h, g, ids, place = (np.concatenate([x[3][k] for x in got]) for k in range(4))
         size = [len(x[3][0]) for x in got]
         source = np.repeat(np.arange(len(got)), size)
         part = np.array([x[0] for x in got])[source]
         number = np.array([x[1] for x in got])[source]
         # A doc_id that rows share goes by the rows' place in the table.
-        order = np.lexsort((place, number, part, ids, h))
-        first = np.r_[True, np.diff(h[order]) > 0]
+        order = np.lexsort((place, number, part, ids, g, h))
         lost = np.zeros(len(h), bool)
-        lost[order[~first]] = True
+        lost[order[~_firsts(h[order], g[order])]] = True
         at = 0
-        for (p, n, mark, (k, _, _)), s in zip(got, size, strict=True):
+        for (p, n, mark, (k, other, _, _)), s in zip(got, size, strict=True):
             mine = lost[at : at + s]
             at += s
             if mine.any():
-                yield p, n, mark, exchange.pack(k[mine])
+                yield p, n, mark, exchange.pack(k[mine], other[mine])
 
     return exchange.Answers(exchange.answer(exchange.send(docs, owners, candidates), later), "repeats", owners), anchored
 
 
-def covered(w: Words, lost: np.ndarray, window: int) -> np.ndarray:
-    """Which words of a block are removed; ``lost``: sorted hashes of windows that start earlier in another block."""
-    at, h = _long(w, window)
-    repeat = np.ones(len(h), bool)
-    repeat[np.unique(h, return_index=True)[1]] = False  # all but a window's first start in this block
-    if len(lost) and len(h):
-        near = np.minimum(np.searchsorted(lost, h), len(lost) - 1)
-        repeat |= lost[near] == h
+def covered(w: Words, lost: list[np.ndarray], window: int) -> np.ndarray:
+    """Which words of a block are removed; ``lost``: both hashes of windows that start earlier in another block."""
+    at, h, g = _long(w, window)
+    # The lost windows come before the block's own, so of equals only a block's first window that isn't lost stays.
+    every, other = np.concatenate([lost[0], h]), np.concatenate([lost[1], g])
+    order = np.lexsort((other, every))
+    repeat = np.ones(len(every), bool)
+    repeat[order[_firsts(every[order], other[order])]] = False
+    repeat = repeat[len(lost[0]) :]
     change = np.zeros(w.total + 1, np.int64)
     np.add.at(change, at[repeat], 1)
     np.add.at(change, at[repeat] + window, -1)
@@ -171,13 +183,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     answers, anchored = find_repeats(docs, window, anchor)
     anchored.discard()
     read = answers.reader()
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts
+    names, size = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts, block_bytes(docs.sparkSession)
 
     def run(batches):
-        for block in exchange.blocks(batches):
+        for block in exchange.blocks(batches, size):
             w = Words(block)
-            found = [x[0] for x in read(block)]
-            gone = covered(w, np.sort(np.concatenate(found)) if found else np.empty(0, np.uint64), window)
+            found = read(block)
+            gone = covered(w, [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.uint64)] * 2, window)
             rows = []
             for k, words, a, b in zip(w.order, w.words, w.starts.tolist(), w.ends.tolist(), strict=True):
                 out = gone[a:b]
