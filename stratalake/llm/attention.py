@@ -164,11 +164,13 @@ class Attention:
         ds = w * (dw - (d3 * out).sum(2, keepdims=True)) * _F(KEY**-0.5)
         dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
         g["qp"][WIDTH - STRIDE :], g["kp"] = dq.sum(0), dk.sum(0)
-        for name, at, d in (("q", last, dq), ("k", keys, dk), ("v", keys, dv), ("e", last, d3)):
+        for at, of in ((last, {"q": dq, "e": d3}), (keys, {"k": dk, "v": dv})):  # one sort of ids for two tables
             flat = at.reshape(-1)
             order = np.argsort(flat, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
-            g[name][flat[order][cuts]] = np.add.reduceat(d.reshape(len(flat), -1)[order], cuts, axis=0)
+            found = flat[order]
+            cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+            for name, d in of.items():
+                g[name][found[cuts]] = np.add.reduceat(d.reshape(len(flat), -1)[order], cuts, axis=0)
         return float(loss) / n, g
 
 

@@ -6,7 +6,7 @@ end.  Training documents are those that ``held_out`` doesn't name.
 * Word counts over all training documents are gathered by the owners of word
   hashes (``exchange``), and each block of documents gets the counts of its own
   words, so the vocabulary, which grows with the input, is in no one place.
-  They give the base score and the second part of the model.
+  They give the base score and the second part of ``mixed_score``.
 * The attention model (``attention``) works on subword ids: those of a public
   byte-level vocabulary that are most frequent in all training documents
   (``subword_counts``); other ids fall back to their bytes, so every text has ids.
@@ -15,11 +15,16 @@ end.  Training documents are those that ``held_out`` doesn't name.
   training document once, on the executors: in each of ``ROUNDS`` rounds every
   task trains a copy on its share of the round's documents, and the mean of the
   copies, weighted by their ids, begins the next round.
-* The model's probability of a word is ``MIX`` times the product over its ids
-  plus, for words of the training documents, 1 - ``MIX`` times their share of
-  all training tokens.
-
-Null and empty texts have the end alone.  A row without doc_id is training text.
+* ``score`` is the attention model's log10 probability of the text: the sum over
+  its ids.  ``mixed_score`` takes for a word ``MIX`` times the product over its
+  ids plus, for words of the training documents, 1 - ``MIX`` times their share
+  of all training tokens.
+
+Null and empty texts have the end alone; texts of any length are scored whole.
+A row without doc_id is training text.  Repeated rows count as often as they
+occur, get equal scores, and share a fold with all rows of their doc_id.  Other
+columns of ``docs``, whatever their names, aren't read.  Without training text
+the model is its start and no word is known; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 
 from stratalake.llm import exchange
 from stratalake.llm.attention import CLASSES, MEMBERS, Adam, Attention, learn, train
-from stratalake.llm.common import block_count, lower_words, prepare
+from stratalake.llm.common import block_bytes, block_count, lower_words, prepare
 
 TRAIN_DOCS = 1500
 TRAIN_IDS = 1_500_000
@@ -124,11 +129,11 @@ def _training() -> Column:
 
 def subword_counts(docs: DataFrame, ranks: bytes, pattern: str) -> dict[int, int]:
     """How often each public id occurs in all training documents; bounded by the public vocabulary."""
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    held, size = docs.sparkSession.sparkContext.broadcast(ranks), block_bytes(docs.sparkSession)
 
     def run(batches):
         subwords, counts = Subwords.of(held.value, pattern, None), collections.Counter()
-        for block in exchange.blocks(batches):
+        for block in exchange.blocks(batches, size):
             words = collections.Counter()
             for t in block.texts:
                 words.update(lower_words(t))
@@ -148,13 +153,13 @@ def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
 def learned(docs: DataFrame, ranks: bytes, pattern: str, chosen: list[int], weights: dict[str, np.ndarray], number: int, rounds: int) -> dict[str, np.ndarray]:
     """The weights after one round: the mean of the copies that tasks train on their training documents of the round."""
     held = docs.sparkSession.sparkContext.broadcast((ranks, chosen, weights))
-    rate = RATE * (1 - number / rounds)
+    rate, size = RATE * (1 - number / rounds), block_bytes(docs.sparkSession)
 
     def run(batches):
         ranks, chosen, weights = held.value
         subwords, model, n, part = Subwords.of(ranks, pattern, chosen), Attention({k: x.copy() for k, x in weights.items()}), 0, 0
         adam = Adam(model)
-        for block in exchange.blocks(batches):
+        for block in exchange.blocks(batches, size):
             streams = [subwords.stream(lower_words(t)) for t in block.texts]
             sizes = np.array([len(x) for x in streams], np.int64)
             learn(model, adam, np.concatenate(streams), np.cumsum(sizes) - sizes, sizes - 1, rate, seed=block.number)
@@ -242,27 +247,27 @@ def word_counts(docs: DataFrame, owners: int) -> tuple[exchange.Answers, int, in
             at += len(k)
 
     answers = exchange.Answers(exchange.answer(exchange.send(docs, owners, make), own), "counts", owners)
-    sums = docs.sparkSession.read.parquet(answers.path).filter("part < 0").groupBy("part").agg(F.sum("mark").alias("n")).collect()
+    sums = docs.sparkSession.read.schema(exchange.ANSWER).parquet(answers.path).filter("part < 0").groupBy("part").agg(F.sum("mark").alias("n")).collect()
     found = {r["part"]: r["n"] for r in sums}
     return answers, found.get(-1, 0), found.get(-2, 0)
 
 
 def score(docs: DataFrame, ranks_path: str, pattern: str, mix: float = MIX) -> DataFrame:
-    """One row per row of ``docs`` (a plain table of files): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per row of ``docs`` (a plain table of files): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score."""
     spark = prepare(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         ranks = f.read()
     answers, total, distinct = word_counts(docs, block_count(docs))
     read = answers.reader()
     held = spark.sparkContext.broadcast((ranks, *fit(docs, ranks, pattern)))
-    divisor = total + _ADD * (distinct + 1)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    divisor, size = total + _ADD * (distinct + 1), block_bytes(spark)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
     def run(batches):
         ranks, chosen, weights = held.value
         subwords, model = Subwords.of(ranks, pattern, chosen), Attention(weights)
-        for block in exchange.blocks(batches):
+        for block in exchange.blocks(batches, size):
             texts = [lower_words(t) for t in block.texts]
             unique = {w: k for k, w in enumerate({*itertools.chain.from_iterable(texts)}, 1)}
             vocabulary = [_END, *unique]
@@ -275,8 +280,8 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, mix: float = MIX) -> D
             known = c > 0
             share = np.where(known, (c + _ADD) / divisor, 0.0)
             pieces = [np.zeros(1, np.uint16), *(np.frombuffer(subwords.ids(w), np.uint16) for w in unique)]
-            size = np.array([len(p) for p in pieces], np.int64)
-            flat, begin = np.concatenate(pieces), np.cumsum(size) - size
+            length = np.array([len(p) for p in pieces], np.int64)
+            flat, begin = np.concatenate(pieces), np.cumsum(length) - length
             # Documents of the block in groups, for the memory of ids and scores.
             at = 0
             while at < len(texts):
@@ -290,7 +295,7 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, mix: float = MIX) -> D
                 own = np.ones(len(words), bool)
                 own[ends - 1] = False
                 words[own] = np.fromiter(map(unique.__getitem__, itertools.chain.from_iterable(texts[at:end])), np.int64, len(words) - len(lengths))
-                w_size = size[words]
+                w_size = length[words]
                 w_start = np.cumsum(w_size) - w_size
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 # Each document: 0 (start), ids of its words, 0 (end).
@@ -307,9 +312,9 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, mix: float = MIX) -> D
                 cut = ends - lengths
                 columns = [
                     block.ids[at:end], [is_held_out(i) for i in block.ids[at:end]], lengths, np.add.reduceat(known[words].astype(np.int64), cut),
-                    np.full(len(lengths), total), np.add.reduceat(base[words], cut), np.add.reduceat(value, cut),
+                    np.full(len(lengths), total), np.add.reduceat(base[words], cut), np.add.reduceat(each, cut) / np.log(10), np.add.reduceat(value, cut),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
                 at = end
 
-    return exchange.scan(docs).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return exchange.scan(docs).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double")

@@ -358,6 +358,35 @@ def test_each_id_is_scored_with_sixteen_ids_before_it():
         assert score(changed)[at] != before[at], at
 
 
+def plain_scores(p, ids):
+    """Log probability of each id but the first, by attention written out for one place after another, a window cut for each."""
+    out = [0.0]
+    for at in range(1, len(ids)):
+        first = (at - 1) // attention.STRIDE * attention.STRIDE + attention.STRIDE - attention.WIDTH  # where the window of this place begins
+        seen = range(max(0, first), at)
+        q = p["q"][ids[at - 1]] + p["qp"][at - 1 - first]
+        s = np.array([q @ (p["k"][ids[j]] + p["kp"][j - first]) * attention.KEY**-0.5 for j in seen])
+        w = np.exp(s - s.max())
+        mixed = (w / w.sum()) @ np.array([p["v"][ids[j]] for j in seen])
+        h = np.maximum(mixed + p["e"][ids[at - 1]] + p["b"], 0)
+        cls, member = divmod(int(ids[at]), attention.MEMBERS)
+        of_class, of_member = h @ p["wc"] + p["bc"], h @ p["wm"][cls] + p["bm"][cls]
+        out.append(of_class[cls] - np.log(np.exp(of_class).sum()) + of_member[member] - np.log(np.exp(of_member).sum()))
+    return np.array(out)
+
+
+def test_windows_match_plain_attention():
+    r = np.random.default_rng(7)
+    model = attention.Attention.start(r.random(2048) + 0.1)
+    lengths = np.array([1, 47, 48, 49, 150, 0 + 2])
+    sizes = lengths + 1
+    starts = np.cumsum(sizes) - sizes
+    ids = r.integers(0, 2048, int(sizes.sum())).astype(np.uint16)
+    got = model.score(ids, starts, lengths, at_once=4)
+    weights = {k: x.astype(np.float64) for k, x in model.p.items()}
+    assert np.allclose(got, np.concatenate([plain_scores(weights, ids[a : a + n]) for a, n in zip(starts, sizes, strict=True)]), atol=1e-3)
+
+
 def test_gradient_against_differences(monkeypatch):
     monkeypatch.setattr(attention, "_F", np.float64)
     ids, starts, lengths = np.random.default_rng(0).integers(0, 2048, 120).astype(np.uint16), np.array([0, 50]), np.array([49, 69])
@@ -393,6 +422,17 @@ def test_lm_scores(spark):
         x = got[i]
         assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (len(w), sum(y in counts for y in w), n) and abs(x["base_score"] - base) < 1e-6 * abs(base)
         assert x["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 10 == 0) and np.isfinite(x["score"]) and x["score"] < 0
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    chosen, weights = lm_score.fit(d, ranks, P.PATTERN)  # deterministic, so the same model
+    subwords = lm_score.Subwords(ranks, P.PATTERN, chosen)
+    for i in (3, 900, None, 903):
+        text = subwords.stream(lower_words(dict(rows)[i])).astype(np.int64)[:3000]
+        if i != 903:
+            assert abs(got[i]["score"] - plain_scores(weights, text).sum() / np.log(10)) < 1e-3 * max(1, abs(got[i]["score"]))
+    again = spark.createDataFrame([(k, "the stone", "x") for k in (5, 5, 15)] + [(5, "the stone", "x")], "doc_id long, text string, score string")
+    assert len({tuple(x)[1:] for x in lm_score.score(written(again, "docs"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect() if x["doc_id"] == 5}) == 1
+    assert lm_score.score(table(spark, []), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
     held = [x for x in got.values() if x["held_out"] and x["n_tokens"] > 5 and x["doc_id"] < 900]
     assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held) * 1.2
 
