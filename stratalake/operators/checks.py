@@ -73,7 +73,10 @@ def digits_violation(c: Column, precision: int, scale: int) -> Column:
 
 
 def row_checks(table: TableSpec, df: DataFrame, meanings: dict[tuple[str, str], Meaning] | None = None, expected: int | None = None, at_least: bool = False, kinds: set[str] | None = None) -> DataFrame:
-    """Counts of V1 to V6, V9 and V12, or of some ``kinds`` of them, in one pass."""
+    """Counts of V1 to V6, V9 and V12, or of some ``kinds`` of them, in one pass.
+
+    The sample is the violation in the row with the smallest primary key (``key: value``), or the smallest value where no key is there.
+    """
     found: list[tuple[str, str, str, Column]] = []  # check, columns, severity, predicate
     present = {c.lower(): c for c in df.columns}
     types = {f.name: f.dataType for f in df.schema}
@@ -99,8 +102,16 @@ def row_checks(table: TableSpec, df: DataFrame, meanings: dict[tuple[str, str],
         if check.supported and check.column and check.column.lower() in present:
             found.append(("check", check.column, ERROR, ~check_holds(F.col(present[check.column.lower()]), check.op, check.values)))
     found = [x for x in found if kinds is None or x[0] in kinds]
-    total = df.agg(F.count(F.lit(1)).alias("_rows"), *(F.count_if(p).alias(f"v{k}") for k, (*_, p) in enumerate(found)))
-    rows = [row(check, table.name, columns, severity, F.col(f"v{k}")) for k, (check, columns, severity, _) in enumerate(found)]
+    keys = [present[k.lower()] for k in table.primary_key if k.lower() in present]
+
+    def first(columns: str, p: Column) -> Column:
+        shown = F.coalesce(F.col(present[columns.lower()]).cast("string"), F.lit("null"))
+        return F.min(F.when(p, F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), shown.alias("shown"))))
+
+    counts = [x for k, (_, columns, _, p) in enumerate(found) for x in (F.count_if(p).alias(f"v{k}"), first(columns, p).alias(f"s{k}"))]
+    total = df.agg(F.count(F.lit(1)).alias("_rows"), *counts)
+    said = lambda k: F.concat(F.concat_ws(", ", *(F.coalesce(F.col(f"s{k}.k{i}").cast("string"), F.lit("null")) for i in range(len(keys)))), F.lit(": " if keys else ""), F.col(f"s{k}.shown"))
+    rows = [row(check, table.name, columns, severity, F.col(f"v{k}"), said(k)) for k, (check, columns, severity, _) in enumerate(found)]
     if expected is not None:
         bad = F.col("_rows") < expected if at_least else F.col("_rows") != expected
         rows.insert(0, row("row_count", table.name, "*", ERROR, bad.cast("long"), F.format_string(f"{expected} expected, %d found", "_rows")))
