@@ -157,7 +157,7 @@ def sets(docs: DataFrame, n: int, percent: int, ranked: np.ndarray) -> DataFrame
 
 def _postings(owners: int, frequent: np.ndarray, about: np.ndarray):
     """Messages (owner, payload of tokens, ids and sizes); frequent tokens go to several owners, others to the one of their range."""
-    frequent = frequent[about > OWNED]
+    frequent = scramble(frequent[about > OWNED])
     order = np.argsort(frequent)
     frequent, salts = frequent[order], (about[about > OWNED] // OWNED + 1).astype(np.uint64)[order]
 
@@ -166,7 +166,8 @@ def _postings(owners: int, frequent: np.ndarray, about: np.ndarray):
         size = 0
 
         def flush():
-            tokens = np.concatenate([x[0] for x in held])
+            # Prefixes are the smallest hashes; scrambled, they spread over all owners.
+            tokens = scramble(np.concatenate([x[0] for x in held]))
             ids = np.repeat(np.array([x[1] for x in held], np.int64), [len(x[0]) for x in held])
             ns = np.repeat(np.array([x[2] for x in held], np.int32), [len(x[0]) for x in held])
             salt = np.zeros(len(tokens), np.uint64)
@@ -197,7 +198,7 @@ def _postings(owners: int, frequent: np.ndarray, about: np.ndarray):
 
 def _lists(percent: int, frequent: np.ndarray, about: np.ndarray):
     """An owner's lists as (tile, class, size): each class once a tile."""
-    frequent = np.sort(frequent[about > OWNED])
+    frequent = scramble(frequent[about > OWNED])
 
     def run(table: pa.Table) -> pa.Table:
         got = [exchange.unpack(p) for p in table.column("payload").to_pylist()]
