@@ -12,7 +12,16 @@ score alike; empty and null texts have the bias alone.
 
 Training reads a bounded sample of labelled rows (``TRAIN_ROWS``, the rows
 with the smallest hash of doc_id) and runs on the driver; weights take a fixed
-4 MB and are broadcast.  Scoring is a sparse dot product a text.
+4 MB and are broadcast.  Scoring is a sparse dot product a text.  Whole texts
+become features on the executors, so the driver gets slots and values of sampled
+rows alone, ``2**BITS`` a row at most.
+
+Rows are scored one by one: equal texts score alike, and repeated rows and ids
+stay as often as they occur.  A doc_id with several labels has the largest; of
+rows that share a labelled doc_id the one with the smallest text is learned
+from.  Rows without doc_id are never learned from; texts of any length count whole.
+Other columns, whatever their names, stay as they are.  Without labelled rows
+every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import HASHES, ngrams, prepare, scramble, words_of
+from stratalake.llm.common import HASHES, ngrams, own_column, prepare, scramble, words_of
 
 BITS = 20
 #: The most labelled rows that training reads.
@@ -82,13 +91,13 @@ class Ftrl:
         self.n[slots] += g * g
 
 
-def train(sample: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
-    """Weights, the bias last, from (text, label) rows."""
+Row = tuple[np.ndarray, np.ndarray, int]
+
+
+def train(sample: list[Row], epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
+    """Weights, the bias last, from (slots, values, label) rows."""
     size = 1 << BITS
-    rows = []
-    for text, label in sample:
-        slots, values = features(text)
-        rows.append((np.append(slots, size), np.append(values, np.float32(1)), label))
+    rows = [(np.append(slots, size), np.append(values, np.float32(1)), label) for slots, values, label in sample]
     model, order = Ftrl(size + 1), np.random.default_rng(seed)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
@@ -96,15 +105,26 @@ def train(sample: list[tuple[str | None, int]], epochs: int = EPOCHS, seed: int
     return model.weights().astype(np.float32)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, label: str = "quality") -> list[tuple[str | None, int]]:
-    """At most ``limit`` labelled rows outside the held-out fifth, by hash of doc_id."""
+def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, label: str = "quality") -> list[Row]:
+    """Features and labels of at most ``limit`` labelled rows outside the held-out fifth, by hash of doc_id; in order of doc_id."""
+    prepare(docs.sparkSession)
+    mark = own_column(docs, "label_of_row")
     chosen = (
-        labels.select("doc_id", F.col(label).alias("_label")).filter("_label is not null and doc_id is not null")
-        .groupBy("doc_id").agg(F.max("_label").alias("_label"))
+        labels.select("doc_id", F.col(label).alias(mark)).filter(F.col(mark).isNotNull() & F.col("doc_id").isNotNull())
+        .groupBy("doc_id").agg(F.max(mark).alias(mark))
         .filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label").collect()
-    return [(r["text"], r["_label"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max(mark).cast("int").alias("label"))
+
+    def run(batches):
+        for b in batches:
+            got = [features(t) for t in b.column(1).to_pylist()]
+            cols = [pa.array([s.astype(np.int32) for s, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(2)], ["doc_id", "slots", "values", "label"])
+
+    got = rows.mapInArrow(run, "doc_id long, slots array<int>, values array<float>, label int").toArrow().sort_by("doc_id")
+    return [(np.array(s, np.int64), np.array(v, np.float32), y) for s, v, y in zip(*(got.column(c).to_pylist() for c in ("slots", "values", "label")), strict=True)]
 
 
 def held_out(doc_id):
@@ -119,7 +139,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str, text: str = "text",
     """The columns ``keep`` of every row and its score in 0..1."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(*keep, F.col(text).cast("binary").alias("_bytes"))
+    rows = docs.select(*keep, F.col(text).cast("binary").alias(own_column(docs, "bytes_of_text")))
     schema = docs.select(*keep).withColumn(name, F.lit(0.0)).schema
 
     def run(batches):
@@ -136,7 +156,5 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str, text: str = "text",
 
 def filter_quality(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
-    columns, name = docs.columns, "score"
-    while name.lower() in {c.lower() for c in columns}:
-        name = "_" + name
+    columns, name = docs.columns, own_column(docs, "score")
     return score(docs, weights, *columns, name=name).filter(F.col(name) >= threshold).drop(name)
