@@ -12,6 +12,10 @@ of all non-ASCII bytes; words are joined by one space.
 
 Null and empty texts have no words, no labels and score 0.  The score is the
 best certainty of any label: 1 for an exact phrase, 1 - edits / (k + 1) else.
+Rows are taken one by one, so repeated rows and ids give repeated results, and
+texts of any length are searched whole; of matches that overlap the one with
+the fewest edits counts, of equals the first.  Columns other than the id and the
+text aren't read, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,7 +81,7 @@ class Scanner:
         self.base = [(f" {phrase} ".encode(), label) for phrase, label in base.items()]
         self.notices = notices
         self.patterns = [regex.compile(rf"(?b)(?<=\s)(?:{regex.escape(n)}){{e<={k}}}(?=\s)") for n, _, k in notices]
-        # The rarest way to ask first: a text without any piece of 4 or more characters in a row needs no more.
+        # Each piece with the notices and places that it may stand for.
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (notice, _, k) in enumerate(notices):
             for at, piece in pieces(notice, k):
@@ -105,11 +109,7 @@ class Scanner:
         return sorted(out)
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """For each notice the windows that an intact piece points at, merged; a match within k edits lies in one.
-
-        Two or more pieces of a notice of nine or more pieces' length are not
-        asked for: one is enough, so no match is lost.
-        """
+        """For each notice the windows that an intact piece points at, merged; a match within k edits lies in one."""
         out: dict[int, list[list[int]]] = {}
         for end, (length, uses) in self.seeds.iter(text):
             for i, at in uses:

@@ -285,6 +285,26 @@ def test_fuzzy_search_finds_all_notices_within_their_edits():
                 assert label in {x[3] for x in found}, (notice, text)
 
 
+def test_notices_with_too_many_edits_get_no_label(spark):
+    """One edit more than a notice may have, spread over it; and rows that repeat, very long texts, clashing names."""
+    r = random.Random(21)
+    rows = []
+    for notice, label, k in licenses.NOTICES:
+        at = [j for j in range(1, len(notice) - 1) if " " not in notice[j - 1 : j + 2]]
+        for _ in range(5):
+            s = list(notice)
+            for j in r.sample(at, k + 1):
+                s[j] = "0"
+            near = [x for x, _, m in licenses.NOTICES if any(edits(x, part) <= m for part in ("".join(s), *("".join(s)[a:b] for a in range(len(s)) for b in range(a + len(x) - m, min(len(s), a + len(x) + m) + 1))))]
+            if not near and edits(notice, "".join(s)) == k + 1:
+                rows.append((len(rows), "".join(s)))
+    rows += [rows[0], (900, "filler " * 60_000 + "mit license"), (900, "filler " * 60_000 + "mit license")]
+    d = spark.createDataFrame([(i, t, "l") for i, t in rows], "doc_id long, text string, labels string")
+    got = licenses.scan(d).collect()
+    assert len(got) == len(rows) > 30 and {x["labels"] for x in got if x["doc_id"] != 900} == {""}
+    assert [(x["first_word"], x["labels"], x["score"]) for x in got if x["doc_id"] == 900] == [(60_000, "mit", 1.0)] * 2
+
+
 def test_fuzzy_search_finds_adjacent_notices():
     scanner = licenses.Scanner()
     for notice, label, k in licenses.NOTICES:
@@ -312,12 +332,74 @@ def test_quality_learns_and_filters(spark):
     held = [i for i, _ in good + bad if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(held) > 40 and all((got[i] >= 0.3) == (i < 1000) for i in held) and all(0 <= s <= 1 for s in got.values()) and len(got) == 403
     sample = quality.training_sample(d, labels, limit=50)
-    assert len(sample) == 50 and not {t for t, _ in sample} & {t for i, t in good + bad if i in set(held)}
+    out = {tuple(quality.features(t)[0].tolist()) for i, t in good + bad if i in set(held)}
+    assert len(sample) == 50 and not {tuple(s.tolist()) for s, _, _ in sample} & out
     kept = quality.filter_quality(d, weights)
     assert kept.columns == d.columns and all((x["doc_id"] or 0) < 1000 or x["doc_id"] > 4999 for x in kept.collect())
     assert quality.score(d.limit(0), weights, "doc_id").count() == 0
 
 
+def plain_features(text):
+    """Features as a dict, counted one by one."""
+    words = words_of(text)
+    shape = lambda w: re.sub(r"[0-9]+", "0", re.sub("(?:[a-z]|[\u00df-\uffff])+", "a", re.sub("[A-Z\u00c0-\u00de]+", "A", w.decode())))
+    hash_of = lambda x: np.array([jaccard.HASHES[x]], np.uint64)
+    keys = []
+    for w in words:
+        keys += [quality.scramble(hash_of(w)), quality.scramble(hash_of(b"\x00shape " + shape(w).encode()) + np.uint64(1))]
+    for a, b in itertools.pairwise(words):
+        keys.append(quality.ngrams(np.concatenate([hash_of(a), hash_of(b)]), 2))
+        keys.append(quality.ngrams(np.concatenate([hash_of(b"\x00shape " + shape(x).encode()) for x in (a, b)]), 2))
+        if a == b:
+            keys.append(np.array([0x5EED], np.uint64))
+    counts = {}
+    for k in keys:
+        slot = int(k[0]) >> (64 - quality.BITS)
+        counts[slot] = counts.get(slot, 0) + 1
+    length = sum(np.log1p(n) ** 2 for n in counts.values()) ** 0.5
+    return {slot: float(np.log1p(n)) / length for slot, n in counts.items()}
+
+
+def test_quality_matches_plain_ftrl(spark):
+    """Features, every step of training and every score again, with dicts and loops alone."""
+    r = random.Random(17)
+    word = lambda: r.choice([r.choice(VOCABULARY), r.choice(VOCABULARY).upper(), "Été", "a-b9", "x1y22"])
+    rows = [(k, " ".join(word() for _ in range(r.randrange(1, 30)))) for k in range(60)] + [(60, "same same same"), (61, ""), (62, None), (63, "w1 " * 5000)]
+    labels = [(i, r.randrange(2)) for i, _ in rows] + [(5, 0), (None, 1), (3, None)]
+    d = table(spark, [*rows, rows[7], (None, "w1")])
+    weights = quality.fit(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            known[i] = max(y, known.get(i, 0))
+    sample = [({**plain_features(dict(rows)[i]), "bias": 1.0}, known[i]) for i in sorted(known)]
+    z, n, alpha, beta, l1, l2 = {}, {}, 0.3, 1.0, 0.02, 0.1
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= l1 else -(z[k] - np.sign(z[k]) * l1) / ((beta + n[k] ** 0.5) / alpha + l2)
+    order = np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        for k in order.permutation(len(sample)):
+            x, y = sample[k]
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + np.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - y) * v
+                sigma = ((n.get(f, 0.0) + g * g) ** 0.5 - n.get(f, 0.0) ** 0.5) / alpha
+                z[f], n[f] = z.get(f, 0.0) + g - sigma * w[f], n.get(f, 0.0) + g * g
+    got = quality.score(d, weights, "doc_id").collect()
+    assert len(got) == len(rows) + 2
+    for x in got:
+        text = dict(rows).get(x["doc_id"], "w1")
+        plain = 1 / (1 + np.exp(-weight("bias") - sum(weight(f) * v for f, v in plain_features(text).items())))
+        assert abs(x["score"] - plain) < 1e-4, text
+
+
+def test_quality_without_labels_and_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a b", "s", "m"), (1, "a b", "s", "m")], "doc_id long, text string, score string, label_of_row string")
+    weights = quality.fit(d, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {x["s"] for x in quality.score(d, weights, "doc_id", name="s").collect()} == {0.5} and quality.filter_quality(d, weights).columns == d.columns
+    assert quality.filter_quality(d, weights).count() == 2
+
+
 # Language model
 
 
