@@ -41,6 +41,36 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
         assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).columns == columns
 
 
+ODD = "doc_id long, text string, _id string, label_of_row string, matches string, gone string, component_id string, score string, digest string"
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, clashing names and empty tables through every stage."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    text = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
+    item, plain, long = text(30), text(80), text(30_000)
+    rows = [(1, None), (2, ""), (3, " "), (4, plain), (4, plain), (5, plain), (None, plain), (None, None), (6, long), (7, item), (8, f"{long} {item}"), (9, plain + " tail")]
+    d = spark.createDataFrame([(*x, *"abcdefg") for x in rows], ODD)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, None, 0), (None, 1, 0), (5, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda x: (x is None, x)
+    left = lambda name: sorted((x["doc_id"] for x in dict(corpus_pipeline.STAGES)[name](spark, d, str(tmp_path)).collect()), key=key)
+    every = sorted((i for i, _ in rows), key=key)
+    assert left("quality_classifier") == every  # one label: nothing speaks against any row
+    assert left("exact_duplicates") == [1, 3, 4, 6, 7, 8, 9]
+    assert left("near_duplicates") == [1, 2, 3, 4, 4, 6, 7, None, None]
+    assert left("benchmark_decontamination") == [1, 2, 3, 4, 4, 5, 6, 9, None, None]
+    assert left("byte_level_bpe") == every
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, d, str(tmp_path)).columns == d.columns, name
+        nothing = stage(spark, spark.read.schema(ODD).parquet(f"{tmp_path}/documents.parquet").limit(0), str(tmp_path))
+        assert nothing.columns == d.columns and nothing.count() == 0, name
+
+
 def test_entry_lives_without_this_subpackage(tmp_path):
     import shutil
 

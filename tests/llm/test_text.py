@@ -296,7 +296,7 @@ def test_notices_with_too_many_edits_get_no_label(spark):
             for j in r.sample(at, k + 1):
                 s[j] = "0"
             near = [x for x, _, m in licenses.NOTICES if any(edits(x, part) <= m for part in ("".join(s), *("".join(s)[a:b] for a in range(len(s)) for b in range(a + len(x) - m, min(len(s), a + len(x) + m) + 1))))]
-            if not near and edits(notice, "".join(s)) == k + 1:
+            if not near and edits(notice, "".join(s)) == k + 1 and not any(phrase in "".join(s) for phrase in licenses.BASE):
                 rows.append((len(rows), "".join(s)))
     rows += [rows[0], (900, "filler " * 60_000 + "mit license"), (900, "filler " * 60_000 + "mit license")]
     d = spark.createDataFrame([(i, t, "l") for i, t in rows], "doc_id long, text string, labels string")
