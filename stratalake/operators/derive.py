@@ -37,8 +37,8 @@ def calculate(df: DataFrame) -> DataFrame:
         elif "margin" in parts and (r := _first(df, "revenue", "revenue")) and (k := _first(df, "cost", "cost")):
             value = F.col(r) - F.col(k)
         elif "delay" in parts and parts & {"minute", "minutes"}:
-            actual = next((x for x in df.columns if "actual" in words(x)), None)
-            promised = next((x for x in df.columns if "promised" in words(x)), None)
+            actual = next((x for x in df.columns if "actual" in words(x)), names.get("end_time"))
+            promised = next((x for x in df.columns if "promised" in words(x)), names.get("start_time"))
             if actual and promised:
                 value = minutes_between(F.col(promised), F.col(actual))
         if value is not None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalake.model import TableSpec, WarehouseModel
+from stratalake.scratch import discard, written
 from stratalake.sources.sinks import APPEND, FAIL, RECREATE, target_namespace
 
 
@@ -40,21 +41,24 @@ def drop(spark: SparkSession, namespace: str) -> None:
 def publish(spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, namespace: str, mode: str = FAIL) -> list[str]:
     """Write the model's tables into a namespace, parents first; returns their names.
 
-    Modes as in ``sinks.save``.  The catalog has no transaction over tables:
-    where all-or-nothing matters, save to a folder with ``sinks.save``.
+    Modes as in ``sinks.Stage``.  All rows are written to the shared folder before
+    anything of the namespace is dropped or replaced, so frames may read from it.
+    The catalog has no transaction over tables: where all-or-nothing matters, save
+    to a folder with ``sinks.save``.
     """
     namespace = target_namespace("", explicit=namespace)
     order = [t for t in model.load_order() if t.name in data]
-    if mode == RECREATE:
-        drop(spark, namespace)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(namespace)}")
     there = existing(spark, model, namespace)
     if mode == FAIL and (full := [t.name for t in order if there[t.name] and not spark.table(f"{namespace}.{t.name}").isEmpty()]):
         raise FileExistsError(f"{', '.join(full)} has rows already")
+    rows = {t.name: written(data[t.name].select(*t.column_names), t.name) for t in order}
+    if mode == RECREATE:
+        drop(spark, namespace)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(namespace)}")
     for t in order:
         spark.sql(create_statement(t, namespace))
-        rows = data[t.name].select(*t.column_names)
-        rows.write.insertInto(f"{namespace}.{t.name}", overwrite=mode != APPEND)
+        rows[t.name].write.insertInto(f"{namespace}.{t.name}", overwrite=mode != APPEND)
+    discard(*rows.values())
     return [f"{namespace}.{t.name}" for t in order]
 
 

@@ -237,6 +237,11 @@ def test_row_numbers_in_many_ranges(spark):
     assert [r["n"] for r in got] == list(range(1, 1002)) and [r["k"] for r in got] == [*range(1000), None]
 
 
+def test_delay_between_start_and_end(spark):
+    df = frame(spark, "start_time timestamp, end_time timestamp, delay_minutes long", (dt.datetime(2024, 1, 1, 8), dt.datetime(2024, 1, 1, 8, 30), 0), (dt.datetime(2024, 1, 1, 8), dt.datetime(2024, 1, 1, 7), 9))
+    assert [r["delay_minutes"] for r in derive.calculate(df).collect()] == [30, 0]
+
+
 def test_text_keys_are_numbered_by_ranges_in_files(spark):
     """Numbers follow the order of text keys over many files, without one task for all."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
