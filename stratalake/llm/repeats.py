@@ -39,18 +39,18 @@ _LAST = np.int64(2**63 - 1)
 
 
 class Words:
-    """The words of a block's documents in order of doc_id, one after another."""
+    """Hashes of the words of a block's documents in order of doc_id, one after another."""
 
     def __init__(self, block: exchange.Block):
         self.order = sorted(range(len(block.ids)), key=lambda k: (block.ids[k] is None, block.ids[k] or 0, k))
         self.ids = np.array([_LAST if block.ids[k] is None else block.ids[k] for k in self.order], np.int64)
-        self.words = [words_of(block.texts[k]) for k in self.order]
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        hashes = [HASHES.array(words_of(block.texts[k])) for k in self.order]  # words themselves take ten times the room
+        self.lengths = np.array([len(h) for h in hashes], np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         self.total = int(self.ends[-1]) if len(self.ends) else 0
-        self.hashes = np.concatenate([HASHES.array(w) for w in self.words]) if self.words else np.empty(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(self.words), dtype=np.int32), self.lengths)
+        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(hashes), dtype=np.int32), self.lengths)
 
     def windows(self, n: int) -> np.ndarray:
         """The places where a window of ``n`` words of one document starts."""
@@ -191,8 +191,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             found = read(block)
             gone = covered(w, [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.uint64)] * 2, window)
             rows = []
-            for k, words, a, b in zip(w.order, w.words, w.starts.tolist(), w.ends.tolist(), strict=True):
-                out = gone[a:b]
+            for k, a, b in zip(w.order, w.starts.tolist(), w.ends.tolist(), strict=True):
+                words, out = words_of(block.texts[k]), gone[a:b]
                 n = int(out.sum())
                 kept = b" ".join([x for x, g in zip(words, out.tolist(), strict=True) if not g] if n else words)
                 rows.append((block.ids[k], len(words), n, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "replace"),) if texts else ()))
