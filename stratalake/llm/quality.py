@@ -97,7 +97,7 @@ Row = tuple[np.ndarray, np.ndarray, int]
 def train(sample: list[Row], epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
     """Weights, the bias last, from (slots, values, label) rows."""
     size = 1 << BITS
-    rows = [(np.append(slots, size), np.append(values, np.float32(1)), label) for slots, values, label in sample]
+    rows = [(np.append(slots, np.int32(size)), np.append(values, np.float32(1)), label) for slots, values, label in sample]
     model, order = Ftrl(size + 1), np.random.default_rng(seed)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
@@ -123,8 +123,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS,
             cols = [pa.array([s.astype(np.int32) for s, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, b.column(2)], ["doc_id", "slots", "values", "label"])
 
-    got = rows.mapInArrow(run, "doc_id long, slots array<int>, values array<float>, label int").toArrow().sort_by("doc_id")
-    return [(np.array(s, np.int64), np.array(v, np.float32), y) for s, v, y in zip(*(got.column(c).to_pylist() for c in ("slots", "values", "label")), strict=True)]
+    got = rows.mapInArrow(run, "doc_id long, slots array<int>, values array<float>, label int").toArrow()
+    order, (slots, values) = np.argsort(got.column("doc_id").to_numpy()), (got.column(c).combine_chunks() for c in ("slots", "values"))
+    starts, flat_slots, flat_values, y = slots.offsets.to_numpy(), slots.values.to_numpy(), values.values.to_numpy(), got.column("label").to_numpy()
+    return [(flat_slots[a:b], flat_values[a:b], int(y[k])) for k in order.tolist() for a, b in [starts[k : k + 2]]]  # views: no object a feature
 
 
 def held_out(doc_id):
