@@ -230,11 +230,20 @@ def brute_repeats(rows, n):
 
 @pytest.mark.parametrize("window,anchor,seed", [(20, 10, 1), (20, 10, 2), (9, 5, 3), (20, 7, 4)])
 def test_repeats_match_brute_force(spark, window, anchor, seed):
-    rows = corpus(seed) + [(9001, "z " * 100), (None, "z " * 30), (9002, "")]
+    r = random.Random(seed)
+    long = [r.choice(VOCABULARY) for _ in range(9000)]
+    rows = corpus(seed) + [(9001, "z " * 100), (None, "z " * 30), (9002, ""), (9003, " ".join(long)), (9004, " ".join(long[4000:4100] + long[::-1] + long[8000:]))]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove_repeats(table(spark, rows).repartition(3).transform(lambda d: written(d, "docs")), window, anchor).collect()}
     assert got == brute_repeats(rows, window)
 
 
+def test_repeats_of_repeated_rows_and_clashing_names(spark):
+    text = " ".join(f"t{k}" for k in range(25))
+    d = spark.createDataFrame([(7, text, "x", 1)] * 3 + [(None, text, "x", 1)] * 2, "doc_id long, text string, kept string, n_words long").coalesce(1)
+    got = [(r["doc_id"], r["n_removed"]) for r in repeats.remove_repeats(written(d, "docs")).collect()]
+    assert sorted(got, key=lambda x: (x[0] is None, x)) == [(7, 0), (7, 25), (7, 25), (None, 25), (None, 25)]
+
+
 def test_repeats_of_nothing_and_texts(spark):
     assert repeats.remove_repeats(table(spark, [])).count() == 0
     text = " ".join(f"t{k}" for k in range(25))
