@@ -40,4 +40,24 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN g USING (doc_id)
 """
 
-SQL = {"op6_jaccard": OP6, "op8_repeats": OP8, "op3_warc_bundles": OP3, "op4_exact_dedup": OP4}
+#: crc32 of a text bit by bit: no built-in function has it.
+CRC32 = """xor(list_reduce([4294967295::UBIGINT] || list_transform(split({text}, ''), lambda x: ascii(x)::UBIGINT),
+    lambda c, b: list_reduce([xor(c, b)] || [0::UBIGINT FOR _ IN range(8)], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::UBIGINT)::BIGINT"""
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, {CRC32.format(text="doc_id::VARCHAR")} AS h FROM documents),
+     e AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM d),
+     t AS MATERIALIZED (SELECT doc_id, i, w[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+     p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+     g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS same FROM p),
+     s AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM g GROUP BY doc_id, q, same HAVING count(*) >= greatest(12 - q, q)),
+     r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+     k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (FROM r WHERE r.doc_id = t.doc_id AND t.i >= r.start + r.period AND t.i < r.start + r.length) GROUP BY doc_id),
+     b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS place FROM r),
+     f AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli,
+       sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN b ON b.doc_id = d.doc_id AND place = 1
+"""
+
+SQL = {"op12_periodic_runs": OP12, "op6_jaccard": OP6, "op8_repeats": OP8, "op3_warc_bundles": OP3, "op4_exact_dedup": OP4}

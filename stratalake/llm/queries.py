@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, jaccard, licenses, lm_score, quality, repeats, warc
+from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, jaccard, licenses, lm_score, periodic, quality, repeats, warc
 from stratalake.llm.common import prepare
 
 
@@ -61,6 +64,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def planted_period(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Where each of ``n`` words is taken from: in a tenth of the documents, chosen by crc32 of doc_id, a part repeats to the end."""
+    if doc_id is None or not n:
+        return None
+    g, tenth = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if tenth:
+        return None
+    a = g % n
+    source = np.arange(n)
+    source[a:] = a + (source[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return source
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(_table(spark, sf_dir, "documents"), edit=planted_period))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bit_planes, op2_decontaminate, op3_warc_bundles, op4_exact_dedup, op5_lm_score, op6_jaccard, op7_quality, op8_repeats, op9_licenses, op10_byte_bpe,
+    op12_periodic_runs,
 )}
