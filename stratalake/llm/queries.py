@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, jaccard, licenses, lm_score, periodic, quality, repeats, warc
+from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, jaccard, licenses, lm_score, periodic, quality, repeats, toxicity, warc
 from stratalake.llm.common import prepare
 
 
@@ -81,7 +81,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(_table(spark, sf_dir, "documents"), edit=planted_period))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), "doc_id")
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "toxic_logprob", "ordinary_logprob",
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bit_planes, op2_decontaminate, op3_warc_bundles, op4_exact_dedup, op5_lm_score, op6_jaccard, op7_quality, op8_repeats, op9_licenses, op10_byte_bpe,
-    op12_periodic_runs,
+    op12_periodic_runs, op13_toxicity,
 )}
