@@ -60,4 +60,25 @@ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period, (
 FROM d LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN b ON b.doc_id = d.doc_id AND place = 1
 """
 
-SQL = {"op12_periodic_runs": OP12, "op6_jaccard": OP6, "op8_repeats": OP8, "op3_warc_bundles": OP3, "op4_exact_dedup": OP4}
+def _op11() -> str:
+    """Three rounds of full scans, then a last one."""
+    nearest = """n{r} AS MATERIALIZED (SELECT r, vec_id, q, cluster, distance FROM (
+        SELECT r, vec_id, v.q, c.cluster, list_sum(list_transform(range(1, 65), lambda p: (v.q[p] - c.q[p]) * (v.q[p] - c.q[p])))::BIGINT AS distance,
+               row_number() OVER (PARTITION BY r ORDER BY distance, c.cluster) AS place
+        FROM v, c{r} c) WHERE place = 1)"""
+    moved = """c{n} AS MATERIALIZED (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN (
+        SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY p) AS q FROM (
+            SELECT cluster, p, sum(q[p])::BIGINT AS s, count(*) AS n FROM n{r}, range(1, 65) t(p) GROUP BY cluster, p) GROUP BY cluster) m USING (cluster))"""
+    steps = [x for r in range(3) for x in (nearest.format(r=r), moved.format(r=r, n=r + 1))] + [nearest.format(r=3)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+         WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+     c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS cluster, q FROM v QUALIFY cluster < 16),
+     {", ".join(steps)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM n3 JOIN c3 c USING (cluster)
+"""
+
+
+SQL = {"op11_yinyang": _op11(), "op12_periodic_runs": OP12, "op6_jaccard": OP6, "op8_repeats": OP8, "op3_warc_bundles": OP3, "op4_exact_dedup": OP4}

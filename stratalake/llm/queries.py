@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, jaccard, licenses, lm_score, periodic, quality, repeats, toxicity, warc
+from stratalake.llm import bit_planes, byte_bpe, decontaminate, exact_dedup, jaccard, licenses, lm_score, periodic, quality, repeats, toxicity, warc, yinyang
 from stratalake.llm.common import prepare
 
 
@@ -64,6 +64,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.report(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, prefix="1:")
+
+
 def planted_period(doc_id: int | None, n: int) -> np.ndarray | None:
     """Where each of ``n`` words is taken from: in a tenth of the documents, chosen by crc32 of doc_id, a part repeats to the end."""
     if doc_id is None or not n:
@@ -92,5 +96,5 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bit_planes, op2_decontaminate, op3_warc_bundles, op4_exact_dedup, op5_lm_score, op6_jaccard, op7_quality, op8_repeats, op9_licenses, op10_byte_bpe,
-    op12_periodic_runs, op13_toxicity,
+    op11_yinyang, op12_periodic_runs, op13_toxicity,
 )}
