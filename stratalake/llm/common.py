@@ -144,13 +144,18 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hash of each ``n`` consecutive word hashes."""
+    """64-bit hash of each ``n`` consecutive word hashes, in their order."""
     m = len(hashes) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
+    if n > 5:  # of two parts, mixed before they meet: no rearrangement of the words has the same hash but by chance
+        half = n // 2
+        first = ngrams(hashes, half)
+        second = first if n == 2 * half else ngrams(hashes, n - half)
+        return scramble(first[:m] * _MULTIPLIERS[1] + second[half : half + m] * _MULTIPLIERS[2])
     out = hashes[:m] * _MULTIPLIERS[0]
     for k in range(1, n):
-        out += scramble(hashes[k : k + m] + _MULTIPLIERS[k]) if n <= 5 else hashes[k : k + m] * _MULTIPLIERS[k]
+        out += scramble(hashes[k : k + m] + _MULTIPLIERS[k])
     return scramble(out)
 
 

@@ -237,6 +237,49 @@ def test_repeats_match_brute_force(spark, window, anchor, seed):
     assert got == brute_repeats(rows, window)
 
 
+def brute_removed(rows, window):
+    """doc_id -> kept words: real words of windows, in order of doc_id."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w = t.split()
+        gone = set()
+        for k in range(len(w) - window + 1):
+            g = tuple(w[k : k + window])
+            if g in seen:
+                gone.update(range(k, k + window))
+            seen.add(g)
+        out[i] = [x for k, x in enumerate(w) if k not in gone]
+    return out
+
+
+def test_words_in_another_order_are_no_repeat(spark):
+    r = random.Random(12)
+    tail = [f"t{k}" for k in range(16)]
+    rows = [["x", "y", "y", "x", *tail], ["y", "x", "x", "y", *tail], tail + ["x", "y", "y", "x"], tail[::-1] + ["x", "y", "y", "x"]]
+    base = [f"b{k}" for k in range(20)]
+    rows += [base, base[::-1], base[10:] + base[:10], base[1:] + base[:1]]
+    for _ in range(60):  # two words only: every weighting of places has rearrangements of equal weight
+        rows.append([r.choice("xy") for _ in range(20)])
+        rows.append(r.sample(rows[-1], 20))
+        rows.append(r.sample(base, 20))
+    rows.append(rows[0])
+    docs = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {x["doc_id"]: x["kept"].split() for x in repeats.remove_repeats(table(spark, docs), texts=True).collect()}
+    assert got == brute_removed(docs, 20)
+    assert not got[len(docs) - 1] and got[1] == rows[1]
+
+
+def test_hashes_of_long_windows_differ_by_order():
+    from stratalake.llm.common import ngrams
+
+    r = np.random.default_rng(3)
+    for n in (6, 7, 10, 13, 20):
+        two = r.integers(0, 1 << 63, 2).astype(np.uint64)
+        bits = np.unique(r.integers(0, 2, (4000, n)), axis=0)
+        got = ngrams(two[bits].ravel(), n)[:: n]
+        assert len(np.unique(got)) == len(bits)
+
+
 def test_repeats_of_repeated_rows_and_clashing_names(spark):
     text = " ".join(f"t{k}" for k in range(25))
     d = spark.createDataFrame([(7, text, "x", 1)] * 3 + [(None, text, "x", 1)] * 2, "doc_id long, text string, kept string, n_words long").coalesce(1)
