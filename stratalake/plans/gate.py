@@ -4,9 +4,12 @@ Statements are parsed by Spark's own parser and judged by the tree: the root
 must insert from a query without overwriting, the target must belong to the
 statement's layer, every table that the tree reads must be one of the model or
 a CTE in scope, and it may call functions of some groups of built-in ones
-alone.  Words in strings or comments mean nothing, and nothing can hide from it
-in a comma join or a second statement.  What runs is the query of the tree that
-was judged, never the text.
+alone.  The tree may hold the nodes and expressions of ``PLANS`` and
+``EXPRESSIONS`` and no others, so what isn't known here (scripts, identifiers made
+of strings, parameters, time travel, whatever a later parser adds) is refused.
+Words in strings or comments mean nothing, and nothing can hide from it in a comma
+join or a second statement.  What runs is the query of the tree that was judged,
+never the text.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import ParseException
 
@@ -27,8 +29,6 @@ PARTS = ("load_table_rows", "staging_sql", "dimension_sql", "fact_sql", "assumpt
 LAYERS = {"staging_sql": STAGING, "dimension_sql": DIMENSION, "fact_sql": FACT}
 #: Catalog schemas that are never read.
 SYSTEM = {"information_schema", "pg_catalog", "sys", "system"}
-
-
 #: Groups of built-in functions that statements may call; others (reflection, session facts, errors, user-defined ones) are refused.
 FUNCTION_GROUPS = {
     "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "date_funcs", "datetime_funcs", "generator_funcs",
@@ -36,6 +36,22 @@ FUNCTION_GROUPS = {
 }
 
 
+#: Nodes that a parsed query may hold.
+PLANS = set("""
+    Aggregate CTERelationDef Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit Offset OneRowRelation Pivot Project Sort SubqueryAlias Union
+    Unpivot UnresolvedHaving UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedWith WithWindowDefinition
+""".split())
+#: Expressions that it may hold, by their class; calls by name are judged by name.
+EXPRESSIONS = set("""
+    Add Alias And BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Concat Cube CurrentDate CurrentRow CurrentTimestamp DateAddInterval Divide EqualNullSafe EqualTo Exists
+    ExpressionPosition GreaterThan GreaterThanOrEqual GroupingSets ILike In InSubquery IntegralDivide IsNotNull IsNotUnknown IsNull IsUnknown LambdaFunction LateralSubquery LessThan
+    LessThanOrEqual Like LikeAll LikeAny ListQuery Literal MultiAlias Multiply NamedStruct Not NotLikeAll NotLikeAny Or Overlay RLike Remainder Rollup ScalarSubquery ShiftLeft ShiftRight
+    ShiftRightUnsigned SortOrder SpecifiedWindowFrame StringLocate StringTrim StringTrimLeft StringTrimRight Substring Subtract TimestampAdd TimestampDiff UnaryMinus UnaryPositive
+    UnboundedFollowing UnboundedPreceding UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedOrdinal
+    UnresolvedStar UnresolvedWindowExpression UnspecifiedFrame WindowExpression WindowSpecDefinition
+""".split())
+
+
 @dataclass
 class Statement:
     """What a parsed statement does."""
@@ -47,7 +63,9 @@ class Statement:
     reads: list[str] = field(default_factory=list)
     calls: list[str] = field(default_factory=list)
     table_calls: list[str] = field(default_factory=list)
+    strange: list[str] = field(default_factory=list)
     overwrite: bool = False
+    by_name: bool = False
     query: object = None
 
 
@@ -56,23 +74,25 @@ def _each(seq) -> list:
 
 
 class _Reader:
-    """Collects what a parsed plan reads and calls."""
+    """Collects what a parsed plan reads and calls, and what it holds that isn't admitted."""
 
-    def __init__(self, spark: SparkSession):
-        self.gateway = spark.sparkContext._gateway
+    def __init__(self):
         self.reads: list[str] = []
         self.calls: list[str] = []
         self.table_calls: list[str] = []
-        self.actions: list[str] = []  # commands and statements, which are no queries
+        self.strange: list[str] = []
 
     def plan(self, node, in_scope: frozenset[str] = frozenset()) -> None:
         name = node.nodeName()
-        if any(is_instance_of(self.gateway, node, f"org.apache.spark.sql.catalyst.plans.logical.{c}") for c in ("Command", "ParsedStatement")):
-            self.actions.append(name)
+        if name not in PLANS:
+            self.strange.append(name)
+            return
         if name == "UnresolvedRelation":
             said = ".".join(_each(node.multipartIdentifier())).lower()
             if said not in in_scope:
                 self.reads.append(said)
+            if node.isStreaming() or not node.options().isEmpty():
+                self.strange.append(f"options of {said}")
         elif name == "UnresolvedWith":
             self.plan(node.child(), self.ctes(node, in_scope))
         else:
@@ -92,21 +112,30 @@ class _Reader:
         return in_scope
 
     def expression(self, e, in_scope: frozenset[str]) -> None:
-        kind = e.getClass().getSimpleName()
+        kind = e.getClass().getSimpleName().rstrip("$")
+        if kind not in EXPRESSIONS:
+            self.strange.append(kind)
+            return
         if kind == "UnresolvedFunction":
             self.calls.append(".".join(_each(e.nameParts())).lower())
         elif kind == "UnresolvedGenerator":
             self.calls.append(e.name().unquotedString().lower())
-        elif "Subquery" in kind or kind in ("Exists", "ListQuery"):
+        elif "Subquery" in kind and kind != "InSubquery" or kind in ("Exists", "ListQuery"):
             self.plan(e.plan(), in_scope)
         for child in _each(e.children()):
             self.expression(child, in_scope)
 
+    def reasons(self, spark: SparkSession) -> list[str]:
+        """Why nothing that holds this may run."""
+        out = [f"holds {name}, which isn't admitted" for name in dict.fromkeys(self.strange)]
+        out += [f"calls {name}, which isn't admitted" for name in dict.fromkeys(self.calls) if function_group(spark, name) not in FUNCTION_GROUPS]
+        return out + [f"reads the table function {name}" for name in dict.fromkeys(self.table_calls) if function_group(spark, name) != "generator_funcs"]
+
 
 def parse(spark: SparkSession, sql: str) -> Statement:
     """Target, tables and functions of a statement; ``kind`` is insert, or the root's name for anything else."""
     root = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    reader, scope, withs = _Reader(spark), frozenset(), []
+    reader, scope, withs = _Reader(), frozenset(), []
     while root.nodeName() == "UnresolvedWith":
         scope = reader.ctes(root, scope)
         withs.append(root)
@@ -117,10 +146,14 @@ def parse(spark: SparkSession, sql: str) -> Statement:
     if query.nodeName() in ("UnresolvedInlineTable", "LocalRelation"):
         return Statement(sql, "INSERT ... VALUES")
     reader.plan(query, scope)
+    if root.table().nodeName() != "UnresolvedRelation":
+        return Statement(sql, f"INSERT INTO {root.table().nodeName()}")
+    if not root.partitionSpec().isEmpty():
+        reader.strange.append("a partition of its target")
     for outer in reversed(withs):  # the query alone, under the definitions of the statement
         query = outer.withNewChildren(spark.sparkContext._jvm.PythonUtils.toSeq([query]))
     target = ".".join(_each(root.table().multipartIdentifier())).lower()
-    return Statement(sql, "insert", target, _each(root.userSpecifiedCols()), reader.reads, reader.calls, reader.table_calls, root.overwrite(), query)
+    return Statement(sql, "insert", target, _each(root.userSpecifiedCols()), reader.reads, reader.calls, reader.table_calls, reader.reasons(spark), root.overwrite(), root.byName(), query)
 
 
 def function_group(spark: SparkSession, name: str) -> str | None:
@@ -147,9 +180,7 @@ def judge(spark: SparkSession, sql: str, role: str, model: WarehouseModel, plan:
             out.append(f"reads system schema {name}")
         elif model.find(name) is None:
             out.append(f"reads {name}, which isn't in the model")
-    out += [f"calls {name}, which isn't admitted" for name in dict.fromkeys(s.calls) if function_group(spark, name) not in FUNCTION_GROUPS]
-    out += [f"reads the table function {name}" for name in dict.fromkeys(s.table_calls) if function_group(spark, name) != "generator_funcs"]
-    return out
+    return out + s.strange
 
 
 def judge_spec(spark: SparkSession, spec: dict, model: WarehouseModel, plan: Plan, profile: Profile | None = None) -> list[str]:
@@ -223,8 +254,9 @@ def execute(spark: SparkSession, spec: dict, model: WarehouseModel, plan: Plan,
             s = parse(spark, plain)
             t = model.table(s.target)
             query = _frame(spark, s.query)
-            columns = s.target_columns or t.column_names[: len(query.columns)]
-            df = query.toDF(*columns)
+            df = query if s.by_name else query.toDF(*(s.target_columns or t.column_names[: len(query.columns)]))
+            if strange := [c for c in df.columns if not t.has(c)]:
+                raise ValueError(f"{part}: {t.name} has no column {', '.join(strange)}")
             collected[t.name] = (t, collected[t.name][1].unionByName(df, allowMissingColumns=True) if t.name in collected else df)
             made[t.name] = fit_to_table(collected[t.name][1], t)
             made[t.name].createOrReplaceTempView(t.name)
@@ -245,12 +277,10 @@ def make_views(spark: SparkSession, queries: dict[str, str], model: WarehouseMod
     for name, df in data.items():
         df.createOrReplaceTempView(name)
     for name, sql in queries.items():
-        root, reader = spark._jsparkSession.sessionState().sqlParser().parsePlan(unqualify(sql, model)), _Reader(spark)
+        root, reader = spark._jsparkSession.sessionState().sqlParser().parsePlan(unqualify(sql, model)), _Reader()
         reader.plan(root)
         strange = [f"reads {r}" for r in reader.reads if r not in {v.lower() for v in made} and ((t := model.find(r)) is None or t.name not in data)]
-        strange += [f"calls {c}" for c in reader.calls if function_group(spark, c) not in FUNCTION_GROUPS]
-        strange += [f"reads {c}()" for c in reader.table_calls if function_group(spark, c) != "generator_funcs"]
-        strange += [f"{a} is no query" for a in reader.actions]
+        strange += reader.reasons(spark)
         if strange:
             raise ValueError(f"view {name}: {', '.join(strange)}")
         made[name] = _frame(spark, root)
