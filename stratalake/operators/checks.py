@@ -19,6 +19,7 @@ from stratalake.model import ColumnSpec, ForeignKey, TableSpec, WarehouseModel
 from stratalake.plans.layers import DIMENSION, FACT, RAW, STAGING, Plan
 from stratalake.plans.profile import Profile
 from stratalake.plans.semantics import Meaning
+from stratalake.scratch import written
 
 ERROR, WARNING, INFO = "error", "warning", "info"
 RESULT = "check_id string, table_name string, columns string, severity string, violations long, sample string"
@@ -125,10 +126,20 @@ def duplicate_keys(df: DataFrame, *columns: str, nulls_distinct: bool = False) -
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def key_check(check_id: str, table: str, df: DataFrame, columns: tuple[str, ...], nulls_distinct: bool = False) -> DataFrame:
-    """How many keys occur more than once, and the smallest of them."""
-    found = duplicate_keys(df, *columns, nulls_distinct=nulls_distinct)
+def key_check(check_id: str, table: str, df: DataFrame, columns: tuple[str, ...], nulls_distinct: bool = False, saved=None) -> DataFrame:
+    """How many keys occur more than once, and the smallest of them.
+
+    With ``saved`` (``sources.ledger.Saved``) ``df`` is to be added to rows that were
+    saved before: a key that one of those has counts too.
+    """
     text = F.concat_ws(", ", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns))
+    if saved is None or saved.table(table) is None:
+        found = duplicate_keys(df, *columns, nulls_distinct=nulls_distinct)
+    else:
+        mine = written((df.dropna(how="any", subset=list(columns)) if nulls_distinct else df).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")), "keys")
+        there = saved.matching(table, columns, mine.select(*columns)).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)))
+        again = mine.join(there, [mine[c].eqNullSafe(there[f"_k{i}"]) for i, c in enumerate(columns)], "left_semi")
+        found = mine.filter("n > 1").unionByName(again).distinct()
     return results(found.agg(F.count(F.lit(1)).alias("v"), F.min(text).alias("s")), row(check_id, table, ", ".join(columns), ERROR, F.col("v"), F.col("s")))
 
 
@@ -140,11 +151,19 @@ def orphans(child: DataFrame, columns: tuple[str, ...], parent: DataFrame, paren
     return whole.join(keys, [whole[c] == keys[f"_p{k}"] for k, c in enumerate(columns)], "left_anti")
 
 
-def fk_check(table: str, child: DataFrame, fk: ForeignKey, parent: DataFrame, check_id: str = "foreign_key") -> DataFrame:
+def fk_check(table: str, child: DataFrame, fk: ForeignKey, parent: DataFrame, check_id: str = "foreign_key", saved=None) -> DataFrame:
+    """Child rows without a parent; with ``saved`` the parent's rows that were saved before count as parents too."""
     found = orphans(child, fk.columns, parent, fk.parent_columns)
+    if saved is not None and saved.table(fk.parent) is not None:
+        left = written(found.groupBy(*fk.columns).agg(F.count(F.lit(1)).alias("_n")), "orphans")
+        there = saved.matching(fk.parent, fk.parent_columns, left.select(*(F.col(c).alias(p) for c, p in zip(fk.columns, fk.parent_columns, strict=True))))
+        there = there.select(*(F.col(p).alias(f"_p{k}") for k, p in enumerate(fk.parent_columns)))
+        found = left.join(there, [left[c] == there[f"_p{k}"] for k, c in enumerate(fk.columns)], "left_anti")
+    else:
+        found = found.withColumn("_n", F.lit(1))
     text = F.concat_ws(", ", *(F.col(c).cast("string") for c in fk.columns))
     said = f"{', '.join(fk.columns)} -> {fk.parent}({', '.join(fk.parent_columns)})"
-    return results(found.agg(F.count(F.lit(1)).alias("v"), F.min(text).alias("s")), row(check_id, table, said, ERROR, F.col("v"), F.col("s")))
+    return results(found.agg(F.sum("_n").alias("v"), F.min(text).alias("s")), row(check_id, table, said, ERROR, F.col("v"), F.col("s")))
 
 
 def undeclared_keys(model: WarehouseModel) -> list[tuple[str, str]]:
@@ -155,8 +174,12 @@ def undeclared_keys(model: WarehouseModel) -> list[tuple[str, str]]:
     ]
 
 
-def validate(model: WarehouseModel, data: Data, expected: dict[str, int] | None = None, meanings: dict | None = None, at_least: bool = False) -> DataFrame:
-    """V1 to V12 over all tables of a model; a table that isn't in ``data`` has no rows."""
+def validate(model: WarehouseModel, data: Data, expected: dict[str, int] | None = None, meanings: dict | None = None, at_least: bool = False, saved=None) -> DataFrame:
+    """V1 to V12 over all tables of a model; a table that isn't in ``data`` has no rows.
+
+    With ``saved`` (``sources.ledger.Saved``) ``data`` are rows to be added: keys and
+    foreign keys are checked against what was saved before as well.
+    """
     spark = next(iter(data.values())).sparkSession
     frames = {t.name: data[t.name] if t.name in data else spark.createDataFrame([], t.struct) for t in model.tables}
     parts = []
@@ -164,9 +187,9 @@ def validate(model: WarehouseModel, data: Data, expected: dict[str, int] | None
         df = frames[t.name]
         parts.append(row_checks(t, df, meanings, (expected or {}).get(t.name), at_least))
         if t.primary_key:
-            parts.append(key_check("primary_key", t.name, df, t.primary_key))
-        parts += [key_check("unique", t.name, df, u.columns) for u in t.uniques]
-        parts += [fk_check(t.name, df, fk, frames[model.table(fk.parent).name]) for fk in t.foreign_keys]
+            parts.append(key_check("primary_key", t.name, df, t.primary_key, saved=saved))
+        parts += [key_check("unique", t.name, df, u.columns, saved=saved) for u in t.uniques]
+        parts += [fk_check(t.name, df, fk, frames[model.table(fk.parent).name], saved=saved) for fk in t.foreign_keys]
     loose = undeclared_keys(model)
     if loose:
         parts.append(spark.createDataFrame([("undeclared_key", t, c, WARNING, 1, None) for t, c in loose], RESULT))

@@ -26,8 +26,8 @@ def to_staging(raw: DataFrame, schema: T.StructType | str, payload: str = "sourc
     return raw.select(F.from_json(payload, schema).alias("p")).select("p.*")
 
 
-def number_rows(rows: DataFrame, name: str, *keys: str) -> DataFrame:
-    """``rows`` with numbers 1, 2, ... in order of ``keys`` (nulls last), which should be unique in ``rows``.
+def number_rows(rows: DataFrame, name: str, *keys: str, after: int = 0) -> DataFrame:
+    """``rows`` with numbers ``after`` + 1, 2, ... in order of ``keys`` (nulls last), which should be unique in ``rows``.
 
     Written once in ranges of the keys, a sorted file a range.  A row's number is
     its place in the file after the rows of the files before it, so no task sees
@@ -37,15 +37,40 @@ def number_rows(rows: DataFrame, name: str, *keys: str) -> DataFrame:
     held = written(rows.repartitionByRange(*order).sortWithinPartitions(*order), "numbered")
     file, place = F.col("_metadata.file_name"), F.col("_metadata.row_index")
     # One row a file: as many as ranges, whatever the number of rows.
-    sizes = sorted((r["file"], r["n"]) for r in held.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).collect())
-    if len(sizes) <= 1:
-        return held.withColumn(name, place + 1)
-    starts = [(f, sum(n for _, n in sizes[:k])) for k, (f, _) in enumerate(sizes)]
+    sizes = {r["file"]: r["n"] for r in held.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = sorted(sizes, key=lambda f: int(f.split("-")[1]))  # part-<number>-..., of five digits or more
+    if len(files) <= 1:
+        return held.withColumn(name, place + 1 + after)
+    starts = list(zip(files, itertools.accumulate((sizes[f] for f in files[:-1]), initial=after), strict=True))
     of, start = own_column(rows, "file_of_row"), own_column(rows, "rows_before")
-    before = F.broadcast(rows.sparkSession.createDataFrame(starts, f"{of} string, {start} long"))
+    before = rows.sparkSession.createDataFrame(starts, f"{of} string, {start} long")
     return held.select("*", place.alias(name), file.alias(of)).join(before, of).withColumn(name, F.col(name) + F.col(start) + 1).drop(of, start)
 
 
+def known_keys(rows: DataFrame, table: TableSpec, number: str, key: tuple[str, ...], saved) -> DataFrame:
+    """(key, number) of the business keys of ``rows`` that ``table`` has saved; null equals null.  ``saved``: see ``sources.ledger.Saved``."""
+    mine = written(rows.select(*key).distinct(), "keys")
+    there = saved.matching(table.name, key, mine, number).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), number)
+    return mine.join(there, [mine[c].eqNullSafe(there[f"_k{i}"]) for i, c in enumerate(key)]).select(*key, number)
+
+
+def number_new(rows: DataFrame, table: TableSpec, number: str, order: str, saved) -> DataFrame:
+    """``rows`` that ``table`` hasn't saved yet, numbered on from its highest number.
+
+    A row is saved if its business key is: the first UNIQUE set whose columns ``rows``
+    has.  It keeps its number and isn't written again.  Without such a set all rows are new.
+    """
+    if saved is None or saved.table(table.name) is None:
+        return number_rows(rows, number, order)
+    given = {c.lower(): c for c in rows.columns}
+    key = next((u.columns for u in table.uniques if all(c.lower() in given for c in u.columns)), None)
+    if key:
+        rows = rows.withColumnsRenamed({given[c.lower()]: c for c in key})
+        known = known_keys(rows, table, number, key, saved).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)))
+        rows = rows.join(known, [rows[c].eqNullSafe(known[f"_k{i}"]) for i, c in enumerate(key)], "left_anti")
+    return number_rows(rows, number, order, after=saved.last(table.name, number))
+
+
 def own_column(df: DataFrame, name: str) -> str:
     """``name``, or a longer form that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -101,10 +126,11 @@ def look_up_date(fact: DataFrame, dates: DataFrame, column: str, role: str, how:
     return fact.join(side, F.to_date(fact[column]) == side["_day"], how).drop("_day")
 
 
-def fit_to_table(rows: DataFrame, table: TableSpec, order: str | None = None) -> DataFrame:
+def fit_to_table(rows: DataFrame, table: TableSpec, order: str | None = None, saved=None) -> DataFrame:
     """Columns of ``table`` in its order: casts, literal defaults, numbers for an integer key that isn't given.
 
-    A column that the table lacks is an error, as is a missing required column.
+    A column that the table lacks is an error, as is a missing required column.  With
+    ``saved`` the rows are to be added: numbers go on, see ``number_new``.
     """
     if strange := [c for c in rows.columns if not table.has(c)]:
         raise ValueError(f"{table.full_name} has no column {strange[0]}")
@@ -122,7 +148,7 @@ def fit_to_table(rows: DataFrame, table: TableSpec, order: str | None = None) ->
             value = default if default is not None else F.lit(None)
         out.append(value.cast(c.spark_type).alias(c.name))
     if numbered is not None:
-        rows = number_rows(rows, numbered, order or rows.columns[0])
+        rows = number_new(rows, table, numbered, order or rows.columns[0], saved)
     return rows.select(*out)
 
 

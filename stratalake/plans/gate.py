@@ -15,12 +15,14 @@ never the text.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import ParseException
 
 from stratalake.model import TableSpec, WarehouseModel
+from stratalake.operators.elt import fit_to_table
 from stratalake.plans.layers import DIMENSION, FACT, RAW, STAGING, Plan
 from stratalake.plans.profile import Profile
 
@@ -52,6 +54,10 @@ EXPRESSIONS = set("""
 """.split())
 
 
+#: Takes a table's name and what makes its rows, and returns them as they were written (or as an earlier try wrote them).
+Settle = Callable[[str, Callable[[], DataFrame]], DataFrame]
+
+
 @dataclass
 class Statement:
     """What a parsed statement does."""
@@ -234,32 +240,55 @@ def unqualify(sql: str, model: WarehouseModel, schema: str | None = None) -> str
     return _SPAN.sub(swap, sql)
 
 
-def execute(spark: SparkSession, spec: dict, model: WarehouseModel, plan: Plan, raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def execute(spark: SparkSession, spec: dict, model: WarehouseModel, plan: Plan, raw: dict[str, DataFrame], settle: Settle | None = None, saved=None) -> dict[str, DataFrame]:
     """Frames of all tables: raw ones as given, then each admitted statement's query, staging before dimensions before facts.
 
     Inserts into one table add up; columns that a statement doesn't name get
-    defaults or numbers.  Nothing is written: see ``sources.sinks.save``.
+    defaults or numbers.  With ``settle`` every table of a layer is written before the
+    next layer begins, which then reads what was written; without it frames are
+    chained and nothing is written.  With ``saved`` (``sources.ledger.Saved``) the rows
+    are to be added: numbers go on, and statements see dimensions with the rows that
+    were saved before, but other layers as this run brings them.
     """
-    from stratalake.operators.elt import fit_to_table
+    made: dict[str, DataFrame] = {}
+
+    def show(name: str, role: str) -> None:
+        whole = role == DIMENSION and saved is not None and saved.table(name) is not None
+        (saved.rows(name).unionByName(made[name]) if whole else made[name]).createOrReplaceTempView(name)
 
-    made: dict[str, DataFrame] = dict(raw)
     for name, df in raw.items():
-        df.createOrReplaceTempView(name)
+        made[name] = settle(name, lambda df=df: df) if settle else df
+        show(name, RAW)
     for part, role in LAYERS.items():
         collected: dict[str, tuple[TableSpec, DataFrame]] = {}
+        fitted: set[str] = set()
+
+        def fit(name: str, collected=collected, fitted=fitted, role=role) -> None:
+            t, rows = collected[name]
+            make = lambda: fit_to_table(rows, t, saved=saved)
+            made[name] = settle(name, make) if settle else make()
+            fitted.add(name)
+            show(name, role)
+
+        statements = []
         for sql in spec[part]:
             plain = unqualify(sql, model)
             if reasons := judge(spark, plain, role, model, plan):
                 raise ValueError(f"{part}: {reasons[0]}")
-            s = parse(spark, plain)
+            statements.append(parse(spark, plain))
+        for k, s in enumerate(statements):
+            for name in {t.name for r in s.reads if (t := model.find(r))} & collected.keys() - fitted:
+                if any(model.table(x.target).name == name for x in statements[k:]):
+                    raise ValueError(f"{part}: {name} is read before all its rows are there")
+                fit(name)
             t = model.table(s.target)
             query = _frame(spark, s.query)
             df = query if s.by_name else query.toDF(*(s.target_columns or t.column_names[: len(query.columns)]))
             if strange := [c for c in df.columns if not t.has(c)]:
                 raise ValueError(f"{part}: {t.name} has no column {', '.join(strange)}")
             collected[t.name] = (t, collected[t.name][1].unionByName(df, allowMissingColumns=True) if t.name in collected else df)
-            made[t.name] = fit_to_table(collected[t.name][1], t)
-            made[t.name].createOrReplaceTempView(t.name)
+        for name in collected.keys() - fitted:
+            fit(name)
     return made
 
 

@@ -18,12 +18,13 @@ from stratalake.operators.derive import repair_metrics
 from stratalake.operators.elt import from_rows
 from stratalake.operators.generate import generate
 from stratalake.plans import gate
-from stratalake.plans.layers import RAW, STAGING, Plan, plan_layers
+from stratalake.plans.layers import DIMENSION, RAW, STAGING, Plan, plan_layers
 from stratalake.plans.profile import Profile, build_profile
 from stratalake.plans.semantics import meanings
 from stratalake.scratch import written
 from stratalake.sources import intake, sinks
 from stratalake.sources.ddl import extract_ddl, extract_views, parse_ddl
+from stratalake.sources.spec import fingerprint
 
 
 class Refused(ValueError):
@@ -52,12 +53,11 @@ def read_model(text: str) -> tuple[WarehouseModel, Plan]:
     return model, plan_layers(model)
 
 
-def _finish(spark: SparkSession, model: WarehouseModel, plan: Plan, profile: Profile | None, data: dict[str, DataFrame], expected: dict[str, int] | None, root: str | None, mode: str, reports: str | None, assumptions: list | None = None, business: dict | None = None) -> Run:
-    """Every table is written once, beside its target or as scratch; that is what is checked, exported and, if it passes, moved."""
-    data = {t: repair_metrics(df) for t, df in data.items()}
-    stage = sinks.Stage(spark, data, model, root, mode) if root else None
-    data = stage.tables() if stage else {t: written(df, t) for t, df in data.items()}
-    parts = [checks.validate(model, data, expected, meanings(model)), checks.validate_lineage(model, data, plan), checks.validate_realism(model, data, profile)]
+def _finish(spark: SparkSession, model: WarehouseModel, plan: Plan, profile: Profile | None, data: dict[str, DataFrame], expected: dict[str, int] | None, stage: sinks.Stage | None, mode: str, reports: str | None, assumptions: list | None = None, business: dict | None = None) -> Run:
+    """``data`` is written, beside its target or as scratch; that is what is checked, exported and, if it passes, moved."""
+    saved = stage.saved if stage else None
+    whole = {t: saved.rows(t).unionByName(df) if saved and plan.roles.get(t) == DIMENSION and saved.table(t) else df for t, df in data.items()}
+    parts = [checks.validate(model, data, expected, meanings(model), saved=saved), checks.validate_lineage(model, whole if saved else data, plan), checks.validate_realism(model, data, profile)]
     if profile:
         parts += [checks.payload_checks(t, data[t], r.required) for t, r in profile.raw.items() if r.has_payload and t in data]
         parts.append(checks.payload_references(profile, data))
@@ -76,37 +76,62 @@ def _finish(spark: SparkSession, model: WarehouseModel, plan: Plan, profile: Pro
         stage.drop()
     if reports:
         counts = {r["table_name"]: r["row_count"] for r in checks.row_counts(data).collect()} if paths or not stage else {}
-        sinks.load_report(f"{reports}/load_report.md", mode, counts, paths, None if paths else "no target was named" if not root else "validation failed")
+        sinks.load_report(f"{reports}/load_report.md", mode, counts, paths, None if paths else "no target was named" if not stage else "validation failed")
     return Run(model, plan, profile, data, found, status, paths)
 
 
-def run_elt(spark: SparkSession, text: str, spec: dict, rows: int | None = None, root: str | None = None, mode: str = sinks.FAIL, reports: str | None = None) -> Run:
+def _written(stage: sinks.Stage | None) -> gate.Settle:
+    """Writes tables, with repaired measures, into the stage or as scratch; those that an earlier try of the run wrote are taken over."""
+
+    def settle(name: str, make) -> DataFrame:
+        if stage is None:
+            return written(repair_metrics(make()), name)
+        done = stage.done(name)
+        return stage.write(name, repair_metrics(make())) if done is None else done
+
+    return settle
+
+
+def run_elt(spark: SparkSession, text: str, spec: dict, rows: int | None = None, root: str | None = None, mode: str = sinks.FAIL, reports: str | None = None, raw: dict[str, DataFrame] | None = None) -> Run:
     """A stored specification through gate, raw rows, statements, repair, checks and save.
 
     With ``rows`` raw counts must be the profile's, and the other tables are
-    compared with the profile too.  A failed validation saves nothing.
+    compared with the profile too.  ``raw`` gives raw tables as frames, in place of rows
+    in the specification.  Each layer is written before the next, which reads it from
+    there; a run that died and is begun again with the same text, specification, raw
+    frames, target and mode goes on after the tables that were whole.  A failed validation saves nothing.
     """
     model, plan = read_model(text)
     profile = build_profile(model, plan, rows) if rows else None
-    if reasons := gate.judge_spec(spark, spec, model, plan, profile):
+    given = raw or {}
+    judged = {**spec, "load_table_rows": {**dict.fromkeys(given, []), **spec["load_table_rows"]}} if given and "load_table_rows" in spec else spec
+    if reasons := gate.judge_spec(spark, judged, model, plan, None if given else profile):
         raise Refused("; ".join(reasons))
-    raw = {model.table(t).name: from_rows(spark, model.table(t), given) for t, given in spec["load_table_rows"].items()}
-    data = gate.execute(spark, spec, model, plan, raw)
-    return _finish(spark, model, plan, profile, data, profile.rows if profile else None, root, mode, reports, spec["assumptions"])
+    stage = sinks.Stage(spark, {}, model, root, mode, name=fingerprint(text, spec, mode, {t: df.semanticHash() for t, df in given.items()})) if root else None
+    frames = {model.table(t).name: from_rows(spark, model.table(t), got) for t, got in spec["load_table_rows"].items() if t not in given} | given
+    data = gate.execute(spark, spec, model, plan, frames, _written(stage), stage.saved if stage else None)
+    return _finish(spark, model, plan, profile, data, profile.rows if profile else None, stage, mode, reports, spec["assumptions"])
+
+
+def _staged(spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, root: str | None, mode: str) -> tuple[sinks.Stage | None, dict[str, DataFrame]]:
+    data = {t: repair_metrics(df) for t, df in data.items()}
+    stage = sinks.Stage(spark, data, model, root, mode) if root else None
+    return stage, stage.tables() if stage else {t: written(df, t) for t, df in data.items()}
 
 
 def run_generation(spark: SparkSession, text: str, rows: int = 100, seed: int = 12345, business: dict | None = None, root: str | None = None, mode: str = sinks.FAIL, reports: str | None = None) -> Run:
     """Generated rows for all tables, checked, then saved."""
     model, plan = read_model(text)
     profile = build_profile(model, plan, rows) if plan.of(RAW) and plan.of(STAGING) else None
-    data = generate(spark, model, rows, seed, business, plan)
-    return _finish(spark, model, plan, profile, data, profile.rows if profile else dict.fromkeys(data, rows), root, mode, reports, business=business)
+    stage, data = _staged(spark, generate(spark, model, rows, seed, business, plan), model, root, mode)
+    return _finish(spark, model, plan, profile, data, profile.rows if profile else dict.fromkeys(data, rows), stage, mode, reports, business=business)
 
 
 def run_export(spark: SparkSession, text: str, root: str, reports: str) -> Run:
     """Read a saved warehouse back, repair, check and export it; nothing is written to it."""
     model, plan = read_model(text)
-    return _finish(spark, model, plan, None, sinks.load(spark, model, root), None, None, sinks.FAIL, reports)
+    _, data = _staged(spark, sinks.load(spark, model, root), model, None, sinks.FAIL)
+    return _finish(spark, model, plan, None, data, None, None, sinks.FAIL, reports)
 
 
 @dataclass

@@ -1,9 +1,7 @@
 """Saving all tables of a warehouse at once, and exporting them for people.
 
-Spark has no transaction over several tables.  A save writes every table under
-``_staging/<run>`` first, where it can be checked, and moves folders or files
-only after that, so a failure before leaves the target as it was; one while
-moving takes back what was moved.
+A save writes every table into folders that nobody reads, where it can be checked,
+and then makes all of them the next version of the target: see ``sources.ledger``.
 """
 
 from __future__ import annotations
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 
 from stratalake.functions.columns import safe_cell
 from stratalake.model import WarehouseModel
+from stratalake.sources.ledger import Ledger, Saved
 
 RECREATE, REUSE, APPEND, FAIL = "recreate", "reuse", "append", "fail"
 #: Name spaces that nothing is loaded into.
@@ -42,98 +41,73 @@ def target_namespace(business_name: str, explicit: str | None = None, prefix: st
     return name
 
 
-class _Files:
-    """Hadoop's file system, which opens whatever store the cluster uses."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def exists(self, p: str) -> bool:
-        return self.fs.exists(self._path(p))
-
-    def delete(self, p: str) -> None:
-        self.fs.delete(self._path(p), True)
-
-    def rename(self, a: str, b: str) -> None:
-        if not self.fs.rename(self._path(a), self._path(b)):
-            raise OSError(f"can't move {a} to {b}")
-
-    def names(self, p: str) -> list[str]:
-        return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(p)))
-
-    def mkdirs(self, p: str) -> None:
-        self.fs.mkdirs(self._path(p))
-
-
 def preflight(spark: SparkSession, root: str, model: WarehouseModel) -> dict[str, bool]:
-    """Which tables of the model exist under ``root``; fails if it can't be written."""
-    files = _Files(spark, root)
-    probe = f"{root}/_probe-{uuid.uuid4().hex}"
-    files.mkdirs(probe)
-    files.delete(probe)
-    return {t.name: files.exists(f"{root}/{t.name}") for t in model.tables}
+    """Which tables of the model are saved under ``root``; fails if it can't be written."""
+    ledger, probe = Ledger(spark, root), f"_probe-{uuid.uuid4().hex}"
+    ledger.folder.put(probe, "")
+    ledger.folder.delete(probe)
+    tables = ledger.current().tables
+    return {t.name: t.name in tables for t in model.tables}
 
 
 class Stage:
     """Tables written beside their target, not yet part of it."""
 
-    def __init__(self, spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, root: str, mode: str = FAIL):
+    def __init__(self, spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, root: str, mode: str = FAIL, name: str | None = None):
         """Write the model's tables, parents first.
 
         recreate: the tables replace what is there.  reuse: they replace the rows of
         tables that exist and must have the same columns.  append: rows are added.
-        fail: none of the tables may have rows yet.
+        fail: none of the tables may have rows yet.  ``data`` may be empty and tables
+        written one by one with ``write``; with a ``name`` a run that died goes on.
         """
         if mode not in (RECREATE, REUSE, APPEND, FAIL):
             raise ValueError(f"unknown mode {mode}")
-        self.spark, self.root, self.mode, self.run = spark, root, mode, f"{root}/_staging/{uuid.uuid4().hex}"
-        self.files, self.order = _Files(spark, root), [t.name for t in model.load_order() if t.name in data]
-        self.there = {t: self.files.exists(f"{root}/{t}") for t in self.order}
-        for t in self.order:
-            if self.there[t] and mode == FAIL and not spark.read.parquet(f"{root}/{t}").isEmpty():
-                raise FileExistsError(f"{t} has rows already")
-            if self.there[t] and mode in (REUSE, APPEND) and spark.read.parquet(f"{root}/{t}").columns != data[t].columns:
-                raise ValueError(f"{t}: the columns there are others")
+        self.spark, self.model, self.mode, self.ledger = spark, model, mode, Ledger(spark, root)
+        self.change = self.ledger.begin(name, append=mode == APPEND)
+        self.saved = Saved(self.ledger, self.change.base) if mode == APPEND and self.change.base.tables else None
+        order = [t.name for t in model.load_order() if t.name in data]
         try:
-            for t in self.order:
-                data[t].write.parquet(f"{self.run}/{t}")
+            for t in order:
+                self._admit(t, data[t])
+            for t in order:
+                self.write(t, data[t])
         except Exception:
             self.drop()
             raise
-        self.schemas = {t: data[t].schema for t in self.order}
+
+    def _admit(self, name: str, rows: DataFrame) -> None:
+        there = self.change.base.tables.get(name)
+        if there and self.mode == FAIL and not self.ledger.frame(there).isEmpty():
+            raise FileExistsError(f"{name} has rows already")
+        if there and self.mode in (REUSE, APPEND) and self.ledger.frame(there).columns != rows.columns:
+            raise ValueError(f"{name}: the columns there are others")
+
+    def write(self, name: str, rows: DataFrame, of: str = "") -> DataFrame:
+        """The rows as they were written."""
+        self._admit(name, rows)
+        return self.change.write(rows, self.model.table(name), of=of)
+
+    def done(self, name: str) -> DataFrame | None:
+        """The rows of a table that an earlier try of this run wrote."""
+        return self.change.written(name)
 
     def tables(self, moved: bool = False) -> dict[str, DataFrame]:
-        """What was written, where it is now."""
-        return {t: self.spark.read.schema(s).parquet(f"{self.root if moved else self.run}/{t}") for t, s in self.schemas.items()}
+        """What was written; once it is moved, with the rows that were there before."""
+        names = {**self.change.made, **self.change.kept}
+        return {t: self.ledger.read(t, self.moved) if moved else self.change.written(t) for t in names}
 
     def drop(self) -> None:
-        self.files.delete(self.run)
-
-    def _moves(self, t: str) -> list[tuple[str, str]]:
-        """(from, to) of one table: its new files one by one into a table that stays, else whole folders."""
-        home, fresh = f"{self.root}/{t}", f"{self.run}/{t}"
-        if self.there[t] and self.mode == APPEND:  # Spark names files with an id of their own
-            return [(f"{fresh}/{name}", f"{home}/{name}") for name in self.files.names(fresh) if not name.startswith(("_", "."))]
-        return [(home, f"{self.run}/_old/{t}")] * self.there[t] + [(fresh, home)]
+        self.change.abandon()
 
     def swap(self) -> dict[str, str]:
-        """Make the tables part of the target, all of them or none.  Returns their paths."""
-        done: list[tuple[str, str]] = []
+        """Make the tables part of the target, all of them or none.  Returns where their rows are."""
         try:
-            self.files.mkdirs(f"{self.run}/_old")
-            for t in self.order:
-                for a, b in self._moves(t):
-                    self.files.rename(a, b)
-                    done.append((a, b))
+            self.moved = self.change.commit()
         except Exception:
-            for a, b in reversed(done):
-                self.files.rename(b, a)
-            raise
-        finally:
             self.drop()
-        return {t: f"{self.root}/{t}" for t in self.order}
+            raise
+        return {t: f"{self.ledger.root}/{x.folders[-1]}" for t, x in self.change.made.items()}
 
 
 def save(spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, root: str, mode: str = FAIL) -> dict[str, str]:
@@ -142,11 +116,12 @@ def save(spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel,
 
 
 def load(spark: SparkSession, model: WarehouseModel, root: str) -> dict[str, DataFrame]:
-    """All tables of the model as saved; an error names those that aren't there."""
-    there = preflight(spark, root, model)
-    if gone := [t for t, ok in there.items() if not ok]:
+    """All tables of the model as saved, of one version; an error names those that aren't there."""
+    ledger = Ledger(spark, root)
+    version = ledger.current()
+    if gone := [t.name for t in model.tables if t.name not in version.tables]:
         raise FileNotFoundError(f"not saved yet: {', '.join(gone)}")
-    return {t.name: spark.read.parquet(f"{root}/{t.name}").select(*(c for c in t.column_names)) for t in model.tables}
+    return {t.name: ledger.read(t.name, version).select(*t.column_names) for t in model.tables}
 
 
 def safe_cells(df: DataFrame) -> DataFrame:

@@ -324,15 +324,16 @@ def test_save_modes_and_read_back(spark, tmp_path):
     sinks.save(spark, data, m, root)
     with pytest.raises(FileExistsError):
         sinks.save(spark, data, m, root)
-    before = {f.name for f in (tmp_path / "w" / "c").iterdir()}
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "w" / "_data").rglob("*.parquet")}
     sinks.save(spark, data, m, root, sinks.APPEND)
-    assert before < {f.name for f in (tmp_path / "w" / "c").iterdir()}  # nothing that was there is written again
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "w" / "_data").rglob("*.parquet")}
+    assert len(after) > len(before) and all(after[f] == n for f, n in before.items())  # nothing that was there is written again
     assert sinks.load(spark, m, root)["c"].count() == 4
     sinks.save(spark, data, m, root, sinks.RECREATE)
     broken = data | {"c": data["c"].withColumn("id", F.raise_error("no"))}
     with pytest.raises(Exception, match="no"):
         sinks.save(spark, broken, m, root, sinks.RECREATE)
-    assert sinks.load(spark, m, root)["c"].count() == 2 and not list((tmp_path / "w" / "_staging").iterdir())
+    assert sinks.load(spark, m, root)["c"].count() == 2 and not list((tmp_path / "w" / "_changes").glob("*.json"))
     with pytest.raises(ValueError, match="others"):
         sinks.save(spark, {"p": data["p"].withColumn("x", F.lit(1))}, m, root, sinks.REUSE)
 

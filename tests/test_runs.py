@@ -32,7 +32,7 @@ def test_elt_run(spark, tmp_path):
         runs.run_elt(spark, LAYERS, SPEC | {"fact_sql": ["INSERT INTO fact_order SELECT * FROM elsewhere"]})
     bad = {**SPEC, "load_table_rows": {**SPEC["load_table_rows"], "load_order_raw": SPEC["load_table_rows"]["load_order_raw"] * 2}}
     failed = runs.run_elt(spark, LAYERS, bad, root=f"file://{tmp_path}/no")
-    assert failed.status == "failed" and not list((tmp_path / "no").glob("*_*/*")) and not failed.paths
+    assert failed.status == "failed" and not list((tmp_path / "no").rglob("*.parquet")) and not list((tmp_path / "no").glob("_versions/*")) and not failed.paths
 
 
 def test_what_is_saved_is_what_was_checked(spark, tmp_path):
