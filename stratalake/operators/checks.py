@@ -217,17 +217,22 @@ def lineage_keys(t: TableSpec) -> list[str]:
     return [c.name for c in t.columns if c.name not in t.primary_key and c.name.lower().endswith(("_id", "_code", "_number", "_no"))]
 
 
-def validate_lineage(model: WarehouseModel, data: Data, plan: Plan, payload: str | None = "source_payload") -> DataFrame:
-    """V13 to V15.  A key that a raw table keeps in its payload is read from there."""
+def validate_lineage(model: WarehouseModel, data: Data, plan: Plan, payload: str | None = "source_payload", parents: Data | None = None, saved=None) -> DataFrame:
+    """V13 to V15.  A key that a raw table keeps in its payload is read from there.
+
+    ``parents``: the tables that rows may come from, if those aren't the same, as when
+    ``data`` are rows to be added to ``saved`` ones.
+    """
+    parents_of = parents or data
     spark = next(iter(data.values())).sparkSession
     parts, notes = [], []
 
     def source(name: str, column: str) -> DataFrame | None:
         t = model.table(name)
         if t.has(column):
-            return data[name].select(column)
+            return parents_of[name].select(column)
         if payload and t.has(payload):
-            return data[name].select(F.get_json_object(payload, f"$.{column}").alias(column))
+            return parents_of[name].select(F.get_json_object(payload, f"$.{column}").alias(column))
         return None
 
     for role, below, check_id in ((STAGING, RAW, "staging_in_raw"), (DIMENSION, STAGING, "dimension_in_staging")):
@@ -238,7 +243,7 @@ def validate_lineage(model: WarehouseModel, data: Data, plan: Plan, payload: str
                 keys = [c.name for c in model.table(name).columns if any(model.table(s).has(c.name) for s in sources)]
             compared = 0
             for key in dict.fromkeys(keys):
-                parents = [p for s in sources if s in data and (p := source(s, key)) is not None]
+                parents = [p for s in sources if s in parents_of and (p := source(s, key)) is not None]
                 if parents and name in data:
                     gone = not_contained(data[name], key, parents).agg(F.count(F.lit(1)).alias("v"), F.min(F.col("v").cast("string")).alias("s"))
                     parts.append(results(gone, row(check_id, name, f"{key} in {', '.join(sources)}", ERROR, F.col("v"), F.col("s"))))
@@ -247,7 +252,7 @@ def validate_lineage(model: WarehouseModel, data: Data, plan: Plan, payload: str
                 notes.append((check_id, name, "nothing to compare" if sources else "no source"))
     for name in plan.of(FACT):
         declared = [fk for fk in model.table(name).foreign_keys if plan.roles.get(fk.parent) == DIMENSION]
-        parts += [fk_check(name, data[name], fk, data[fk.parent], "fact_in_dimension") for fk in declared if name in data and fk.parent in data]
+        parts += [fk_check(name, data[name], fk, data[fk.parent], "fact_in_dimension", saved) for fk in declared if name in data and fk.parent in data]
         if not declared:
             notes.append(("fact_in_dimension", name, "no foreign key to a dimension"))
     if notes:  # lineage notes don't change the status
@@ -297,8 +302,8 @@ def uniform_counts(counts: DataFrame) -> DataFrame:
     return some.select("non_empty", "distinct_counts", F.coalesce((F.col("non_empty") >= 4) & (F.col("distinct_counts") == 1) & (F.col("_n") > 1), F.lit(False)).alias("uniform"))
 
 
-def validate_realism(model: WarehouseModel, data: Data, profile: Profile | None = None) -> DataFrame:
-    """V16 to V19 as check rows."""
+def validate_realism(model: WarehouseModel, data: Data, profile: Profile | None = None, parents: Data | None = None) -> DataFrame:
+    """V16 to V19 as check rows; ``parents`` as in ``validate_lineage``."""
     spark = next(iter(data.values())).sparkSession
     least = min(profile.date_span_days, 30) if profile else 7
     timed = {
@@ -313,7 +318,7 @@ def validate_realism(model: WarehouseModel, data: Data, profile: Profile | None
         for fk in t.foreign_keys:
             if t.name in data and (p := model.find(fk.parent)) is not None and p.name in data:
                 said = f"{', '.join(fk.columns)} -> {p.name}"
-                stats = reuse(data[t.name], fk.columns, data[p.name], fk.parent_columns)
+                stats = reuse(data[t.name], fk.columns, (parents or data)[p.name], fk.parent_columns)
                 parts.append(results(
                     stats, row("reference", t.name, said, ERROR, F.col("unresolved"), F.format_string("%d rows, %d parents, %d reused", "child_rows", "parents_used", "parents_reused")),
                     row("reuse", t.name, said, WARNING, F.col("artificial").cast("long")),

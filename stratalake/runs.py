@@ -18,7 +18,7 @@ from stratalake.operators.derive import repair_metrics
 from stratalake.operators.elt import from_rows
 from stratalake.operators.generate import generate
 from stratalake.plans import gate
-from stratalake.plans.layers import DIMENSION, RAW, STAGING, Plan, plan_layers
+from stratalake.plans.layers import RAW, STAGING, Plan, plan_layers
 from stratalake.plans.profile import Profile, build_profile
 from stratalake.plans.semantics import meanings
 from stratalake.scratch import written
@@ -56,8 +56,9 @@ def read_model(text: str) -> tuple[WarehouseModel, Plan]:
 def _finish(spark: SparkSession, model: WarehouseModel, plan: Plan, profile: Profile | None, data: dict[str, DataFrame], expected: dict[str, int] | None, stage: sinks.Stage | None, mode: str, reports: str | None, assumptions: list | None = None, business: dict | None = None) -> Run:
     """``data`` is written, beside its target or as scratch; that is what is checked, exported and, if it passes, moved."""
     saved = stage.saved if stage else None
-    whole = {t: saved.rows(t).unionByName(df) if saved and plan.roles.get(t) == DIMENSION and saved.table(t) else df for t, df in data.items()}
-    parts = [checks.validate(model, data, expected, meanings(model), saved=saved), checks.validate_lineage(model, whole if saved else data, plan), checks.validate_realism(model, data, profile)]
+    whole = {t: saved.rows(t).unionByName(df) if saved.table(t) else df for t, df in data.items()} if saved else None
+    lineage = checks.validate_lineage(model, data, plan, parents=whole, saved=saved)
+    parts = [checks.validate(model, data, expected, meanings(model), saved=saved), lineage, checks.validate_realism(model, data, profile, whole)]
     if profile:
         parts += [checks.payload_checks(t, data[t], r.required) for t, r in profile.raw.items() if r.has_payload and t in data]
         parts.append(checks.payload_references(profile, data))
