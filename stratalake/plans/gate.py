@@ -14,6 +14,8 @@ never the text.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -54,8 +56,8 @@ EXPRESSIONS = set("""
 """.split())
 
 
-#: Takes a table's name and what makes its rows, and returns them as they were written (or as an earlier try wrote them).
-Settle = Callable[[str, Callable[[], DataFrame]], DataFrame]
+#: Takes a table's name, what makes its rows and what they are made from, and returns them as they were written (now, or before from the same).
+Settle = Callable[[str, Callable[[], DataFrame], str], DataFrame]
 
 
 @dataclass
@@ -240,7 +242,7 @@ def unqualify(sql: str, model: WarehouseModel, schema: str | None = None) -> str
     return _SPAN.sub(swap, sql)
 
 
-def execute(spark: SparkSession, spec: dict, model: WarehouseModel, plan: Plan, raw: dict[str, DataFrame], settle: Settle | None = None, saved=None) -> dict[str, DataFrame]:
+def execute(spark: SparkSession, spec: dict, model: WarehouseModel, plan: Plan, raw: dict[str, DataFrame], settle: Settle | None = None, saved=None, sources: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Frames of all tables: raw ones as given, then each admitted statement's query, staging before dimensions before facts.
 
     Inserts into one table add up; columns that a statement doesn't name get
@@ -249,28 +251,37 @@ def execute(spark: SparkSession, spec: dict, model: WarehouseModel, plan: Plan,
     chained and nothing is written.  With ``saved`` (``sources.ledger.Saved``) the rows
     are to be added: numbers go on, and statements see dimensions with the rows that
     were saved before, but other layers as this run brings them.
+
+    What a table is made from, as ``settle`` gets it, is a fingerprint over the parsed
+    plans of its statements and the fingerprints of the tables that they read; those of
+    raw tables are ``sources``.
     """
     made: dict[str, DataFrame] = {}
+    of = dict(sources or {})
 
     def show(name: str, role: str) -> None:
         whole = role == DIMENSION and saved is not None and saved.table(name) is not None
         (saved.rows(name).unionByName(made[name]) if whole else made[name]).createOrReplaceTempView(name)
 
     for name, df in raw.items():
-        made[name] = settle(name, lambda df=df: df) if settle else df
+        made[name] = settle(name, lambda df=df: df, of.get(name, "")) if settle else df
         show(name, RAW)
     for part, role in LAYERS.items():
         collected: dict[str, tuple[TableSpec, DataFrame]] = {}
         fitted: set[str] = set()
+        statements: list[Statement] = []
 
-        def fit(name: str, collected=collected, fitted=fitted, role=role) -> None:
+        def fit(name: str, collected=collected, fitted=fitted, role=role, statements=statements) -> None:
             t, rows = collected[name]
             make = lambda: fit_to_table(rows, t, saved=saved)
-            made[name] = settle(name, make) if settle else make()
+            mine = [x for x in statements if model.table(x.target).name == name]
+            below = {b.name: of.get(b.name, "") for x in mine for r in x.reads if (b := model.find(r))}
+            plans = [(re.sub(r"#\d+", "#", x.query.toString()), x.target_columns, x.by_name) for x in mine]
+            of[name] = hashlib.sha256(json.dumps([plans, below], sort_keys=True).encode()).hexdigest() if all(below.values()) else ""
+            made[name] = settle(name, make, of[name]) if settle else make()
             fitted.add(name)
             show(name, role)
 
-        statements = []
         for sql in spec[part]:
             plain = unqualify(sql, model)
             if reasons := judge(spark, plain, role, model, plan):

@@ -82,24 +82,37 @@ def _finish(spark: SparkSession, model: WarehouseModel, plan: Plan, profile: Pro
 
 
 def _written(stage: sinks.Stage | None) -> gate.Settle:
-    """Writes tables, with repaired measures, into the stage or as scratch; those that an earlier try of the run wrote are taken over."""
+    """Writes tables, with repaired measures, into the stage or as scratch; what an earlier try of the run wrote, or an earlier run from the same, is taken over."""
 
-    def settle(name: str, make) -> DataFrame:
+    def settle(name: str, make, of: str) -> DataFrame:
         if stage is None:
             return written(repair_metrics(make()), name)
-        done = stage.done(name)
-        return stage.write(name, repair_metrics(make())) if done is None else done
+        done = stage.done(name, of)
+        return stage.write(name, repair_metrics(make()), of) if done is None else done
 
     return settle
 
 
+def _source(given: DataFrame | list) -> str:
+    """What a raw table is read from: its files with their sizes and times, or its rows; empty where that can't be said."""
+    if isinstance(given, list):
+        return fingerprint(given)
+    spark, found = given.sparkSession, []
+    for name in sorted(given.inputFiles()):  # one name a file
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return fingerprint(found, given.semanticHash()) if found else ""
+
+
 def run_elt(spark: SparkSession, text: str, spec: dict, rows: int | None = None, root: str | None = None, mode: str = sinks.FAIL, reports: str | None = None, raw: dict[str, DataFrame] | None = None) -> Run:
     """A stored specification through gate, raw rows, statements, repair, checks and save.
 
     With ``rows`` raw counts must be the profile's, and the other tables are
     compared with the profile too.  ``raw`` gives raw tables as frames, in place of rows
     in the specification.  Each layer is written before the next, which reads it from
-    there; a run that died and is begun again with the same text, specification, raw
+    there.  Into a target that is replaced only tables are written whose statements or
+    inputs have changed since they were saved.  A run that died and is begun again with the same text, specification, raw
     frames, target and mode goes on after the tables that were whole.  A failed validation saves nothing.
     """
     model, plan = read_model(text)
@@ -110,7 +123,8 @@ def run_elt(spark: SparkSession, text: str, spec: dict, rows: int | None = None,
         raise Refused("; ".join(reasons))
     stage = sinks.Stage(spark, {}, model, root, mode, name=fingerprint(text, spec, mode, {t: df.semanticHash() for t, df in given.items()})) if root else None
     frames = {model.table(t).name: from_rows(spark, model.table(t), got) for t, got in spec["load_table_rows"].items() if t not in given} | given
-    data = gate.execute(spark, spec, model, plan, frames, _written(stage), stage.saved if stage else None)
+    sources = {t: _source(given[t] if t in given else spec["load_table_rows"][next(n for n in spec["load_table_rows"] if model.table(n).name == t)]) for t in frames}
+    data = gate.execute(spark, spec, model, plan, frames, _written(stage), stage.saved if stage else None, sources)
     return _finish(spark, model, plan, profile, data, profile.rows if profile else None, stage, mode, reports, spec["assumptions"])
 
 

@@ -88,8 +88,11 @@ class Stage:
         self._admit(name, rows)
         return self.change.write(rows, self.model.table(name), of=of)
 
-    def done(self, name: str) -> DataFrame | None:
-        """The rows of a table that an earlier try of this run wrote."""
+    def done(self, name: str, of: str = "") -> DataFrame | None:
+        """The rows of a table that an earlier try of this run wrote, or that are saved and were made from the same, if the target is replaced."""
+        there = self.change.base.tables.get(name)
+        if self.change.written(name) is None and of and there and there.of == of and self.mode in (RECREATE, REUSE):
+            return self.change.take_over(name)
         return self.change.written(name)
 
     def tables(self, moved: bool = False) -> dict[str, DataFrame]:
@@ -102,12 +105,13 @@ class Stage:
 
     def swap(self) -> dict[str, str]:
         """Make the tables part of the target, all of them or none.  Returns where their rows are."""
+        change = self.change
         try:
-            self.moved = self.change.commit()
+            self.moved = change.commit() if change.made else change.base  # all as it was
         except Exception:
             self.drop()
             raise
-        return {t: f"{self.ledger.root}/{x.folders[-1]}" for t, x in self.change.made.items()}
+        return {t: f"{self.ledger.root}/{x.folders[-1]}" for t, x in {**change.kept, **change.made}.items()}
 
 
 def save(spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, root: str, mode: str = FAIL) -> dict[str, str]:
