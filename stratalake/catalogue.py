@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalake.functions import columns as fn
 from stratalake.operators import checks, derive, elt, views
 from stratalake.operators.generate import table_rows
-from stratalake.plans.layers import plan_layers
-from stratalake.plans.profile import build_profile
 from stratalake.plans.semantics import meanings
 from stratalake.sources.ddl import parse_ddl
 from stratalake.sources.sinks import safe_cells
@@ -368,51 +366,71 @@ def layer_reconciliation(spark, sf):
     return checks.row_counts({"raw": raw_items(spark, sf), "staging": staged_items(spark, sf), "dimension": orders, "fact": sales(spark, sf, orders, dim_product(spark, sf))})
 
 
-# Plans
+# Generation
 
 
-def profile_row_counts(spark, sf):
-    model = parse_ddl(LAYERED_DDL)
-    rows = build_profile(model, plan_layers(model), 10).rows
-    return spark.createDataFrame([(t.name, rows[t.name]) for t in model.tables], "table_name string, row_count long")
+def gen_business_ids(spark, sf):
+    i = F.col("id")
+    ids = read(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("id"))
+    return ids.select("id", fn.business_id("customer_id", i).alias("customer_id"), fn.business_id("order_id", i).alias("order_id"), fn.text_key("dim_store", i).alias("store_key"), fn.cyclic_date_key(i).alias("date_key"))
 
 
-def lineage_plan(spark, sf):
-    model = parse_ddl(LAYERED_DDL)
-    plan = plan_layers(model)
-    return spark.createDataFrame([(t, plan.roles[t], k, s, s == plan.primary.get(t)) for t, ss in plan.lineage.items() for k, s in enumerate(ss)], "table_name string, role string, position long, source string, is_primary boolean")
+def _parents(spark, sf, table: str, key: str, name: str):
+    """A given table as parents of generated rows, numbered in order of its key (which has no gaps), and its size."""
+    rows = read(spark, sf, table)
+    return rows.select((F.col(key) + 1).alias("_row"), F.col(key).cast("long").alias(name)), rows.count()
 
 
-# Generation
+_CHILD = "CREATE TABLE customer (customer_id bigint PRIMARY KEY); CREATE TABLE visit (visit_id bigint PRIMARY KEY, customer_id bigint REFERENCES customer)"
 
 
-def gen_business_ids(spark, sf):
-    i = F.col("id")
-    return spark.range(1, 1001).select("id", fn.business_id("customer_id", i).alias("customer_id"), fn.business_id("order_id", i).alias("order_id"), fn.text_key("dim_store", i).alias("store_key"), fn.cyclic_date_key(i).alias("date_key"))
+def gen_fk_modulo(spark, sf):
+    """As many visits as there are orders, whose customers are taken in turn."""
+    model = parse_ddl(_CHILD)
+    visits = table_rows(spark, model.table("visit"), read(spark, sf, "orders").count(), {"customer": _parents(spark, sf, "customer", "c_custkey", "customer_id")}, meanings(model))
+    return visits.select("visit_id", "customer_id")
 
 
-_PAIR = "CREATE TABLE parent (parent_id bigint PRIMARY KEY); CREATE TABLE child (child_id bigint PRIMARY KEY, parent_id bigint REFERENCES parent); CREATE TABLE pair (a bigint REFERENCES parent, b bigint REFERENCES child, UNIQUE (a, b));"
+_OFFER = "CREATE TABLE part (part_id bigint PRIMARY KEY); CREATE TABLE supplier (supplier_id bigint PRIMARY KEY); CREATE TABLE offer (part_id bigint REFERENCES part, supplier_id bigint REFERENCES supplier, UNIQUE (part_id, supplier_id))"
 
 
-def gen_fk_modulo(spark, sf):
-    model = parse_ddl(_PAIR)
-    known = meanings(model)
-    parent = table_rows(spark, model.table("parent"), 7, {}, known)
-    child = table_rows(spark, model.table("child"), 1000, {"parent": (parent, 7)}, known)
-    return child.select("child_id", "parent_id")
+def gen_unique_pairs(spark, sf):
+    """Three offers for each part: pairs of part and supplier, all distinct."""
+    model, parents = parse_ddl(_OFFER), {"part": _parents(spark, sf, "part", "p_partkey", "part_id"), "supplier": _parents(spark, sf, "supplier", "s_suppkey", "supplier_id")}
+    return table_rows(spark, model.table("offer"), 3 * parents["part"][1], parents, meanings(model)).select("part_id", "supplier_id")
 
 
-def gen_unique_pairs(spark, sf):
-    model = parse_ddl(_PAIR)
-    known = meanings(model)
-    parent = table_rows(spark, model.table("parent"), 7, {}, known)
-    child = table_rows(spark, model.table("child"), 40, {"parent": (parent, 7)}, known)
-    return table_rows(spark, model.table("pair"), 280, {"parent": (parent, 7), "child": (child, 40)}, known).select("a", "b")
+_TRIPLE = """CREATE TABLE customer (customer_id bigint PRIMARY KEY); CREATE TABLE part (part_id bigint PRIMARY KEY); CREATE TABLE supplier (supplier_id bigint PRIMARY KEY);
+CREATE TABLE quote (customer_id bigint REFERENCES customer, part_id bigint REFERENCES part, supplier_id bigint REFERENCES supplier, UNIQUE (customer_id, part_id), UNIQUE (part_id, supplier_id))"""
+
+
+def gen_unique_sets(spark, sf):
+    """Quotes with two UNIQUE sets that share the part: rows, distinct tuples of each set, values of each column and rows without a parent."""
+    model = parse_ddl(_TRIPLE)
+    parents = {t: _parents(spark, sf, t, k, f"{t}_id") for t, k in (("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"))}
+    quotes = table_rows(spark, model.table("quote"), read(spark, sf, "orders").count(), parents, meanings(model))
+    pairs = [quotes.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias(name)) for k, name in ((("customer_id", "part_id"), "customer_part"), (("part_id", "supplier_id"), "part_supplier"))]
+    seen = quotes.agg(F.count(F.lit(1)).alias("quotes"), F.count_if(F.col("customer_id").isNull() | F.col("part_id").isNull() | F.col("supplier_id").isNull()).alias("orphans"), F.count_distinct("part_id").alias("parts"))
+    return seen.crossJoin(pairs[0]).crossJoin(pairs[1])  # one row each
+
+
+def gen_uneven_reuse(spark, sf):
+    """As many visits as there are line items, whose customers follow a power law: how far the share of the busiest ones is from it at most."""
+    model, exponent = parse_ddl(_CHILD), 0.8
+    frame, m = _parents(spark, sf, "customer", "c_custkey", "customer_id")
+    visits = table_rows(spark, model.table("visit"), read(spark, sf, "lineitem").count(), {"customer": (frame, m)}, meanings(model), reuse=exponent)
+    often = visits.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    by_number = often.groupBy("n").agg(F.count(F.lit(1)).alias("customers"))  # one row a number of visits
+    down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    top = by_number.select(F.sum("customers").over(down).alias("top"), F.sum(F.col("n") * F.col("customers")).over(down).alias("of_top"), F.col("n"), F.col("customers"))
+    law = (F.pow(F.col("top") + 1.0, F.lit(1 - exponent)) - 1) / ((m + 1.0) ** (1 - exponent) - 1)
+    total = often.agg(F.sum("n").alias("visits"), F.count_if(F.col("customer_id").isNull()).alias("orphans"))
+    return top.crossJoin(total).groupBy("visits", "orphans").agg((F.max(F.abs(F.col("of_top") / F.col("visits") - law)) < 0.03).alias("follows_the_law"), (F.max("n") > 10 * F.min("n")).alias("uneven"))
 
 
 def gen_check_cycle(spark, sf):
     model = parse_ddl("CREATE TABLE item (item_key bigint PRIMARY KEY, status varchar(10) CHECK (status IN ('New', 'Open', 'Done')), score integer CHECK (score BETWEEN 1 AND 10), flag boolean)")
-    return table_rows(spark, model.table("item"), 1000, {}, meanings(model)).select("item_key", "status", "score", "flag")
+    return table_rows(spark, model.table("item"), read(spark, sf, "part").count(), {}, meanings(model)).select("item_key", "status", "score", "flag")
 
 
 def calc_measures(spark, sf):
@@ -455,7 +473,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fact_delivery_roles, fact_return, vw_daily_sales, vw_product_performance, vw_customer_segment, vw_order_status, vw_shipment_performance, vw_return_analysis,
         vw_stock_risk, top_products, check_row_counts, check_not_null, check_length, check_numeric, check_type_castable, check_pk_duplicates, check_unique_duplicates,
         check_constraints, check_fk_orphans, fk_reuse_stats, check_placeholders, lineage_raw_staging, lineage_staging_dim, lineage_fact_dim, temporal_span,
-        uniform_row_counts, layer_reconciliation, profile_row_counts, lineage_plan, gen_business_ids, gen_fk_modulo, gen_unique_pairs, gen_check_cycle, calc_measures,
+        uniform_row_counts, layer_reconciliation, gen_business_ids, gen_fk_modulo, gen_unique_pairs, gen_unique_sets, gen_uneven_reuse, gen_check_cycle, calc_measures,
         repair_metrics, lifecycle_fix, cell_safe_export,
     )
 }

@@ -8,6 +8,8 @@ from stratalake import runs
 from stratalake.catalogue import read
 from stratalake.catalogue_flows import SHOP, SHOP_DDL, STATEMENTS, _raw
 from stratalake.operators import checks, elt
+from stratalake.plans import gate
+from stratalake.plans.layers import plan_layers
 from stratalake.scratch import shared_dir
 from stratalake.sources import sinks
 from stratalake.sources.ddl import parse_ddl
@@ -105,10 +107,31 @@ def repeated_runs(spark, sf):
     return spark.createDataFrame(rows, "run long, table_name string, row_count long, written boolean")
 
 
-QUERIES = {f.__name__: f for f in (identity_appends, append_violations, versions_read, run_with_restart, repeated_runs)}
+LINES_DDL = """
+CREATE TABLE load_sale_raw (load_id bigint PRIMARY KEY, source_payload jsonb NOT NULL);
+CREATE TABLE stg_sale_line (sale_id bigint, line_number integer, part_id bigint, quantity numeric(12,2), PRIMARY KEY (sale_id, line_number, part_id));
+"""
+LINES = {"staging_sql": ["""
+INSERT INTO stg_sale_line (sale_id, line_number, part_id, quantity) SELECT r.load_id, l.line_number, l.part_id, l.quantity FROM load_sale_raw r,
+LATERAL inline(from_json(get_json_object(r.source_payload, '$.lines'), 'array<struct<line_number: int, part_id: bigint, quantity: decimal(12,2)>>')) AS l (line_number, part_id, quantity)
+"""], "dimension_sql": [], "fact_sql": []}
+
+
+def lateral_lines(spark, sf):
+    """Orders as documents with their lines inside, taken apart by an admitted statement with LATERAL."""
+    model = parse_ddl(LINES_DDL)
+    l = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("part_id"), F.col("l_quantity").alias("quantity"))).alias("lines"))
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus").join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    raw = o.select(F.col("o_orderkey").alias("load_id"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"), "lines")).alias("source_payload"))
+    made = gate.execute(spark, LINES, model, plan_layers(model), {"load_sale_raw": raw})
+    return made["stg_sale_line"].withColumn("quantity", F.col("quantity").cast("double"))
+
+
+QUERIES = {f.__name__: f for f in (identity_appends, append_violations, versions_read, run_with_restart, repeated_runs, lateral_lines)}
 _COUNTS = """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice::DECIMAL(12,2) AS amount, o_orderkey % 2 = 0 AS even FROM orders),
   c AS (SELECT count(*) AS all_rows, count(*) FILTER (even) AS even_rows, count(*) FILTER (amount >= 1000) AS large, count(*) FILTER (amount >= 1000 AND even) AS large_even FROM o JOIN customer ON c_custkey = o_custkey), n AS (SELECT count(*) AS n FROM customer)"""
 SQL = {
+    "lateral_lines": "SELECT l_orderkey AS sale_id, l_linenumber::INTEGER AS line_number, l_partkey AS part_id, l_quantity::DECIMAL(12,2)::DOUBLE AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
     "identity_appends": """
 WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_custkey % 10 < 6),
   b AS (SELECT c_custkey, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_custkey % 10 >= 6)

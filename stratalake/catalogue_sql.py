@@ -120,16 +120,13 @@ SQL: dict[str, str] = {
       SELECT 'star' AS tables, count(*) FILTER (n > 0) AS non_empty, count(DISTINCT n) FILTER (n > 0) AS distinct_counts, count(*) FILTER (n > 0) >= 4 AND count(DISTINCT n) FILTER (n > 0) = 1 AND max(n) > 1 AS uniform FROM c
       UNION ALL SELECT 'four alike', 4, 1, true""",
     "layer_reconciliation": "SELECT 'raw' AS table_name, count(*) AS row_count FROM lineitem UNION ALL SELECT 'staging', count(*) FROM lineitem UNION ALL SELECT 'dimension', count(*) FROM orders UNION ALL SELECT 'fact', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey",
-    "profile_row_counts": """SELECT * FROM (VALUES ('load_customer_raw', 5::BIGINT), ('load_order_raw', 10), ('load_order_item_raw', 30), ('stg_customer', 5), ('stg_order', 10), ('stg_order_item', 30),
-      ('dim_customer', 5), ('fact_order', 10), ('fact_order_item', 30)) t(table_name, row_count)""",
-    "lineage_plan": """SELECT * FROM (VALUES ('stg_customer', 'staging', 0::BIGINT, 'load_customer_raw', true), ('stg_order', 'staging', 0, 'load_order_raw', true), ('stg_order_item', 'staging', 0, 'load_order_item_raw', true),
-      ('dim_customer', 'dimension', 0, 'stg_customer', true), ('fact_order', 'fact', 0, 'dim_customer', false), ('fact_order', 'fact', 1, 'stg_order', true), ('fact_order', 'fact', 2, 'stg_customer', false),
-      ('fact_order_item', 'fact', 0, 'dim_customer', false), ('fact_order_item', 'fact', 1, 'stg_order_item', true), ('fact_order_item', 'fact', 2, 'stg_order', false)) t(table_name, role, position, source, is_primary)""",
-    "gen_business_ids": """WITH i AS (SELECT unnest(range(1, 1001)) AS id), k AS (SELECT id, strftime(DATE '2026-07-06' + ((id - 1) % 365)::INTEGER, '%Y%m%d')::INTEGER AS date_key FROM i)
+    "gen_business_ids": """WITH i AS (SELECT c_custkey + 1 AS id FROM customer), k AS (SELECT id, strftime(DATE '2026-07-06' + ((id - 1) % 365)::INTEGER, '%Y%m%d')::INTEGER AS date_key FROM i)
       SELECT id, printf('CUST-%06d', id) AS customer_id, printf('ORDER-%d-%06d', date_key, id) AS order_id, printf('STORE-%06d', id) AS store_key, date_key FROM k""",
-    "gen_fk_modulo": "SELECT i AS child_id, (i - 1) % 7 + 1 AS parent_id FROM (SELECT unnest(range(1, 1001)) AS i)",
-    "gen_unique_pairs": "SELECT (i - 1) % 7 + 1 AS a, ((i - 1) // 7) % 40 + 1 AS b FROM (SELECT unnest(range(1, 281)) AS i)",
-    "gen_check_cycle": "SELECT i AS item_key, ['New', 'Open', 'Done'][(i - 1) % 3 + 1] AS status, ((i - 1) % 10 + 1)::INTEGER AS score, i % 2 = 0 AS flag FROM (SELECT unnest(range(1, 1001)) AS i)",
+    "gen_fk_modulo": "SELECT i AS visit_id, (i - 1) % (SELECT count(*) FROM customer) AS customer_id FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM orders))) AS i)",
+    "gen_unique_pairs": "SELECT (i - 1) % n AS part_id, ((i - 1) // n) % (SELECT count(*) FROM supplier) AS supplier_id FROM (SELECT unnest(range(1, (SELECT 3 * count(*) + 1 FROM part))) AS i), (SELECT count(*) AS n FROM part)",
+    "gen_unique_sets": "SELECT n AS quotes, 0::BIGINT AS orphans, least(n, p) AS parts, n AS customer_part, n AS part_supplier FROM (SELECT count(*) AS n FROM orders), (SELECT count(*) AS p FROM part)",
+    "gen_uneven_reuse": "SELECT count(*) AS visits, 0::BIGINT AS orphans, true AS follows_the_law, true AS uneven FROM lineitem",
+    "gen_check_cycle": "SELECT i AS item_key, ['New', 'Open', 'Done'][(i - 1) % 3 + 1] AS status, ((i - 1) % 10 + 1)::INTEGER AS score, i % 2 = 0 AS flag FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM part))) AS i)",
     "calc_measures": """SELECT l_orderkey, l_linenumber, l_quantity::DECIMAL(14,2)::DOUBLE AS quantity, l_extendedprice::DECIMAL(14,2)::DOUBLE AS unit_price,
       (l_quantity::DECIMAL(14,2)::DECIMAL(16,2) * l_extendedprice::DECIMAL(14,2)::DECIMAL(16,2))::DECIMAL(18,2)::DOUBLE AS line_total, greatest(0, (l_linenumber - 3) * 1440)::BIGINT AS delay_minutes, l_linenumber > 3 AS is_delayed FROM lineitem""",
     "repair_metrics": """SELECT l_orderkey, l_linenumber, (CASE WHEN l_linestatus = 'F' THEN l_linenumber - 3 END)::BIGINT AS delay_minutes, (CASE WHEN l_linestatus = 'F' AND l_linenumber > 3 THEN 1 ELSE 0 END)::BIGINT AS delayed_count,

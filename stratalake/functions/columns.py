@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +87,16 @@ def draw(low: int, high: int, seed: int, *parts: str | Column) -> Column:
     return (F.pmod(mixed, F.lit(high - low + 1)) + F.lit(low)).cast("long")
 
 
+def power_rank(size: int, exponent: float, *parts: str | int | Column) -> Column:
+    """A rank 1..size that depends on the parts alone; rank k or less has the share that the density x**-exponent has up to k + 1, from 1 to size + 1."""
+    u = (F.pmod(F.xxhash64(*(F.lit(p) if isinstance(p, (str, int)) else p for p in parts)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    if exponent == 1:
+        rank = F.exp(u * math.log(size + 1))
+    else:
+        rank = F.pow(u * ((size + 1.0) ** (1 - exponent) - 1) + 1, F.lit(1 / (1 - exponent)))
+    return F.greatest(F.lit(1), F.least(F.lit(size), F.floor(rank).cast("long")))
+
+
 def quantise(c: Column, scale: int) -> Column:
     """Rounded half to even, as decimal contexts do."""
     return F.bround(c, scale)

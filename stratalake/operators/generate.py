@@ -8,12 +8,15 @@ Values by priority: foreign keys copy the parent's key (row i takes parent row
 (i - 1) mod n); CHECKed columns take allowed values; the rest follow type, then
 meaning.  Where a foreign key takes part in a key, parents are picked by mixed
 radix digits of the row number, which makes the tuples distinct up to the
-product of the parents' sizes; beyond it, and where a list of allowed values is
-too short for a UNIQUE, generation fails before it makes a row.
+product of the parents' sizes; keys that share foreign keys: see ``_parent_numbers``.
+Beyond their room, and where a list of allowed values is too short for a UNIQUE,
+generation fails before it makes a row.  With ``reuse`` parents outside keys are taken
+unevenly, by a power law.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -166,8 +169,80 @@ def _in_keys(t: TableSpec, fk: ForeignKey) -> bool:
     return any(set(fk.columns) & set(k) for k in (t.primary_key, *(u.columns for u in t.uniques)))
 
 
-def table_rows(spark: SparkSession, t: TableSpec, n: int, parents: dict[str, tuple[DataFrame, int]], known: dict, seed: int = 12345, business: dict | None = None) -> DataFrame:
-    """``n`` rows of a table; ``parents``: frames of parent tables with their row number column ``_row``, and their sizes."""
+def _digits(number: Column, sizes: list[int]) -> list[Column]:
+    """Mixed radix digits, from 1, of a number from 0."""
+    out, size = [], 1
+    for m in sizes:
+        out.append(F.pmod(F.floor(number / F.lit(size)).cast("long"), F.lit(m)) + 1)
+        size *= m
+    return out
+
+
+def _shuffled(number: Column, size: int, *parts) -> Column:
+    """A permutation of 0..size-1, another one for other ``parts``: a step that shares no factor with the size, and a hashed start."""
+    step = next(u for u in range(max(1, int(size * 0.618)), size + 1) if math.gcd(u, size) == 1) if size < 1 << 31 else 1
+    start = F.pmod(F.xxhash64(*(F.lit(p) if isinstance(p, (str, int)) else p for p in parts)), F.lit(size))
+    return F.pmod(F.pmod(number * F.lit(step), F.lit(size)) + start, F.lit(size))
+
+
+def _prime(limit: int) -> int:
+    """The largest prime up to a limit of 2 or more."""
+    return next(p for p in range(limit, 1, -1) if all(p % d for d in range(2, int(p**0.5) + 1)))
+
+
+def _parent_numbers(t: TableSpec, n: int, sets: list[list[ForeignKey]], size_of: Callable[[ForeignKey], int], seed: int) -> dict[int, Column]:
+    """The parent's row number for each foreign key of keys that hold foreign keys alone, so that every key is distinct.
+
+    Keys that share no foreign key take the mixed radix digits of the row number.  Of
+    keys that do, those that all have take the low digits, and what each has besides is a
+    permutation of the rest, one for each tuple of what is shared: as many rows as the
+    shared tuples times the smallest of the others.  Where nothing is shared by all
+    (a chain, a ring) every foreign key is another line of a plane over a prime p, of
+    which two always meet in one point: p * p rows.
+    """
+    out: dict[int, Column] = {}
+    row, left = F.col("_row") - 1, [list(x) for x in sets]
+    while left:
+        group, ids = [left.pop()], set()
+        while True:  # all keys that hang together
+            ids = {id(fk) for k in group for fk in k}
+            more = [k for k in left if ids & {id(fk) for fk in k}]
+            if not more:
+                break
+            group += more
+            left = [k for k in left if k not in more]
+        shared = [fk for fk in group[0] if all(any(fk is x for x in k) for k in group)]
+        rest = [[fk for fk in k if not any(fk is x for x in shared)] for k in group]
+        alone = len(ids) == len(shared) + sum(map(len, rest))
+        if len(group) == 1 or (shared and alone):
+            base = math.prod(map(size_of, shared))
+            room = base * min(math.prod(map(size_of, r)) for r in rest)
+            out |= {id(fk): d for fk, d in zip(shared, _digits(row, [size_of(fk) for fk in shared]), strict=True)}
+            high = F.floor(row / F.lit(base)).cast("long")
+            for k, r in enumerate(rest):
+                sizes = [size_of(fk) for fk in r]
+                number = _shuffled(high, math.prod(sizes), seed, t.name, k, F.pmod(row, F.lit(base))) if len(group) > 1 else high
+                out |= {id(fk): d for fk, d in zip(r, _digits(number, sizes), strict=True)}
+        else:
+            every = list({id(fk): fk for k in group for fk in k}.values())
+            least = min(map(size_of, every))
+            p = _prime(least) if least > 1 else 1
+            room = p * p if p > 1 and len(every) <= p + 1 and all(len(k) > 1 for k in group) else least
+            i, j = F.floor(row / F.lit(p)).cast("long"), F.pmod(row, F.lit(p))
+            for line, fk in enumerate(every):
+                number = row if room == least else i if line == p else F.pmod(i * F.lit(line) + j, F.lit(p))
+                out[id(fk)] = number + 1
+        if room < n:
+            raise CapacityError(f"{t.full_name}: {room} combinations of parents can't fill {n} rows of a key")
+    return out
+
+
+def table_rows(spark: SparkSession, t: TableSpec, n: int, parents: dict[str, tuple[DataFrame, int]], known: dict, seed: int = 12345, business: dict | None = None, reuse: float = 0.0) -> DataFrame:
+    """``n`` rows of a table; ``parents``: frames of parent tables with their row number column ``_row``, and their sizes.
+
+    ``reuse``: with 0 parents are taken in turn; else as often as the power law with
+    this exponent says, whatever tasks make the rows.
+    """
     room = capacity(t)
     if room is not None and room < n:
         raise CapacityError(f"{t.full_name}: a UNIQUE list of {room} allowed values can't fill {n} rows")
@@ -176,22 +251,15 @@ def table_rows(spark: SparkSession, t: TableSpec, n: int, parents: dict[str, tup
     keys = [t.primary_key, *(u.columns for u in t.uniques)]
     own = {c for k in keys if k and not set(k) & taken for c in k[-1:]}  # one column makes such a key distinct
     rows = spark.range(1, n + 1).withColumnRenamed("id", "_row")
-
-    # Keys that hold foreign keys alone: mixed radix over the parents.
-    digits: dict[int, Column] = {}
+    sets = []
     for k in keys:
         mine = [fk for fk in t.foreign_keys if set(fk.columns) & set(k)]
         free = [c for c in k if c not in taken]
         if not mine or free:
             own |= set(free[-1:])
-            continue
-        size, step = 1, F.col("_row") - 1
-        for fk in mine:
-            m = parents[fk.parent.lower()][1]
-            digits[id(fk)] = F.pmod(F.floor(step / F.lit(size)).cast("long"), F.lit(m)) + 1
-            size *= m
-        if size < n:
-            raise CapacityError(f"{t.full_name}: {size} combinations of parents can't fill {n} rows of a key")
+        else:
+            sets.append(mine)
+    digits = _parent_numbers(t, n, sets, lambda fk: parents[fk.parent.lower()][1], seed)
 
     out: dict[str, Column] = {}
     for c in t.columns:
@@ -208,7 +276,11 @@ def table_rows(spark: SparkSession, t: TableSpec, n: int, parents: dict[str, tup
     made = rows.select("_row", *(v.alias(c) for c, v in out.items()))
     for fk in t.foreign_keys:
         frame, m = parents[fk.parent.lower()]
-        at = digits.get(id(fk), F.pmod(F.col("_row") - 1, F.lit(max(1, m))) + 1)
+        at = digits.get(id(fk))
+        if at is None and reuse and m > 1:
+            at = _shuffled(fn.power_rank(m, reuse, seed, t.name, ",".join(fk.columns), F.col("_row")) - 1, m, seed, t.name, ",".join(fk.columns)) + 1
+        elif at is None:
+            at = F.pmod(F.col("_row") - 1, F.lit(max(1, m))) + 1
         side = frame.select(F.col("_row").alias("_at"), *(F.col(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns, strict=True)))
         side = side.drop(*(c for c in fk.columns if c in made.columns))
         made = made.withColumn("_of", at).join(side, F.col("_of") == F.col("_at"), "left").drop("_of", "_at")
@@ -244,8 +316,8 @@ def _ordered_dates(df: DataFrame) -> DataFrame:
     return df
 
 
-def generate(spark: SparkSession, model: WarehouseModel, rows: int = 100, seed: int = 12345, business: dict | None = None, plan: Plan | None = None, payload: tuple[str, ...] = ("source_payload",)) -> dict[str, DataFrame]:
-    """Frames of all tables; row counts by profile where there are raw and staging tables, else ``rows`` each."""
+def generate(spark: SparkSession, model: WarehouseModel, rows: int = 100, seed: int = 12345, business: dict | None = None, plan: Plan | None = None, payload: tuple[str, ...] = ("source_payload",), reuse: float = 0.0) -> dict[str, DataFrame]:
+    """Frames of all tables; row counts by profile where there are raw and staging tables, else ``rows`` each; ``reuse`` as in ``table_rows``."""
     from stratalake.operators.derive import calculate
 
     plan = plan or plan_layers(model)
@@ -253,7 +325,7 @@ def generate(spark: SparkSession, model: WarehouseModel, rows: int = 100, seed:
     known, made = meanings(model), {}
     numbered: dict[str, tuple[DataFrame, int]] = {}
     for t in model.load_order():
-        frame = table_rows(spark, t, sizes[t.name], numbered, known, seed, business)
+        frame = table_rows(spark, t, sizes[t.name], numbered, known, seed, business, reuse)
         kept = calculate(frame)
         numbered[t.name.lower()] = (kept, sizes[t.name])
         made[t.name] = kept

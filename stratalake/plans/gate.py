@@ -43,7 +43,8 @@ FUNCTION_GROUPS = {
 #: Nodes that a parsed query may hold.
 PLANS = set("""
     Aggregate CTERelationDef Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit Offset OneRowRelation Pivot Project Sort SubqueryAlias Union
-    Unpivot UnresolvedHaving UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedWith WithWindowDefinition
+    Unpivot UnresolvedHaving UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTableValuedFunction UnresolvedWith
+    WithWindowDefinition
 """.split())
 #: Expressions that it may hold, by their class; calls by name are judged by name.
 EXPRESSIONS = set("""

@@ -134,11 +134,11 @@ def _staged(spark: SparkSession, data: dict[str, DataFrame], model: WarehouseMod
     return stage, stage.tables() if stage else {t: written(df, t) for t, df in data.items()}
 
 
-def run_generation(spark: SparkSession, text: str, rows: int = 100, seed: int = 12345, business: dict | None = None, root: str | None = None, mode: str = sinks.FAIL, reports: str | None = None) -> Run:
-    """Generated rows for all tables, checked, then saved."""
+def run_generation(spark: SparkSession, text: str, rows: int = 100, seed: int = 12345, business: dict | None = None, root: str | None = None, mode: str = sinks.FAIL, reports: str | None = None, reuse: float = 0.0) -> Run:
+    """Generated rows for all tables, checked, then saved; ``reuse`` as in ``operators.generate.table_rows``."""
     model, plan = read_model(text)
     profile = build_profile(model, plan, rows) if plan.of(RAW) and plan.of(STAGING) else None
-    stage, data = _staged(spark, generate(spark, model, rows, seed, business, plan), model, root, mode)
+    stage, data = _staged(spark, generate(spark, model, rows, seed, business, plan, reuse=reuse), model, root, mode)
     return _finish(spark, model, plan, profile, data, profile.rows if profile else dict.fromkeys(data, rows), stage, mode, reports, business=business)
 
 
@@ -226,6 +226,7 @@ def main(args: list[str] | None = None) -> int:
         one.add_argument("schema")
         one.add_argument("--rows", type=int)
         one.add_argument("--seed", type=int, default=12345)
+        one.add_argument("--reuse", type=float, default=0.0)
         one.add_argument("--spec")
         one.add_argument("--business")
         one.add_argument("--root")
@@ -239,7 +240,7 @@ def main(args: list[str] | None = None) -> int:
         return int(got.status in ("rejected", "quality_failed"))
     spark = SparkSession.builder.getOrCreate()
     if a.kind == "generate":
-        done = run_generation(spark, text(a.schema), a.rows or 100, a.seed, intake.read_yaml(a.business) if a.business else None, a.root, a.mode, a.reports)
+        done = run_generation(spark, text(a.schema), a.rows or 100, a.seed, intake.read_yaml(a.business) if a.business else None, a.root, a.mode, a.reports, a.reuse)
     elif a.kind == "elt":
         done = run_elt(spark, text(a.schema), intake.read_json(text(a.spec)), a.rows, a.root, a.mode, a.reports)
     else:

@@ -1,4 +1,4 @@
-"""Registered queries of rules that look at a schema, a specification or a business input: each case against its expected row."""
+"""Rules that look at a schema, a specification or a business input: each case against its expected row."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stratalake.catalogue import LAYERED_DDL, MODEL
 from stratalake.catalogue_flows import SHOP, STATEMENTS
 from stratalake.operators import checks
+from stratalake.operators.generate import CapacityError, generate
 from stratalake.plans import gate, semantics
 from stratalake.plans.layers import plan_layers
 from stratalake.plans.profile import build_profile, capacity, required_payload
@@ -169,11 +170,40 @@ def check_status(spark, sf):
     return out
 
 
+def profile_row_counts(spark, sf):
+    model = parse_ddl(LAYERED_DDL)
+    rows = build_profile(model, plan_layers(model), 10).rows
+    return spark.createDataFrame([(t.name, rows[t.name]) for t in model.tables], "table_name string, row_count long")
+
+
+def lineage_plan(spark, sf):
+    model = parse_ddl(LAYERED_DDL)
+    plan = plan_layers(model)
+    return spark.createDataFrame([(t, plan.roles[t], k, s, s == plan.primary.get(t)) for t, ss in plan.lineage.items() for k, s in enumerate(ss)], "table_name string, role string, position long, source string, is_primary boolean")
+
+
+def generation_limits(spark, sf):
+    """Whether constraints leave room for some numbers of rows."""
+    tables = {
+        "three allowed values": "CREATE TABLE x (id bigint PRIMARY KEY, code text UNIQUE CHECK (code IN ('a', 'b', 'c')))",
+        "pairs of parents": "CREATE TABLE a (id bigint PRIMARY KEY, k text UNIQUE CHECK (k IN ('p', 'q', 'r'))); CREATE TABLE x (one bigint REFERENCES a, two bigint REFERENCES a, UNIQUE (one, two))",
+    }
+    rows = []
+    for name, ddl in tables.items():
+        for n in (3, 4):
+            try:
+                made = generate(spark, parse_ddl(ddl), n, 1)["x"].count()
+            except CapacityError:
+                made = None
+            rows.append((name, n, made))
+    return spark.createDataFrame(rows, "room string, wanted long, made long")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         intake_fields, intake_intents, intake_blueprint, intake_responses, column_meanings, meaning_histogram, reference_lists, names_and_terms, gate_decisions, spec_decisions,
-        profile_rules, schema_rules, check_status,
+        profile_rules, schema_rules, check_status, profile_row_counts, lineage_plan, generation_limits,
     )
 }
 #: What each case must give; columns with types, then rows.
@@ -313,3 +343,13 @@ def _values(columns: str, rows: list[tuple]) -> str:
 
 
 SQL = {name: _values(*expected) for name, expected in EXPECTED.items()}
+SQL |= {
+    "profile_row_counts": """SELECT * FROM (VALUES ('load_customer_raw', 5::BIGINT), ('load_order_raw', 10), ('load_order_item_raw', 30), ('stg_customer', 5), ('stg_order', 10), ('stg_order_item', 30),
+      ('dim_customer', 5), ('fact_order', 10), ('fact_order_item', 30)) t(table_name, row_count)""",
+    "lineage_plan": """SELECT * FROM (VALUES ('stg_customer', 'staging', 0::BIGINT, 'load_customer_raw', true), ('stg_order', 'staging', 0, 'load_order_raw', true), ('stg_order_item', 'staging', 0, 'load_order_item_raw', true),
+      ('dim_customer', 'dimension', 0, 'stg_customer', true), ('fact_order', 'fact', 0, 'dim_customer', false), ('fact_order', 'fact', 1, 'stg_order', true), ('fact_order', 'fact', 2, 'stg_customer', false),
+      ('fact_order_item', 'fact', 0, 'dim_customer', false), ('fact_order_item', 'fact', 1, 'stg_order_item', true), ('fact_order_item', 'fact', 2, 'stg_order', false)) t(table_name, role, position, source, is_primary)""",
+    "generation_limits": """
+SELECT room, wanted::BIGINT AS wanted, made::BIGINT AS made
+FROM (VALUES ('three allowed values', 3, 3), ('three allowed values', 4, NULL), ('pairs of parents', 3, 3), ('pairs of parents', 4, NULL)) t (room, wanted, made)""",
+}
