@@ -109,30 +109,39 @@ def dim_date_calendar(spark, sf):
     return dates(spark, sf)
 
 
-def dim_customer(spark, sf):
+def customer_rows(spark, sf):
     c, n, r = (read(spark, sf, t) for t in ("customer", "nation", "region"))
     wide = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
-    rows = wide.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
-    return elt.dimension(rows, "customer_key", "customer_id", "customer_name", "segment", "nation", "region")
+    return wide.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+
+
+def dim_customer(spark, sf):
+    return elt.dimension(customer_rows(spark, sf), "customer_key", "customer_id", "customer_name", "segment", "nation", "region")
 
 
 def dim_customer_surrogate(spark, sf):
     return dim_customer(spark, sf)
 
 
-def dim_product(spark, sf):
+def product_rows(spark, sf):
     p = read(spark, sf, "part")
-    rows = p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.col("p_size").cast("long").alias("size"))
-    return elt.dimension(rows, "product_key", "product_id", "product_name", "brand", "category", "size")
+    return p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.col("p_size").cast("long").alias("size"))
 
 
-def dim_order(spark, sf, customers=None):
+def dim_product(spark, sf):
+    return elt.dimension(product_rows(spark, sf), "product_key", "product_id", "product_name", "brand", "category", "size")
+
+
+def order_rows(spark, sf):
     o = read(spark, sf, "orders")
-    rows = o.select(
+    return o.select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.to_date("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").cast("decimal(14,2)").alias("total_price"),
     )
-    joined = elt.look_up(rows, customers if customers is not None else dim_customer(spark, sf), "customer_id", "customer_key")
+
+
+def dim_order(spark, sf, customers=None):
+    joined = elt.look_up(order_rows(spark, sf), customers if customers is not None else dim_customer(spark, sf), "customer_id", "customer_key")
     return elt.dimension(joined, "order_key", "order_id", "customer_key", "order_date", "status", "priority", "total_price")
 
 
@@ -140,25 +149,34 @@ def dim_order_surrogate(spark, sf):
     return dim_order(spark, sf).select("order_key", "order_id", "customer_key", "order_date", "status", "priority")
 
 
+def _amounts(lines):
+    """Lines with gross, discount and net amount; net = price less discount."""
+    off = F.round(F.col("extended_price") * F.col("discount"), 2).cast("decimal(14,2)")
+    return lines.withColumns({"gross_amount": F.col("extended_price"), "discount_amount": off, "net_amount": (F.col("extended_price") - off).cast("decimal(14,2)")})
+
+
+def sale_lines(spark, sf, keep=None):
+    """Lines with their amounts, by the ids they came with: for what looks at no other table."""
+    return _amounts(staged_items(spark, sf, keep).withColumnRenamed("part_id", "product_id"))
+
+
+def order_days(spark, sf):
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.to_date("o_orderdate").alias("order_date"))
+
+
 def sales(spark, sf, orders=None, products=None, keep=None):
-    """The fact at line grain; net = price less discount.
+    """The fact at line grain.
 
     ``orders``, ``products``: the dimensions whose keys (of order and customer, of product) are looked up.
     """
-    items = staged_items(spark, sf, keep).withColumnRenamed("part_id", "product_id")
-    if orders is not None:
-        dim = orders.select("order_id", "order_key", "customer_key", "order_date")
-    else:
-        dim = read(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.to_date("o_orderdate").alias("order_date"))
-    lines = items.join(dim, "order_id")
+    dim = orders.select("order_id", "order_key", "customer_key", "order_date") if orders is not None else order_days(spark, sf)
+    lines = sale_lines(spark, sf, keep).join(dim, "order_id")
     if products is not None:
         lines = elt.look_up(lines, products, "product_id", "product_key")
     lines = elt.look_up_date(lines, dates(spark, sf), "order_date", "order_date_key")
-    off = F.round(F.col("extended_price") * F.col("discount"), 2).cast("decimal(14,2)")
     return lines.select(
         "order_id", "line_number", *(["order_key", "customer_key"] if orders is not None else []), *(["product_key"] if products is not None else []), "order_date_key", "quantity",
-        F.col("extended_price").alias("gross_amount"), off.alias("discount_amount"), (F.col("extended_price") - off).cast("decimal(14,2)").alias("net_amount"), "return_flag",
-        "line_status", "order_date", "ship_date",
+        "gross_amount", "discount_amount", "net_amount", "return_flag", "line_status", "order_date", "ship_date",
     )
 
 
@@ -168,21 +186,26 @@ def fact_sales(spark, sf):
     return lines.select("order_id", "line_number", "order_key", "customer_key", "product_key", "order_date_key", *(F.col(c).cast("double").alias(c) for c in money))
 
 
-def deliveries(spark, sf):
-    """Roles of the date dimension: ordered, shipped, and received, which open lines aren't yet."""
-    l, o, d = read(spark, sf, "lineitem"), read(spark, sf, "orders"), dates(spark, sf)
+def delivered_lines(spark, sf):
+    """Lines with the days they were ordered, shipped and received, which open lines aren't yet, and how late that was."""
+    l, o = read(spark, sf, "lineitem"), read(spark, sf, "orders")
     lines = l.join(o.select("o_orderkey", "o_orderdate"), l["l_orderkey"] == o["o_orderkey"]).select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"), F.col("l_linestatus").alias("line_status"), F.to_date("o_orderdate").alias("ordered"),
         F.to_date("l_shipdate").alias("shipped"), F.when(F.col("l_linestatus") == "F", F.to_date("l_shipdate")).alias("received"),
     )
+    delay = F.datediff("received", "ordered").cast("long")
+    return lines.withColumns({
+        "delivery_delay_days": delay, "delivered_count": F.when(F.col("received").isNotNull(), 1).otherwise(0), "delayed_count": F.when(delay > 60, 1).otherwise(0),
+    })
+
+
+def deliveries(spark, sf):
+    """Roles of the date dimension: ordered, shipped, received."""
+    lines, d = delivered_lines(spark, sf), dates(spark, sf)
     lines = elt.look_up_date(lines, d, "ordered", "order_date_key")
     lines = elt.look_up_date(lines, d, "shipped", "ship_date_key")
     lines = elt.look_up_date(lines, d, "received", "received_date_key", "left")
-    delay = F.datediff("received", "ordered").cast("long")
-    return lines.select(
-        "order_id", "line_number", "line_status", "order_date_key", "ship_date_key", "received_date_key", delay.alias("delivery_delay_days"),
-        F.when(F.col("received").isNotNull(), 1).otherwise(0).alias("delivered_count"), F.when(delay > 60, 1).otherwise(0).alias("delayed_count"),
-    )
+    return lines.select("order_id", "line_number", "line_status", "order_date_key", "ship_date_key", "received_date_key", "delivery_delay_days", "delivered_count", "delayed_count")
 
 
 def fact_delivery_roles(spark, sf):
@@ -202,30 +225,28 @@ def fact_return(spark, sf):
 
 
 def vw_daily_sales(spark, sf):
-    return views.daily_sales(sales(spark, sf), dates(spark, sf))
+    return views.daily_sales(sale_lines(spark, sf).join(order_days(spark, sf), "order_id"))
 
 
 def vw_product_performance(spark, sf):
-    products = dim_product(spark, sf)
-    return views.product_performance(sales(spark, sf, products=products), products, returned=F.col("return_flag") == "R")
+    return views.product_performance(sale_lines(spark, sf), product_rows(spark, sf), returned=F.col("return_flag") == "R", key="product_id")
 
 
 def vw_customer_segment(spark, sf):
-    customers = dim_customer(spark, sf)
-    return views.segment_sales(dim_order(spark, sf, customers), customers.select("customer_key", "segment", "region"))
+    return views.segment_sales(order_rows(spark, sf), customer_rows(spark, sf).select("customer_id", "segment", "region"), key="customer_id")
 
 
 def vw_order_status(spark, sf):
-    return views.status_by_month(dim_order(spark, sf))
+    return views.status_by_month(order_rows(spark, sf))
 
 
 def vw_shipment_performance(spark, sf):
-    return views.shipment_performance(deliveries(spark, sf), dates(spark, sf))
+    return views.shipment_performance(delivered_lines(spark, sf))
 
 
 def vw_return_analysis(spark, sf):
-    products = dim_product(spark, sf)
-    return views.return_analysis(returns(spark, sf, products), products)
+    back = sale_lines(spark, sf, F.col("l_returnflag").isin("R"))
+    return views.return_analysis(back.withColumnsRenamed({"quantity": "return_quantity", "net_amount": "refund_amount"}), product_rows(spark, sf), key="product_id")
 
 
 def vw_stock_risk(spark, sf):
@@ -235,8 +256,7 @@ def vw_stock_risk(spark, sf):
 
 
 def top_products(spark, sf):
-    products = dim_product(spark, sf)
-    return views.top_products(sales(spark, sf, products=products), products, 20)
+    return views.top_products(sale_lines(spark, sf), product_rows(spark, sf), 20, key="product_id")
 
 
 # Checks
@@ -306,11 +326,12 @@ def _relations(spark, sf):
 
 
 def check_fk_orphans(spark, sf):
-    parts = [
-        checks.orphans(child, fk.columns, parent, fk.parent_columns).agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(t).alias("child"), F.lit(", ".join(fk.columns)).alias("columns"), F.lit(name).alias("parent"), "orphans")
-        for t, fk, child, parent, name in _relations(spark, sf)
-    ]
-    return reduce(DataFrame.unionAll, parts)
+    """Orphans of every relation, counted together: one grouping after the joins."""
+    named = [(t, ", ".join(fk.columns), name) for t, fk, _, _, name in _relations(spark, sf)]
+    parts = [checks.orphans(child, fk.columns, parent, fk.parent_columns).select(F.lit(k).alias("relation")) for k, (_, fk, child, parent, _) in enumerate(_relations(spark, sf))]
+    found = reduce(DataFrame.unionAll, parts).groupBy("relation").agg(F.count(F.lit(1)).alias("orphans"))
+    every = spark.createDataFrame([(k, *x) for k, x in enumerate(named)], "relation int, child string, columns string, parent string")
+    return every.join(found, "relation", "left").select("child", "columns", "parent", F.coalesce("orphans", F.lit(0)).cast("long").alias("orphans"))
 
 
 def fk_reuse_stats(spark, sf):
@@ -323,10 +344,13 @@ def fk_reuse_stats(spark, sf):
 
 
 def lineage_raw_staging(spark, sf):
-    raw = raw_items(spark, sf).select(F.get_json_object("source_payload", "$.order_id").alias("order_id"))
-    good = checks.not_contained(staged_items(spark, sf), "order_id", [raw]).agg(F.count(F.lit(1)).alias("missing_values"))
-    lost = checks.not_contained(staged_items(spark, sf), "order_id", [raw.filter("cast(order_id as long) % 3 <> 0")]).agg(F.count(F.lit(1)).alias("missing_values"))
-    return good.select(F.lit("whole").alias("source"), "missing_values").unionAll(lost.select(F.lit("without thirds").alias("source"), "missing_values"))
+    """Staged orders that raw records lack: all records, and those of two thirds of the orders; both sides are grouped once."""
+    raw = raw_items(spark, sf).select(F.get_json_object("source_payload", "$.order_id").cast("long").alias("order_id"))
+    staged = staged_items(spark, sf).select("order_id")
+    sides = staged.select("order_id", F.lit(False).alias("raw")).unionAll(raw.select("order_id", F.lit(True)))
+    by_order = sides.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.bool_or(~F.col("raw")).alias("staged"), F.bool_or("raw").alias("raw"), F.bool_or(F.col("raw") & (F.col("order_id") % 3 != 0)).alias("two_thirds"))
+    lost = by_order.filter("staged").agg(F.count_if(~F.col("raw")).alias("whole"), F.count_if(~F.col("two_thirds")).alias("without thirds"))
+    return lost.unpivot([], ["whole", "without thirds"], "source", "missing_values")
 
 
 def lineage_staging_dim(spark, sf):
@@ -362,8 +386,10 @@ def uniform_row_counts(spark, sf):
 
 
 def layer_reconciliation(spark, sf):
-    orders = dim_order(spark, sf)
-    return checks.row_counts({"raw": raw_items(spark, sf), "staging": staged_items(spark, sf), "dimension": orders, "fact": sales(spark, sf, orders, dim_product(spark, sf))})
+    """Rows of each layer; the fact is counted by the look-ups that may drop rows, without making keys."""
+    orders, products = order_rows(spark, sf).join(customer_rows(spark, sf).select("customer_id"), "customer_id", "left_semi"), product_rows(spark, sf)
+    fact = sale_lines(spark, sf).select("order_id", "product_id").join(orders.select("order_id"), "order_id", "left_semi").join(products, "product_id", "left_semi")
+    return checks.row_counts({"raw": raw_items(spark, sf), "staging": staged_items(spark, sf), "dimension": orders, "fact": fact})
 
 
 # Generation

@@ -119,6 +119,11 @@ def minutes_between(start: Column, end: Column) -> Column:
     return F.when(minutes.isNotNull(), F.greatest(F.lit(0).cast("long"), minutes))
 
 
+def as_number(c: Column, kind: T.DataType | str) -> Column:
+    """``try_cast`` to a number; a text that can't be one is told by its characters, for each cast that fails throws."""
+    return F.when(c.cast("string").rlike(r"^[\s\x00-\x20]*[+-]?(\d|\.\d|(?i:inf|nan))"), c.try_cast(kind))
+
+
 def coerce(c: Column, spec: ColumnSpec, index: Column | None = None) -> Column:
     """``c`` as the column's type; values that can't be one become the type's fallback, null stays null."""
     kind = spec.spark_type
@@ -127,9 +132,12 @@ def coerce(c: Column, spec: ColumnSpec, index: Column | None = None) -> Column:
         return F.when(c.isNotNull(), said.isin("true", "yes", "1", "y"))
     if isinstance(kind, T.StringType):
         return bounded(c.cast("string"), spec.max_length)
-    value = F.bround(c.try_cast("decimal(38,10)"), kind.scale).try_cast(kind) if isinstance(kind, T.DecimalType) else c.try_cast(kind)
-    if spec.is_integer:
-        value = F.coalesce(value, c.try_cast("decimal(38,10)").try_cast(kind))
+    if isinstance(kind, T.DecimalType):
+        value = F.bround(as_number(c, "decimal(38,10)"), kind.scale).try_cast(kind)
+    elif spec.is_integer:
+        value = as_number(c, "decimal(38,10)").try_cast(kind)
+    else:
+        value = c.try_cast(kind)
     return F.when(c.isNotNull(), F.coalesce(value, fallback(spec)))
 
 

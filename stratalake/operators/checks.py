@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.functions.columns import check_holds, is_json_object, missing, placeholder, semantic_placeholder
+from stratalake.functions.columns import as_number, check_holds, is_json_object, missing, placeholder, semantic_placeholder
 from stratalake.model import ColumnSpec, ForeignKey, TableSpec, WarehouseModel
 from stratalake.plans.layers import DIMENSION, FACT, RAW, STAGING, Plan
 from stratalake.plans.profile import Profile
@@ -61,7 +61,9 @@ def type_violation(c: Column, spec: ColumnSpec) -> Column:
     elif isinstance(spec.spark_type, T.StringType):
         bad = F.lit(False)
     elif spec.is_numeric:
-        bad = c.try_cast("double").isNull()  # too many digits are another check's matter
+        bad = as_number(c, "double").isNull()  # too many digits are another check's matter
+    elif spec.is_integer:
+        bad = as_number(c, spec.spark_type).isNull()
     else:
         bad = c.try_cast(spec.spark_type).isNull()
     return ~missing(c) & F.coalesce(bad, F.lit(False))
@@ -69,7 +71,7 @@ def type_violation(c: Column, spec: ColumnSpec) -> Column:
 
 def digits_violation(c: Column, precision: int, scale: int) -> Column:
     """A number with too many digits before or after the point."""
-    n = c.try_cast("decimal(38,10)")
+    n = as_number(c, "decimal(38,10)")
     return n.isNotNull() & ((F.abs(n) >= F.lit(10 ** (precision - scale))) | (n != F.round(n, scale)))
 
 
@@ -147,7 +149,7 @@ def orphans(child: DataFrame, columns: tuple[str, ...], parent: DataFrame, paren
     """Child rows whose key is whole and has no parent."""
     gone = [missing(F.col(c)) if empty_is_missing else F.col(c).isNull() for c in columns]
     whole = child.filter(~reduce(lambda a, b: a | b, gone))
-    keys = parent.select(*(F.col(p).alias(f"_p{k}") for k, p in enumerate(parent_columns))).distinct()
+    keys = parent.select(*(F.col(p).alias(f"_p{k}") for k, p in enumerate(parent_columns)))
     return whole.join(keys, [whole[c] == keys[f"_p{k}"] for k, c in enumerate(columns)], "left_anti")
 
 

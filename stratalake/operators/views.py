@@ -18,9 +18,15 @@ def ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
-def daily_sales(sales: DataFrame, dates: DataFrame) -> DataFrame:
-    """Orders, quantity, gross, discount, net and average order value a day."""
-    joined = sales.join(dates.select("date_key", "full_date"), sales["order_date_key"] == dates["date_key"])
+def daily_sales(sales: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Orders, quantity, gross, discount, net and average order value a day.
+
+    The day is the sales' own ``order_date``, or with ``dates`` that of their ``order_date_key``.
+    """
+    if dates is None:
+        joined = sales.filter(F.col("order_date").isNotNull()).withColumnRenamed("order_date", "full_date")
+    else:
+        joined = sales.join(dates.select("date_key", "full_date"), sales["order_date_key"] == dates["date_key"])
     sums = joined.groupBy("full_date").agg(
         F.count_distinct("order_id").alias("order_count"), money("quantity").alias("q"), money("gross_amount").alias("g"),
         money("discount_amount").alias("d"), money("net_amount").alias("n"),
@@ -31,27 +37,27 @@ def daily_sales(sales: DataFrame, dates: DataFrame) -> DataFrame:
     )
 
 
-def product_performance(sales: DataFrame, products: DataFrame, returns: DataFrame | None = None, returned: Column | None = None) -> DataFrame:
-    """Units, revenue, average price and return rate of each product.
+def product_performance(sales: DataFrame, products: DataFrame, returns: DataFrame | None = None, returned: Column | None = None, key: str = "product_key") -> DataFrame:
+    """Units, revenue, average price and return rate of each product; ``key`` names the column that sales and products share.
 
     Returns are rows of their own, summed a product before they meet sales, or
     the sales lines for which ``returned`` holds, summed in the same pass.
     """
     back = F.sum(F.when(returned, F.col("quantity").cast("decimal(14,2)"))) if returned is not None else F.lit(None).cast("decimal(24,2)")
-    sold = sales.groupBy("product_key").agg(money("quantity").alias("u"), money("net_amount").alias("r"), back.alias("b"))
+    sold = sales.groupBy(key).agg(money("quantity").alias("u"), money("net_amount").alias("r"), back.alias("b"))
     if returns is not None:
-        sold = sold.drop("b").join(returns.groupBy("product_key").agg(money("return_quantity").alias("b")), "product_key", "left")
-    joined = products.join(sold, "product_key")
+        sold = sold.drop("b").join(returns.groupBy(key).agg(money("return_quantity").alias("b")), key, "left")
+    joined = products.join(sold, key)
     return joined.select(
         "product_id", "product_name", "brand", "category", "size", F.col("u").cast("double").alias("units_sold"), F.col("r").cast("double").alias("revenue"),
         ratio(F.col("r"), F.col("u")).alias("average_selling_price"), ratio(F.coalesce(F.col("b"), F.lit(0).cast("decimal(24,2)")), F.col("u")).alias("return_rate"),
     )
 
 
-def segment_sales(orders: DataFrame, customers: DataFrame) -> DataFrame:
+def segment_sales(orders: DataFrame, customers: DataFrame, key: str = "customer_key") -> DataFrame:
     """Customers, orders and revenue of each segment and region."""
-    joined = orders.join(customers, "customer_key")
-    sums = joined.groupBy("segment", "region").agg(F.count_distinct("customer_key").alias("customers"), F.count(F.lit(1)).alias("orders"), money("total_price").alias("r"))
+    joined = orders.join(customers, key)
+    sums = joined.groupBy("segment", "region").agg(F.count_distinct(key).alias("customers"), F.count(F.lit(1)).alias("orders"), money("total_price").alias("r"))
     return sums.select("segment", "region", "customers", "orders", F.col("r").cast("double").alias("revenue"), ratio(F.col("r"), F.col("customers")).alias("revenue_per_customer"))
 
 
@@ -61,18 +67,24 @@ def status_by_month(orders: DataFrame) -> DataFrame:
     return sums.select("month", "status", "priority", "order_count", F.col("a").cast("double").alias("amount"))
 
 
-def shipment_performance(deliveries: DataFrame, dates: DataFrame) -> DataFrame:
-    """Shipments, delivered and delayed ones and the average delay of each day and line status; open ones have no delay."""
-    joined = deliveries.join(dates.select("date_key", "full_date"), deliveries["ship_date_key"] == dates["date_key"])
+def shipment_performance(deliveries: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Shipments, delivered and delayed ones and the average delay of each day and line status; open ones have no delay.
+
+    The day is the deliveries' own ``shipped``, or with ``dates`` that of their ``ship_date_key``.
+    """
+    if dates is None:
+        joined = deliveries.filter(F.col("shipped").isNotNull()).withColumnRenamed("shipped", "full_date")
+    else:
+        joined = deliveries.join(dates.select("date_key", "full_date"), deliveries["ship_date_key"] == dates["date_key"])
     return joined.groupBy("full_date", "line_status").agg(
         F.count(F.lit(1)).alias("shipment_count"), F.sum("delivered_count").cast("long").alias("delivered_shipments"),
         F.sum("delayed_count").cast("long").alias("delayed_shipments"), F.avg("delivery_delay_days").alias("average_delivery_delay"),
     )
 
 
-def return_analysis(returns: DataFrame, products: DataFrame) -> DataFrame:
+def return_analysis(returns: DataFrame, products: DataFrame, key: str = "product_key") -> DataFrame:
     """Returns, quantity and refund of each brand and category."""
-    joined = returns.join(products.select("product_key", "brand", "category"), "product_key")
+    joined = returns.join(products.select(key, "brand", "category"), key)
     sums = joined.groupBy("brand", "category").agg(F.count(F.lit(1)).alias("return_count"), money("return_quantity").alias("q"), money("refund_amount").alias("a"))
     return sums.select("brand", "category", "return_count", F.col("q").cast("double").alias("returned_quantity"), F.col("a").cast("double").alias("refund_amount"))
 
@@ -82,8 +94,8 @@ def stock_risk(stock: DataFrame) -> DataFrame:
     return stock.withColumn("reorder_risk", F.col("available") <= F.col("reorder_level"))
 
 
-def top_products(sales: DataFrame, products: DataFrame, n: int) -> DataFrame:
+def top_products(sales: DataFrame, products: DataFrame, n: int, key: str = "product_key") -> DataFrame:
     """The ``n`` products of the highest revenue; ties go to the smaller id."""
-    sold = sales.groupBy("product_key").agg(money("net_amount").alias("r"))
-    best = sold.join(products.select("product_key", "product_id", "product_name"), "product_key").orderBy(F.desc("r"), "product_id").limit(n)
+    sold = sales.groupBy(key).agg(money("net_amount").alias("r"))
+    best = sold.join(products.select(*dict.fromkeys((key, "product_id", "product_name"))), key).orderBy(F.desc("r"), "product_id").limit(n)
     return best.select("product_id", "product_name", F.col("r").cast("double").alias("revenue"))
