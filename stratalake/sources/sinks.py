@@ -6,17 +6,21 @@ and then makes all of them the next version of the target: see ``sources.ledger`
 
 from __future__ import annotations
 
-import io
+import math
 import re
 import uuid
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalake.functions.columns import safe_cell
 from stratalake.model import WarehouseModel
+from stratalake.scratch import discard, written
 from stratalake.sources.ledger import Ledger, Saved
 
 RECREATE, REUSE, APPEND, FAIL = "recreate", "reuse", "append", "fail"
@@ -163,8 +167,62 @@ _STYLES = (
 )
 
 
+#: Rows of a part of a sheet, which a task writes as a piece of a deflate stream.
+PART_ROWS = 50_000
+_PART = "task int, number int, rows long, crc long, size long, body binary"
+
+
+def _deflated(text: str, last: bool = False) -> tuple[int, int, bytes]:
+    """(crc32, size, piece of a raw deflate stream); pieces that don't end the stream can be put one after another."""
+    z, raw = zlib.compressobj(6, zlib.DEFLATED, -15), text.encode("utf-8", "replace")
+    return zlib.crc32(raw), len(raw), z.compress(raw) + z.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH)
+
+
+def _product(a: int, b: int) -> int:
+    """Of two polynomials over GF(2) modulo that of crc32, highest power in the lowest bit."""
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def _joined(crc: int, more: int, size: int) -> int:
+    """crc32 of two texts one after another, from those of both and the second one's size."""
+    shift, step = 1 << 31, 1 << 23  # x**0; x**8, a byte
+    while size:
+        if size & 1:
+            shift = _product(shift, step)
+        step, size = _product(step, step), size >> 1
+    return _product(shift, crc) ^ more
+
+
+def _sheet_parts(df: DataFrame, most: int) -> DataFrame:
+    """Rows of ``df`` as pieces of sheets, made by the tasks that read them."""
+
+    def run(batches):
+        task, number, rows = TaskContext.get().partitionId(), 0, []
+
+        def part():
+            crc, size, body = _deflated("".join(rows))
+            return pa.RecordBatch.from_pylist([{"task": task, "number": number, "rows": len(rows), "crc": crc, "size": size, "body": body}], schema)
+
+        schema = pa.schema([("task", pa.int32()), ("number", pa.int32()), ("rows", pa.int64()), ("crc", pa.int64()), ("size", pa.int64()), ("body", pa.binary())])
+        for b in batches:
+            for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows.append(_xml_row(values))
+                if len(rows) >= most:
+                    yield part()
+                    number, rows = number + 1, []
+        if rows:
+            yield part()
+
+    return df.mapInArrow(run, _PART)
+
+
 class _Workbook:
-    """Writes sheets one after another into a zip file, a row at a time."""
+    """Puts sheets one after another into a zip file; what is in them comes compressed."""
 
     def __init__(self, z: zipfile.ZipFile, sheet_rows: int):
         self.z, self.sheet_rows, self.names, self.used = z, sheet_rows, [], set()
@@ -179,25 +237,50 @@ class _Workbook:
         self.names.append(out)
         return out
 
-    def sheets(self, wanted: str, columns: list[str], rows, widths: list[int]) -> None:
-        """One sheet, or as many as the rows need."""
-        left = iter(rows)
-        row = next(left, None)
+    def sheets(self, wanted: str, columns: list[str], parts, widths: list[int]) -> None:
+        """One sheet, or as many as the rows need; ``parts``: (rows, crc, size, body), none of more rows than a sheet."""
+        sized = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(widths, 1))
+        pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
+        head = _deflated(f'{_HEAD}<worksheet xmlns="{_MAIN}">{pane}{f"<cols>{sized}</cols>" if sized else ""}<sheetData>{_xml_row(columns, style=1)}')
+        tail = _deflated("</sheetData></worksheet>", last=True)
+        left = iter(parts)
+        part = next(left, None)
         while True:
             self.name(wanted)
-            with self.z.open(f"xl/worksheets/sheet{len(self.names)}.xml", "w") as raw, io.TextIOWrapper(raw, "utf-8") as out:
-                sized = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(widths, 1))
-                pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
-                out.write(f'{_HEAD}<worksheet xmlns="{_MAIN}">{pane}{f"<cols>{sized}</cols>" if sized else ""}<sheetData>')
-                out.write(_xml_row(columns, style=1))
-                n = 0
-                while row is not None and n < self.sheet_rows:
-                    out.write(_xml_row(row))
-                    row, n = next(left, None), n + 1
-                out.write("</sheetData></worksheet>")
-            if row is None:
+            info = self._open(f"xl/worksheets/sheet{len(self.names)}.xml")
+            self._add(info, *head)
+            n = 0
+            while part is not None and n + part[0] <= self.sheet_rows:
+                self._add(info, *part[1:])
+                n += part[0]
+                part = next(left, None)
+            self._add(info, *tail)
+            self._close(info)
+            if part is None:
                 return
 
+    def _open(self, name: str) -> zipfile.ZipInfo:
+        info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+        info.compress_type, info.header_offset, info.CRC, info.file_size, info.compress_size = zipfile.ZIP_DEFLATED, self.z.start_dir, 0, 0, 0
+        self.z.fp.seek(self.z.start_dir)
+        self.z.fp.write(info.FileHeader(zip64=True))
+        return info
+
+    def _add(self, info: zipfile.ZipInfo, crc: int, size: int, body: bytes) -> None:
+        info.CRC = _joined(info.CRC, crc, size)
+        info.file_size += size
+        info.compress_size += len(body)
+        self.z.fp.write(body)
+
+    def _close(self, info: zipfile.ZipInfo) -> None:
+        z, end = self.z, self.z.fp.tell()
+        z.fp.seek(info.header_offset)
+        z.fp.write(info.FileHeader(zip64=True))  # the sizes are known now
+        z.fp.seek(end)
+        z.start_dir, z._didModify = end, True
+        z.filelist.append(info)
+        z.NameToInfo[info.filename] = info
+
     def close(self) -> None:
         z, ids = self.z, range(1, len(self.names) + 1)
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{_SHEET}.worksheet+xml"/>' for k in ids)
@@ -212,19 +295,31 @@ class _Workbook:
         z.writestr("xl/styles.xml", _STYLES)
 
 
+def _read_parts(held: DataFrame):
+    """The pieces of a written table in order, a task's at a time."""
+    for task in sorted(r["task"] for r in held.select("task").distinct().collect()):  # one number a task
+        for r in sorted(held.filter(F.col("task") == task).collect(), key=lambda r: r["number"]):  # compressed pieces of one task
+            yield r["rows"], r["crc"], r["size"], r["body"]
+
+
 def write_xlsx(data: dict[str, DataFrame], model: WarehouseModel, path: str, sheet_rows: int = SHEET_ROWS) -> None:
     """A workbook with a summary sheet and the rows of every table, for people to look at.
 
-    A table of more rows than a sheet can hold goes on in further sheets; rows
-    stream from Spark one partition at a time.
+    Tasks turn their rows into pieces of compressed sheets and write them to the
+    shared folder; the driver puts the pieces one after another and writes the zip
+    file's directory.  A table of more rows than a sheet can hold goes on in further sheets.
     """
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         book = _Workbook(z, sheet_rows)
-        book.sheets("Summary", SUMMARY, summary(data, model), [14, 32, 12, 12, 56, 32])
+        rows = summary(data, model)
+        few = [rows[k : k + sheet_rows] for k in range(0, len(rows), sheet_rows)]
+        book.sheets("Summary", SUMMARY, ((len(x), *_deflated("".join(map(_xml_row, x)))) for x in few), [14, 32, 12, 12, 56, 32])
         for t in model.tables:
             if t.name in data:
                 df = safe_cells(data[t.name])
-                book.sheets(t.name, df.columns, df.toLocalIterator(), [max(12, min(36, len(c) + 4)) if not t.has(c) or not t.column(c).is_json else 56 for c in df.columns])
+                held = written(_sheet_parts(df, min(PART_ROWS, sheet_rows)), "sheets")
+                book.sheets(t.name, df.columns, _read_parts(held), [max(12, min(36, len(c) + 4)) if not t.has(c) or not t.column(c).is_json else 56 for c in df.columns])
+                discard(held)
         book.close()
 
 
@@ -238,7 +333,7 @@ def _xml_row(values, style: int = 0) -> str:
             cells.append("<c/>")
         elif isinstance(v, bool):
             cells.append(f'<c t="b"{s}><v>{int(v)}</v></c>')
-        elif isinstance(v, (int, float)):
+        elif isinstance(v, (int, float)) and math.isfinite(v):
             cells.append(f"<c{s}><v>{v}</v></c>")
         else:
             cells.append(f'<c t="inlineStr"{s}><is><t xml:space="preserve">{escape(_BAD.sub("", str(v)))}</t></is></c>')

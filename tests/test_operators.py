@@ -360,6 +360,31 @@ def test_workbook_and_report(spark, tmp_path):
     assert sinks.report("Checks", checks.validate(m, data), str(tmp_path / "r.md")) == "passed" and "| primary_key |" in (tmp_path / "r.md").read_text()
 
 
+def test_sheets_of_many_parts_hold_all_rows(spark, tmp_path, monkeypatch):
+    import xml.etree.ElementTree as tree
+
+    monkeypatch.setattr(sinks, "PART_ROWS", 7)
+    m = parse_ddl("create table t (id int primary key, said text, v double precision)")
+    rows = [(k, None if k % 5 == 0 else f"<{k}>é\x01", float("nan") if k == 3 else k / 4) for k in range(100)]
+    df = spark.createDataFrame(rows, "id int, said string, v double").repartition(3)
+    sinks.write_xlsx({"t": df, "none": df}, m, str(tmp_path / "x.xlsx"), sheet_rows=20)
+    got = []
+    with zipfile.ZipFile(tmp_path / "x.xlsx") as z:
+        assert z.testzip() is None
+        for name in (n for n in z.namelist() if n.startswith("xl/worksheets/") and not n.endswith("sheet1.xml")):
+            sheet = [[c[0][0].text if c.get("t") == "inlineStr" else c[0].text if len(c) else None for c in r] for r in tree.fromstring(z.read(name)).iter() if r.tag.endswith("}row")]
+            assert sheet[0] == ["id", "said", "v"] and len(sheet) <= 21
+            got += sheet[1:]
+    assert sorted((int(a), b, c) for a, b, c in got) == [(k, None if k % 5 == 0 else f"<{k}>é", "nan" if k == 3 else str(k / 4)) for k in range(100)]
+
+
+def test_checksums_are_joined():
+    import zlib
+
+    for a, b in ((b"", b""), (b"a", b""), (b"", b"b"), (b"some text", b"and some more" * 999), (bytes(70_000), b"x")):
+        assert sinks._joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 def test_cells(spark):
     df = spark.sql("select '-1' a, timestamp '2024-01-01 10:00:00+02:00' b, X'0aff' c, array(2, 1) d, map('b', 1, 'a', 2) e, cast(null as string) f")
     r = sinks.safe_cells(df).first()
