@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stratalake import runs
@@ -11,7 +13,7 @@ from stratalake.operators import checks, elt
 from stratalake.plans import gate
 from stratalake.plans.layers import plan_layers
 from stratalake.scratch import shared_dir
-from stratalake.sources import sinks
+from stratalake.sources import catalog, sinks
 from stratalake.sources.ddl import parse_ddl
 from stratalake.sources.ledger import Conflict, Ledger, Saved
 
@@ -127,10 +129,51 @@ def lateral_lines(spark, sf):
     return made["stg_sale_line"].withColumn("quantity", F.col("quantity").cast("double"))
 
 
-QUERIES = {f.__name__: f for f in (identity_appends, append_violations, versions_read, run_with_restart, repeated_runs, lateral_lines)}
+def index_scan(spark, sf):
+    """Line items saved under an index on their ship date: those of one year, from the data files that may hold it."""
+    model, root = parse_ddl("CREATE TABLE line (order_id bigint, line_number integer, ship_date date, price double precision, PRIMARY KEY (order_id, line_number)); CREATE INDEX ix_line_ship ON line USING btree (ship_date DESC)"), shared_dir(spark, "index")
+    l = read(spark, sf, "lineitem")
+    rows = l.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").cast("int").alias("line_number"), F.to_date("l_shipdate").alias("ship_date"), F.col("l_extendedprice").alias("price"))
+    book = Ledger(spark, root, file_rows=max(1, rows.count() // 40))
+    change = book.begin()
+    change.write(rows, model.table("line"))
+    change.commit()
+    found, opened, files = book.scan("line", "ship_date", "1997-01-01", "1997-12-31")
+    return found.groupBy("ship_date").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("price"), 2).alias("price")).withColumn("skips_most_files", F.lit(0 < opened <= files / 3))
+
+
+BUCKETED = parse_ddl("""
+CREATE TABLE orders (o_orderkey bigint PRIMARY KEY, o_custkey bigint);
+CREATE TABLE lineitem (l_orderkey bigint REFERENCES orders, l_linenumber integer, l_quantity double precision, PRIMARY KEY (l_orderkey, l_linenumber));
+""")
+
+
+def bucketed_orphans(spark, sf):
+    """Lines without an order, of tables bucketed along their foreign key: their number and the shuffles of the join, of which there are none."""
+    name = f"stratalake_{uuid.uuid4().hex[:12]}"
+    rows = {"orders": read(spark, sf, "orders").filter("o_orderkey % 10 <> 3"), "lineitem": read(spark, sf, "lineitem")}
+    data = {t.name: rows[t.name].select(*(F.col(c.name).cast(c.spark_type).alias(c.name) for c in t.columns)) for t in BUCKETED.tables}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        catalog.publish(spark, data, BUCKETED, name, buckets=8)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        there = catalog.read_back(spark, BUCKETED, name)
+        fk = BUCKETED.table("lineitem").foreign_keys[0]
+        gone = checks.orphans(there["lineitem"], fk.columns, there["orders"], fk.parent_columns)
+        shuffles = gone._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        found = gone.agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")).first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        catalog.drop(spark, name)
+    return spark.createDataFrame([(found["n"], found["quantity"], shuffles)], "orphans long, quantity double, shuffles long")
+
+
+QUERIES = {f.__name__: f for f in (identity_appends, append_violations, versions_read, run_with_restart, repeated_runs, lateral_lines, index_scan, bucketed_orphans)}
 _COUNTS = """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice::DECIMAL(12,2) AS amount, o_orderkey % 2 = 0 AS even FROM orders),
   c AS (SELECT count(*) AS all_rows, count(*) FILTER (even) AS even_rows, count(*) FILTER (amount >= 1000) AS large, count(*) FILTER (amount >= 1000 AND even) AS large_even FROM o JOIN customer ON c_custkey = o_custkey), n AS (SELECT count(*) AS n FROM customer)"""
 SQL = {
+    "index_scan": "SELECT l_shipdate::DATE AS ship_date, count(*) AS lines, round(sum(l_extendedprice), 2) AS price, true AS skips_most_files FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY 1",
+    "bucketed_orphans": "SELECT count(*) AS orphans, sum(l_quantity)::DOUBLE AS quantity, 0::BIGINT AS shuffles FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 3)",
     "lateral_lines": "SELECT l_orderkey AS sale_id, l_linenumber::INTEGER AS line_number, l_partkey AS part_id, l_quantity::DECIMAL(12,2)::DOUBLE AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
     "identity_appends": """
 WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_custkey % 10 < 6),

@@ -60,6 +60,15 @@ class Unique:
     name: str | None = None
 
 
+@dataclass(frozen=True)
+class Index:
+    """An index of plain columns; how it is kept is the layout's matter (``sources.ledger``, ``sources.catalog``)."""
+
+    columns: tuple[str, ...]
+    unique: bool = False
+    name: str | None = None
+
+
 @dataclass(frozen=True)
 class Check:
     """A CHECK; ``op`` is None where it has no form that is evaluated."""
@@ -84,6 +93,7 @@ class TableSpec:
     foreign_keys: tuple[ForeignKey, ...] = ()
     uniques: tuple[Unique, ...] = ()
     checks: tuple[Check, ...] = ()
+    indexes: tuple[Index, ...] = ()
     ignored: tuple[str, ...] = ()
     warnings: tuple[str, ...] = ()
 

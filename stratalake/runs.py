@@ -49,7 +49,7 @@ def read_views(spark: SparkSession, text: str, model: WarehouseModel, data: dict
 
 def read_model(text: str) -> tuple[WarehouseModel, Plan]:
     """Model and plan of a markdown or schema text."""
-    model = parse_ddl(extract_ddl(text))
+    model = parse_ddl(extract_ddl(text, indexes=True))
     return model, plan_layers(model)
 
 

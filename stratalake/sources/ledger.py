@@ -21,8 +21,12 @@ tables that its journal names and goes on after them.
 Key files.  For every key of a table (primary, UNIQUE) a change also writes, a data
 file, the range of the key's first column and a Bloom filter of the whole key, 16 bits
 a key in pieces of 4 KB; ``Keys.may_hold`` tells which data files may hold any of some
-keys.  Rows are written in ranges of their first key, so ranges of one folder hardly
-overlap.  Filters are built and read by Spark's own functions, a shuffle of pieces.
+keys.  Filters are built and read by Spark's own functions, a shuffle of pieces.
+
+Layout.  Rows are written in ranges of the first CREATE INDEX of their table (then of
+its key, so that a value of very many rows is spread), else of the key, so ranges of one
+folder hardly overlap.  Every index has range files; ``scan`` opens the data files whose
+range of an indexed column meets what is asked.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ from stratalake.model import TableSpec
 
 #: Bits of a piece of a Bloom filter (fixed by Spark's bitmap functions), bits a key, and where its three probes begin in a 64-bit hash.
 PIECE, BITS_A_KEY, PROBES = 32_768, 16, (19, 34, 49)
+#: Rows of a data file at most.
+FILE_ROWS = 2_000_000
 #: Data files whose ranges are looked up in memory; of more files all are read.
 MOST_FILES = 200_000
 
@@ -100,20 +106,21 @@ class Folder:
 
 @dataclass(frozen=True)
 class Table:
-    """A table in a version: folders below the root, oldest first; schema as JSON; highest numbers given out; keys that have key files."""
+    """A table in a version: folders below the root, oldest first; schema as JSON; highest numbers given out; keys that have key files; indexed columns."""
 
     folders: tuple[str, ...]
     schema: str
     marks: dict[str, int] = field(default_factory=dict)
     keys: tuple[tuple[str, ...], ...] = ()
+    ranged: tuple[str, ...] = ()  # indexed columns that have range files
     of: str = ""  # what the rows were made from, if the writer says so
 
     def said(self) -> dict:
-        return {"folders": list(self.folders), "schema": json.loads(self.schema), "marks": self.marks, "keys": [list(k) for k in self.keys], "of": self.of}
+        return {"folders": list(self.folders), "schema": json.loads(self.schema), "marks": self.marks, "keys": [list(k) for k in self.keys], "ranged": list(self.ranged), "of": self.of}
 
 
 def _table(said: dict) -> Table:
-    return Table(tuple(said["folders"]), json.dumps(said["schema"]), dict(said["marks"]), tuple(tuple(k) for k in said["keys"]), said["of"])
+    return Table(tuple(said["folders"]), json.dumps(said["schema"]), dict(said["marks"]), tuple(tuple(k) for k in said["keys"]), tuple(said["ranged"]), said["of"])
 
 
 @dataclass(frozen=True)
@@ -123,8 +130,8 @@ class Version:
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.folder = spark, root.rstrip("/"), Folder(spark, root)
+    def __init__(self, spark: SparkSession, root: str, file_rows: int = FILE_ROWS):
+        self.spark, self.root, self.folder, self.file_rows = spark, root.rstrip("/"), Folder(spark, root), file_rows
 
     def current(self) -> Version:
         """The latest version; number 0, without tables, before the first."""
@@ -145,6 +152,22 @@ class Ledger:
             raise FileNotFoundError(f"not saved yet: {name}")
         return self.frame(t)
 
+    def scan(self, name: str, column: str, low, high, version: Version | None = None) -> tuple[DataFrame, int, int]:
+        """Rows whose indexed column is low..high, and how many data files are opened for them, of how many."""
+        t = (version or self.current()).tables[name]
+        rows = self.frame(t)
+        inside = F.col(column).between(F.lit(low), F.lit(high))
+        if column not in t.ranged or not t.folders:
+            return rows.filter(inside), -1, -1
+        index = Keys(self, t, (column,))
+        places = index._places()
+        ranges = index._parts(places, "ranges")
+        bound = lambda x: _comparable(rows, column, F.lit(x).cast(rows.schema[column].dataType))
+        held = ranges.select("folder", "file", ((F.col("low") <= bound(high)) & (F.col("high") >= bound(low))).alias("meets")).collect()  # one row a file
+        paths = [f"{places[r['folder']][0]}/{r['file']}" for r in held if r["meets"]]
+        found = self.spark.read.schema(rows.schema).parquet(*paths) if paths else self.spark.createDataFrame([], rows.schema)
+        return found.filter(inside), len(paths), len(held)
+
     def begin(self, name: str | None = None, append: bool = True) -> Change:
         """A change of the current version; with the name of one that didn't end, on the same version, that one goes on."""
         return Change(self, name or uuid.uuid4().hex, append)
@@ -194,17 +217,22 @@ class Change:
             raise ValueError(f"{spec.name}: the columns there are others")
         keys = tuple(k for k in dict.fromkeys((spec.primary_key, *(u.columns for u in spec.uniques))) if k and all(c in rows.columns for c in k))
         folder = f"_data/{self.id}/{spec.name}"
-        for place in (folder, *(f"_keys/{self.id}/{_key_folder(spec.name, k)}" for k in keys)):
+        ranged = tuple(dict.fromkeys(x.columns[0] for x in spec.indexes if x.columns[0] in rows.columns and (x.columns[0],) not in keys))
+        for place in (folder, *(f"_keys/{self.id}/{_key_folder(spec.name, (c,))}" for c in ranged), *(f"_keys/{self.id}/{_key_folder(spec.name, k)}" for k in keys)):
             self.ledger.folder.delete(place)  # what an earlier try left
-        ranged = rows.repartitionByRange(*(F.col(c) for c in keys[0])).sortWithinPartitions(*keys[0]) if keys else rows
-        ranged.write.parquet(f"{self.ledger.root}/{folder}")
-        t = Table((folder,), rows.schema.json(), marks or {}, keys, of)
+        first = next((x.columns for x in spec.indexes if all(c in rows.columns for c in x.columns)), ())
+        order = list(dict.fromkeys((*first, *(keys[0] if keys else ()))))
+        clustered = rows.repartitionByRange(*(F.col(c) for c in order)).sortWithinPartitions(*order) if order else rows
+        clustered.write.option("maxRecordsPerFile", self.ledger.file_rows).parquet(f"{self.ledger.root}/{folder}")
+        t = Table((folder,), rows.schema.json(), marks or {}, keys, ranged, of)
         written = self.ledger.frame(t)
         if len(spec.primary_key) == 1 and isinstance(rows.schema[spec.primary_key[0]].dataType, T.IntegralType):
             most = written.agg(F.max(spec.primary_key[0])).first()[0]
             t = replace(t, marks={spec.primary_key[0]: most or 0} | (marks or {}))
         for key in keys:
             write_key_files(written, key, f"{self.ledger.root}/_keys/{self.id}/{_key_folder(spec.name, key)}")
+        for column in ranged:
+            write_key_files(written, (column,), f"{self.ledger.root}/_keys/{self.id}/{_key_folder(spec.name, (column,))}", filters=False)
         self.made[spec.name] = t
         self._journal()
         return written
@@ -225,7 +253,7 @@ class Change:
         tables = dict(self.base.tables)
         for name, t in self.made.items():
             old = self.stored(name)
-            tables[name] = Table((*old.folders, *t.folders), t.schema, {c: max(n, old.marks.get(c, n)) for c, n in (old.marks | t.marks).items()}, tuple(k for k in t.keys if k in old.keys), t.of) if old else t
+            tables[name] = Table((*old.folders, *t.folders), t.schema, {c: max(n, old.marks.get(c, n)) for c, n in (old.marks | t.marks).items()}, tuple(k for k in t.keys if k in old.keys), tuple(c for c in t.ranged if c in old.ranged), t.of) if old else t
         number = self.base.number + 1
         try:
             self.ledger.folder.put(f"_versions/{number:012d}.json", json.dumps({"tables": {n: t.said() for n, t in tables.items()}}))
@@ -251,10 +279,10 @@ def _hash(columns) -> Column:
     return F.xxhash64(*(F.col(c).cast("string") for c in columns))
 
 
-def _comparable(rows: DataFrame, column: str) -> Column:
-    """The column as Python compares it: times as microseconds."""
-    kind = rows.schema[column].dataType
-    return F.unix_micros(F.col(column).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else F.col(column)
+def _comparable(rows: DataFrame, column: str, value: Column | None = None) -> Column:
+    """The column (or a value of its type) as Python compares it: times as microseconds."""
+    kind, value = rows.schema[column].dataType, F.col(column) if value is None else value
+    return F.unix_micros(value.cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else value
 
 
 def _piece(h, pieces):
@@ -271,7 +299,7 @@ def _is_set(bits: Column, p: Column) -> Column:
     return F.getbit(byte, p.bitwiseAND(F.lit(7)).cast("int")) == 1
 
 
-def write_key_files(rows: DataFrame, key: tuple[str, ...], path: str) -> None:
+def write_key_files(rows: DataFrame, key: tuple[str, ...], path: str, filters: bool = True) -> None:
     """``path``/ranges: (file, n, gaps, pieces, low, high), one row a data file; ``path``/bits: (file, piece, bits) of its Bloom filter.
 
     Keys with nulls are counted in ``gaps`` and aren't in the filter.
@@ -282,6 +310,8 @@ def write_key_files(rows: DataFrame, key: tuple[str, ...], path: str) -> None:
     pieces = F.greatest(F.lit(1), F.pow(2, F.ceil(F.log2(F.greatest(F.lit(1), F.count_if(~gap)) * BITS_A_KEY / PIECE)))).cast("long")
     low, high = (f(F.when(~gap, _comparable(rows, key[0]))) for f in (F.min, F.max))
     keyed.groupBy("file").agg(F.count_if(~gap).alias("n"), F.count_if(gap).alias("gaps"), pieces.alias("pieces"), low.alias("low"), high.alias("high")).write.parquet(f"{path}/ranges")
+    if not filters:
+        return
     ranges = spark.read.parquet(f"{path}/ranges").select("file", "pieces")
     h = F.col("h")
     hashed = keyed.filter(~gap).select("file", _hash(key).alias("h")).join(ranges, "file")

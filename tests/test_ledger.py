@@ -219,3 +219,31 @@ def test_row_numbers_of_many_files_follow_the_number_of_the_file(spark, files):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert [r["n"] for r in got] == list(range(1001, 1501))
+
+
+def test_scans_of_an_index_open_few_files(spark, tmp_path):
+    m = parse_ddl("create table t (id bigint primary key, at timestamp, kind text); create index on t (at); create index on t (kind)")
+    table, book = m.table("t"), books.Ledger(spark, f"file://{tmp_path}/w", file_rows=50)
+    rows = spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=(k * 7919) % 1000), None if k % 9 == 0 else f"k{k % 5}") for k in range(1000)], table.struct)
+    for part in (rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")):
+        change = book.begin()
+        change.write(part, table)
+        change.commit()
+    low, high = dt.datetime(2024, 1, 1, 3), dt.datetime(2024, 1, 1, 4)
+    got, opened, files = book.scan("t", "at", low, high)
+    assert sorted(got.collect()) == sorted(rows.filter(F.col("at").between(low, high)).collect()) and files >= 20 and opened <= 6
+    assert book.scan("t", "kind", "k1", "k2")[0].count() == rows.filter("kind in ('k1', 'k2')").count()
+    none, opened, _ = book.scan("t", "at", dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 2))
+    assert none.count() == 0 and opened == 0 and book.scan("t", "id", 5, 6)[1:] == (-1, -1)
+
+
+def test_repeated_runs_write_what_changed(spark, tmp_path):
+    root = f"file://{tmp_path}/w"
+    seen = lambda: {t: x.folders for t, x in opened(spark, tmp_path).current().tables.items()}
+    runs.run_elt(spark, LAYERS, SPEC, root=root)
+    first, number = seen(), opened(spark, tmp_path).current().number
+    runs.run_elt(spark, LAYERS, SPEC, root=root, mode=sinks.RECREATE)
+    assert seen() == first and opened(spark, tmp_path).current().number == number
+    other = SPEC | {"dimension_sql": [SPEC["dimension_sql"][0].replace("SELECT customer_id, customer_name", "SELECT customer_id, upper(customer_name)")]}
+    runs.run_elt(spark, LAYERS, other, root=root, mode=sinks.RECREATE)
+    assert {t for t, f in seen().items() if f != first[t]} == {"dim_customer", "fact_order"}

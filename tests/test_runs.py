@@ -118,6 +118,12 @@ def test_specifications_are_kept_by_fingerprint(tmp_path):
         spec.read_spec(tmp_path / "x.json")
 
 
+def test_buckets_follow_foreign_keys():
+    m = parse_ddl("""create table a (a bigint primary key); create table b (b bigint primary key, a bigint references a); create table c (b bigint references b, a bigint references a, n int, primary key (b, n));
+    create table d (a int references a)""")
+    assert catalog.bucket_columns(m) == {"c": ("b",), "b": ("b",)}  # d's key is of another type, a has no child left
+
+
 def test_catalog(spark):
     m = parse_ddl("create table p (id int primary key, said text not null check (said <> 'it''s')); create table c (id int primary key, p_id int references p)")
     data = {"p": spark.createDataFrame([(1, "a")], "id int, said string"), "c": spark.createDataFrame([(1, 1)], "id int, p_id int")}
