@@ -7,8 +7,8 @@ of all non-ASCII bytes; words are joined by one space.
 * A notice of the table below may have up to ``k`` edits (insertions, deletions,
   substitutions of characters).  Split into k + 1 pieces, at least one piece is
   intact (pigeonhole): one Aho-Corasick pass finds all pieces, each hit sets a
-  window around it, and the regex library's bounded-error matching verifies
-  windows and reports span and edits.
+  window around it, no longer than the notice and its edits, and the regex library's
+  bounded-error matching verifies windows and reports span and edits.
 
 Null and empty texts have no words, no labels and score 0.  The score is the
 best certainty of any label: 1 for an exact phrase, 1 - edits / (k + 1) else.
@@ -20,6 +20,9 @@ text aren't read, whatever their names.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -60,16 +63,39 @@ def pieces(notice: str, k: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def places(pattern: regex.Pattern, text: str, a: int, b: int, least: int):
-    """Matches of a best-match pattern in text[a:b] that don't overlap: the best first, then what lies before and after it.
+def places(pattern: regex.Pattern, text: str, windows: list[tuple[int, int]], least: int) -> list[regex.Match]:
+    """Matches of a best-match pattern in any of some windows that don't overlap: the one with the fewest edits first, of equals the first.
 
-    Best match goes on after the best place, so the parts that it has passed over are searched again; ``least``: characters of the shortest match.
+    Each window is searched alone, and again in what is left of it where a better match
+    takes a part, so the work follows the number of windows.  ``least``: characters of
+    the shortest match.
     """
-    for m in pattern.finditer(text, a, b):
-        if m.start() - a > least:
-            yield from places(pattern, text, a, m.start(), least)
-        yield m
-        a = m.end()
+    waiting: list[tuple[int, int, int, int, int, regex.Match]] = []
+    starts: list[int] = []  # of what is taken, in order, with its ends and matches
+    taken: list[tuple[int, regex.Match]] = []
+
+    def look(a: int, b: int) -> None:
+        if b - a >= least and (m := pattern.search(text, a, b)):
+            heapq.heappush(waiting, (sum(m.fuzzy_counts), m.start(), m.end(), a, b, m))
+
+    for a, b in windows:
+        look(a, b)
+    while waiting:
+        _, start, end, a, b, m = heapq.heappop(waiting)
+        while waiting and waiting[0][:5] == (sum(m.fuzzy_counts), start, end, a, b):
+            heapq.heappop(waiting)  # the same place again
+        at = bisect.bisect_right(starts, start)
+        if at and taken[at - 1][0] > start:
+            at -= 1
+        elif at == len(starts) or starts[at] >= end:
+            starts.insert(at, start)
+            taken.insert(at, (end, m))
+            look(a, start)
+            look(end, b)
+            continue
+        look(a, starts[at])
+        look(taken[at][0], b)
+    return [m for _, m in taken]
 
 
 class Scanner:
@@ -108,20 +134,15 @@ class Scanner:
                 at = text.find(phrase, at + 1)
         return sorted(out)
 
-    def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """For each notice the windows that an intact piece points at, merged; a match within k edits lies in one."""
-        out: dict[int, list[list[int]]] = {}
+    def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """For each notice the windows that an intact piece points at; a match within k edits lies whole in one."""
+        out: dict[int, dict[tuple[int, int], None]] = {}
         for end, (length, uses) in self.seeds.iter(text):
             for i, at in uses:
                 notice, _, k = self.notices[i]
                 start = end + 1 - length - at
-                a, b = max(0, start - k - 1), min(len(text), start + len(notice) + k + 1)
-                spans = out.setdefault(i, [])
-                if spans and spans[-1][1] >= a:
-                    spans[-1][0], spans[-1][1] = min(spans[-1][0], a), max(spans[-1][1], b)
-                else:
-                    spans.append([a, b])
-        return out
+                out.setdefault(i, {})[max(0, start - k - 1), min(len(text), start + len(notice) + k + 1)] = None
+        return {i: list(spans) for i, spans in out.items()}
 
     def fuzzy(self, words: list[bytes]) -> list[tuple[int, int, int, str, int]]:
         """(first byte, end byte, edits, label, k) of notices in the joined words, spans in it."""
@@ -129,9 +150,8 @@ class Scanner:
         out = []
         for i, spans in self.windows(text).items():
             notice, label, k = self.notices[i]
-            for a, b in spans:
-                for m in places(self.patterns[i], text, a, b, len(notice) - k):
-                    out.append((m.start() - 1, m.end() - 1, sum(m.fuzzy_counts), label, k))
+            for m in places(self.patterns[i], text, spans, len(notice) - k):
+                out.append((m.start() - 1, m.end() - 1, sum(m.fuzzy_counts), label, k))
         return sorted(out)
 
 

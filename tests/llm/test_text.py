@@ -357,6 +357,33 @@ def test_notices_with_too_many_edits_get_no_label(spark):
     assert [(x["first_word"], x["labels"], x["score"]) for x in got if x["doc_id"] == 900] == [(60_000, "mit", 1.0)] * 2
 
 
+def test_many_near_notices_in_one_text_take_time_in_proportion():
+    """Words that belong to no notice keep the parts apart, so the whole text gives what its parts give."""
+    import time
+
+    r, scanner = random.Random(21), licenses.Scanner.one()
+
+    def near(notice, edits):
+        s = list(notice)
+        for _ in range(edits):
+            at = r.randrange(len(s))
+            s[at : at + 1] = r.choice([[], ["q"], [s[at], "q"]])
+        return "".join(s)
+
+    part = [near(licenses.NOTICES[0][0], 2 + k % 3) for k in range(500)]
+    alone = [scanner.fuzzy(normalised_words(p)) for p in part]
+    took = []
+    for copies in (1, 4, 16):
+        began = time.perf_counter()
+        got = scanner.fuzzy(normalised_words(f" {'z' * 80} ".join(part * copies)))
+        took.append(time.perf_counter() - began)
+        assert [(e, label) for _, _, e, label, _ in got] == [(e, label) for found in alone * copies for _, _, e, label, _ in sorted(found)]
+    assert took[2] < 64 * max(took[0], 0.01)
+    began = time.perf_counter()
+    assert len(scanner.fuzzy(normalised_words(" ".join(part * 20)))) > 5000  # next to each other, all windows overlap
+    assert time.perf_counter() - began < 10
+
+
 def test_fuzzy_search_finds_adjacent_notices():
     scanner = licenses.Scanner()
     for notice, label, k in licenses.NOTICES:
