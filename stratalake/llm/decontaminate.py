@@ -141,24 +141,37 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]], least: int = MIN_TILE):
         self.least, self.vocabulary = least, {}
-        self.ids, self.words, seeds, owners = [], [], [], []
+        self.ids, self.words, seeds = [], [], []
         for item_id, text in items:
             words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in folded_words(text)]
             if len(words) < least:
                 continue
-            h = np.unique(ngrams(np.array(words, np.uint64), least))
-            seeds.append(h)
-            owners.append(np.full(len(h), len(self.ids)))
+            seeds.append(ngrams(np.array(words, np.uint64), least))
             self.ids.append(item_id)
             self.words.append(words)
-        if seeds:
-            h, o = np.concatenate(seeds), np.concatenate(owners)
-            order = np.lexsort((o, h))
-            self.owners = o[order]
-            self.seeds, self.first = np.unique(h[order], return_index=True)
-            self.first = np.append(self.first, len(h))
-        else:
-            self.seeds = np.empty(0, np.uint64)
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        h = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
+        self.seeds, numbers = np.unique(h, return_inverse=True)
+        # Each place of each seed, by seed; and the distinct seeds of each item.
+        owners, places = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds]), np.concatenate([np.arange(len(x)) for x in seeds]) if seeds else np.empty(0, np.int64)
+        order = np.argsort(numbers, kind="stable")
+        self.owners, self.places = owners[order], places[order]
+        self.first = np.searchsorted(numbers[order], np.arange(len(self.seeds) + 1))
+        ends = np.cumsum([len(x) for x in seeds])
+        self.of_item = [np.unique(numbers[end - len(x) : end]) for x, end in zip(seeds, ends, strict=True)]
+
+    def coverable(self, seeds: np.ndarray, threshold: float) -> np.ndarray:
+        """Items of whose words these seeds cover the threshold's share or more; no tile holds a word that no shared seed covers."""
+        counts = self.first[seeds + 1] - self.first[seeds]
+        at = np.arange(int(counts.sum())) + np.repeat(self.first[seeds] - np.cumsum(counts) + counts, counts)
+        owners, places = self.owners[at], self.places[at]
+        order = np.lexsort((places, owners))
+        owners, places = owners[order], places[order]
+        step = np.full(len(owners), self.least)  # words that a seed covers before the item's next seed does
+        same = owners[1:] == owners[:-1]
+        step[:-1][same] = np.minimum(self.least, places[1:][same] - places[:-1][same])
+        covered = np.bincount(owners, step, len(self.lengths))
+        return np.flatnonzero((covered > 0) & (covered / self.lengths >= threshold))
 
     def batch(self, texts: list[bytes | None], threshold: float) -> list[list[dict]]:
         """For each text the items that contaminate it."""
@@ -188,13 +201,11 @@ class Index:
         hit = self.seeds[at] == grams
         starts, at = starts[hit], at[hit]
         docs = np.searchsorted(ends, starts, "right")
-        for d in np.unique(docs):
-            mine = docs == d
-            by_item: dict[int, list[int]] = {}
-            for p, s in zip(starts[mine].tolist(), at[mine].tolist(), strict=True):
-                for o in self.owners[self.first[s] : self.first[s + 1]].tolist():
-                    by_item.setdefault(o, []).append(p)
-            for o, places in by_item.items():
+        cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1], True]) if len(docs) else np.zeros(1, int)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            d, mine, seeds = int(docs[a]), starts[a:b], at[a:b]
+            for o in self.coverable(np.unique(seeds), threshold).tolist():
+                places = mine[np.isin(seeds, self.of_item[o])].tolist()
                 got = tiles(self.words[o], islands(ids, places, self.least), self.least)
                 coverage = sum(n for _, _, n in got) / len(self.words[o])
                 if coverage >= threshold:

@@ -98,6 +98,31 @@ def test_decontaminate_catches_reordered_items_and_keeps_clean_rows(spark):
     assert decontaminate.contaminated(d.limit(0), bench).count() == 0 and decontaminate.contaminated(d, bench.limit(0)).count() == 0
 
 
+def test_a_line_that_many_items_share_tiles_none_of_them():
+    """Items whose shared words can't reach the threshold aren't tiled; those that can are found as before."""
+    import time
+
+    line = " ".join(f"s{k}" for k in range(12))
+    items = [(i, " ".join(f"u{i}_{k}" for k in range(30)) + " " + line) for i in range(3000)]
+    texts = [(" ".join(f"x{d}_{k}" for k in range(50)) + " " + line + " y").encode() for d in range(40)]
+    index = decontaminate.Index(items)
+    began = time.perf_counter()
+    assert not any(index.batch(texts, 0.5))
+    assert (time.perf_counter() - began) / len(texts) < 0.02
+    got = index.batch([(items[7][1][:120] + " " + line).encode()], 0.5)[0]
+    assert [m["item_id"] for m in got] == [7] and got[0]["tiles"] == 2
+    r = random.Random(31)
+    for _ in range(60):
+        words = [f"w{k}" for k in range(r.choice([5, 12, 60]))]
+        some = [(k, " ".join(r.choice(words) for _ in range(r.randrange(5, 40)))) for k in range(8)]
+        docs = [" ".join(x for _ in range(3) for it in [r.choice(some)[1].split()] for at in [r.randrange(len(it))] for x in it[at : at + r.randrange(1, 25)]) for _ in range(6)]
+        for threshold in (0.3, 0.5, 1.0):
+            found = decontaminate.Index(some).batch([t.encode() for t in docs], threshold)
+            for t, matches in zip(docs, found, strict=True):
+                share = {k: sum(n for _, _, n in brute_tiles(it.split(), t.split(), decontaminate.MIN_TILE)) / len(it.split()) for k, it in some}
+                assert {m["item_id"] for m in matches} == {k for k, c in share.items() if c and c >= threshold}
+
+
 def test_decontaminate_folds_case_of_all_letters(spark):
     item = "Élève à l'école où naît la forêt d'été; señor Núñez así öffnet große Straßen über ǰ"
     texts = [item.upper(), item.lower(), unicodedata.normalize("NFD", item.upper()), unicodedata.normalize("NFD", item), "été où forêt " * 20]
