@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.llm.common import HASHES, ngrams, own_column, prepare, scramble, words_of
+from stratalake.llm.common import HASHES, LONG_WORD, ngrams, own_column, prepare, scramble, words_of
 
 BITS = 20
 #: The most labelled rows that training reads.
@@ -43,15 +43,17 @@ _UPPER, _LOWER, _DIGIT = re.compile(rb"(?:[A-Z]|\xc3[\x80-\x9e])+"), re.compile(
 
 
 class Shapes(dict):
-    """word -> 64-bit hash of its shape; bounded."""
+    """word -> 64-bit hash of its shape; bounded, for long words aren't kept."""
 
     LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
         shape = _DIGIT.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", word)))
-        s = self[word] = HASHES[b"\x00shape " + shape]
+        s = HASHES[b"\x00shape " + shape]
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = s
         return s
 
 
