@@ -21,7 +21,7 @@ from stratalake.plans import gate
 from stratalake.plans.layers import RAW, STAGING, Plan, plan_layers
 from stratalake.plans.profile import Profile, build_profile
 from stratalake.plans.semantics import meanings
-from stratalake.scratch import written
+from stratalake.scratch import scope, written
 from stratalake.sources import intake, sinks
 from stratalake.sources.ddl import extract_ddl, extract_views, parse_ddl
 from stratalake.sources.spec import fingerprint
@@ -81,12 +81,12 @@ def _finish(spark: SparkSession, model: WarehouseModel, plan: Plan, profile: Pro
     return Run(model, plan, profile, data, found, status, paths)
 
 
-def _written(stage: sinks.Stage | None) -> gate.Settle:
+def _written(stage: sinks.Stage | None, keep) -> gate.Settle:
     """Writes tables, with repaired measures, into the stage or as scratch; what an earlier try of the run wrote, or an earlier run from the same, is taken over."""
 
     def settle(name: str, make, of: str) -> DataFrame:
         if stage is None:
-            return written(repair_metrics(make()), name)
+            return keep(written(repair_metrics(make()), name))
         done = stage.done(name, of)
         return stage.write(name, repair_metrics(make()), of) if done is None else done
 
@@ -121,32 +121,39 @@ def run_elt(spark: SparkSession, text: str, spec: dict, rows: int | None = None,
     judged = {**spec, "load_table_rows": {**dict.fromkeys(given, []), **spec["load_table_rows"]}} if given and "load_table_rows" in spec else spec
     if reasons := gate.judge_spec(spark, judged, model, plan, None if given else profile):
         raise Refused("; ".join(reasons))
+    with scope() as keep:
+        return _run_elt(spark, text, spec, model, plan, profile, given, root, mode, reports, keep)
+
+
+def _run_elt(spark, text, spec, model, plan, profile, given, root, mode, reports, keep) -> Run:
     stage = sinks.Stage(spark, {}, model, root, mode, name=fingerprint(text, spec, mode, {t: df.semanticHash() for t, df in given.items()})) if root else None
     frames = {model.table(t).name: from_rows(spark, model.table(t), got) for t, got in spec["load_table_rows"].items() if t not in given} | given
     sources = {t: _source(given[t] if t in given else spec["load_table_rows"][next(n for n in spec["load_table_rows"] if model.table(n).name == t)]) for t in frames}
-    data = gate.execute(spark, spec, model, plan, frames, _written(stage), stage.saved if stage else None, sources)
+    data = gate.execute(spark, spec, model, plan, frames, _written(stage, keep), stage.saved if stage else None, sources)
     return _finish(spark, model, plan, profile, data, profile.rows if profile else None, stage, mode, reports, spec["assumptions"])
 
 
-def _staged(spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, root: str | None, mode: str) -> tuple[sinks.Stage | None, dict[str, DataFrame]]:
+def _staged(spark: SparkSession, data: dict[str, DataFrame], model: WarehouseModel, root: str | None, mode: str, keep) -> tuple[sinks.Stage | None, dict[str, DataFrame]]:
     data = {t: repair_metrics(df) for t, df in data.items()}
     stage = sinks.Stage(spark, data, model, root, mode) if root else None
-    return stage, stage.tables() if stage else {t: written(df, t) for t, df in data.items()}
+    return stage, stage.tables() if stage else {t: keep(written(df, t)) for t, df in data.items()}
 
 
 def run_generation(spark: SparkSession, text: str, rows: int = 100, seed: int = 12345, business: dict | None = None, root: str | None = None, mode: str = sinks.FAIL, reports: str | None = None, reuse: float = 0.0) -> Run:
     """Generated rows for all tables, checked, then saved; ``reuse`` as in ``operators.generate.table_rows``."""
     model, plan = read_model(text)
     profile = build_profile(model, plan, rows) if plan.of(RAW) and plan.of(STAGING) else None
-    stage, data = _staged(spark, generate(spark, model, rows, seed, business, plan, reuse=reuse), model, root, mode)
-    return _finish(spark, model, plan, profile, data, profile.rows if profile else dict.fromkeys(data, rows), stage, mode, reports, business=business)
+    with scope() as keep:
+        stage, data = _staged(spark, generate(spark, model, rows, seed, business, plan, reuse=reuse), model, root, mode, keep)
+        return _finish(spark, model, plan, profile, data, profile.rows if profile else dict.fromkeys(data, rows), stage, mode, reports, business=business)
 
 
 def run_export(spark: SparkSession, text: str, root: str, reports: str) -> Run:
     """Read a saved warehouse back, repair, check and export it; nothing is written to it."""
     model, plan = read_model(text)
-    _, data = _staged(spark, sinks.load(spark, model, root), model, None, sinks.FAIL)
-    return _finish(spark, model, plan, None, data, None, None, sinks.FAIL, reports)
+    with scope() as keep:
+        _, data = _staged(spark, sinks.load(spark, model, root), model, None, sinks.FAIL, keep)
+        return _finish(spark, model, plan, None, data, None, None, sinks.FAIL, reports)
 
 
 @dataclass

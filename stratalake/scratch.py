@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    for made in _open:
+        made.append(out)
     return out
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at its end what ``written`` made inside, but for tables given to what this yields.
+
+    For runs whose results are read from tables that were kept, or written elsewhere.
+    """
+    made: list[DataFrame] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._scratch_path)
+        return df
+
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        discard(*(df for df in made if df._scratch_path not in kept))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing will read again."""
     for df in tables:

@@ -46,6 +46,20 @@ def test_what_is_saved_is_what_was_checked(spark, tmp_path):
     assert sorted(stage.tables(moved=True)["x"].collect()) == before == sorted(sinks.load(spark, model, f"file://{tmp_path}/w")["x"].collect())
 
 
+def test_runs_leave_no_scratch_tables(spark, tmp_path):
+    from pathlib import Path
+
+    from stratalake.scratch import shared_dir
+
+    base = Path(shared_dir(spark, "probe").removeprefix("file://")).parent
+    there = lambda: {p.name for p in base.iterdir()}
+    before = there()
+    runs.run_elt(spark, LAYERS, SPEC, root=f"file://{tmp_path}/w")
+    assert there() == before
+    kept = runs.run_elt(spark, LAYERS, SPEC)
+    assert len(there() - before) == len(kept.data) and kept.data["fact_order"].count() == 4
+
+
 def test_payloads_are_checked_in_runs(spark):
     spec_ = {**SPEC, "load_table_rows": {**SPEC["load_table_rows"], "load_order_raw": [{"source_payload": '{"order_id": "O1", "customer_id": "C9", "amount": "1"}'}] * 2}}
     got = runs.run_elt(spark, LAYERS, {**spec_, "load_table_rows": {k: (v * 9)[: {"load_customer_raw": 1, "load_order_raw": 2}[k]] for k, v in spec_["load_table_rows"].items()}}, rows=2)
