@@ -11,7 +11,9 @@ Of pages with equal payloads of at least ``MIN_REVISIT`` bytes the one with
 the largest page_id is stored (response); the others refer to it (revisit).
 Null html counts as empty.  Pages without an id are never referred to; where
 no page of a group has an id, all are stored.  Rows that repeat the stored
-page's id and payload are stored too.
+page's id and payload are stored too.  A page longer than a frame is a frame of its
+own, taken whole.  Columns other than page_id, url and html aren't read, whatever
+their names.  An empty table gives no bundles and an empty result.
 """
 
 from __future__ import annotations

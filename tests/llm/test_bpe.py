@@ -54,3 +54,9 @@ def test_queries_over_rows(spark):
     back = {r["doc_id"]: r["text"] for r in byte_bpe.decode(encoded, PATH, P.PATTERN).collect()}
     assert back[None] == "x y" and back[1] == ""
     assert byte_bpe.round_trip(d.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_repeated_rows_and_ids_stay(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (None, "a b")]
+    got = byte_bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), PATH, P.PATTERN).collect()
+    assert sorted((r["doc_id"] or 0, r["decoded_sha256"]) for r in got) == sorted((i or 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)

@@ -66,6 +66,13 @@ def test_exact_dedup_of_an_empty_table(spark):
     assert exact_dedup.drop_exact_duplicates(docs(spark, [], extra=False)).count() == 0
 
 
+def test_exact_dedup_of_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(400_000))
+    rows = [(5, long), (2, long.replace(" ", "\n\t")), (7, long + " x"), (7, long + " x"), (9, long[:-1])]
+    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(docs(spark, rows)).collect()}
+    assert got == {(5, 2, 2), (2, 2, 2), (7, 7, 2), (9, 9, 1)}
+
+
 @pytest.mark.parametrize("planes", [4, 32])
 def test_planes_are_inverted(planes):
     ids = np.random.default_rng(1).integers(0, 2**32, 1000, dtype=np.uint32)
@@ -90,6 +97,18 @@ def test_plane_file_holds_documents_across_blocks(planes):
         at += n
 
 
+def test_id_planes_of_repeated_rows_and_ties(spark):
+    """Rows that share an id are all there, one after another; starts run on over them."""
+    path = tokenizers.path("word_bpe_49k.json")
+    rows = [(4, "b c"), (4, "b c"), (4, "a"), (None, "x"), (None, "x"), (1, "")]
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["start"]), r["n_tokens"]) for r in bit_planes.encode_to_files(docs(spark, rows), path).collect())
+    assert [k[1] if not k[0] else None for k, _ in got] == [1, 4, 4, 4, None, None]
+    at = 0
+    for (_, _, start), n in got:
+        assert start == at
+        at += n
+
+
 def test_id_planes_query(spark):
     import zlib
 

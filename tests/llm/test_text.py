@@ -221,6 +221,17 @@ def test_jaccard_edges(spark):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_jaccard_of_very_long_texts(spark):
+    """Texts of many different shingles, whole: copies, a near copy of exactly and of just under 0.75, and a short one inside."""
+    base = [f"w{k}" for k in range(60_000)]
+    shingles = len(base) - 4
+    cut = int(shingles * 0.25)  # leaves 75 of 100 shingles, and one less in the next
+    rows = [(1, base), (2, base[cut:]), (3, base), (4, base[: int(shingles * 0.74)]), (5, base[100:200])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    share = lambda i: 100 * (len(dict(rows)[i]) - 4) >= 75 * shingles
+    assert got == {i: (len(w) - 4, 1 if i in (1, 3) or share(i) else i) for i, w in rows} and got[2][1] == 1 and got[4][1] == 4
+
+
 def test_signatures_bound_overlap():
     r = np.random.default_rng(5)
     for _ in range(300):
