@@ -70,9 +70,8 @@ def payload_reference_check(spark, sf):
 
 
 def payload_distinct_keys(spark, sf):
-    """Distinct against all keys of raw records, and records that share one."""
-    raw = _raw(spark, sf)["load_order_raw"].select(F.get_json_object("source_payload", "$.customer_id").alias("k"))
-    return raw.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("distinct_keys"), F.sum((F.col("n") > 1).cast("long")).alias("reused_keys"))
+    """Distinct against all keys of raw records, and keys that several records share."""
+    return checks.payload_keys(_raw(spark, sf)["load_order_raw"], "customer_id")
 
 
 def insert_with_defaults(spark, sf):

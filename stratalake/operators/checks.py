@@ -340,6 +340,12 @@ def payload_checks(name: str, raw: DataFrame, required: list[str], payload: str
     return results(counts, row("payload_object", name, payload, ERROR, F.col("o")), *(row("payload_key", name, k, ERROR, F.col(f"k{i}")) for i, k in enumerate(required)))
 
 
+def payload_keys(raw: DataFrame, key: str, payload: str = "source_payload") -> DataFrame:
+    """One row: records, distinct values of a key in their payloads (null is a value), and values that several records share."""
+    sizes = raw.select(F.get_json_object(payload, f"$.{key}").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("distinct_keys"), F.count_if(F.col("n") > 1).alias("reused_keys"))
+
+
 def payload_references(profile: Profile, data: Data, payload: str = "source_payload") -> DataFrame:
     """V25: keys in child payloads are in parent payloads (null is a value here), and parents are reused where they must be."""
     spark = next(iter(data.values())).sparkSession

@@ -112,6 +112,11 @@ def test_payload_checks(spark):
     assert got["payload_reference", "load_order_raw", "customer_id -> load_customer_raw"] == 2 and got["payload_reuse", "load_order_raw", "customer_id -> load_customer_raw"] == 1
 
 
+def test_distinct_and_reused_keys_of_payloads(spark):
+    raw = frame(spark, "source_payload string", ('{"k": 1}',), ('{"k": 1}',), ('{"k": "1"}',), ('{"k": 2}',), ("{}",), (None,))
+    assert tuple(checks.payload_keys(raw, "k").first()) == (6, 3, 2) and tuple(checks.payload_keys(raw.limit(0), "k").first()) == (0, 0, 0)
+
+
 # Gate
 
 
