@@ -251,11 +251,12 @@ def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float, text: str,
     def of_items(batches):
         for b in batches:
             words = [hashes(t) for t in b.column(2).to_pylist()]
-            seeds = [np.unique(ngrams(w, least)).view(np.int64) for w in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w.view(np.int64) for w in words], _WORDS), pa.array(seeds, _WORDS)], ["item", "item_id", "words", "seeds"])
+            every = [ngrams(w, least) for w in words]
+            lists = [[w.view(np.int64) for w in words], [np.unique(s).view(np.int64) for s in every], [s.view(np.int64) for s in every]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, _WORDS) for x in lists)], ["item", "item_id", "words", "seeds", "all_seeds"])
 
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    items = written(rows.mapInArrow(of_items, "item long, item_id long, words array<long>, seeds array<long>"), "items")
+    items = written(rows.mapInArrow(of_items, "item long, item_id long, words array<long>, seeds array<long>, all_seeds array<long>"), "items")
 
     def fields(batches):
         bits = np.zeros(FIELD // 8, np.uint8)
@@ -290,9 +291,9 @@ def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float, text: str,
 
     texts = docs.select(F.sha2(F.col(text), 256).alias("digest"), F.col(text).cast("binary").alias("t")).filter("digest is not null")
     found = written(texts.mapInArrow(of_docs, "digest string, words array<long>, seeds array<long>"), "probes")
-    # Each text once; the pairs that share a seed, before any words move.
+    # Each text once; the pairs that share a seed, before any words move.  An item is looked for by its rarer seeds alone.
     seeds = found.select("digest", F.explode("seeds").alias("seed")).distinct()
-    pairs = written(seeds.join(items.select("item", F.explode("seeds").alias("seed")), "seed").select("digest", "item").distinct(), "pairs")
+    pairs = written(seeds.join(_needed(items, threshold, least), "seed").select("digest", "item").distinct(), "pairs")
 
     def tile(batches):
         for b in batches:
@@ -311,6 +312,39 @@ def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float, text: str,
     return matches.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("item_id", "coverage", "tiles"))).alias("matches"))
 
 
+def _needed(items: DataFrame, threshold: float, least: int) -> DataFrame:
+    """(item, seed) of the seeds by which each item is found.
+
+    The seeds that most items have are left out, as long as the words that they cover
+    stay below the threshold's share: a text that reaches it holds another seed too.  So
+    a line that many items and many texts share brings no pairs.
+    """
+    often = items.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    counted = items.select("item", F.size("words").alias("n_words"), F.posexplode("all_seeds").alias("place", "seed")).join(often, "seed")
+    by_item = counted.groupBy("item", "n_words").agg(F.collect_list(F.struct("seed", "n", "place")).alias("places"))
+
+    def keep(batches):
+        for b in batches:
+            out = [], []
+            for item, n_words, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                of_seed: dict[int, list[int]] = {}
+                often = {}
+                for p in places:
+                    of_seed.setdefault(p["seed"], []).append(p["place"])
+                    often[p["seed"]] = p["n"]
+                covered: set[int] = set()
+                order = sorted(of_seed, key=lambda s: (-often[s], s))
+                for k, seed in enumerate(order):
+                    covered.update(x for at in of_seed[seed] for x in range(at, at + least))
+                    if len(covered) / n_words >= threshold:
+                        out[0].extend([item] * (len(order) - k))
+                        out[1].extend(order[k:])
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["item", "seed"])
+
+    return by_item.mapInArrow(keep, "item long, seed long")
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, name: str = "matches", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with a column of the items that contaminate each row."""
     spark = prepare(docs.sparkSession)

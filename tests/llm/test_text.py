@@ -98,6 +98,25 @@ def test_decontaminate_catches_reordered_items_and_keeps_clean_rows(spark):
     assert decontaminate.contaminated(d.limit(0), bench).count() == 0 and decontaminate.contaminated(d, bench.limit(0)).count() == 0
 
 
+def test_items_are_looked_for_by_their_rarer_seeds(spark):
+    """With a benchmark that is joined a line of many items brings no pairs, and what must be found is."""
+    line = " ".join(f"s{k}" for k in range(12))
+    items = [(i, " ".join(f"u{i}_{k}" for k in range(30)) + " " + line) for i in range(200)] + [(900, line), (901, "too short")]
+    docs = [(d, " ".join(f"x{d}_{k}" for k in range(20)) + " " + line) for d in range(100)] + [(500, items[7][1][:150] + " " + line), (501, items[9][1][:90])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.annotate(table(spark, docs), bench, broadcast_bytes=0).collect()
+    found = {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in got}
+    held = decontaminate.annotate(table(spark, docs), bench).collect()
+    assert found == {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in held} and found[0] == [900] and found[500] == [7, 900]
+    seeds = [(k, len(t.split()), sorted({hash(tuple(t.split()[a : a + 5])) for a in range(len(t.split()) - 4)})) for k, (_, t) in enumerate(items)]
+    frame = spark.createDataFrame([(k, [0] * n, s, [hash(tuple(items[k][1].split()[a : a + 5])) for a in range(n - 4)]) for k, n, s in seeds], "item long, words array<long>, seeds array<long>, all_seeds array<long>")
+    kept = {}
+    for r in decontaminate._needed(frame, 0.5, 5).collect():
+        kept.setdefault(r["item"], set()).add(r["seed"])
+    shared = {hash(tuple(line.split()[a : a + 5])) for a in range(8)}
+    assert all(not kept[k] & shared for k in range(200)) and kept[200] <= shared and 201 not in kept
+
+
 def test_a_line_that_many_items_share_tiles_none_of_them():
     """Items whose shared words can't reach the threshold aren't tiled; those that can are found as before."""
     import time
