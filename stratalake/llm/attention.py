@@ -22,6 +22,8 @@ import numpy as np
 WIDTH, STRIDE = 64, 48
 CLASSES, MEMBERS = 32, 64
 KEY, VALUE = 16, 48
+#: Windows whose attention is worked out together, for the cache.
+AT_ONCE = 32
 _F = np.float32
 
 
@@ -33,16 +35,32 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return seq, k * STRIDE
 
 
-def _causal() -> np.ndarray:
+def _most() -> np.ndarray:
+    """The largest entry of each query and key before exp: 60, or next to nothing for keys after the query."""
     query, key = np.arange(STRIDE)[:, None] + WIDTH - STRIDE, np.arange(WIDTH)[None, :]
-    return np.where(key <= query, 0, -1e9).astype(_F)
+    return np.where(key <= query, 60, -1e9).astype(_F)
+
+
+def _chunks(n: int) -> list[slice]:
+    return [slice(k, k + AT_ONCE) for k in range(0, n, AT_ONCE)]
+
+
+def _add_columns(ids: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
+    """One row an id: the sum of its columns; sums run along memory.  No place is outside, and ``clip`` saves the check."""
+    out = np.zeros((size, len(columns)), columns.dtype)
+    order = np.argsort(ids, kind="stable")
+    found = ids[order]
+    cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    out[found[cuts]] = np.add.reduceat(np.take(columns, order, axis=1, mode="clip"), cuts, axis=1).T
+    return out
 
 
 class Attention:
     def __init__(self, parameters: dict[str, np.ndarray]):
         self.p = parameters
-        self.causal = _causal()
+        self.most = _most()
         self.ones = {n: np.ones((n, 1), _F) for n in (CLASSES, MEMBERS)}
+        self.top = {n: np.full(n, 80, _F) for n in (CLASSES, MEMBERS)}  # an array, for minimum is slow on scalars
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 5) -> "Attention":
@@ -70,22 +88,28 @@ class Attention:
         target = place[:, WIDTH - STRIDE :] + 1
         return ids[place], inside, target, scored
 
-    def hidden(self, keys: np.ndarray, inside: np.ndarray):
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """One row an id: its scaled query and second embedding; its key, value and a 1, which sums weights."""
+        p = self.p
+        return np.concatenate([p["q"] * _F(KEY**-0.5), p["e"] + p["b"]], axis=1), np.concatenate([p["k"], p["v"], np.ones((len(p["v"]), 1), _F)], axis=1)
+
+    def hidden(self, keys: np.ndarray, inside: np.ndarray, of_query: np.ndarray, of_key: np.ndarray):
         p = self.p
-        q = p["q"][keys[:, WIDTH - STRIDE :]] + p["qp"][WIDTH - STRIDE :]
-        k = p["k"][keys] + p["kp"]
-        v = np.concatenate([p["v"], np.ones((len(p["v"]), 1), _F)], axis=1)[keys]  # the last column sums the weights
-        s = np.matmul(q * _F(KEY**-0.5), k.transpose(0, 2, 1))
-        s += self.causal
-        if not inside[:, 0].all():
-            s += np.where(inside, _F(0), _F(-1e9))[:, None, :]
-        np.minimum(s, _F(60), out=s)
+        qe = np.take(of_query, keys[:, WIDTH - STRIDE :], axis=0, mode="clip")
+        qe[:, :, :KEY] += p["qp"][WIDTH - STRIDE :] * _F(KEY**-0.5)
+        kv = np.take(of_key, keys, axis=0, mode="clip")
+        kv[:, :, :KEY] += p["kp"]
+        s = np.matmul(qe[:, :, :KEY], kv[:, :, :KEY].transpose(0, 2, 1))
+        np.minimum(s, self.most, out=s)
+        early = np.flatnonzero(~inside[:, 0])
+        if len(early):
+            s[early] = np.where(inside[early][:, None, :], s[early], _F(-1e9))
         np.exp(s, out=s)
-        mixed = np.matmul(s, v)
+        mixed = np.matmul(s, kv[:, :, KEY:])
         norm = mixed[:, :, -1:] + _F(1e-30)
         out = mixed[:, :, :-1] / norm
-        pre = out + p["e"][keys[:, WIDTH - STRIDE :]] + p["b"]
-        return q, k, v, s, norm, out, np.maximum(pre, 0)
+        h = out + qe[:, :, KEY:]
+        return qe, kv, s, norm, out, np.maximum(h, 0, out=h)
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target id after hidden state ``h``."""
@@ -108,7 +132,7 @@ class Attention:
 
     def _log_share(self, a: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log of the softmax of each row at one place; overwrites ``a``, whose entries are at most 80."""
-        np.minimum(a, _F(80), out=a)
+        np.minimum(a, self.top[a.shape[1]], out=a)
         mine = a[np.arange(len(a)), at]
         np.exp(a, out=a)
         return mine - np.log(a @ self.ones[a.shape[1]])[:, 0]
@@ -116,79 +140,103 @@ class Attention:
     def score(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at_once: int = 192) -> np.ndarray:
         """Log probability of every id but each sequence's first, at its place in ``ids`` (0 there)."""
         out = np.zeros(len(ids), np.float64)
+        keep_memory()
         seq, first = windows(lengths)
+        tables = self.tables()
         for k in range(0, len(seq), at_once):
             keys, inside, target, scored = self.batch(ids, starts, lengths, seq[k : k + at_once], first[k : k + at_once])
-            h = self.hidden(keys, inside)[-1]
+            h = np.concatenate([self.hidden(keys[c], inside[c], *tables)[-1] for c in _chunks(len(keys))])
             place = target[scored]
             out[place] = self.log_probabilities(h[scored], ids[place])
         return out
 
     def gradient(self, keys: np.ndarray, inside: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of a batch and its gradient; ``targets`` are ids."""
-        p = self.p
-        q, k, v, s, norm, out, h3 = self.hidden(keys, inside)
-        h, t = h3[scored], targets[scored].astype(np.int64)
-        n, cls, member = len(t), *np.divmod(t, MEMBERS)
-        g = {x: np.zeros_like(w) for x, w in p.items()}
-        rows = np.arange(n)
-        a = h @ p["wc"] + p["bc"]
-        a -= a.max(1, keepdims=True)
-        a = np.exp(a)
-        a /= a.sum(1, keepdims=True)
-        loss = -np.log(a[rows, cls] + 1e-30).sum()
-        a[rows, cls] -= 1
-        a /= n
-        g["wc"], g["bc"] = h.T @ a, a.sum(0)
-        dh = a @ p["wc"].T
-        for c in np.unique(cls):
-            mine = np.flatnonzero(cls == c)
-            m = h[mine] @ p["wm"][c] + p["bm"][c]
-            m -= m.max(1, keepdims=True)
-            m = np.exp(m)
-            m /= m.sum(1, keepdims=True)
-            r = np.arange(len(mine))
-            loss -= np.log(m[r, member[mine]] + 1e-30).sum()
-            m[r, member[mine]] -= 1
-            m /= n
-            g["wm"][c], g["bm"][c] = h[mine].T @ m, m.sum(0)
-            dh[mine] += m @ p["wm"][c].T
-        d3 = np.zeros_like(h3)
-        d3[scored] = dh
-        d3[h3 <= 0] = 0
-        g["b"] = d3.sum((0, 1))
-        last = keys[:, WIDTH - STRIDE :]
-        w = s / norm
-        dv = np.matmul(w.transpose(0, 2, 1), d3)
-        dw = np.matmul(d3, v[:, :, :-1].transpose(0, 2, 1))
-        ds = w * (dw - (d3 * out).sum(2, keepdims=True)) * _F(KEY**-0.5)
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        g["qp"][WIDTH - STRIDE :], g["kp"] = dq.sum(0), dk.sum(0)
-        for at, of in ((last, {"q": dq, "e": d3}), (keys, {"k": dk, "v": dv})):  # one sort of ids for two tables
-            flat = at.reshape(-1)
-            order = np.argsort(flat, kind="stable")
-            found = flat[order]
-            cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-            for name, d in of.items():
-                g[name][found[cuts]] = np.add.reduceat(d.reshape(len(flat), -1)[order], cuts, axis=0)
+        p, scale = self.p, _F(KEY**-0.5)
+        tables, parts = self.tables(), _chunks(len(keys))
+        saved = [self.hidden(keys[c], inside[c], *tables) for c in parts]
+        # Scored places in the order of their targets' classes; a 1 beside each hidden state is the input of the biases.
+        place = np.flatnonzero(scored)
+        cls = (targets.reshape(-1)[place] // MEMBERS).astype(np.uint8)
+        order = np.argsort(cls, kind="stable")
+        place, cls = place[order], cls[order]
+        member, n = targets.reshape(-1)[place].astype(np.int64) % MEMBERS, len(place)
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        h = np.ones((n, VALUE + 1), _F)
+        h[:, :-1] = np.concatenate([x[-1].reshape(-1, VALUE) for x in saved])[place]
+        wc, wm = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["wm"], p["bm"][:, None]], axis=1)
+        gm = np.zeros_like(wm)
+        loss, a = self._softmax_gradient(h @ wc, cls, n)
+        gc, dh = h.T @ a, a @ wc[:-1].T
+        for c in range(CLASSES):
+            lo, hi = cuts[c], cuts[c + 1]
+            if hi > lo:
+                more, m = self._softmax_gradient(h[lo:hi] @ wm[c], member[lo:hi], n)
+                loss += more
+                gm[c] = h[lo:hi].T @ m
+                dh[lo:hi] += m @ wm[c, :-1].T
+        dh *= h[:, :-1] > 0
+        d3 = np.zeros((len(keys) * STRIDE, VALUE), _F)
+        d3[place] = dh
+        d3 = d3.reshape(len(keys), STRIDE, VALUE)
+        # A row for each component here, and in ``_add_columns`` a column for each place.
+        dqe, dkv = np.empty((KEY + VALUE, len(keys), STRIDE), _F), np.empty((KEY + VALUE, len(keys), WIDTH), _F)
+        dqe[KEY:] = d3.transpose(2, 0, 1)
+        of_q, of_kv = dqe.transpose(1, 0, 2), dkv.transpose(1, 0, 2)
+        for c, (qe, kv, s, norm, out, _) in zip(parts, saved, strict=True):
+            # The last column takes the mean of the weights' gradient off.
+            d = np.empty((len(s), STRIDE, VALUE + 1), _F)
+            np.divide(d3[c], norm, out=d[:, :, :-1])
+            d[:, :, -1] = -np.einsum("ijk,ijk->ij", d[:, :, :-1], out)
+            np.matmul(d[:, :, :-1].transpose(0, 2, 1), s, out=of_kv[c, KEY:])
+            ds = np.matmul(d, kv[:, :, KEY:].transpose(0, 2, 1))
+            ds *= s
+            np.matmul(kv[:, :, :KEY].transpose(0, 2, 1), ds.transpose(0, 2, 1), out=of_q[c, :KEY])
+            np.matmul(qe[:, :, :KEY].transpose(0, 2, 1), ds, out=of_kv[c, :KEY])
+        g = {"qp": np.zeros_like(p["qp"]), "kp": dkv[:KEY].sum(1).T, "b": dh.sum(0), "wc": gc[:-1], "bc": gc[-1], "wm": gm[:, :-1], "bm": gm[:, -1]}
+        g["qp"][WIDTH - STRIDE :] = dqe[:KEY].sum(1).T * scale
+        of_query = _add_columns(keys[:, WIDTH - STRIDE :].reshape(-1), dqe.reshape(KEY + VALUE, -1), len(p["q"]))
+        of_key = _add_columns(keys.reshape(-1), dkv.reshape(KEY + VALUE, -1), len(p["k"]))
+        g["q"], g["e"], g["k"], g["v"] = of_query[:, :KEY] * scale, of_query[:, KEY:], of_key[:, :KEY], of_key[:, KEY:]
         return float(loss) / n, g
 
+    def _softmax_gradient(self, a: np.ndarray, at: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+        """Summed loss of the softmax of each row at one place, and its gradient over ``n`` in the place of ``a``."""
+        rows = np.arange(len(a))
+        np.minimum(a, self.top[a.shape[1]], out=a)
+        mine = a[rows, at]
+        np.exp(a, out=a)
+        total = a @ self.ones[a.shape[1]]
+        loss = np.log(total).sum() - mine.sum()
+        a *= 1 / (total * n)
+        a[rows, at] -= _F(1 / n)
+        return loss, a
+
 
 class Adam:
     """The state of Adam for a model; ``step`` changes the model's weights in place."""
 
     def __init__(self, model: Attention):
         self.p, self.n = model.p, 0
-        self.m = {k: np.zeros_like(x) for k, x in model.p.items()}
-        self.v = {k: np.zeros_like(x) for k, x in model.p.items()}
+        self.m, self.v, self.room = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(3))
 
     def step(self, g: dict[str, np.ndarray], lr: float) -> None:
         self.n += 1
-        m, v = self.m, self.v
         for x, w in self.p.items():
-            m[x] += _F(0.1) * (g[x] - m[x])
-            v[x] += _F(0.01) * (g[x] * g[x] - v[x])
-            w -= _F(lr / (1 - 0.9**self.n)) * m[x] / (np.sqrt(v[x] / _F(1 - 0.99**self.n)) + _F(1e-8))
+            m, v, t = self.m[x], self.v[x], self.room[x]
+            np.subtract(g[x], m, out=t)
+            t *= _F(0.1)
+            m += t
+            np.multiply(g[x], g[x], out=t)
+            t -= v
+            t *= _F(0.01)
+            v += t
+            np.multiply(v, _F(1 / (1 - 0.99**self.n)), out=t)
+            np.sqrt(t, out=t)
+            t += _F(1e-8)
+            np.divide(m, t, out=t)
+            t *= _F(lr / (1 - 0.9**self.n))
+            w -= t
 
 
 def train(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, epochs: int = 3, at_once: int = 48, rate: float = 4e-3, seed: int = 5, counts: np.ndarray | None = None) -> Attention:

@@ -8,8 +8,9 @@ end.  Training documents are those that ``held_out`` doesn't name.
   words, so the vocabulary, which grows with the input, is in no one place.
   They give the base score and the second part of ``mixed_score``.
 * The attention model (``attention``) works on subword ids: those of a public
-  byte-level vocabulary that are most frequent in all training documents
-  (``subword_counts``); other ids fall back to their bytes, so every text has ids.
+  byte-level vocabulary, and of pieces joined from them (``join_pieces``), that
+  are most frequent in all training documents (``subword_counts``); other ids
+  fall back to their parts, at last to bytes, so every text has ids.
 * Its weights start from a bounded sample on the driver (``TRAIN_DOCS``, those
   with the smallest hash of doc_id, and ``TRAIN_IDS``) and then learn from every
   training document once, on the executors: in each of ``ROUNDS`` rounds every
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import base64
 import collections
+import heapq
 import itertools
 import zlib
 
@@ -42,11 +44,13 @@ from pyspark.sql import functions as F
 
 from stratalake.llm import exchange
 from stratalake.llm.attention import CLASSES, MEMBERS, Adam, Attention, learn, train
-from stratalake.llm.common import block_bytes, block_count, lower_words, prepare
+from stratalake.llm.common import block_bytes, block_count, discard, lower_words, prepare, written
 
 TRAIN_DOCS = 1500
 TRAIN_IDS = 1_500_000
 ROUNDS, RATE = 4, 2e-3
+#: Pieces joined from public ids, by the counts of this many of the most frequent training words.
+JOINED, JOIN_WORDS = 1500, 50_000
 #: Weights in one row of what tasks send to be averaged.
 _SLICE = 2048
 MIX = 0.8
@@ -61,44 +65,93 @@ def is_held_out(doc_id: int | None, folds: int = FOLDS) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
+class Vocabulary(list):
+    """The chosen ids, most frequent first; ids beyond the public ones are ``joined``: pieces in the order they were joined."""
+
+    def __init__(self, ids=(), joined: tuple[bytes, ...] = ()):
+        super().__init__(ids)
+        self.joined = tuple(joined)
+
+
 class Subwords:
-    """Own ids of words: frequent ids of a public vocabulary, bytes for the rest, 0 for the start and end."""
+    """Own ids of words: frequent ids of a public vocabulary and joined ones, their parts for the rest, 0 for the start and end."""
 
     REMEMBERED = 250_000
     _of: dict = {}
 
-    def __init__(self, ranks: bytes, pattern: str, chosen: list[int] | None = None):
+    def __init__(self, ranks: bytes, pattern: str, chosen: list[int] | None = None, joined: tuple[bytes, ...] = ()):
         import tiktoken
 
+        self.joined = joined or getattr(chosen, "joined", ())
         table = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines())}
-        self.encoding = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.first = max(table.values()) + 1
+        table |= {t: self.first + k for k, t in enumerate(self.joined)}
+        # Where own ids are given a word is one piece: what is joined may hold a word and the mark after it.
+        self.encoding = tiktoken.Encoding("subwords", pat_str=r" [^ ]+" if self.joined or chosen is not None else pattern, mergeable_ranks=table, special_tokens={})
+        self.table = table
         self.token = {r: t for t, r in table.items()}
+        self.starts = np.zeros(max(self.token) + 1, bool)
+        self.starts[[r for r, t in self.token.items() if t[:1] == b" "]] = True
         self.byte = {t[0]: r for t, r in table.items() if len(t) == 1}
         self.known: dict[bytes, bytes] = {}
         self.chosen = chosen
-        if chosen is not None:
-            own = {r: k for k, r in enumerate(chosen, 1)}
-            self.expand = {r: ((own[r],) if r in own else tuple(own[self.byte[b]] for b in t)) for r, t in self.token.items()}
+        if chosen:
+            self._expand()
 
     @classmethod
-    def of(cls, ranks: bytes, pattern: str, chosen: list[int]) -> "Subwords":
-        key = (zlib.crc32(ranks), pattern, zlib.crc32(repr(chosen).encode()))
+    def of(cls, ranks: bytes, pattern: str, chosen: list[int] | None, joined: tuple[bytes, ...] = ()) -> "Subwords":
+        key = (zlib.crc32(ranks), pattern, zlib.crc32(repr((chosen, joined or getattr(chosen, "joined", ()))).encode()))
         if key not in cls._of:
             cls._of.clear()  # one at a time, for memory
-            cls._of[key] = cls(ranks, pattern, chosen)
+            cls._of[key] = cls(ranks, pattern, chosen, joined)
         return cls._of[key]
 
     def public(self, word: bytes) -> list[int]:
         return self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))
 
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each word has), in one call: only the first id of a word has a space."""
+        if not words:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        text = (b" " + b" ".join(words)).decode("utf-8", "replace")
+        ids = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        start = np.flatnonzero(self.starts[ids])
+        return ids, np.diff(np.append(start, len(ids)))
+
+    def own(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(own ids of all words, how many each word has)."""
+        ids, n = self.encoded(words)
+        if not words:
+            return ids.astype(np.uint16), n
+        size = self.size[ids]
+        end = np.cumsum(size)
+        flat = self.flat[np.repeat(self.begin[ids] - (end - size), size) + np.arange(end[-1])]
+        return flat, np.add.reduceat(size, np.cumsum(n) - n)
+
+    def _expand(self) -> None:
+        """What stands for each id: its own id, else those of the two parts with the lowest ids that make it."""
+        own = {r: k for k, r in enumerate(self.chosen, 1)}
+        self.expand = {}
+        for t, r in sorted(self.table.items(), key=lambda x: (len(x[0]), x[1])):
+            if r in own:
+                self.expand[r] = (own[r],)
+                continue
+            parts = [(self.table[t[:k]], self.table[t[k:]]) for k in range(1, len(t)) if t[:k] in self.table and t[k:] in self.table]
+            a, b = min(parts, key=lambda x: (len(self.expand[x[0]]) + len(self.expand[x[1]]), max(x), x))
+            self.expand[r] = self.expand[a] + self.expand[b]
+        self.size = np.zeros(len(self.starts), np.int64)
+        for r, x in self.expand.items():
+            self.size[r] = len(x)
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.array([k for _, x in sorted(self.expand.items()) for k in x], np.uint16)
+
     def choose(self, found: dict[int, int]) -> "Subwords":
-        """The own ids for counts of public ids: all bytes and the most frequent ids, most frequent first."""
+        """The own ids for counts of ids: all bytes and the most frequent ids, most frequent first."""
         counts = dict.fromkeys(self.byte.values(), 0) | found
         single = set(self.byte.values())
         best = sorted((r for r in counts if r not in single), key=lambda r: (-counts[r], r))[: _OWN - 1 - len(single)]
-        self.chosen = sorted([*single, *best], key=lambda r: (-counts[r], r))
-        own = {r: k for k, r in enumerate(self.chosen, 1)}
-        self.expand = {r: ((own[r],) if r in own else tuple(own[self.byte[b]] for b in t)) for r, t in self.token.items()}
+        self.chosen = Vocabulary(sorted([*single, *best], key=lambda r: (-counts[r], r)), self.joined)
+        self._expand()
         return self
 
     def own_counts(self, found: dict[int, int]) -> np.ndarray:
@@ -111,41 +164,105 @@ class Subwords:
 
     def stream(self, words: list[bytes]) -> np.ndarray:
         """0 (start), own ids of the words, 0 (end)."""
-        return np.concatenate([[0], np.frombuffer(b"".join(map(self.ids, words)), np.uint16), [0]]).astype(np.uint16)
+        return self.streams([words])[0]
+
+    def streams(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The stream of each text; words are remembered."""
+        new = list({w for t in texts for w in t if w not in self.known})
+        if len(self.known) + len(new) > self.REMEMBERED:
+            self.known.clear()
+            new = list({w for t in texts for w in t})
+        flat, n = self.own(new)
+        packed, end = flat.tobytes(), (2 * np.cumsum(n)).tolist()
+        self.known.update((w, packed[a:b]) for w, a, b in zip(new, [0, *end], end))
+        return [np.concatenate([[0], np.frombuffer(b"".join(map(self.known.__getitem__, t)), np.uint16), [0]]).astype(np.uint16) for t in texts]
 
     def ids(self, word: bytes) -> bytes:
-        """Own ids of a word as u2, from memory if known."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= self.REMEMBERED:
-                self.known.clear()
-            got = self.known[word] = np.array([x for r in self.public(word) for x in self.expand[r]], np.uint16).tobytes()
-        return got
+        """Own ids of a word as u2."""
+        return self.own([word])[0].tobytes()
 
 
 def _training() -> Column:
     return ~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def subword_counts(docs: DataFrame, ranks: bytes, pattern: str) -> dict[int, int]:
-    """How often each public id occurs in all training documents; bounded by the public vocabulary."""
-    held, size = docs.sparkSession.sparkContext.broadcast(ranks), block_bytes(docs.sparkSession)
+def training_words(docs: DataFrame) -> DataFrame:
+    """How often each word occurs in all training documents, as a written table (word, n)."""
+    size = block_bytes(docs.sparkSession)
 
     def run(batches):
-        subwords, counts = Subwords.of(held.value, pattern, None), collections.Counter()
         for block in exchange.blocks(batches, size):
             words = collections.Counter()
             for t in block.texts:
                 words.update(lower_words(t))
-            for w, n in words.items():
-                for r in subwords.public(w):
-                    counts[r] += n
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int32()), pa.array(counts.values(), pa.int64())], ["id", "n"])
+            for rows in itertools.batched(words.items(), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64()), strict=True)], ["word", "n"])
+
+    return written(exchange.scan(docs.filter(_training())).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
-    rows = exchange.scan(docs.filter(_training())).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+
+def subword_counts(words: DataFrame, ranks: bytes, pattern: str, joined: tuple[bytes, ...] = ()) -> dict[int, int]:
+    """How often each id occurs in all training words; bounded by the vocabulary."""
+    held = words.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches):
+        subwords = Subwords.of(held.value, pattern, [], joined)
+        counts = np.zeros(len(subwords.starts), np.int64)
+        for b in batches:
+            ids, size = subwords.encoded(b.column(0).to_pylist())
+            np.add.at(counts, ids, np.repeat(b.column(1).to_numpy(), size))
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(counts[found])], ["id", "n"])
+
+    rows = words.select("word", "n").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r["id"]: r["n"] for r in rows}
 
 
+def join_pieces(words: list[tuple[bytes, int]], subwords: Subwords, most: int) -> tuple[bytes, ...]:
+    """Byte-pair encoding goes on from the public ids of these words: the most frequent neighbours become a piece, again and again."""
+    texts = [[subwords.token[r] for r in subwords.public(w)] for w, _ in words]
+    weight = [n for _, n in words]
+    counts, where = collections.Counter(), collections.defaultdict(set)
+    for k, t in enumerate(texts):
+        for pair in itertools.pairwise(t):
+            counts[pair] += weight[k]
+            where[pair].add(k)
+    heap = [(-n, pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    joined: dict[bytes, None] = {}
+    while heap and len(joined) < most:
+        n, pair = heapq.heappop(heap)
+        if -n != counts[pair]:  # an older entry
+            if counts[pair] > 0:
+                heapq.heappush(heap, (-counts[pair], pair))
+            continue
+        if -n < 2:
+            break
+        piece = pair[0] + pair[1]
+        if piece not in subwords.table:
+            joined[piece] = None
+        changed = set()
+        for k in where.pop(pair):
+            t, out, at = texts[k], [], 0
+            while at < len(t):
+                two = at + 1 < len(t) and t[at] == pair[0] and t[at + 1] == pair[1]
+                out.append(piece if two else t[at])
+                at += 2 if two else 1
+            if len(out) == len(t):
+                continue
+            for old in itertools.pairwise(t):
+                counts[old] -= weight[k]
+            for new in itertools.pairwise(out):
+                counts[new] += weight[k]
+                where[new].add(k)
+                changed.add(new)
+            texts[k] = out
+        counts.pop(pair, None)
+        for new in changed:
+            heapq.heappush(heap, (-counts[new], new))
+    return tuple(joined)
+
+
 def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([x.reshape(-1) for x in weights.values()])
 
@@ -160,7 +277,7 @@ def learned(docs: DataFrame, ranks: bytes, pattern: str, chosen: list[int], weig
         subwords, model, n, part = Subwords.of(ranks, pattern, chosen), Attention({k: x.copy() for k, x in weights.items()}), 0, 0
         adam = Adam(model)
         for block in exchange.blocks(batches, size):
-            streams = [subwords.stream(lower_words(t)) for t in block.texts]
+            streams = subwords.streams([lower_words(t) for t in block.texts])
             sizes = np.array([len(x) for x in streams], np.int64)
             learn(model, adam, np.concatenate(streams), np.cumsum(sizes) - sizes, sizes - 1, rate, seed=block.number)
             n, part = n + int((sizes - 1).sum()), block.part
@@ -194,8 +311,12 @@ def learned(docs: DataFrame, ranks: bytes, pattern: str, chosen: list[int], weig
 
 def fit(docs: DataFrame, ranks: bytes, pattern: str, most_docs: int = TRAIN_DOCS, most_ids: int = TRAIN_IDS, rounds: int = ROUNDS) -> tuple[list[int], dict[str, np.ndarray]]:
     """(chosen ids, weights): a start from a bounded sample, then one pass over all training documents."""
-    found = subword_counts(docs, ranks, pattern)
-    subwords = Subwords(ranks, pattern).choose(found)
+    words = training_words(docs)
+    often = words.orderBy(F.desc("n"), "word").limit(JOIN_WORDS).collect()
+    joined = join_pieces([(bytes(r["word"]), r["n"]) for r in often], Subwords(ranks, pattern), JOINED)
+    found = subword_counts(words, ranks, pattern, joined)
+    discard(words)
+    subwords = Subwords(ranks, pattern, [], joined).choose(found)
     chosen = docs.filter(_training() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("binary")).collect()
     streams, total = [], 0
@@ -279,9 +400,9 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, mix: float = MIX) -> D
             base = np.log10((c + _ADD) / divisor)
             known = c > 0
             share = np.where(known, (c + _ADD) / divisor, 0.0)
-            pieces = [np.zeros(1, np.uint16), *(np.frombuffer(subwords.ids(w), np.uint16) for w in unique)]
-            length = np.array([len(p) for p in pieces], np.int64)
-            flat, begin = np.concatenate(pieces), np.cumsum(length) - length
+            flat, length = subwords.own(list(unique))
+            flat, length = np.append(np.uint16(0), flat), np.append(1, length)
+            begin = np.cumsum(length) - length
             # Documents of the block in groups, for the memory of ids and scores.
             at = 0
             while at < len(texts):

@@ -668,3 +668,20 @@ def test_lm_learns_from_all_training_documents(spark):
     text = np.frombuffer(b"\0\0" + b"".join(subwords.ids(w.encode()) for w in cycle * 3), np.uint16)
     after = attention.Attention(weights).score(text, np.array([0]), np.array([len(text) - 1]))[1:].mean()
     assert after > np.log(1 / len(set(text.tolist()))) + 0.3  # order is learned, beyond shares of ids
+
+
+def test_joined_pieces_of_all_words_at_once():
+    """Pieces joined from public ids shorten streams, and words encoded in one call have the ids they have alone."""
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    words = [(b"thinglyor.", 50), (b"thingea", 40), (b"outionoi", 30), (b"zebra", 1)]
+    base = lm_score.Subwords(ranks, P.PATTERN)
+    joined = lm_score.join_pieces(words, base, 20)
+    subwords = lm_score.Subwords(ranks, P.PATTERN, [], joined)
+    subwords.choose({r: n for w, n in words for r in subwords.public(w)})
+    odd = [w for w, _ in words] + [b"\xff\xfe", "　a ".encode(), b"\x00", b"a" * 300]
+    flat, n = subwords.own(odd)
+    assert [x.tobytes() for x in np.split(flat, np.cumsum(n)[:-1])] == [subwords.ids(w) for w in odd]
+    assert n[0] == n[1] == 1 < len(base.public(words[0][0]))
+    token = {k: subwords.token[r] for k, r in enumerate(subwords.chosen, 1)}
+    assert b"".join(token[k] for k in flat.tolist()) == b"".join(b" " + w.decode("utf-8", "replace").encode() for w in odd)
