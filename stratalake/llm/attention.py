@@ -45,22 +45,47 @@ def _chunks(n: int) -> list[slice]:
     return [slice(k, k + AT_ONCE) for k in range(0, n, AT_ONCE)]
 
 
-def _add_columns(ids: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
-    """One row an id: the sum of its columns; sums run along memory.  No place is outside, and ``clip`` saves the check."""
-    out = np.zeros((size, len(columns)), columns.dtype)
+def _add_rows(ids: np.ndarray, rows: np.ndarray, size: int, often: int = 12) -> np.ndarray:
+    """One row an id: the sum of its rows.  Frequent ids one by one, the others together, their first rows, second rows and so on."""
     order = np.argsort(ids, kind="stable")
     found = ids[order]
     cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-    out[found[cuts]] = np.add.reduceat(np.take(columns, order, axis=1, mode="clip"), cuts, axis=1).T
+    n = np.diff(np.r_[cuts, len(ids)])
+    by = np.argsort(-n, kind="stable")
+    cuts, n = cuts[by], n[by]
+    # Of how many ids there are more than k rows.
+    more = np.searchsorted(-n, -np.arange(often + 1))
+    hot, added = int(more[often]), np.empty((len(cuts), rows.shape[1]), rows.dtype)
+    ones = np.ones((1, int(n[0])), rows.dtype)
+    for k, (at, m) in enumerate(zip(cuts[:hot].tolist(), n[:hot].tolist(), strict=True)):
+        np.matmul(ones[:, :m], np.take(rows, order[at : at + m], axis=0, mode="clip"), out=added[k : k + 1])
+    np.take(rows, order[cuts[hot:]], axis=0, out=added[hot:], mode="clip")  # no place is outside, and ``clip`` saves the check
+    for k in range(1, often):
+        m = int(more[k])
+        if m <= hot:
+            break
+        added[hot:m] += np.take(rows, order[cuts[hot:m] + k], axis=0, mode="clip")
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    out[found[cuts]] = added
     return out
 
 
+def _by_class(targets: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scored places in the order of their targets' classes, those classes, the targets' members, and where each class begins."""
+    place = np.flatnonzero(scored)
+    target = np.take(targets.reshape(-1), place, mode="clip")
+    cls = (target // MEMBERS).astype(np.uint8)
+    order = np.argsort(cls, kind="stable")
+    cls = cls[order]
+    return place[order], cls, np.take(target, order, mode="clip").astype(np.int64) % MEMBERS, np.searchsorted(cls, np.arange(CLASSES + 1))
+
+
 class Attention:
     def __init__(self, parameters: dict[str, np.ndarray]):
         self.p = parameters
         self.most = _most()
-        self.ones = {n: np.ones((n, 1), _F) for n in (CLASSES, MEMBERS)}
-        self.top = {n: np.full(n, 80, _F) for n in (CLASSES, MEMBERS)}  # an array, for minimum is slow on scalars
+        self.ones = {n: np.ones((n, 1), _F) for n in (CLASSES, MEMBERS, WIDTH)}
+        self.least = np.zeros(VALUE, _F)  # an array, for maximum is slow on scalars
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 5) -> "Attention":
@@ -89,11 +114,12 @@ class Attention:
         return ids[place], inside, target, scored
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """One row an id: its scaled query and second embedding; its key, value and a 1, which sums weights."""
+        """One row an id: its scaled query and second embedding; its key and value."""
         p = self.p
-        return np.concatenate([p["q"] * _F(KEY**-0.5), p["e"] + p["b"]], axis=1), np.concatenate([p["k"], p["v"], np.ones((len(p["v"]), 1), _F)], axis=1)
+        return np.concatenate([p["q"] * _F(KEY**-0.5), p["e"] + p["b"]], axis=1), np.concatenate([p["k"], p["v"]], axis=1)
 
-    def hidden(self, keys: np.ndarray, inside: np.ndarray, of_query: np.ndarray, of_key: np.ndarray):
+    def hidden(self, keys: np.ndarray, inside: np.ndarray, of_query: np.ndarray, of_key: np.ndarray, h: np.ndarray):
+        """The hidden state of each query, written to ``h``, and what its gradient needs."""
         p = self.p
         qe = np.take(of_query, keys[:, WIDTH - STRIDE :], axis=0, mode="clip")
         qe[:, :, :KEY] += p["qp"][WIDTH - STRIDE :] * _F(KEY**-0.5)
@@ -105,37 +131,37 @@ class Attention:
         if len(early):
             s[early] = np.where(inside[early][:, None, :], s[early], _F(-1e9))
         np.exp(s, out=s)
-        mixed = np.matmul(s, kv[:, :, KEY:])
-        norm = mixed[:, :, -1:] + _F(1e-30)
-        out = mixed[:, :, :-1] / norm
-        h = out + qe[:, :, KEY:]
-        return qe, kv, s, norm, out, np.maximum(h, 0, out=h)
-
-    def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each target id after hidden state ``h``."""
-        p = self.p
-        cls, member = np.divmod(target.astype(np.int32), MEMBERS)
-        a = h @ p["wc"]
-        a += p["bc"]
-        out = self._log_share(a, cls)
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        hs, ms, inner = h[order], member[order], np.empty(len(h), _F)
+        norm = np.matmul(s, self.ones[WIDTH])
+        norm += _F(1e-30)
+        out = np.matmul(s, kv[:, :, KEY:])
+        out /= norm
+        np.add(out, qe[:, :, KEY:], out=h)
+        np.maximum(h, self.least, out=h)
+        return qe, kv, s, norm, out
+
+    def log_probabilities(self, h: np.ndarray, cls: np.ndarray, member: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each target after hidden state ``h``; both as ``_by_class`` has them."""
+        p, n = self.p, len(h)
+        mine, total, inner = np.empty(n, _F), np.empty((n, 1), _F), np.empty((n, 1), _F)
+        self._shares(h @ p["wc"], p["bc"], cls, mine, total)
+        value = mine.astype(np.float64)
         for c in range(CLASSES):
             lo, hi = cuts[c], cuts[c + 1]
             if hi > lo:
-                m = hs[lo:hi] @ p["wm"][c]
-                m += p["bm"][c]
-                inner[lo:hi] = self._log_share(m, ms[lo:hi])
-        out[order] += inner
-        return out
-
-    def _log_share(self, a: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log of the softmax of each row at one place; overwrites ``a``, whose entries are at most 80."""
-        np.minimum(a, self.top[a.shape[1]], out=a)
-        mine = a[np.arange(len(a)), at]
+                self._shares(h[lo:hi] @ p["wm"][c], p["bm"][c], member[lo:hi], mine[lo:hi], inner[lo:hi])
+        value += mine
+        return value - np.log(total[:, 0]) - np.log(inner[:, 0])
+
+    def _shares(self, a: np.ndarray, bias: np.ndarray | None, at: np.ndarray, mine: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """exp of ``a`` and a bias, in its place, with entries of at most 80; one entry a row before exp and the row's sum to ``mine`` and ``total``."""
+        if bias is not None:
+            a += bias
+        if len(a) and a.max() > 80:
+            np.minimum(a, _F(80), out=a)
+        np.take(a.reshape(-1), np.arange(0, a.size, a.shape[1]) + at, out=mine, mode="clip")
         np.exp(a, out=a)
-        return mine - np.log(a @ self.ones[a.shape[1]])[:, 0]
+        np.matmul(a, self.ones[a.shape[1]], out=total)
+        return a
 
     def score(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at_once: int = 192) -> np.ndarray:
         """Log probability of every id but each sequence's first, at its place in ``ids`` (0 there)."""
@@ -145,72 +171,64 @@ class Attention:
         tables = self.tables()
         for k in range(0, len(seq), at_once):
             keys, inside, target, scored = self.batch(ids, starts, lengths, seq[k : k + at_once], first[k : k + at_once])
-            h = np.concatenate([self.hidden(keys[c], inside[c], *tables)[-1] for c in _chunks(len(keys))])
-            place = target[scored]
-            out[place] = self.log_probabilities(h[scored], ids[place])
+            h = np.empty((len(keys), STRIDE, VALUE), _F)
+            for c in _chunks(len(keys)):
+                self.hidden(keys[c], inside[c], *tables, h[c])
+            place, *of_targets = _by_class(ids[target], scored)
+            out[target.reshape(-1)[place]] = self.log_probabilities(np.take(h.reshape(-1, VALUE), place, axis=0, mode="clip"), *of_targets)
         return out
 
     def gradient(self, keys: np.ndarray, inside: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of a batch and its gradient; ``targets`` are ids."""
         p, scale = self.p, _F(KEY**-0.5)
         tables, parts = self.tables(), _chunks(len(keys))
-        saved = [self.hidden(keys[c], inside[c], *tables) for c in parts]
-        # Scored places in the order of their targets' classes; a 1 beside each hidden state is the input of the biases.
-        place = np.flatnonzero(scored)
-        cls = (targets.reshape(-1)[place] // MEMBERS).astype(np.uint8)
-        order = np.argsort(cls, kind="stable")
-        place, cls = place[order], cls[order]
-        member, n = targets.reshape(-1)[place].astype(np.int64) % MEMBERS, len(place)
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        every = np.empty((len(keys), STRIDE, VALUE), _F)
+        saved = [self.hidden(keys[c], inside[c], *tables, every[c]) for c in parts]
+        place, cls, member, cuts = _by_class(targets, scored)
+        n = len(place)
+        # A 1 beside each hidden state is the input of the biases.
         h = np.ones((n, VALUE + 1), _F)
-        h[:, :-1] = np.concatenate([x[-1].reshape(-1, VALUE) for x in saved])[place]
+        h[:, :-1] = np.take(every.reshape(-1, VALUE), place, axis=0, mode="clip")
         wc, wm = np.concatenate([p["wc"], p["bc"][None]]), np.concatenate([p["wm"], p["bm"][:, None]], axis=1)
-        gm = np.zeros_like(wm)
-        loss, a = self._softmax_gradient(h @ wc, cls, n)
+        gm, mine, total = np.zeros_like(wm), np.empty((2, n), _F), np.empty((2, n, 1), _F)
+        a = self._softmax_gradient(h @ wc, cls, mine[0], total[0], n)
         gc, dh = h.T @ a, a @ wc[:-1].T
         for c in range(CLASSES):
             lo, hi = cuts[c], cuts[c + 1]
             if hi > lo:
-                more, m = self._softmax_gradient(h[lo:hi] @ wm[c], member[lo:hi], n)
-                loss += more
-                gm[c] = h[lo:hi].T @ m
+                m = self._softmax_gradient(h[lo:hi] @ wm[c], member[lo:hi], mine[1, lo:hi], total[1, lo:hi], n)
+                np.matmul(h[lo:hi].T, m, out=gm[c])
                 dh[lo:hi] += m @ wm[c, :-1].T
+        loss = np.log(total).sum() - mine.sum()
         dh *= h[:, :-1] > 0
-        d3 = np.zeros((len(keys) * STRIDE, VALUE), _F)
-        d3[place] = dh
-        d3 = d3.reshape(len(keys), STRIDE, VALUE)
-        # A row for each component here, and in ``_add_columns`` a column for each place.
-        dqe, dkv = np.empty((KEY + VALUE, len(keys), STRIDE), _F), np.empty((KEY + VALUE, len(keys), WIDTH), _F)
-        dqe[KEY:] = d3.transpose(2, 0, 1)
-        of_q, of_kv = dqe.transpose(1, 0, 2), dkv.transpose(1, 0, 2)
-        for c, (qe, kv, s, norm, out, _) in zip(parts, saved, strict=True):
-            # The last column takes the mean of the weights' gradient off.
-            d = np.empty((len(s), STRIDE, VALUE + 1), _F)
-            np.divide(d3[c], norm, out=d[:, :, :-1])
-            d[:, :, -1] = -np.einsum("ijk,ijk->ij", d[:, :, :-1], out)
-            np.matmul(d[:, :, :-1].transpose(0, 2, 1), s, out=of_kv[c, KEY:])
+        # One row a place: the gradient of its key and value, then that of its query and second embedding, if it has one.
+        rows = np.empty((len(keys), WIDTH, 2 * (KEY + VALUE)), _F)
+        dkv, dqe = rows[:, :, : KEY + VALUE], rows[:, WIDTH - STRIDE :, KEY + VALUE :]
+        rows[:, : WIDTH - STRIDE, KEY + VALUE :] = 0
+        every.reshape(-1, VALUE)[:] = 0
+        every.reshape(-1, VALUE)[place] = dh
+        dqe[:, :, KEY:] = every
+        for c, (qe, kv, s, norm, out) in zip(parts, saved, strict=True):
+            d = every[c]
+            d /= norm
+            np.matmul(s.transpose(0, 2, 1), d, out=dkv[c, :, KEY:])
             ds = np.matmul(d, kv[:, :, KEY:].transpose(0, 2, 1))
+            ds -= np.einsum("ijk,ijk->ij", d, out)[:, :, None]
             ds *= s
-            np.matmul(kv[:, :, :KEY].transpose(0, 2, 1), ds.transpose(0, 2, 1), out=of_q[c, :KEY])
-            np.matmul(qe[:, :, :KEY].transpose(0, 2, 1), ds, out=of_kv[c, :KEY])
-        g = {"qp": np.zeros_like(p["qp"]), "kp": dkv[:KEY].sum(1).T, "b": dh.sum(0), "wc": gc[:-1], "bc": gc[-1], "wm": gm[:, :-1], "bm": gm[:, -1]}
-        g["qp"][WIDTH - STRIDE :] = dqe[:KEY].sum(1).T * scale
-        of_query = _add_columns(keys[:, WIDTH - STRIDE :].reshape(-1), dqe.reshape(KEY + VALUE, -1), len(p["q"]))
-        of_key = _add_columns(keys.reshape(-1), dkv.reshape(KEY + VALUE, -1), len(p["k"]))
+            np.matmul(ds, kv[:, :, :KEY], out=dqe[c, :, :KEY])
+            np.matmul(ds.transpose(0, 2, 1), qe[:, :, :KEY], out=dkv[c, :, :KEY])
+        g = {"qp": np.zeros_like(p["qp"]), "kp": dkv[:, :, :KEY].sum(0), "b": dh.sum(0), "wc": gc[:-1], "bc": gc[-1], "wm": gm[:, :-1], "bm": gm[:, -1]}
+        g["qp"][WIDTH - STRIDE :] = dqe[:, :, :KEY].sum(0) * scale
+        of_key, of_query = np.split(_add_rows(keys.reshape(-1), rows.reshape(-1, 2 * (KEY + VALUE)), len(p["k"])), 2, axis=1)
         g["q"], g["e"], g["k"], g["v"] = of_query[:, :KEY] * scale, of_query[:, KEY:], of_key[:, :KEY], of_key[:, KEY:]
         return float(loss) / n, g
 
-    def _softmax_gradient(self, a: np.ndarray, at: np.ndarray, n: int) -> tuple[float, np.ndarray]:
-        """Summed loss of the softmax of each row at one place, and its gradient over ``n`` in the place of ``a``."""
-        rows = np.arange(len(a))
-        np.minimum(a, self.top[a.shape[1]], out=a)
-        mine = a[rows, at]
-        np.exp(a, out=a)
-        total = a @ self.ones[a.shape[1]]
-        loss = np.log(total).sum() - mine.sum()
+    def _softmax_gradient(self, a: np.ndarray, at: np.ndarray, mine: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
+        """The gradient over ``n`` of each row's loss, the softmax at one place, in the place of ``a``; ``mine`` and ``total`` as in ``_shares``."""
+        self._shares(a, None, at, mine, total)
         a *= 1 / (total * n)
-        a[rows, at] -= _F(1 / n)
-        return loss, a
+        a.reshape(-1)[np.arange(0, a.size, a.shape[1]) + at] -= _F(1 / n)
+        return a
 
 
 class Adam:
@@ -221,21 +239,21 @@ class Adam:
         self.m, self.v, self.room = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(3))
 
     def step(self, g: dict[str, np.ndarray], lr: float) -> None:
+        """``m`` and ``v`` are sums, not means, of gradients and squares: 10 and 100 times the means before their starts are made up for."""
         self.n += 1
+        root = (100 * (1 - 0.99**self.n)) ** 0.5
+        rate = _F(lr / 10 / (1 - 0.9**self.n) * root)
         for x, w in self.p.items():
             m, v, t = self.m[x], self.v[x], self.room[x]
-            np.subtract(g[x], m, out=t)
-            t *= _F(0.1)
-            m += t
+            m *= _F(0.9)
+            m += g[x]
             np.multiply(g[x], g[x], out=t)
-            t -= v
-            t *= _F(0.01)
+            v *= _F(0.99)
             v += t
-            np.multiply(v, _F(1 / (1 - 0.99**self.n)), out=t)
-            np.sqrt(t, out=t)
-            t += _F(1e-8)
+            np.sqrt(v, out=t)
+            t += _F(1e-8 * root)
             np.divide(m, t, out=t)
-            t *= _F(lr / (1 - 0.9**self.n))
+            t *= rate
             w -= t
 
 

@@ -38,13 +38,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.llm import exchange
 from stratalake.llm.attention import CLASSES, MEMBERS, Adam, Attention, learn, train
-from stratalake.llm.common import block_bytes, block_count, discard, lower_words, prepare, written
+from stratalake.llm.common import LONG_WORD, block_bytes, block_count, discard, lower_words, prepare, written
 
 TRAIN_DOCS = 1500
 TRAIN_IDS = 1_500_000
@@ -65,6 +66,25 @@ def is_held_out(doc_id: int | None, folds: int = FOLDS) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
+def coded_words(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the place of each word of the texts among them, how many words each text has); words as ``lower_words`` has them."""
+    held = pa.array(texts, pa.large_binary())
+    # Arrow's functions of ASCII work on bytes, whatever they are, but ask for strings.
+    held = pa.Array.from_buffers(pa.large_string(), len(held), held.buffers(), held.null_count)
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(held, "")))
+    words, ends = cut.flatten(), cut.offsets.to_numpy()
+    del held, cut
+    some = pc.binary_length(words).to_numpy() > 0  # space before the first or after the last word leaves an empty one
+    n = np.diff(np.append(0, np.cumsum(some))[ends])
+    words = words.filter(pa.array(some))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(words), words.buffers(), 0).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), n
+
+
+def as_list(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class Vocabulary(list):
     """The chosen ids, most frequent first; ids beyond the public ones are ``joined``: pieces in the order they were joined."""
 
@@ -162,20 +182,35 @@ class Subwords:
                 out[k] += n
         return out
 
-    def stream(self, words: list[bytes]) -> np.ndarray:
-        """0 (start), own ids of the words, 0 (end)."""
-        return self.streams([words])[0]
-
-    def streams(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The stream of each text; words are remembered."""
-        new = list({w for t in texts for w in t if w not in self.known})
-        if len(self.known) + len(new) > self.REMEMBERED:
-            self.known.clear()
-            new = list({w for t in texts for w in t})
+    def remembered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``own``; the first words that come are remembered, among them the frequent ones."""
+        new = [w for w in words if w not in self.known]
         flat, n = self.own(new)
         packed, end = flat.tobytes(), (2 * np.cumsum(n)).tolist()
-        self.known.update((w, packed[a:b]) for w, a, b in zip(new, [0, *end], end))
-        return [np.concatenate([[0], np.frombuffer(b"".join(map(self.known.__getitem__, t)), np.uint16), [0]]).astype(np.uint16) for t in texts]
+        found = {w: packed[a:b] for w, a, b in zip(new, [0, *end], end)}
+        ids = [self.known.get(w) or found[w] for w in words]
+        self.known.update((w, x) for w, x in itertools.islice(found.items(), self.REMEMBERED - len(self.known)) if len(w) <= LONG_WORD)
+        return np.frombuffer(b"".join(ids), np.uint16), np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+
+    def stream(self, words: list[bytes]) -> np.ndarray:
+        """0 (start), own ids of the words, 0 (end)."""
+        return np.concatenate([[0], self.remembered(words)[0], [0]]).astype(np.uint16)
+
+    def streams(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The streams of texts one after another, where each starts, and how many ids follow its first."""
+        words, places, n = coded_words(texts)
+        flat, length = self.remembered(as_list(words))
+        size = length[places]
+        end = np.append(0, np.cumsum(size))
+        last = np.cumsum(n)
+        tokens = end[last] - end[last - n]
+        ids = np.zeros(int(end[-1]) + 2 * len(n), np.uint16)
+        kind = np.int32 if len(ids) < 2**31 else np.int64  # for memory
+        to, of = (np.arange(int(end[-1]), dtype=kind) for _ in range(2))
+        to += np.repeat((2 * np.arange(len(n)) + 1).astype(kind), tokens)
+        of += np.repeat(((np.cumsum(length) - length)[places] - end[:-1]).astype(kind), size)
+        ids[to] = flat[of]
+        return ids, np.cumsum(tokens + 2) - (tokens + 2), tokens + 1
 
     def ids(self, word: bytes) -> bytes:
         """Own ids of a word as u2."""
@@ -192,11 +227,10 @@ def training_words(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for block in exchange.blocks(batches, size):
-            words = collections.Counter()
-            for t in block.texts:
-                words.update(lower_words(t))
-            for rows in itertools.batched(words.items(), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64()), strict=True)], ["word", "n"])
+            words, places, _ = coded_words(block.texts)
+            n = np.bincount(places, minlength=len(words))
+            for k in range(0, len(words), 20_000):
+                yield pa.RecordBatch.from_arrays([words[k : k + 20_000].cast(pa.binary()), pa.array(n[k : k + 20_000], pa.int64())], ["word", "n"])
 
     return written(exchange.scan(docs.filter(_training())).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
@@ -277,10 +311,9 @@ def learned(docs: DataFrame, ranks: bytes, pattern: str, chosen: list[int], weig
         subwords, model, n, part = Subwords.of(ranks, pattern, chosen), Attention({k: x.copy() for k, x in weights.items()}), 0, 0
         adam = Adam(model)
         for block in exchange.blocks(batches, size):
-            streams = subwords.streams([lower_words(t) for t in block.texts])
-            sizes = np.array([len(x) for x in streams], np.int64)
-            learn(model, adam, np.concatenate(streams), np.cumsum(sizes) - sizes, sizes - 1, rate, seed=block.number)
-            n, part = n + int((sizes - 1).sum()), block.part
+            ids, starts, lengths = subwords.streams(block.texts)
+            learn(model, adam, ids, starts, lengths, rate, seed=block.number)
+            n, part = n + int(lengths.sum()), block.part
         if n:
             w = _flat(model.p)
             rows = [w[k : k + _SLICE].tobytes() for k in range(0, len(w), _SLICE)]
@@ -344,14 +377,10 @@ def word_counts(docs: DataFrame, owners: int) -> tuple[exchange.Answers, int, in
     """(counts in all training documents of the words of each block, all training tokens, distinct ones)."""
 
     def make(block):
-        counts: dict[bytes, int] = {_END: 0}
-        for i, t in zip(block.ids, block.texts, strict=True):
-            one = 0 if is_held_out(i) else 1
-            for w in lower_words(t):
-                counts[w] = counts.get(w, 0) + one
-            counts[_END] += one
-        h = np.fromiter(map(_hash, counts), np.uint64, len(counts))
-        n = np.fromiter(counts.values(), np.int64, len(counts))
+        words, places, size = coded_words(block.texts)
+        of = np.array([not is_held_out(i) for i in block.ids])
+        h = np.fromiter(map(_hash, [_END, *as_list(words)]), np.uint64, len(words) + 1)
+        n = np.append(of.sum(), np.bincount(places, np.repeat(of, size), len(words)).astype(np.int64))
         order = np.argsort(h)
         yield from exchange.messages(block, owners, h[order], n[order])
 
@@ -389,10 +418,9 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, mix: float = MIX) -> D
         ranks, chosen, weights = held.value
         subwords, model = Subwords.of(ranks, pattern, chosen), Attention(weights)
         for block in exchange.blocks(batches, size):
-            texts = [lower_words(t) for t in block.texts]
-            unique = {w: k for k, w in enumerate({*itertools.chain.from_iterable(texts)}, 1)}
-            vocabulary = [_END, *unique]
-            h = np.fromiter(map(_hash, vocabulary), np.uint64, len(vocabulary))
+            distinct, places, sizes = coded_words(block.texts)
+            distinct = as_list(distinct)
+            h = np.fromiter(map(_hash, [_END, *distinct]), np.uint64, len(distinct) + 1)
             got = read(block)
             keys, counts = (np.concatenate([x[k] for x in got]) for k in (0, 1))
             order = np.argsort(keys)
@@ -400,22 +428,23 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, mix: float = MIX) -> D
             base = np.log10((c + _ADD) / divisor)
             known = c > 0
             share = np.where(known, (c + _ADD) / divisor, 0.0)
-            flat, length = subwords.own(list(unique))
+            flat, length = subwords.remembered(distinct)
             flat, length = np.append(np.uint16(0), flat), np.append(1, length)
             begin = np.cumsum(length) - length
             # Documents of the block in groups, for the memory of ids and scores.
-            at = 0
-            while at < len(texts):
+            at = done = 0
+            while at < len(sizes):
                 end, n = at, 0
-                while end < len(texts) and (end == at or n + len(texts[end]) < 50_000):
-                    n += len(texts[end]) + 1
+                while end < len(sizes) and (end == at or n + sizes[end] < 50_000):
+                    n += int(sizes[end]) + 1
                     end += 1
-                lengths = np.array([len(t) + 1 for t in texts[at:end]], np.int64)
+                lengths = sizes[at:end].astype(np.int64) + 1
                 words = np.zeros(int(lengths.sum()), np.int64)  # 0: the end
                 ends = np.cumsum(lengths)
                 own = np.ones(len(words), bool)
                 own[ends - 1] = False
-                words[own] = np.fromiter(map(unique.__getitem__, itertools.chain.from_iterable(texts[at:end])), np.int64, len(words) - len(lengths))
+                words[own] = places[done : done + len(words) - len(lengths)].astype(np.int64) + 1
+                done += len(words) - len(lengths)
                 w_size = length[words]
                 w_start = np.cumsum(w_size) - w_size
                 doc = np.repeat(np.arange(len(lengths)), lengths)

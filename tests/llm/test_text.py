@@ -685,3 +685,31 @@ def test_joined_pieces_of_all_words_at_once():
     assert n[0] == n[1] == 1 < len(base.public(words[0][0]))
     token = {k: subwords.token[r] for k, r in enumerate(subwords.chosen, 1)}
     assert b"".join(token[k] for k in flat.tolist()) == b"".join(b" " + w.decode("utf-8", "replace").encode() for w in odd)
+
+
+def test_words_are_coded_as_cut_one_by_one(monkeypatch):
+    """Blocks of texts become streams by their distinct words; the same ids as word by word, and what is remembered is bounded."""
+    texts = ["The  stone\x0b\x0cTHE ".encode(), None, b"", b" \t\n", "zebra é　É\x1cx\x85 the\x00".encode(), b"\xff\xfe A \xff\xfe", b"x" * 100 + b" the"]
+    words, places, n = lm_score.coded_words(texts)
+    words = lm_score.as_list(words)
+    assert len(set(words)) == len(words) and n.tolist() == [len(lower_words(t)) for t in texts]
+    assert [words[k] for k in places] == [w for t in texts for w in lower_words(t)]
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    subwords = lm_score.Subwords(ranks, P.PATTERN).choose({r: 5 for r in range(256, 2500)})
+    alone = [np.frombuffer(b"\0\0" + b"".join(subwords.ids(w) for w in lower_words(t)) + b"\0\0", np.uint16) for t in texts]
+    monkeypatch.setattr(lm_score.Subwords, "REMEMBERED", 3)
+    for _ in range(2):
+        ids, starts, lengths = subwords.streams(texts)
+        assert [ids[a : a + k + 1].tolist() for a, k in zip(starts, lengths, strict=True)] == [x.tolist() for x in alone]
+        assert 0 < len(subwords.known) <= 3 and max(map(len, subwords.known)) <= 64
+    assert [len(x) for x in subwords.streams([])] == [0, 0, 0]
+
+
+def test_rows_of_frequent_and_rare_ids_are_added():
+    r = np.random.default_rng(3)
+    for n in (1, 7, 3000):
+        ids, rows = np.minimum(r.geometric(0.05, n), 99).astype(np.uint16), r.normal(size=(n, 6))
+        whole = np.zeros((100, 6))
+        np.add.at(whole, ids, rows)
+        assert np.allclose(attention._add_rows(ids, rows, 100), whole)
